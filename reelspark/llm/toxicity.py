@@ -29,7 +29,7 @@ PREFIX = (4, 5, 6)
 FACTORS = 8
 MAX_POSITIVE, MAX_NEGATIVE = 3000, 6000
 MAX_TERMS = 8192
-MIN_Z = 3.0
+MIN_Z = 3.5
 CACHE = 400_000
 _WORD = re.compile(r"[^\W_]+")
 
