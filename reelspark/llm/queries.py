@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, lang_id, mixing, packing, quality, toxicity
+from . import exact_dedup, lang_id, mixing, ngram_join, packing, quality, toxicity
 from .common import documents
 
 
@@ -20,6 +20,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(documents(spark, sf_dir))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("row")
 
@@ -32,10 +36,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": (pipeline, None),
     "op1_exact_dedup": (op1_exact_dedup, exact_dedup.ORACLE),
     "op2_quality": (op2_quality, None),
     "op3_packing": (op3_packing, None),
+    "op5_ngram_join": (op5_ngram_join, ngram_join.ORACLE),
     "op7_mixing": (op7_mixing, mixing.ORACLE),
     "op8_lang_id": (op8_lang_id, None),
     "op10_toxicity": (op10_toxicity, None),
