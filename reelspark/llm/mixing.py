@@ -45,8 +45,8 @@ def targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
         F.coalesce(F.sum("cap").over(earlier), F.lit(0.0)).alias("cap_before"),
         F.coalesce(F.sum("weight").over(earlier), F.lit(0.0)).alias("weight_before"),
     ).withColumn("level", (F.col("total") - F.col("cap_before")) / (F.col("weights") - F.col("weight_before")))
-    # the lowest level at which the next source in line is not above its cap is the level of all that are left
-    reached = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(all_rows)
+    # from the first source in line that its level does not lift above its cap, levels fall: that level holds for all left
+    reached = F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(all_rows)
     return s.withColumn("final", reached).select(
         "source", "source_size", F.when(F.col("final") * F.col("weight") < F.col("cap"), F.col("final") * F.col("weight"))
         .otherwise(F.col("cap")).alias("target"),
@@ -110,7 +110,7 @@ l AS (
     FROM s WINDOW w AS (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))),
 t AS (
   SELECT source, source_size, CASE WHEN final * weight < cap THEN final * weight ELSE cap END AS target
-  FROM (SELECT *, min(CASE WHEN level * weight <= cap THEN level END) OVER () AS final FROM l)),
+  FROM (SELECT *, max(CASE WHEN level * weight <= cap THEN level END) OVER () AS final FROM l)),
 q AS (
   SELECT d.doc_id, d.size, t.target, d.source, e.epoch, md5(e.epoch || '-' || d.doc_id) AS shuffled
   FROM sizes d JOIN t ON d.source IS NOT DISTINCT FROM t.source CROSS JOIN (SELECT unnest([1, 2, 3]) AS epoch) e
