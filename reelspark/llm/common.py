@@ -31,6 +31,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Stands for a null doc_id while rows are grouped and joined by it.
+NO_ID = -(1 << 63)
+
+
+def with_ids(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with no null doc_id."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+
+
+def real_id(name: str) -> Column:
+    return F.nullif(F.col(name), F.lit(NO_ID)).alias(name)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, lang_id, mixing, ngram_join, packing, quality, toxicity
+from . import exact_dedup, lang_id, mixing, ngram_join, packing, quality, suffix_dedup, toxicity
 from .common import documents
 
 
@@ -32,6 +32,10 @@ def op8_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(documents(spark, sf_dir))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(documents(spark, sf_dir))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -50,5 +54,6 @@ QUERIES = {
     "op5_ngram_join": (op5_ngram_join, ngram_join.ORACLE),
     "op7_mixing": (op7_mixing, mixing.ORACLE),
     "op8_lang_id": (op8_lang_id, None),
+    "op9_suffix_dedup": (op9_suffix_dedup, None),
     "op10_toxicity": (op10_toxicity, None),
 }
