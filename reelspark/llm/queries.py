@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, lang_id, mixing, ngram_join, packing, quality, suffix_dedup, toxicity
+from . import exact_dedup, lang_id, lm_scoring, mixing, ngram_join, packing, quality, suffix_dedup, toxicity, warc_audit
 from .common import documents
 
 
@@ -20,10 +20,19 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.cross_entropy_difference(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(documents(spark, sf_dir))
 
 
+def op6_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc_audit.fixity_audit(pages, warc_audit.damaged_replica(pages))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("row")
 
@@ -51,7 +60,9 @@ QUERIES = {
     "op1_exact_dedup": (op1_exact_dedup, exact_dedup.ORACLE),
     "op2_quality": (op2_quality, None),
     "op3_packing": (op3_packing, None),
+    "op4_lm_scoring": (op4_lm_scoring, None),
     "op5_ngram_join": (op5_ngram_join, ngram_join.ORACLE),
+    "op6_warc_audit": (op6_warc_audit, warc_audit.ORACLE),
     "op7_mixing": (op7_mixing, mixing.ORACLE),
     "op8_lang_id": (op8_lang_id, None),
     "op9_suffix_dedup": (op9_suffix_dedup, None),
