@@ -33,8 +33,9 @@ LENGTH = 100
 GRAM = 25
 BLOCK = 1 << 19  # windows handled at a time; positions in a block fit 20 bits
 FLUSH = 24_000_000  # bytes of text ranked together in a task
-HOT = 512  # contexts of one string compared in one group; beyond that they are dealt into SPLITS groups first
-SPLITS = 64
+#: A string with more contexts than this share of all (and MOST at any size) is dealt into groups of that size first.
+HOT_SHARE = 1 / 2000
+LEAST, MOST = 64, 20_000
 _N = BLOCK + LENGTH
 _BASE = 0x9E3779B97F4A7C15  # odd: invertible modulo 2^64
 _POWER = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(_N, _BASE, np.uint64)]))
@@ -208,8 +209,9 @@ def removals(docs: DataFrame) -> DataFrame:
     per_doc = undecided.groupBy("doc_id").agg(F.collect_list(F.struct("key", "at")).alias("open"))
     blobs = texts.mapInArrow(squeezed, "doc_id long, z binary")
     strings = stage(blobs.join(per_doc, "doc_id").select("doc_id", "z", "open").mapInArrow(contexts, "key long, doc_id long, at long, bytes binary"), "contexts")
-    hot = stage(strings.groupBy("key").agg(F.count("*").alias("n")).filter(f"n > {HOT}").select("key", F.lit(True).alias("hot")), "hot")
-    part = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SPLITS))).otherwise(-1).cast("int")
+    limit = min(max(LEAST, int(strings.count() * HOT_SHARE)), MOST)
+    hot = stage(strings.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > limit), "hot")
+    part = F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / limit))).otherwise(-1).cast("int")
     dealt = strings.join(hot, "key", "left").select("key", part.alias("part"), "doc_id", "at", "bytes")
     last = stage(
         dealt.repartition("key", "part").sortWithinPartitions("key", "part", "doc_id", "at").mapInArrow(last_ranks, ROUND_3), "last"
