@@ -24,10 +24,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import real_id, stage, with_ids
+from .common import real_id, squeezed, stage, unsqueezed, with_ids
 
 LENGTH = 100
 GRAM = 25
@@ -121,18 +120,6 @@ def first_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield ranked(held)
 
 
-def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as compressed bytes, to move less."""
-    z = zstandard.ZstdCompressor(level=3)
-    for b in batches:
-        blobs = [z.compress((t or "").encode("utf-8", "replace")) for t in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blobs, pa.binary())], names=["doc_id", "z"])
-
-
-def unsqueezed(blob: bytes, z=zstandard.ZstdDecompressor()) -> bytes:
-    return z.decompress(blob)
-
-
 def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of each open context: (key, doc_id, at, bytes)."""
     for b in batches:
