@@ -53,3 +53,8 @@ def clock(seconds) -> Column:
     return F.format_string(
         "%02d:%02d:%02d,%03d", F.floor(whole / 3600), F.floor((whole % 3600) / 60), whole % 60, F.floor((seconds % 1) * 1000)
     )
+
+
+def tidy(c, places: int = 4) -> Column:
+    """Rounded to `places`, after the noise of the last binary digits is rounded away: ties go up whatever the order of a sum."""
+    return F.round(F.round(c, 10), places)

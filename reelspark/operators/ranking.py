@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.text import tidy
+from ..sources.stages import stage
 from .energy import greedy_far_apart, island_block, islands
 from .intervals import clip_text, nearest_peak, phrase_complete, range_join
 
@@ -29,11 +31,11 @@ def marks(text: Column) -> Column:
 
 
 def score_clips(candidates: DataFrame, transcript: DataFrame, peaks: DataFrame) -> DataFrame:
-    c = numbered(candidates)
+    c = stage(numbered(candidates), "numbered")
     if "intensity" not in c.columns:
         c = c.withColumn("intensity", F.lit(None).cast("double"))
     c = nearest_peak(c.withColumn("peak_timestamp", F.coalesce("peak_timestamp", (F.col("start") + F.col("end")) / 2)), peaks, KEY)
-    c = clip_text(c, transcript, KEY, strip_each=True)
+    c = stage(clip_text(c, transcript, KEY, strip_each=True), "bodies")
     for name, seconds in (("hook_short", SHORT_S), ("hook_long", LONG_S)):
         head = clip_text(c.select(*KEY, "start", (F.col("start") + seconds).alias("end")), transcript, KEY, True, name)
         c = c.join(head.select(*KEY, name), KEY)
@@ -42,7 +44,7 @@ def score_clips(candidates: DataFrame, transcript: DataFrame, peaks: DataFrame)
     early = c.select(*KEY, "start").withColumn("_slot", F.explode(F.array(own, own + 1))).join(near, ["vod_id", "_slot"]).filter(
         (F.col("_t") >= F.col("start")) & (F.col("_t") < F.col("start") + LONG_S)
     ).groupBy(*KEY).agg(F.avg("_i").alias("early_energy"))
-    c = phrase_complete(c.join(early, KEY, "left"), transcript, KEY)
+    c = stage(phrase_complete(c.join(early, KEY, "left"), transcript, KEY), "measured")
     d = F.col("end") - F.col("start")
     short, long = F.trim("hook_short") != "", F.trim("hook_long") != ""
     c = c.select(
@@ -58,10 +60,10 @@ def score_clips(candidates: DataFrame, transcript: DataFrame, peaks: DataFrame)
     )
     c = c.withColumn("hook_strength", hook)
     plain = F.col("near_intensity") * 0.30 + F.col("text_density") * 0.25 + F.col("hook_strength") * 0.25 + F.col("duration_score") * 0.20
-    score = F.round(F.when(F.col("phrase_complete"), F.least(plain + 0.07, F.lit(1.0))).otherwise(plain), 4)
+    score = tidy(F.when(F.col("phrase_complete"), F.least(plain + 0.07, F.lit(1.0))).otherwise(plain))
     features = F.struct(
-        F.round("near_intensity", 4).alias("intensity"), F.round("text_density", 4).alias("text_density"), F.round("hook_strength", 4).alias("hook_strength"),
-        F.round("duration_score", 4).alias("duration_score"), "phrase_complete",
+        F.round("near_intensity", 4).alias("intensity"), tidy(F.col("text_density")).alias("text_density"), tidy(F.col("hook_strength")).alias("hook_strength"),
+        tidy(F.col("duration_score")).alias("duration_score"), "phrase_complete",
     )
     return c.select("vod_id", "clip_idx", "start", "end", "peak_timestamp", score.alias("score"), features.alias("features")).withColumn(
         "rank", F.row_number().over(w.orderBy(F.desc("score"), "clip_idx"))
@@ -70,7 +72,7 @@ def score_clips(candidates: DataFrame, transcript: DataFrame, peaks: DataFrame)
 
 def score_distribution(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy("vod_id").agg(
-        F.max("score").alias("max_score"), F.min("score").alias("min_score"), F.round(F.avg("score"), 4).alias("mean_score"),
+        F.max("score").alias("max_score"), F.min("score").alias("min_score"), tidy(F.avg("score")).alias("mean_score"),
         F.round(F.max("score") - F.min("score"), 4).alias("spread"), (F.round(F.max("score") - F.min("score"), 4) < 0.1).alias("low_spread"),
     )
 
@@ -96,7 +98,7 @@ def select_clips(ranked: DataFrame, n: int = 15, min_score: float = 0.65, gap: f
 def refine_starts(selected: DataFrame, transcript: DataFrame) -> DataFrame:
     """Start at the next words instead of in silence, or at the start of the sentence under way."""
     key = ["vod_id", "rank"]
-    c = selected.withColumn("_silent_to", F.col("start") + 1.5)
+    c = stage(selected, "selected").withColumn("_silent_to", F.col("start") + 1.5)
     covering = range_join(c, transcript, "start", "_silent_to").groupBy(*key).agg(
         F.count("*").alias("_covering"), F.min_by(F.when(F.col("s_start") < F.col("start") - 0.3, F.col("s_start")), F.when(F.col("s_start") < F.col("start") - 0.3, F.col("s_seq"))).alias("_sentence")
     )

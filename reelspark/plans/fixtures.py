@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from ..functions.text import strip
 from ..operators import ranking, simple_windows
 from ..operators.intervals import with_content_end
+from ..sources.stages import stage
 
 LINE_KEY = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"]
 
@@ -47,7 +48,7 @@ class Fixtures:
             F.when(F.col("seq") % 11 == 0, "por cierto ").otherwise(""), "raw", F.when(F.col("seq") % 5 == 0, "!").otherwise(""), F.when(F.col("seq") % 7 == 0, "?").otherwise("")
         )
         a = F.col("a").cast("double")
-        return timed.select("vod_id", "seq", F.round(a / 30.0, 3).alias("start"), F.round((a + 2 * F.col("n")) / 30.0, 3).alias("end"), text.alias("text"))
+        return stage(timed.select("vod_id", "seq", F.round(a / 30.0, 3).alias("start"), F.round((a + 2 * F.col("n")) / 30.0, 3).alias("end"), text.alias("text")), "transcript")
 
     @cached_property
     def raw_transcript(self) -> DataFrame:
@@ -60,7 +61,8 @@ class Fixtures:
             F.col("user_id").alias("vod_id"), F.round(F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', cast(ts AS timestamp_ntz))") / F.lit(3600e6), 3).alias("timestamp"),
             F.round(F.sqrt(F.col("value") / F.max("value").over(W.partitionBy("user_id"))), 4).alias("intensity"),
         )
-        return with_content_end(e, self.transcript).filter(F.col("timestamp") <= F.col("content_end") + 20).select("vod_id", "timestamp", "intensity")
+        near = with_content_end(e, self.transcript).filter(F.col("timestamp") <= F.col("content_end") + 20)
+        return stage(near.select("vod_id", "timestamp", "intensity"), "peaks")
 
     @cached_property
     def audio_chunks(self) -> DataFrame:

@@ -97,9 +97,9 @@ STEPS = {
     # metrics of the windows
     "best_peak": "SELECT vod_id, idx, list_sort(list_transform(gp, lambda x: {'a': -x.i, 'b': x.t}))[1] AS b, list_avg(list_transform(gp, lambda x: x.i)) AS mi, len(gp) AS n FROM windows",
     "near_win": """SELECT w.vod_id, w.idx, arg_min(s.text, (abs((s.start + s."end") / 2 - round(b.b, 3)), s.seq)) AS nearest_text FROM best_peak w JOIN transcript s ON w.vod_id = s.vod_id GROUP BY 1, 2""",
-    "metrics": """SELECT *, round(0.30 * least(intensity, 1) + 0.25 * CASE WHEN d < 8 THEN 0.2 WHEN d <= 45 THEN least(1, 0.6 + 0.4 * (d - 8) / 37) WHEN d <= 90 THEN 1 ELSE greatest(0.3, 1 - (d - 90) / 60) END
-        + 0.20 * least(density / 5, 1) + 0.15 * 0.5 + 0.10 * least(n / 5.0, 1), 4) AS confidence_score FROM (
-        SELECT w.vod_id, w.idx, w.start, w."end", w."end" - w.start AS d, round(-b.b.a, 4) AS intensity, round(mi, 4) AS energy_score, round(b.b.b, 3) AS peak_timestamp, b.n, nearest_text,
+    "metrics": """SELECT *, round((0.30 * least(intensity, 1) + 0.25 * CASE WHEN d < 8 THEN 0.2 WHEN d <= 45 THEN least(1, 0.6 + 0.4 * (d - 8) / 37) WHEN d <= 90 THEN 1 ELSE greatest(0.3, 1 - (d - 90) / 60) END
+        + 0.20 * least(density / 5, 1) + 0.15 * 0.5 + 0.10 * least(n / 5.0, 1))::DECIMAL(24, 10), 4)::DOUBLE AS confidence_score FROM (
+        SELECT w.vod_id, w.idx, w.start, w."end", w."end" - w.start AS d, round(-b.b.a, 4) AS intensity, round(mi::DECIMAL(24, 10), 4)::DOUBLE AS energy_score, round(b.b.b, 3) AS peak_timestamp, b.n, nearest_text,
           coalesce(t.chars, 0) / greatest(w."end" - w.start, 1e-3) AS density
         FROM windows w JOIN best_peak b ON b.vod_id = w.vod_id AND b.idx = w.idx LEFT JOIN near_win x ON x.vod_id = w.vod_id AND x.idx = w.idx LEFT JOIN win_text t ON t.vod_id = w.vod_id AND t.idx = w.idx)""",
     "tiers": "SELECT *, CASE WHEN v >= 0.7 THEN 'brutal' WHEN v >= 0.5 THEN 'excellent' WHEN v >= 0.3 THEN 'good' ELSE 'weak' END AS moment_tier FROM (SELECT *, 0.6 * confidence_score + 0.4 * energy_score AS v FROM metrics)",
@@ -122,8 +122,8 @@ STEPS = {
         CASE WHEN d < 8 THEN 0 WHEN d < 20 THEN (d - 8) / 12 WHEN d <= 45 THEN 1 WHEN d <= 60 THEN (60 - d) / 15 ELSE 0 END AS ds FROM raw_score""",
     "strength": """SELECT *, CASE WHEN s3 OR s5 THEN 0.7 * (hd / CASE WHEN max(hd) OVER w = 0 THEN 1 ELSE max(hd) OVER w END) + 0.3 * (hm / CASE WHEN max(hm) OVER w = 0 THEN 1.0::DOUBLE ELSE (max(hm) OVER w)::DOUBLE END) ELSE 0.5 * e END AS hs
         FROM hooked WINDOW w AS (PARTITION BY vod_id)""",
-    "ranked": """SELECT *, row_number() OVER (PARTITION BY vod_id ORDER BY score DESC, clip_idx) AS rank FROM (SELECT vod_id, clip_idx, start, "end", peak_timestamp, round(intensity, 4) AS intensity, round(td, 4) AS text_density, round(hs, 4) AS hook_strength,
-        round(ds, 4) AS duration_score, phrase_complete, round(CASE WHEN phrase_complete THEN least(v + 0.07, 1) ELSE v END, 4) AS score FROM (SELECT *, intensity * 0.30 + td * 0.25 + hs * 0.25 + ds * 0.20 AS v FROM strength))""",
+    "ranked": """SELECT *, row_number() OVER (PARTITION BY vod_id ORDER BY score DESC, clip_idx) AS rank FROM (SELECT vod_id, clip_idx, start, "end", peak_timestamp, round(intensity, 4) AS intensity, round(td::DECIMAL(24, 10), 4)::DOUBLE AS text_density, round(hs::DECIMAL(24, 10), 4)::DOUBLE AS hook_strength,
+        round(ds::DECIMAL(24, 10), 4)::DOUBLE AS duration_score, phrase_complete, round((CASE WHEN phrase_complete THEN least(v + 0.07, 1) ELSE v END)::DECIMAL(24, 10), 4)::DOUBLE AS score FROM (SELECT *, intensity * 0.30 + td * 0.25 + hs * 0.25 + ds * 0.20 AS v FROM strength))""",
     "elig": """SELECT *, row_number() OVER (PARTITION BY vod_id ORDER BY rank) AS k FROM (SELECT *, count(*) FILTER (score >= 0.65) OVER w < least(15, count(*) OVER w) AS few FROM ranked WINDOW w AS (PARTITION BY vod_id))
         WHERE CASE WHEN few THEN rank <= 15 ELSE score >= 0.65 END""",
     "pick": """SELECT vod_id, k, [start] AS kept, [rank] AS ranks FROM elig WHERE k = 1 UNION ALL

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import content_richness
 from ..operators import bounds, energy, intervals, ranking, segments, simple_windows, subtitles, timing, transcripts
 from ..params import Trim
 from ..sources import files
+from ..sources.stages import scratch
 from . import pipelines
 from .fixtures import Fixtures
 from .oracle import JUNK_LIST, sql
@@ -34,12 +33,6 @@ def r4(*names: str) -> list:
     return [F.round(n, 4).alias(n) for n in names]
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 # ---- sources and sinks
 
 
@@ -344,10 +337,10 @@ def merge_windows(fx):
     return m.select("vod_id", "start", "end", F.size("group_peaks").alias("n_peaks"))
 
 
-@query('SELECT vod_id, idx, start, "end", peak_timestamp, intensity, energy_score, nearest_text, round(confidence_score, 3) AS confidence_score FROM metrics')
+@query('SELECT vod_id, idx, start, "end", peak_timestamp, intensity, energy_score, nearest_text, confidence_score FROM metrics')
 def clip_metrics(fx):
     m = segments.clip_metrics(fx.windows, fx.transcript)
-    return m.select(*WIN, "start", "end", "peak_timestamp", "intensity", "energy_score", "nearest_text", F.round("confidence_score", 3).alias("confidence_score"))
+    return m.select(*WIN, "start", "end", "peak_timestamp", "intensity", "energy_score", "nearest_text", "confidence_score")
 
 
 @query("SELECT vod_id, moment_tier, count(*) AS n FROM tiers GROUP BY 1, 2")
@@ -355,9 +348,9 @@ def moment_tier(fx):
     return segments.tier_counts(segments.clip_metrics(fx.windows, fx.transcript))
 
 
-@query("""SELECT vod_id, idx, start, "end" FROM (SELECT *, row_number() OVER (PARTITION BY vod_id ORDER BY start, idx) AS n FROM (
+@query("""SELECT vod_id, idx, start, "end" FROM (SELECT *, row_number() OVER (PARTITION BY vod_id ORDER BY start, idx) AS place FROM (
   SELECT *, bool_or(k) OVER (PARTITION BY vod_id, start, "end") AS keep FROM (SELECT *, confidence_score >= 0.15 OR row_number() OVER (PARTITION BY vod_id ORDER BY energy_score DESC, idx) <= 5 AS k FROM metrics))
-  WHERE keep AND "end" - start BETWEEN 8 AND 120) WHERE n <= 25""")
+  WHERE keep AND "end" - start BETWEEN 8 AND 120) WHERE place <= 25""")
 def quality_or_viral(fx):
     return segments.quality_or_viral(segments.clip_metrics(fx.windows, fx.transcript)).select(*WIN, "start", "end")
 
@@ -379,13 +372,12 @@ def _flat(df, *more):
     return df.select("vod_id", "clip_idx", "start", "end", "peak_timestamp", *more, *f)
 
 
-@query('SELECT vod_id, clip_idx, start, "end", peak_timestamp, round(score, 3) AS score, intensity, round(text_density, 3) AS text_density, round(hook_strength, 3) AS hook_strength, duration_score, phrase_complete FROM ranked')
+@query('SELECT vod_id, clip_idx, start, "end", peak_timestamp, score, intensity, text_density, hook_strength, duration_score, phrase_complete FROM ranked')
 def score_clips(fx):
-    f = _flat(_ranked(fx), "score")
-    return f.withColumn("score", F.round("score", 3)).withColumn("text_density", F.round("text_density", 3)).withColumn("hook_strength", F.round("hook_strength", 3))
+    return _flat(_ranked(fx), "score")
 
 
-@query("SELECT vod_id, max(score) AS max_score, min(score) AS min_score, round(avg(score), 4) AS mean_score, round(max(score) - min(score), 4) AS spread, round(max(score) - min(score), 4) < 0.1 AS low_spread FROM ranked GROUP BY vod_id")
+@query("SELECT vod_id, max(score) AS max_score, min(score) AS min_score, round(avg(score)::DECIMAL(24, 10), 4)::DOUBLE AS mean_score, round(max(score) - min(score), 4) AS spread, round(max(score) - min(score), 4) < 0.1 AS low_spread FROM ranked GROUP BY vod_id")
 def score_distribution(fx):
     return ranking.score_distribution(_ranked(fx))
 
