@@ -59,6 +59,13 @@ def unsqueezed(blob: bytes, z=zstandard.ZstdDecompressor()) -> bytes:
     return z.decompress(blob)
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Rows hold whole texts, so a batch that goes to a Python worker holds fewer of them than Spark's default of 10 000."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import small_batches
+
 DIM_BITS = 12
 DIM = 1 << DIM_BITS
 ORDERS = (1, 2, 3, 4)
@@ -151,6 +153,7 @@ def held_out(modulus: int, remainder: int) -> Column:
 
 def identify(docs: DataFrame, margin: float = MARGIN, max_train: int = MAX_TRAIN) -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous for every document."""
+    small_batches(docs.sparkSession)
     model = train(docs, ~held_out(4, 2), max_train)
     out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         predictor(model, margin), "row long, lang_pred string, score double, ambiguous boolean"
@@ -160,6 +163,7 @@ def identify(docs: DataFrame, margin: float = MARGIN, max_train: int = MAX_TRAIN
 
 def recognised(docs: DataFrame) -> DataFrame:
     """The rows of docs whose language is recognised: neither `und` nor ambiguous. The text travels with its row."""
+    small_batches(docs.sparkSession)
     model = train(docs, ~held_out(4, 2))
     decide = predictor(model)
 

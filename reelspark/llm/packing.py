@@ -24,7 +24,7 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import running_total, stage
+from .common import running_total, small_batches, stage
 
 SIZE = 1024
 CACHE = 400_000
@@ -143,6 +143,7 @@ def tokenised(docs: DataFrame) -> DataFrame:
 
 def pack(docs: DataFrame, size: int = SIZE) -> DataFrame:
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     tokens = tokenised(docs)
     piece = F.explode(F.expr(f"sequence(0L, (doc_tokens - 1) div {size})"))
     pieces = tokens.select("row", "doc_tokens", piece.alias("piece")).select(

@@ -26,12 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import real_id, squeezed, stage, unsqueezed, with_ids
+from .common import real_id, small_batches, squeezed, stage, unsqueezed, with_ids
 
 LENGTH = 100
 GRAM = 25
 BLOCK = 1 << 19  # windows handled at a time; positions in a block fit 20 bits
-FLUSH = 24_000_000  # bytes of text ranked together in a task
+FLUSH = 12_000_000  # bytes of text ranked together in a task
 #: A string with more contexts than this share of all (and MOST at any size) is dealt into groups of that size first.
 HOT_SHARE = 1 / 2000
 LEAST, MOST = 64, 20_000
@@ -237,6 +237,7 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
     runs = stage(removals(docs), "runs")
     blobs = with_ids(docs).mapInArrow(squeezed, "doc_id long, z binary")
     return blobs.join(runs, "doc_id", "left").select("doc_id", "z", "ats").mapInArrow(
