@@ -17,7 +17,7 @@ BUCKET_S = 30.0
 
 def _spread(df: DataFrame, start: Column, end: Column, name: str, bucket: float) -> DataFrame:
     lo, hi = F.floor(F.least(start, end) / bucket), F.floor(F.greatest(start, end) / bucket)
-    return df.withColumn(f"_{name}", lo).withColumn("_bucket", F.explode(F.sequence(lo, hi)))
+    return df.withColumn(f"_slot_{name}", lo).withColumn("_bucket", F.explode(F.sequence(lo, hi)))
 
 
 def segments_of(transcript: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def range_join(
     s = segments_of(transcript)
     b = _spread(s, F.col("s_start"), F.col("s_end"), "b", bucket)
     condition = on() if on else (F.col("s_start") < F.col(end)) & (F.col("s_end") > F.col(start))
-    pairs = a.join(b, ["vod_id", "_bucket"]).filter(condition & (F.col("_bucket") == F.greatest("_a", "_b")))
+    pairs = a.join(b, ["vod_id", "_bucket"]).filter(condition & (F.col("_bucket") == F.greatest("_slot_a", "_slot_b")))
     return pairs.select(*left.columns, "s_seq", "s_start", "s_end", "s_text")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.text import tidy
 from .subtitles import KEY, halves, renumbered
 
 FLOOR = 0.005
@@ -57,7 +58,7 @@ def split_at_dip(segments: DataFrame, voice_frames: DataFrame, most: float = 4.0
     long = segments.filter(span > most).select(*key, (F.col("start") + span * 0.25).alias("_lo"), (F.col("end") - span * 0.25).alias("_hi"))
     dip = _near(long, voice_frames, "_lo", "_hi", key).groupBy(*key).agg(F.round(F.min(F.struct("rms", "t"))["t"], 3).alias("_dip"))
     s = segments.join(dip, key, "left")
-    cut = F.coalesce("_dip", F.round((F.col("start") + F.col("end")) / 2, 3))
+    cut = F.coalesce("_dip", tidy((F.col("start") + F.col("end")) / 2, 3))
     parts = F.when(span <= most, F.array(F.struct("start", "end", "text"))).otherwise(halves(cut))
     flat = s.select(*KEY, F.col("chunk_idx").alias("old"), F.when(span <= most, F.col("debug")).alias("debug"), F.posexplode(parts).alias("pos", "c"))
     return renumbered(flat.select(*KEY, "old", "pos", "debug", "c.start", "c.end", "c.text"), ["old", "pos"]).select(*key, "start", "end", "text", "debug")
@@ -74,7 +75,7 @@ def close_gaps(segments: DataFrame, voice_frames: DataFrame, least: float = 0.15
     around = ((F.col("t") >= F.col("_from") - 0.1) & (F.col("t") < F.col("_from"))) | ((F.col("t") > F.col("_to")) & (F.col("t") <= F.col("_to") + 0.1))
     e = hit.groupBy(*key).agg(F.avg(F.when(inside, F.col("rms"))).alias("_gap"), F.avg(F.when(around, F.col("rms"))).alias("_ctx"))
     pause = F.coalesce(F.when(F.col("_ctx").isNull(), F.col("_gap") < FLOOR * 1.5).otherwise(F.col("_gap") < F.col("_ctx") * 0.4), F.lit(False))
-    meet = gaps.join(e, key, "left").filter(~pause).select(*key, F.round((F.col("_from") + F.col("_to")) / 2, 3).alias("_mid"))
+    meet = gaps.join(e, key, "left").filter(~pause).select(*key, tidy((F.col("_from") + F.col("_to")) / 2, 3).alias("_mid"))
     s = segments.join(meet, key, "left").withColumn("_before", F.lag("_mid").over(w))
     return s.withColumn("start", F.coalesce("_before", "start")).withColumn("end", F.coalesce("_mid", "end")).drop("_mid", "_before")
 

@@ -454,8 +454,8 @@ def srt_wrap(fx):
 
 
 @query("""SELECT vod_id, clip_idx, chunk_idx, 0 AS half, start, "end", array_to_string(w, ' ') AS text FROM ctw WHERE "end" - start <= 4 UNION ALL
-  SELECT vod_id, clip_idx, chunk_idx, 0, start, round((start + "end") / 2, 3), array_to_string(w[:greatest(1, len(w) // 2)], ' ') FROM ctw WHERE "end" - start > 4 UNION ALL
-  SELECT vod_id, clip_idx, chunk_idx, 1, round((start + "end") / 2, 3), "end", array_to_string(w[greatest(1, len(w) // 2) + 1:], ' ') FROM ctw WHERE "end" - start > 4""".replace(
+  SELECT vod_id, clip_idx, chunk_idx, 0, start, round(((start + "end") / 2)::DECIMAL(24, 10), 3)::DOUBLE, array_to_string(w[:greatest(1, len(w) // 2)], ' ') FROM ctw WHERE "end" - start > 4 UNION ALL
+  SELECT vod_id, clip_idx, chunk_idx, 1, round(((start + "end") / 2)::DECIMAL(24, 10), 3)::DOUBLE, "end", array_to_string(w[greatest(1, len(w) // 2) + 1:], ' ') FROM ctw WHERE "end" - start > 4""".replace(
     "SELECT vod_id, clip_idx, chunk_idx, 0 AS half, start", "SELECT vod_id, clip_idx, start").replace("SELECT vod_id, clip_idx, chunk_idx, 0, start", "SELECT vod_id, clip_idx, start").replace(
     "SELECT vod_id, clip_idx, chunk_idx, 1, round", "SELECT vod_id, clip_idx, round"))
 def cap_duration(fx):
@@ -544,7 +544,7 @@ def align_segments(fx):
 
 @query(sql("").rstrip() + """, dip AS (SELECT s.vod_id, s.clip_idx, s.chunk_idx, round(arg_min(f.t, (f.rms, f.t)), 3) AS dip FROM vseg s JOIN vframes f ON f.vod_id = s.vod_id AND f.clip_idx = s.clip_idx
   AND f.t >= s.start + (s."end" - s.start) * 0.25 AND f.t <= s."end" - (s."end" - s.start) * 0.25 WHERE s."end" - s.start > 4 GROUP BY 1, 2, 3),
-cutp AS (SELECT s.*, coalesce(dip, round((start + "end") / 2, 3)) AS c, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS w FROM vseg s LEFT JOIN dip d ON d.vod_id = s.vod_id AND d.clip_idx = s.clip_idx AND d.chunk_idx = s.chunk_idx)
+cutp AS (SELECT s.*, coalesce(dip, round(((start + "end") / 2)::DECIMAL(24, 10), 3)::DOUBLE) AS c, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS w FROM vseg s LEFT JOIN dip d ON d.vod_id = s.vod_id AND d.clip_idx = s.clip_idx AND d.chunk_idx = s.chunk_idx)
 SELECT vod_id, clip_idx, start, "end", array_to_string(w, ' ') AS text FROM cutp WHERE "end" - start <= 4 UNION ALL SELECT vod_id, clip_idx, start, c, array_to_string(w[:greatest(1, len(w) // 2)], ' ') FROM cutp WHERE "end" - start > 4
 UNION ALL SELECT vod_id, clip_idx, c, "end", array_to_string(w[greatest(1, len(w) // 2) + 1:], ' ') FROM cutp WHERE "end" - start > 4""", raw=True)
 def split_at_dip(fx):
@@ -557,7 +557,7 @@ def split_at_dip(fx):
 @query(sql("").rstrip() + """, g0 AS (SELECT vod_id, clip_idx, chunk_idx, start, "end" + 0.45 AS e FROM ctr), g AS (SELECT *, lead(start) OVER (PARTITION BY vod_id, clip_idx ORDER BY chunk_idx) AS nxt FROM g0),
 e AS (SELECT g.vod_id, g.clip_idx, g.chunk_idx, avg(rms) FILTER (t >= e AND t <= nxt) AS ge, avg(rms) FILTER ((t >= e - 0.1 AND t < e) OR (t > nxt AND t <= nxt + 0.1)) AS ce
   FROM g JOIN vframes f ON f.vod_id = g.vod_id AND f.clip_idx = g.clip_idx WHERE nxt - e < 0.15 GROUP BY 1, 2, 3),
-m AS (SELECT g.*, CASE WHEN nxt - g.e < 0.15 AND NOT coalesce(CASE WHEN ce IS NULL THEN ge < 0.0075 ELSE ge < ce * 0.4 END, false) THEN round((g.e + nxt) / 2, 3) END AS mid FROM g LEFT JOIN e ON e.vod_id = g.vod_id AND e.clip_idx = g.clip_idx AND e.chunk_idx = g.chunk_idx)
+m AS (SELECT g.*, CASE WHEN nxt - g.e < 0.15 AND NOT coalesce(CASE WHEN ce IS NULL THEN ge < 0.0075 ELSE ge < ce * 0.4 END, false) THEN round(((g.e + nxt) / 2)::DECIMAL(24, 10), 3)::DOUBLE END AS mid FROM g LEFT JOIN e ON e.vod_id = g.vod_id AND e.clip_idx = g.clip_idx AND e.chunk_idx = g.chunk_idx)
 SELECT vod_id, clip_idx, chunk_idx::INTEGER AS chunk_idx, round(coalesce(lag(mid) OVER (PARTITION BY vod_id, clip_idx ORDER BY chunk_idx), start), 2) AS start, round(coalesce(mid, e), 2) AS "end" FROM m""", raw=True)
 def close_gaps(fx):
     s, v, _ = _timed(fx)
