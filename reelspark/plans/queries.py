@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.text import content_richness
+from ..functions.text import content_richness, tidy
 from ..operators import bounds, energy, intervals, ranking, segments, simple_windows, subtitles, timing, transcripts
 from ..params import Trim
 from ..sources import files
@@ -311,19 +311,19 @@ parts AS (SELECT c.*, CASE WHEN c.vod_id IN (SELECT vod_id FROM transcript) AND
   least(1, (list_min(list_transform(post, lambda x: x.t)) - list_max(list_transform(pre, lambda x: x.t))) / 30.0) AS f_gap, list_avg(list_transform(pre, lambda x: x.i)) AS e1, list_avg(list_transform(post, lambda x: x.i)) AS e2
   FROM mids c LEFT JOIN dots d ON d.vod_id = c.vod_id AND d.idx = c.idx AND d.pos = c.pos LEFT JOIN nrm a ON a.vod_id = c.vod_id AND a.idx = c.idx AND a.pos = c.pos AND a.side = 0
   LEFT JOIN nrm b ON b.vod_id = c.vod_id AND b.idx = c.idx AND b.pos = c.pos AND b.side = 1 WHERE len(pre) > 0 AND len(post) > 0),
-pts AS (SELECT *, round(0.40 * f_gap + 0.35 * f_sem + 0.25 * (1 - least(e1, e2) / greatest(e1, e2, 1e-6)), 4) AS split_score FROM parts)
+pts AS (SELECT *, round((0.40 * f_gap + 0.35 * f_sem + 0.25 * (1 - least(e1, e2) / greatest(e1, e2, 1e-6)))::DECIMAL(24, 10), 4)::DOUBLE AS split_score FROM parts)
 """
 
 
-@query(sql("").rstrip() + _SPLITS + 'SELECT vod_id, idx, pos::INTEGER AS pos, round(mid_at, 4) AS "at", round(split_score, 3) AS split_score FROM pts', raw=True)
+@query(sql("").rstrip() + _SPLITS + 'SELECT vod_id, idx, pos::INTEGER AS pos, round(mid_at::DECIMAL(24, 10), 4)::DOUBLE AS "at", split_score FROM pts', raw=True)
 def split_points(fx):
     p = segments.split_points(fx.windows, fx.transcript)
-    return p.select(*WIN, "pos", *r4("at"), F.round("split_score", 3).alias("split_score"))
+    return p.select(*WIN, "pos", tidy(F.col("at")).alias("at"), "split_score")
 
 
 @query(sql("").rstrip() + _SPLITS + """, cut AS (SELECT vod_id, idx, arg_min(mid_at, (-split_score, mid_at)) AS mid_at FROM pts WHERE "end" - start >= 60 AND len(gp) >= 3 AND len(gp) / ("end" - start) * 60 >= 3 GROUP BY 1, 2 HAVING max(split_score) >= 0.3)
-SELECT w.vod_id, w.idx AS old_idx, h.half, CASE WHEN h.half = 1 THEN round(mid_at, 3) ELSE w.start END AS start, CASE WHEN h.half = 0 AND mid_at IS NOT NULL THEN round(mid_at, 3) ELSE w."end" END AS "end",
-  CASE WHEN mid_at IS NULL THEN len(gp) WHEN h.half = 0 THEN len(list_filter(gp, lambda x: x.t <= round(mid_at, 3))) ELSE len(list_filter(gp, lambda x: x.t > round(mid_at, 3))) END::INTEGER AS n_peaks
+SELECT w.vod_id, w.idx AS old_idx, h.half, CASE WHEN h.half = 1 THEN round(mid_at::DECIMAL(24, 10), 3)::DOUBLE ELSE w.start END AS start, CASE WHEN h.half = 0 AND mid_at IS NOT NULL THEN round(mid_at::DECIMAL(24, 10), 3)::DOUBLE ELSE w."end" END AS "end",
+  CASE WHEN mid_at IS NULL THEN len(gp) WHEN h.half = 0 THEN len(list_filter(gp, lambda x: x.t <= round(mid_at::DECIMAL(24, 10), 3)::DOUBLE)) ELSE len(list_filter(gp, lambda x: x.t > round(mid_at::DECIMAL(24, 10), 3)::DOUBLE)) END::INTEGER AS n_peaks
 FROM windows w LEFT JOIN cut c ON c.vod_id = w.vod_id AND c.idx = w.idx JOIN (SELECT unnest([0, 1])::INTEGER AS half) h ON h.half = 0 OR mid_at IS NOT NULL""", raw=True)
 def soft_split(fx):
     s = segments.soft_split(fx.windows, fx.transcript)
