@@ -21,3 +21,60 @@ def suffix_dedup(docs, length=100):
         kept = bytes(c for c, g in zip(data, gone) if not g)
         out[doc_id] = (len(data), sum(gone), spans, hashlib.sha256(kept).hexdigest())
     return out
+
+
+def components(pairs, nodes):
+    parent = {n: n for n in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def shingle_set(text):
+    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    if not words:
+        return frozenset()
+    return frozenset(tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2)))
+
+
+def jaccard_components(docs):
+    sets = {d: shingle_set(t) for d, t in docs}
+    ids = sorted(sets)
+    pairs = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
+    return {d: (len(sets[d]), c) for d, c in components(pairs, ids).items()}
+
+
+def quality(text):
+    """Base columns only."""
+    words = WORD.findall(text or "")
+    grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    inside = {j for i, g in enumerate(grams) if grams.count(g) > 1 for j in range(i, i + 3)}
+    lines, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if WORD.search(line):
+            dup += line in lines
+            lines.add(line)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(inside)
+
+
+def targets(sizes, cap=3):
+    """sizes: {source: size} -> {source: target}, by repeated sharing of the excess."""
+    names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    weight = {s: i % 3 + 1 for i, s in enumerate(names)}
+    total, fixed = sum(sizes.values()), {}
+    while True:
+        free = [s for s in names if s not in fixed]
+        if not free:
+            return fixed
+        level = (total - sum(fixed.values())) / sum(weight[s] for s in free)
+        over = [s for s in free if level * weight[s] > cap * sizes[s]]
+        if not over:
+            return fixed | {s: level * weight[s] for s in free}
+        fixed |= {s: cap * sizes[s] for s in over}
