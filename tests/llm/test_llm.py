@@ -161,7 +161,7 @@ def test_warc_audit(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://x/{i}", f"<p>e{i}é</p>" if i % 7 else None) for i in range(300)] + [(None, None, "z"), (5, "u", "twice")], "page_id long, url string, html string")
     bad = pages.withColumn("html", warc_audit.F.when(warc_audit.F.col("page_id").isin(3, 250), warc_audit.F.translate("html", "p", "P")).otherwise(warc_audit.F.col("html")))
     assert warc_audit.fixity_audit(pages, pages).count() == 0
-    found = warc_audit.audit(warc_audit.tree(warc_audit.records(pages, 64), 4), warc_audit.tree(warc_audit.records(bad, 64), 4)).collect()
+    found = warc_audit.audit(warc_audit.tree(warc_audit.records(pages, 64), 4), warc_audit.tree(warc_audit.records(bad, 64), 4), 4).collect()
     moved = {(r.archive, r.position) for r in found}
     assert moved == {(0, 3), (3, 250 - 192)}
     text = warc_audit.record_bytes(warc_audit.F.lit("http://a"), warc_audit.F.lit("é\nb"))
