@@ -90,7 +90,7 @@ def bitmap(tokens: np.ndarray) -> tuple[bytes, int]:
     return bits.tobytes(), len(tokens) - len(at)
 
 
-PROFILE = "doc_id long, n int, h1 long, h2 long, tokens array<long>, bits binary, shared int"
+PROFILE = "doc_id long, n int, h1 long, h2 long, tokens array<long>, bits binary"
 
 
 def profiler(heavy: np.ndarray | None, signed: bool) -> Callable:
@@ -102,14 +102,14 @@ def profiler(heavy: np.ndarray | None, signed: bool) -> Callable:
                 rows = []
                 for t in part.column(1).to_pylist():
                     s = shingles(t, hashes)
-                    bits, shared = bitmap(s) if signed and len(s) else (None, 0)
+                    bits = bitmap(s)[0] if signed and len(s) else None
                     m = mix(s)
                     rows.append((len(s), int(s.sum().view(np.int64)), int(np.bitwise_xor.reduce(m).view(np.int64)) if len(s) else 0,
-                                 prefix(s, heavy).view(np.int64), bits, shared))
+                                 prefix(s, heavy).view(np.int64), bits))
                 cols = list(zip(*rows))
-                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int32()]
+                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))],
-                                                 names=["doc_id", "n", "h1", "h2", "tokens", "bits", "shared"])
+                                                 names=["doc_id", "n", "h1", "h2", "tokens", "bits"])
 
     return run
 
@@ -185,6 +185,12 @@ def fold(bits: list[bytes]) -> np.ndarray:
     return np.stack([np.bitwise_or.reduce(np.frombuffer(b, np.uint8).reshape(-1, width)) for b in bits]).view(np.uint64)
 
 
+def folded(bits: list[bytes], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Folded bitmaps, and how many tokens share a bit at the folded width: folding makes more of them collide."""
+    maps = fold(bits)
+    return maps, size - np.bitwise_count(maps).sum(1, dtype=np.int64)
+
+
 def block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of every block; rows come sorted by block, and a block may span batches."""
     empty = pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["src", "dst"])
@@ -192,15 +198,16 @@ def block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def search(rows) -> tuple | None:
         if len(rows) < 2:
             return None
-        _, doc, size, bits, shared, comp = map(list, zip(*rows))
-        doc, size, shared, comp = (np.array(x, np.int64) for x in (doc, size, shared, comp))
-        i, j = SignatureTree(size, fold(bits), shared, comp).pairs()
+        _, doc, size, bits, comp = map(list, zip(*rows))
+        doc, size, comp = (np.array(x, np.int64) for x in (doc, size, comp))
+        bits, shared = folded(bits, size)
+        i, j = SignatureTree(size, bits, shared, comp).pairs()
         return (np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])) if len(i) else None
 
     held: list = []
     for b in batches:
         found = []
-        cols = [b.column(c).to_pylist() for c in ("block", "doc", "n", "bits", "shared", "comp")]
+        cols = [b.column(c).to_pylist() for c in ("block", "doc", "n", "bits", "comp")]
         for row in zip(*cols):
             if held and row[0] != held[0][0]:
                 found.append(search(held))
@@ -216,7 +223,7 @@ def block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def jaccard_components(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     texts = with_ids(docs)
-    profiles = stage(texts.mapInArrow(profiler(None, False), PROFILE).drop("bits", "shared"), "profiles")
+    profiles = stage(texts.mapInArrow(profiler(None, False), PROFILE).drop("bits"), "profiles")
     sized = profiles.filter("n > 0")
     # equal sets: the smallest doc_id stands for its class
     classes = stage(sized.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
@@ -261,9 +268,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     dealt = placed.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, k - 1)"))).select(
         F.xxhash64("token", "band", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "doc", "comp"
     )
-    leaves = dealt.join(signed.select("doc_id", "n", "bits", F.col("shared").alias("shared")), dealt.doc == signed.doc_id).select(
-        "block", "doc", "n", "bits", "shared", "comp"
-    )
+    leaves = dealt.join(signed.select("doc_id", "n", "bits"), dealt.doc == signed.doc_id).select("block", "doc", "n", "bits", "comp")
     near = leaves.repartition("block").sortWithinPartitions("block", "n", "doc").mapInArrow(block_pairs, "src long, dst long")
     second = stage(near.distinct().join(first.select("src", "dst").union(first.select("dst", "src")), ["src", "dst"], "left_anti"), "second")
     found = components(links.unionByName(verify(second, sets)))

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from . import brute
@@ -109,6 +110,23 @@ def test_signature_tree_loses_no_link():
     assert want and want <= found
 
 
+@pytest.mark.parametrize("low, high", [(127, 129), (128, 131), (250, 262), (505, 520)])
+def test_links_across_bitmap_widths(low, high):
+    rng = np.random.default_rng(low)
+    sets = []
+    for _ in range(30):
+        wide = np.unique(rng.integers(0, 1 << 40, high, dtype=np.uint64))
+        sets += [wide, rng.permutation(wide)[:low], np.concatenate([wide[3:], rng.integers(1 << 41, 1 << 42, 3, dtype=np.uint64)])]
+    rows = [(1, i, len(s), ngram_join.bitmap(s)[0], i) for i, s in enumerate(sets)]
+    kinds = {"block": "int64", "doc": "int64", "n": "int32", "bits": "binary", "shared": "int32", "comp": "int64"}
+    cols = {k: [r[at] for r in rows] for at, k in enumerate(("block", "doc", "n", "bits", "comp"))} | {"shared": [ngram_join.bitmap(s)[1] for s in sets]}
+    batch = pa.RecordBatch.from_pydict({k: pa.array(cols[k], getattr(pa, v)()) for k, v in kinds.items()})
+    found = {p for b in ngram_join.block_pairs(iter([batch])) for p in zip(*(c.to_pylist() for c in b.columns))}
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))
+            if 10 * (o := len(np.intersect1d(sets[i], sets[j]))) >= 9 * (len(sets[i]) + len(sets[j]) - o)}
+    assert len(want) == 90 and want <= found
+
+
 def test_suffix_dedup(docs, corpus, monkeypatch):
     want = brute.suffix_dedup([(i, t) for i, t, *_ in corpus])
     for least in (64, 2):
