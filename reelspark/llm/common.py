@@ -92,17 +92,20 @@ def running_total(df: DataFrame, order: list[Column], value: str, out: str) -> D
     )
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of `edges` (src, dst): rows (node, component), component = smallest node.
 
-    Minimum labels move along edges and then jump to their label's label, so chains halve each round. Every
-    round is written to the shared folder; only one number (rows that changed) comes to the driver.
+    Labels are parents. In each round a node hears the least label of its neighbours, its parent takes the least
+    label that any of its children heard, and then labels jump to their label's label; so whole trees hook at once and
+    the rounds grow with the logarithm of a chain, whatever its ids. It ends only when a round changes nothing: then neighbours
+    have equal labels, which are smallest nodes. Every round is written to the shared folder; only one number (rows
+    that changed) comes to the driver.
     """
     both = stage(
         edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).filter("src <> dst").distinct(), "edges"
     )
     labels = stage(both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("label")).select(F.col("src").alias("node"), "label"), "labels")
-    for _ in range(max_rounds):
+    while True:
         heard = (
             both.join(labels, both.src == labels.node)
             .groupBy("dst").agg(F.min("label").alias("heard"))
@@ -113,9 +116,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .select("node", F.col("label").alias("old"), F.least("label", F.coalesce("heard", "label")).alias("label")),
             "told",
         )
-        target = told.select(F.col("node").alias("t_node"), F.col("label").alias("t_label"))
+        hooks = told.filter("label <> old").groupBy(F.col("old").alias("parent")).agg(F.min("label").alias("hook"))
+        hooked = stage(
+            told.join(hooks, told.node == hooks.parent, "left")
+            .select("node", "old", F.least("label", F.coalesce("hook", "label")).alias("label")),
+            "hooked",
+        )
+        target = hooked.select(F.col("node").alias("t_node"), F.col("label").alias("t_label"))
         jumped = stage(
-            told.join(target, told.label == target.t_node, "left")
+            hooked.join(target, hooked.label == target.t_node, "left")
             .select("node", "old", F.least("label", F.coalesce("t_label", "label")).alias("label")),
             "jumped",
         )

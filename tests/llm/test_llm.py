@@ -11,6 +11,7 @@ import pytest
 
 from . import brute
 from reelspark.llm import exact_dedup, lang_id, lm_scoring, mixing, ngram_join, packing, quality, suffix_dedup, toxicity, warc_audit
+from reelspark.llm.common import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, rank int, n int, size int, start int, row int"
 SF = "/root/testdata/sf0.001"
@@ -127,6 +128,16 @@ def test_links_across_bitmap_widths(low, high):
     assert len(want) == 90 and want <= found
 
 
+def test_components_of_long_chains(spark):
+    rng, edges, want = random.Random(8), [], {}
+    for at in (0, 10_000):  # ids in random order along a chain, its diameter far over 60
+        chain = rng.sample(range(at, at + 10_000), 700)
+        edges += list(zip(chain, chain[1:]))
+        want |= dict.fromkeys(chain, min(chain))
+    frame = spark.createDataFrame(edges, "src long, dst long").coalesce(1)
+    assert {r.node: r.component for r in components(frame).collect()} == want
+
+
 def test_suffix_dedup(docs, corpus, monkeypatch):
     want = brute.suffix_dedup([(i, t) for i, t, *_ in corpus])
     for least in (64, 2):
