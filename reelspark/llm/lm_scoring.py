@@ -1,12 +1,15 @@
 """Operator 4: language-model scoring by cross-entropy difference.
 
-Two word bigram models of the same order, smoothing and vocabulary: the target model is counted on documents labelled as good, the
-background model on all documents. A document's score is its loss under the background model minus its loss under
-the target model, per token (higher: more like the target); both losses are returned.
+Two word bigram models of the same order, smoothing and vocabulary: the target model is counted on all documents labelled as
+good, the background model on all documents. A document's score is its loss under the background model minus its loss
+under the target model, per token (higher: more like the target); both losses are returned.
 
-The vocabulary is shared: words are hashed into `WORD_SLOTS`, pairs of words into `PAIR_SLOTS`, so the models
-have a fixed size whatever the corpus; every input partition sends its own counts. The pair model backs off to the
-word model by absolute interpolation (Witten-Bell style weights from the counts of the history).
+Every word, history and pair of words has its own count in both corpora (62-bit hashes), so the models grow with the input. Texts are
+dealt into chunks of about CHUNK_BYTES; a chunk counts its distinct n-grams and sends them, cut by hash range, to buckets. A
+bucket adds up its range over all chunks and answers each chunk with the totals of just its n-grams, in their order; a chunk scores
+its documents with the answers. No task holds more than a chunk or a range, and nothing of the models comes to the
+driver but the number of words. The pair model backs off to the word model by absolute interpolation (Witten-Bell style
+weights from the counts of the history).
 
 Edge cases: null and empty texts have 0 tokens and score 0; without labelled documents the target model is the uniform prior
 of its smoothing; repeated rows count each time; an empty table gives an empty result.
@@ -19,18 +22,23 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-WORD_SLOTS = 1 << 16
-PAIR_SLOTS = 1 << 20
-#: The target model is fitted on at most about this many labelled rows; their ids are broadcast.
-MAX_TARGET = 20_000
+from .common import small_batches, stage, unsqueezed
+
+CHUNK_BYTES = 4 << 20
+#: Buckets: so many a shuffle partition, and more once a range would come from more text than this.
+BUCKETS, RANGE_BYTES = 8, 8 << 20
 CACHE = 400_000
 STRENGTH = 8.0  # how many counts of a history weigh as much as its word model
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_START = np.uint64(1)
+PAIR, WORD, HISTORY = range(3)
 
 
-class WordSlots(dict):
+class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
         if len(self) < CACHE:
@@ -38,98 +46,164 @@ class WordSlots(dict):
         return h
 
 
-def slots(text: str | None, cache: WordSlots) -> tuple[np.ndarray, np.ndarray]:
-    """Word slot and (previous word, word) slot of each token; the first token's history is a start mark."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-    before = np.concatenate([[np.uint64(1)], h[:-1]]) if len(h) else h
-    pair = ((before * _MIX) ^ h) * _MIX
-    return (h % np.uint64(WORD_SLOTS)).astype(np.int64), (pair >> np.uint64(44)).astype(np.int64) % PAIR_SLOTS
+def keys(h: np.ndarray, kind: int) -> np.ndarray:
+    """62 bits of the hash, mixed, then two bits for the kind of n-gram."""
+    h = (h ^ (h >> np.uint64(31))) * _MIX
+    return ((h ^ (h >> np.uint64(29))) & ~np.uint64(3)) | np.uint64(kind)
 
 
-def history(words: np.ndarray) -> np.ndarray:
-    """Slot of each token's history word; WORD_SLOTS marks the start."""
-    return np.concatenate([[WORD_SLOTS], words[:-1]]) if len(words) else words
+class Chunk:
+    """The n-grams of a chunk's texts: sorted distinct keys, and where each token's word, history and pair stand in them."""
 
+    def __init__(self, texts: list[bytes], cache: WordHashes):
+        split = [t.lower().split() for t in texts]
+        self.n = np.array([len(w) for w in split], np.int64)
+        h = np.fromiter((cache[w] for words in split for w in words), np.uint64, self.n.sum())
+        before = np.concatenate([[_START], h[:-1]]) if len(h) else h
+        before[(np.cumsum(self.n) - self.n)[self.n > 0]] = _START
+        parts, places, at = [], [], 0
+        for kind, x in ((WORD, h), (HISTORY, before), (PAIR, (before * _MIX) ^ (h >> np.uint64(32)) ^ (h << np.uint64(32)))):
+            u, place = np.unique(keys(x, kind), return_inverse=True)
+            parts.append(u)
+            places.append(place + at)
+            at += len(u)
+        every = np.concatenate(parts)
+        order = np.argsort(every)
+        self.keys, rank = every[order], np.empty(len(every), np.int64)
+        rank[order] = np.arange(len(every))
+        self.word, self.history, self.pair = (rank[p] for p in places)
 
-COUNTS = "slot int, background long, target long"
+    def counts(self, good: np.ndarray) -> np.ndarray:
+        """Two rows: of all documents, and of the good ones."""
+        chosen = np.repeat(good, self.n)
+        return np.stack([sum(np.bincount(p[m], minlength=len(self.keys)) for p in (self.word, self.history, self.pair))
+                         for m in (np.ones(len(chosen), bool), chosen)])
 
+    def losses(self, counts: np.ndarray, tokens: int, words: int) -> np.ndarray:
+        """Mean negative log2 probability of each document's tokens, for a model of these counts."""
+        unigram = (counts[self.word] + 0.5) / (tokens + 0.5 * (words + 1))  # one more for words never seen
+        prob = (counts[self.pair] + STRENGTH * unigram) / (counts[self.history] + STRENGTH)
+        doc = np.repeat(np.arange(len(self.n)), self.n)
+        return np.bincount(doc, -np.log2(prob), len(self.n)) / np.maximum(self.n, 1)
 
-def counter(targets: frozenset) -> Callable:
-    """Counts of words (slots from 0), histories (then) and pairs (then) of both corpora, one row per slot and task."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordSlots()
-        size = 2 * WORD_SLOTS + 1 + PAIR_SLOTS
-        all_, good = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                w, p = slots(text, cache)
-                at = np.concatenate([w, history(w) + WORD_SLOTS, p + 2 * WORD_SLOTS + 1])
-                np.add.at(all_, at, 1)
-                if doc in targets:
-                    np.add.at(good, at, 1)
-        used = np.flatnonzero(all_)
-        for at in np.array_split(used, max(1, len(used) // 50_000)):
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(all_[at]), pa.array(good[at])],
-                                             names=["slot", "background", "target"])
+CHUNKS = "chunk long, doc_ids array<long>, good array<boolean>, texts binary, ends array<long>, bytes long"
 
-    return run
 
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, good) put together to chunks of about CHUNK_BYTES."""
+    names = [f.split()[0] for f in CHUNKS.split(", ")]
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.list_(pa.int64()), pa.int64()]
+    z, held, size, k = zstandard.ZstdCompressor(level=3), [], 0, TaskContext.get().partitionId() << 32
+
+    def row():
+        docs, goods, texts = zip(*held)
+        ends = np.cumsum([len(t) for t in texts])
+        values = (k, list(docs), list(goods), z.compress(b"".join(texts)), ends.tolist(), size)
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], names=names)
 
-class Model:
-    def __init__(self, counts: np.ndarray):
-        words, hist, self.pairs = np.split(counts.astype(np.float32), [WORD_SLOTS, 2 * WORD_SLOTS + 1])
-        self.words = ((words + 0.5) / (words.sum() + 0.5 * WORD_SLOTS)).astype(np.float32)
-        self.hist = hist
+    for b in batches:
+        for doc, text, good in zip(*(c.to_pylist() for c in b.columns)):
+            held.append((doc, good, (text or "").encode("utf-8", "replace")))
+            size += len(held[-1][2])
+            if size >= CHUNK_BYTES:
+                yield row()
+                held, size, k = [], 0, k + 1
+    if held:
+        yield row()
 
-    def loss(self, w: np.ndarray, p: np.ndarray) -> float:
-        """Mean negative log2 probability of the tokens."""
-        h = self.hist[history(w)]
-        prob = (self.pairs[p] + STRENGTH * self.words[w]) / (np.maximum(h, self.pairs[p]) + STRENGTH)
-        return float(-np.log2(prob).mean())
 
+def read_texts(blob: bytes, ends: list[int]) -> list[bytes]:
+    whole = unsqueezed(blob)
+    return [whole[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def cuts(n: int) -> np.ndarray:
+    """First key of each of n ranges but the first."""
+    return np.array([(i << 64) // n for i in range(1, n)], np.uint64)
+
+
+def asker(n_buckets: int) -> Callable:
+    """Of every chunk and bucket with n-grams: sorted keys and both counts."""
 
-def scorer(background: Model, target: Model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordSlots()
+        cache, z = WordHashes(), zstandard.ZstdCompressor(level=1)
         for b in batches:
-            rows = []
-            for text in b.column(1).to_pylist():
-                w, p = slots(text, cache)
-                rows.append((len(w), background.loss(w, p), target.loss(w, p)) if len(w) else (0, 0.0, 0.0))
-            n, bg, tg = (np.array(c) for c in zip(*rows))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64)), pa.array(bg), pa.array(tg), pa.array(bg - tg)],
-                                             names=["doc_id", "n_tokens", "background_loss", "target_loss", "score"])
+            for chunk, good, blob, ends in zip(*(b.column(c).to_pylist() for c in ("chunk", "good", "texts", "ends"))):
+                c = Chunk(read_texts(blob, ends), cache)
+                counts = c.counts(np.array(good, bool)).astype("<i8")
+                at = np.searchsorted(c.keys, cuts(n_buckets))
+                rows = [(i, chunk, k.tobytes(), z.compress(m.tobytes()))
+                        for i, (k, m) in enumerate(zip(np.split(c.keys, at), np.split(counts, at, axis=1))) if len(k)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
+                                                     names=["bucket", "chunk", "keys", "counts"])
 
     return run
 
 
+ANSWERS = "bucket int, chunk long, sums binary, words long, tokens long, good_tokens long"
+
+
+def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Totals over all chunks, sent back to each; a bucket's numbers of distinct words and of tokens stand in one of its rows.
+    Rows come sorted by bucket, and a bucket may span batches."""
+    z, held = zstandard.ZstdCompressor(level=1), []
+
+    def answer() -> pa.RecordBatch:
+        parts = [np.frombuffer(r[2], np.uint64) for r in held]
+        known, place = np.unique(np.concatenate(parts), return_inverse=True)
+        counts = np.concatenate([np.frombuffer(unsqueezed(r[3]), "<i8").reshape(2, -1) for r in held], axis=1)
+        sums = np.zeros((2, len(known)), np.int64)
+        for s, c in zip(sums, counts):
+            np.add.at(s, place, c)
+        word = known & np.uint64(3) == np.uint64(WORD)
+        facts = [int(word.sum()), *sums[:, word].sum(1).tolist()]
+        blobs = [z.compress(sums[:, p].tobytes()) for p in np.split(place, np.cumsum([len(p) for p in parts])[:-1])]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in held], pa.int32()), pa.array([r[1] for r in held], pa.int64()), pa.array(blobs, pa.binary()),
+             *(pa.array([f] + [0] * (len(held) - 1), pa.int64()) for f in facts)], names=["bucket", "chunk", "sums", "words", "tokens", "good_tokens"])
+
+    for b in batches:
+        for row in zip(*(b.column(c).to_pylist() for c in ("bucket", "chunk", "keys", "counts"))):
+            if held and row[0] != held[0][0]:
+                yield answer()
+                held = []
+            held.append(row)
+    if held:
+        yield answer()
+
+
 SCORED = "doc_id long, n_tokens long, background_loss double, target_loss double, score double"
 
 
-def target_ids(labels: DataFrame, most: int = MAX_TARGET) -> frozenset:
-    good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull())
-    n = good.count()
-    picked = good.filter(F.pmod(F.xxhash64("doc_id"), F.lit(10_000_000)) < int(1 + 1e7 * most / max(n, 1)))
-    return frozenset(r[0] for r in picked.select("doc_id").limit(2 * most).collect())
+def scorer(tokens: list[int], words: int) -> Callable:
+    """Rows are chunks with all their answers in `answers`, by bucket."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for b in batches:
+            for docs, blob, ends, answers in zip(*(b.column(c).to_pylist() for c in ("doc_ids", "texts", "ends", "answers"))):
+                c = Chunk(read_texts(blob, ends), cache)
+                parts = [np.frombuffer(unsqueezed(a["sums"]), np.int64).reshape(2, -1) for a in sorted(answers or [], key=lambda a: a["bucket"])]
+                sums = np.concatenate([np.zeros((2, 0), np.int64), *parts], axis=1)
+                bg, tg = (c.losses(s, n, words) for s, n in zip(sums, tokens))
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(c.n), pa.array(bg), pa.array(tg), pa.array(bg - tg)],
+                                                 names=["doc_id", "n_tokens", "background_loss", "target_loss", "score"])
 
-def fit(docs: DataFrame, targets: frozenset) -> tuple[Model, Model]:
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    sums = texts.mapInArrow(counter(targets), COUNTS).groupBy("slot").agg(F.sum("background").alias("b"), F.sum("target").alias("t"))
-    got = sums.toArrow()  # at most one row per slot: bounded by the model's fixed size
-    out = np.zeros((2, 2 * WORD_SLOTS + 1 + PAIR_SLOTS), np.float64)
-    at = got.column("slot").to_numpy()
-    out[0][at], out[1][at] = got.column("b").to_numpy(), got.column("t").to_numpy()
-    return Model(out[0]), Model(out[1])
+    return run
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     spark = docs.sparkSession
-    models = spark.sparkContext.broadcast(fit(docs, target_ids(labels)))
-
-    def run(batches):
-        return scorer(*models.value)(batches)
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCORED)
+    small_batches(spark)
+    good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("good_id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(good, F.col("doc_id") == F.col("good_id"), "left")
+    dealt = stage(texts.select("doc_id", "text", F.col("good_id").isNotNull().alias("good")).mapInArrow(chunks, CHUNKS), "chunks")
+    size = dealt.agg(F.sum("bytes")).first()[0] or 0
+    n = max(BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)
+    asked = dealt.select("chunk", "good", "texts", "ends").mapInArrow(asker(n), "bucket int, chunk long, keys binary, counts binary")
+    answers = stage(asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(totals, ANSWERS), "answers")
+    words, *tokens = (v or 0 for v in answers.agg(F.sum("words"), F.sum("tokens"), F.sum("good_tokens")).first())
+    gathered = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "sums")).alias("answers"))
+    return dealt.join(gathered, "chunk", "left").select("doc_ids", "texts", "ends", "answers").mapInArrow(scorer(tokens, words), SCORED)

@@ -1,7 +1,9 @@
 """Plain single-process versions of the operators, to compare with."""
 
 import hashlib
+import math
 import re
+from collections import Counter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -78,3 +80,23 @@ def targets(sizes, cap=3):
         if not over:
             return fixed | {s: level * weight[s] for s in free}
         fixed |= {s: cap * sizes[s] for s in over}
+
+
+def lm_losses(docs, good, strength=8.0):
+    """doc_id -> (tokens, loss under all documents, loss under the good ones), by counts of real words and pairs."""
+    split = {i: (t or "").encode().lower().split() for i, t in docs}
+    models = []
+    for ids in (set(split), good):
+        words, before, pairs = Counter(), Counter(), Counter()
+        for i in ids:
+            words.update(split[i])
+            before.update([None, *split[i]][:-1] if split[i] else [])
+            pairs.update(zip([None, *split[i]], split[i]))
+        models.append((words, before, pairs, sum(words.values())))
+    size = len(models[0][0]) + 1
+
+    def loss(w, words, before, pairs, n):
+        p = [(pairs[a, b] + strength * (words[b] + 0.5) / (n + 0.5 * size)) / (before[a] + strength) for a, b in zip([None, *w], w)]
+        return -sum(map(math.log2, p)) / max(1, len(p))
+
+    return {i: (len(w), *(loss(w, *m) for m in models)) for i, w in split.items()}

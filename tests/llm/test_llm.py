@@ -186,6 +186,16 @@ def test_lm_scores(spark, docs):
     assert np.mean(good) > np.mean(rest) and all(r.score == 0 for r in rows if not r.n_tokens)
 
 
+def test_lm_losses_are_of_whole_corpora(spark, corpus):
+    rows = [(i, t) for i, t, *_ in corpus] + [(1000 + i, f"v{i} y{i % 7} v{i}") for i in range(45_000)]  # far more labels and words than one sample or slot table holds
+    good = {i for i, _ in rows if i % 3 or i >= 2000}
+    labels = spark.createDataFrame([(i, 1) for i in good] + [(0, 0)], "doc_id long, quality int")
+    got = {r.doc_id: tuple(r)[1:] for r in lm_scoring.cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    want = brute.lm_losses(rows, good)
+    assert got.keys() == want.keys()
+    assert all(got[i][0] == n and np.allclose(got[i][1:], (bg, tg, bg - tg)) for i, (n, bg, tg) in want.items())
+
+
 def test_warc_audit(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://x/{i}", f"<p>e{i}é</p>" if i % 7 else None) for i in range(300)] + [(None, None, "z"), (5, "u", "twice")], "page_id long, url string, html string")
     bad = pages.withColumn("html", warc_audit.F.when(warc_audit.F.col("page_id").isin(3, 250), warc_audit.F.translate("html", "p", "P")).otherwise(warc_audit.F.col("html")))
