@@ -2,8 +2,9 @@
 
 Each source is a queue of its documents in a shuffled order (a hash of doc_id and epoch; a source whose target
 exceeds its size is queued again, up to `max_epochs` times). A queued document's virtual finish time is the
-running size of its source up to and including it, divided by the source's target; all queues are merged by
-one global range sort on finish time and cut where the total budget is used up. The document on which a source's
+running size of its source up to and including it, divided by the source's target. Merged by finish time, all queues
+would be cut at time 1, where the targets add up to the budget; that is where each source's running size
+reaches its own target, so the cut is made per source and the queues are not merged. The document on which a source's
 queue is cut is taken in part, so every source ends at its target; with whole=True it is taken whole if at
 least half of it fits, else left out.
 
@@ -72,13 +73,11 @@ def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, whole: bool = False) -> D
     base = per_source.select("rank", F.coalesce(F.sum("queued").over(W.orderBy("rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     served = running_total(queue, order, "size", "upto")
     served = served.join(stage(base, "base"), "rank").withColumn("upto", F.col("upto") - F.col("base"))
-    served = served.withColumn("finish", F.col("upto") / F.col("target")).select("row", "size", "target", "upto", "finish", "epoch")
-    merged = running_total(served, [F.col("finish"), F.col("row"), F.col("epoch")], "size", "spent")
-    budget = F.col("upto") <= F.col("target")  # finish <= 1: the targets add up to the budget
+    budget = F.col("upto") <= F.col("target")  # finish time <= 1
     rest = F.greatest(F.floor(F.col("target") - (F.col("upto") - F.col("size"))), F.lit(0))
     if whole:
         rest = F.when(rest * 2 >= F.col("size"), F.col("size")).otherwise(F.lit(0))
-    taken = merged.select("row", F.when(budget, F.col("size")).otherwise(rest).cast("long").alias("words"))
+    taken = served.select("row", F.when(budget, F.col("size")).otherwise(rest).cast("long").alias("words"))
     taken = stage(taken.groupBy("row").agg(F.sum("words").alias("words")), "taken")
     return known.join(taken, "row", "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"), "row"

@@ -160,6 +160,13 @@ def test_mixing(docs, corpus):
     assert mixing.mixed(docs).columns == docs.columns
 
 
+def test_mixing_sorts_only_what_it_reads(docs, monkeypatch):
+    made, total = [], mixing.running_total
+    monkeypatch.setattr(mixing, "running_total", lambda df, order, value, out: made.append(out) or total(df, order, value, out))
+    mixing.mix(docs)
+    assert made == ["upto"]  # the only total that decides what is taken
+
+
 def test_language_id(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = lang_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
