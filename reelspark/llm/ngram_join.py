@@ -1,22 +1,24 @@
 """Operator 5: n-gram Jaccard join with signature trees, and the components of its links.
 
-A document's set holds its distinct 3-word shingles. Equal sets are one class. Two sets with
-100 * |A & B| >= 90 * |A | B| must share one of the first |A| - ceil(0.9 |A|) + 1 shingles of any common order, so those
-shingles deal the classes into blocks. The order puts long (rare) shingles first and shingles found in very many prefixes
-last; it affects cost only, never the result.
-
-Blocks are searched in two passes. The first compares every member with the block's head, which joins large
-groups of near copies in linear work. The second builds a signature tree over each block that still holds different
-components: leaves are documents with a token bitmap, nodes hold the OR of their bitmaps, the range of their sizes and
-of their components. A dual traversal goes down pairs of nodes and prunes those whose sizes cannot match, whose
-largest possible overlap is too small, or that are one component already. Blocks are cut by size band and, where one is
-still large, into chunks joined pair by pair, so no task holds an unbounded group. Surviving pairs are verified on
-whole sets.
+A document's set holds its distinct 3-word shingles. Rows of equal sets are one node, so doc_ids (null, repeated) play
+no part until the end. Two sets with 100 * |A & B| >= 90 * |A | B| must share one of the first |A| - ceil(0.9 |A|) + 1
+shingles of any common order, so those shingles deal the nodes into blocks. The order puts long (rare) shingles first
+and shingles found in very many prefixes last; it affects cost only, never the result. Every text is tokenised
+once; the texts of nodes that must be compared in full are read again.
+
+Blocks are searched in two passes. The first compares a node with the least node of its blocks if they share a third of
+its prefix, which joins large groups of near copies in linear work. The second builds signature trees over the blocks that
+still hold different components: leaves are nodes with a token bitmap, inner nodes hold the OR of the bitmaps, the range of
+sizes and of components. A dual traversal goes down pairs of tree nodes and prunes those whose sizes cannot match, whose
+largest possible overlap is too small, or that are one component already. The upper two levels of a large block are
+tables: chunks of at most about CHUNK leaves, and families of chunks; only pairs of chunks that survive are dealt to
+tasks. A task says which leaves have a possible partner, their whole sets are sent to it, and it returns a forest of
+verified links: no table holds all pairs of a group, and no link between components is lost.
 
 Edge cases: null, empty and white-space texts have n_shingles 0 and are their own component; with one or two words the
-whole sequence is the one shingle; rows that repeat a doc_id (or have
-none) are one node, each row keeps its own n_shingles; an
-empty table gives an empty result.
+whole sequence is the one shingle; rows that repeat a doc_id with other texts are separate documents; a row without
+doc_id links like any other and gets the smallest real doc_id it reaches, null if there is none; a group
+may be bridged by such a row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +27,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import components, real_id, small_batches, squeezed, stage, unsqueezed, with_ids
+from .common import Tables, WordHashes, components, text_hash, without
 
 NUM, DEN = 9, 10
 #: Shingles in more prefixes than this go last in the order; the list is bounded by MAX_HEAVY rows.
@@ -36,18 +37,10 @@ HEAVY = 64
 MAX_HEAVY = 200_000
 CHUNK = 512
 FAN = 8
-CACHE = 200_000
+SLICE = 500  # rows handled at a time in a Python task
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < CACHE:
-            self[word] = h
-        return h
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * _P[3]
     h = (h ^ (h >> np.uint64(27))) * _P[4]
@@ -70,46 +63,74 @@ def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
     return np.unique(((np.uint64(255) - long) << np.uint64(56)) | (h >> np.uint64(8)))
 
 
-def prefix(tokens: np.ndarray, heavy: np.ndarray | None = None) -> np.ndarray:
-    n = len(tokens)
-    p = n - -(-NUM * n // DEN) + 1 if n else 0
-    if heavy is not None and len(heavy) and n:
-        at = np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)
-        late = heavy[at] == tokens
-        if late[:p].any():
-            return np.concatenate([tokens[~late], tokens[late]])[:p]
-    return tokens[:p]
+def digest(tokens: np.ndarray) -> tuple[int, int, int]:
+    """Size and two hashes that stand for a set."""
+    return len(tokens), int(tokens.sum().view(np.int64)), int(np.bitwise_xor.reduce(mix(tokens)).view(np.int64)) if len(tokens) else 0
+
+
+def prefix_size(n: int) -> int:
+    return n - -(-NUM * n // DEN) + 1 if n else 0
+
+
+def demoted(tokens: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """The tokens with the heavy ones last."""
+    if not len(heavy) or not len(tokens):
+        return tokens
+    late = heavy[np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)] == tokens
+    return np.concatenate([tokens[~late], tokens[late]]) if late.any() else tokens
+
 
+def width(n: int) -> int:
+    """Bits of the bitmap of n tokens: two to four a token."""
+    return max(64, 1 << int(2 * n - 1).bit_length())
 
-def bitmap(tokens: np.ndarray) -> tuple[bytes, int]:
-    """A bitmap of four to eight bits a token, and how many tokens share a bit with another one."""
-    n_bits = max(64, 1 << int(4 * len(tokens) - 1).bit_length())
+
+def bitmap(tokens: np.ndarray) -> bytes:
+    n_bits = width(len(tokens))
     at = np.unique(tokens & np.uint64(n_bits - 1)).astype(np.int64)
     bits = np.zeros(n_bits // 8, np.uint8)
     np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    return bits.tobytes(), len(tokens) - len(at)
+    return bits.tobytes()
+
+
+def lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)))
+
+
+PROFILE = "doc_id long, t1 long, t2 long, n int, h1 long, h2 long, tokens array<long>, bits binary"
+
 
+def profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every text: its set's digest, a little more than its prefix, and the bitmap."""
+    hashes = WordHashes()
+    for b in batches:
+        for i in range(0, b.num_rows, SLICE):
+            part = b.slice(i, SLICE)
+            sets = [shingles(t, hashes) for t in part.column(3).to_pylist()]
+            n, h1, h2 = zip(*map(digest, sets))
+            heads = [s[: (p := prefix_size(len(s))) + max(8, p // 2)] for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns[:3], pa.array(n, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), lists(heads),
+                 pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary())], names=[f.split()[0] for f in PROFILE.split(", ")])
+
+
+SIGNED = "row long, n int, tokens array<long>, short boolean"
 
-PROFILE = "doc_id long, n int, h1 long, h2 long, tokens array<long>, bits binary"
 
+def prefixes(heavy: np.ndarray) -> Callable:
+    """Prefixes in the order with heavy tokens last; `short` where what was kept of the set does not tell the prefix."""
 
-def profiler(heavy: np.ndarray | None, signed: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
-                rows = []
-                for t in part.column(1).to_pylist():
-                    s = shingles(t, hashes)
-                    bits = bitmap(s)[0] if signed and len(s) else None
-                    m = mix(s)
-                    rows.append((len(s), int(s.sum().view(np.int64)), int(np.bitwise_xor.reduce(m).view(np.int64)) if len(s) else 0,
-                                 prefix(s, heavy).view(np.int64), bits))
-                cols = list(zip(*rows))
-                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))],
-                                                 names=["doc_id", "n", "h1", "h2", "tokens", "bits"])
+            out, short = [], []
+            for n, tokens in zip(b.column(1).to_pylist(), b.column(2)):
+                tokens, p = tokens.values.to_numpy(zero_copy_only=False).view(np.uint64), prefix_size(n)
+                turned = demoted(tokens, heavy)
+                late = turned is not tokens
+                short.append(late and len(tokens) < n and p > len(tokens) - int(np.isin(tokens, heavy).sum()))
+                out.append(turned[:p])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists(out), pa.array(short, pa.bool_())], names=["row", "n", "tokens", "short"])
 
     return run
 
@@ -117,32 +138,28 @@ def profiler(heavy: np.ndarray | None, signed: bool) -> Callable:
 def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for b in batches:
-        for i in range(0, b.num_rows, 500):
-            part = b.slice(i, 500)
-            blobs = [shingles(unsqueezed(z).decode(), hashes).tobytes() for z in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary())], names=["doc_id", "set"])
+        for i in range(0, b.num_rows, SLICE):
+            part = b.slice(i, SLICE)
+            sets = [shingles(t, hashes) for t in part.column(0).to_pylist()]
+            n, h1, h2 = zip(*map(digest, sets))
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
+                                              pa.array([s.tobytes() for s in sets], pa.binary())], names=["n", "h1", "h2", "set"])
+
+
+def is_link(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return DEN * both >= NUM * (len(x) + len(y) - both)
 
 
 def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose whole sets pass the Jaccard test."""
     for b in batches:
-        good = []
-        for x, y in zip(b.column("set_a"), b.column("set_b")):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            good.append(DEN * both >= NUM * (len(x) + len(y) - both))
+        good = [is_link(*(np.frombuffer(v.as_buffer(), np.uint64) for v in pair)) for pair in zip(b.column("set_a"), b.column("set_b"))]
         yield b.select(["src", "dst"]).filter(pa.array(good, pa.bool_()))
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (src, dst) that are links, as a stage table."""
-    a = pairs.join(sets.select(F.col("doc_id").alias("src"), F.col("set").alias("set_a")), "src")
-    b = a.join(sets.select(F.col("doc_id").alias("dst"), F.col("set").alias("set_b")), "dst")
-    return stage(b.select("src", "dst", "set_a", "set_b").mapInArrow(linked, "src long, dst long"), "links")
-
-
 class SignatureTree:
-    """Levels of nodes from the documents up; FAN nodes make one node of the next level."""
+    """Levels of nodes from the leaves up; FAN nodes make one node of the next level."""
 
     def __init__(self, size, bits, shared, comp):
         self.levels = [(bits, size, size, shared, comp, comp)]
@@ -158,13 +175,12 @@ class SignatureTree:
         ok = (DEN * hi[i] >= NUM * lo[j]) & (DEN * hi[j] >= NUM * lo[i])
         ok &= ~((c0[i] == c1[i]) & (c0[j] == c1[j]) & (c0[i] == c0[j]))
         at = np.flatnonzero(ok)
-        most = np.bitwise_count(bits[i[at]] & bits[j[at]]).sum(1, dtype=np.int64) + np.where(
-            lo[i[at]] == hi[i[at]], np.minimum(shared[i[at]], shared[j[at]]), np.maximum(shared[i[at]], shared[j[at]]))
+        most = np.bitwise_count(bits[i[at]] & bits[j[at]]).sum(1, dtype=np.int64) + np.minimum(shared[i[at]], shared[j[at]])
         ok[at] = (DEN + NUM) * most >= NUM * (lo[i[at]].astype(np.int64) + lo[j[at]])
         return ok
 
     def pairs(self):
-        """Pairs of documents that may be links, by dual traversal from the top, level by level."""
+        """Pairs of leaves that may be links, by dual traversal from the top, level by level."""
         n = len(self.levels[-1][1])
         i, j = np.triu_indices(n, 0 if len(self.levels) > 1 else 1)
         for depth in range(len(self.levels) - 1, -1, -1):
@@ -179,112 +195,307 @@ class SignatureTree:
         return i, j
 
 
-def fold(bits: list[bytes]) -> np.ndarray:
-    """Bitmaps of different widths, all OR-folded to the least one; 64-bit words."""
-    width = min(map(len, bits))
-    return np.stack([np.bitwise_or.reduce(np.frombuffer(b, np.uint8).reshape(-1, width)) for b in bits]).view(np.uint64)
+def fold(bits: list[bytes], to: int | None = None) -> np.ndarray:
+    """Bitmaps of different widths, all OR-folded to `to` bits or the least one; 64-bit words."""
+    least = to // 8 if to else min(map(len, bits))
+    return np.stack([np.bitwise_or.reduce(np.frombuffer(b, np.uint8).reshape(-1, least)) for b in bits]).view(np.uint64)
 
 
-def folded(bits: list[bytes], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def folded(bits: list[bytes], size: np.ndarray, to: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Folded bitmaps, and how many tokens share a bit at the folded width: folding makes more of them collide."""
-    maps = fold(bits)
+    maps = fold(bits, to)
     return maps, size - np.bitwise_count(maps).sum(1, dtype=np.int64)
 
 
-def block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of every block; rows come sorted by block, and a block may span batches."""
-    empty = pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["src", "dst"])
+def tree_of(size, bits, comp) -> tuple[SignatureTree, np.ndarray]:
+    """A tree over leaves sorted by component and size, and that order."""
+    size, comp = np.array(size, np.int64), np.array(comp, np.int64)
+    order = np.lexsort((size, comp))
+    maps, shared = folded([bits[i] for i in order], size[order])
+    return SignatureTree(size[order], maps, shared, comp[order]), order
 
-    def search(rows) -> tuple | None:
-        if len(rows) < 2:
-            return None
-        _, doc, size, bits, comp = map(list, zip(*rows))
-        doc, size, comp = (np.array(x, np.int64) for x in (doc, size, comp))
-        bits, shared = folded(bits, size)
-        i, j = SignatureTree(size, bits, shared, comp).pairs()
-        return (np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])) if len(i) else None
 
-    held: list = []
+def groups(batches: Iterator[pa.RecordBatch], key: list[str], columns: list[str]) -> Iterator[tuple]:
+    """(key, rows) of every group; rows come sorted by key, and a group may span batches."""
+    at, held = None, []
     for b in batches:
-        found = []
-        cols = [b.column(c).to_pylist() for c in ("block", "doc", "n", "bits", "comp")]
-        for row in zip(*cols):
-            if held and row[0] != held[0][0]:
-                found.append(search(held))
-                held = []
+        for k, row in zip(zip(*(b.column(c).to_pylist() for c in key)), zip(*(b.column(c).to_pylist() for c in columns))):
+            if k != at:
+                if held:
+                    yield at, held
+                at, held = k, []
             held.append(row)
-        found = [f for f in found if f]
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["src", "dst"])
-    last = search(held)
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], names=["src", "dst"]) if last else empty
+    if held:
+        yield at, held
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    small_batches(docs.sparkSession)
-    texts = with_ids(docs)
-    profiles = stage(texts.mapInArrow(profiler(None, False), PROFILE).drop("bits"), "profiles")
-    sized = profiles.filter("n > 0")
-    # equal sets: the smallest doc_id stands for its class
-    classes = stage(sized.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
-    # copies count here too: the counts only order the shingles
-    postings = sized.select(F.explode("tokens").alias("token"))
-    counts = stage(postings.groupBy("token").agg(F.count("*").alias("df")).filter(f"df > {HEAVY // 2}"), "counts")
-    total = profiles.agg(F.sum(F.size("tokens"))).first()[0] or 0
-    limit = max(HEAVY, total // MAX_HEAVY)  # at most MAX_HEAVY tokens can be in so many prefixes
-    heavy = np.sort(np.array([r[0] for r in counts.filter(F.col("df") > limit).select("token").collect()], np.int64).view(np.uint64))
+def as_batches(**kinds: pa.DataType) -> Callable:
+    """Turns a generator of tuples into one of record batches with these columns."""
 
-    signed = stage(
-        texts.mapInArrow(profiler(heavy, True), PROFILE).drop("h1", "h2").filter("n > 0")
-        .join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "signed"
-    )
-    members = signed.select(F.explode("tokens").alias("token"), F.col("doc_id").alias("doc"), "n")
-    heads = stage(
-        members.groupBy("token").agg(F.min(F.struct("doc", "n")).alias("head"), F.count("*").alias("size"),
-                                     F.min("n").alias("least"), F.max("n").alias("most"))
-        .filter("size > 1").select("token", F.col("head.doc").alias("head"), F.col("head.n").alias("head_n")), "heads"
+    def wrap(rows: Callable) -> Callable:
+        def batch(held: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds.values())], names=list(kinds))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = []
+            for r in rows(batches):
+                held.append(r)
+                if len(held) == SLICE:
+                    yield batch(held)
+                    held = []
+            if held:
+                yield batch(held)
+
+        return run
+
+    return wrap
+
+
+@as_batches(block=pa.int64(), row=pa.int64(), comp=pa.int64())
+def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(block, row, comp) of the leaves that have a possible partner in their block. A block holds at most two chunks."""
+    for (block,), rows in groups(batches, ["block"], ["row", "n", "bits", "comp"]):
+        if len(rows) > 1:
+            row, n, bits, comp = zip(*rows)
+            tree, order = tree_of(n, bits, comp)
+            yield from ((block, row[i], comp[i]) for i in order[np.unique(np.concatenate(tree.pairs()))])
+
+
+@as_batches(src=pa.int64(), dst=pa.int64())
+def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Links between components of a block, verified on whole sets; links that join what is joined already are left out."""
+    for _, rows in groups(batches, ["block"], ["row", "comp", "set"]):
+        row, comp, sets = zip(*rows)
+        sets = [np.frombuffer(s, np.uint64) for s in sets]
+        tree, order = tree_of([len(s) for s in sets], [bitmap(s) for s in sets], comp)
+        parent: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while parent.get(c, c) != c:
+                parent[c] = c = parent.get(parent[c], parent[c])
+            return c
+
+        for i, j in zip(*(order[x] for x in tree.pairs())):
+            a, b = top(comp[i]), top(comp[j])
+            if a != b and is_link(sets[i], sets[j]):
+                parent[b] = a
+                yield row[i], row[j]
+
+
+def band_width(band: int) -> int:
+    """Bitmap width that all members of a size band have or can be folded to."""
+    return width(max(1, int((DEN / NUM) ** band * 0.999)))
+
+
+NODE = "token long, band int, node long, part int, bits binary, lo int, hi int, shared int, c0 long, c1 long"
+_NODE = [f.split()[0] for f in NODE.split(", ")]
+_NODE_KINDS = dict(zip(_NODE, [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]))
+
+
+@as_batches(**_NODE_KINDS)
+def chunk_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The tree node over each chunk of leaves."""
+    for key, rows in groups(batches, ["token", "band", "node", "part"], ["n", "bits", "comp"]):
+        n, bits, comp = zip(*rows)
+        maps, shared = folded(bits, np.array(n, np.int64), band_width(key[1]))
+        yield *key, np.bitwise_or.reduce(maps).tobytes(), min(n), max(n), int(shared.max()), min(comp), max(comp)
+
+
+@as_batches(**_NODE_KINDS)
+def family_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The tree node over each family of chunk nodes, which come sorted; `part` is the last chunk's number."""
+    at, held = None, None
+    for b in batches:
+        for r in zip(*(b.column(c).to_pylist() for c in _NODE)):
+            if r[:3] != at:
+                if held:
+                    yield held
+                at, held = r[:3], r
+                continue
+            bits = (np.frombuffer(held[4], np.uint64) | np.frombuffer(r[4], np.uint64)).tobytes()
+            held = (*at, max(held[3], r[3]), bits, min(held[5], r[5]), max(held[6], r[6]), max(held[7], r[7]), min(held[8], r[8]), max(held[9], r[9]))
+    if held:
+        yield held
+
+
+def overlap_possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (.., a_*, b_*) whose two nodes can hold a link by the maximum possible overlap."""
+    for b in batches:
+        ok = []
+        for x, y, *rest in zip(*(b.column(c).to_pylist() for c in ("a_bits", "b_bits", "a_shared", "b_shared", "a_lo", "b_lo"))):
+            common = int(np.bitwise_count(np.frombuffer(x, np.uint64) & np.frombuffer(y, np.uint64)).sum())
+            ok.append((DEN + NUM) * (common + min(rest[:2])) >= NUM * sum(rest[2:]))
+        yield b.drop_columns(["a_bits", "b_bits"]).filter(pa.array(ok, pa.bool_()))
+
+
+def node_pairs(a: DataFrame, b: DataFrame, on: list[str], order) -> DataFrame:
+    """Pairs of tree nodes that may hold a link between different components."""
+    left, right = (df.select(*on, *[F.col(c).alias(f"{s}_{c}") for c in _NODE if c not in on]) for df, s in ((a, "a"), (b, "b")))
+    fits = (DEN * F.col("a_hi") >= NUM * F.col("b_lo")) & (DEN * F.col("b_hi") >= NUM * F.col("a_lo"))
+    one = (F.col("a_c0") == F.col("a_c1")) & (F.col("b_c0") == F.col("b_c1")) & (F.col("a_c0") == F.col("b_c0"))
+    pairs = left.join(right, on).filter(order & fits & ~one)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema if not f.name.endswith("_bits"))
+    return pairs.mapInArrow(overlap_possible, schema)
+
+
+def deal_large(large: DataFrame, signed: DataFrame, t: Tables) -> DataFrame:
+    """(block, row, comp) of blocks with more than CHUNK members, given as (token, band, size, row, n, comp).
+
+    A component with more than CHUNK members in a block is a family of chunks of its own; the others are dealt into chunks
+    by component.
+    """
+    per = large.groupBy("token", "band", "comp").agg(F.count("*").alias("own"))
+    mixed = F.pmod(F.xxhash64("comp"), F.ceil(F.col("size") / CHUNK)).cast("long")
+    part = F.pmod(F.xxhash64("row"), F.ceil(F.col("own") / CHUNK)).cast("int")
+    own = F.col("own") > CHUNK
+    leaves = t(
+        large.join(per, ["token", "band", "comp"])
+        .select("token", "band", F.when(own, -1 - F.col("comp")).otherwise(mixed).alias("node"), F.when(own, part).otherwise(0).alias("part"), "row", "n", "comp"), "leaves"
     )
-    shared = stage(members.join(heads, "token"), "shared")  # members of blocks of two or more
-    fits = (DEN * F.col("n") >= NUM * F.col("head_n")) & (DEN * F.col("head_n") >= NUM * F.col("n"))
-    first = stage(shared.filter((F.col("doc") != F.col("head")) & fits).groupBy(F.col("doc").alias("src"), F.col("head").alias("dst")).agg(F.count("*").alias("blocks")), "first")
-    asked = shared.select(F.col("doc").alias("doc_id")).distinct()
-    sets = stage(texts.mapInArrow(squeezed, "doc_id long, z binary").join(asked, "doc_id", "left_semi").mapInArrow(whole_sets, "doc_id long, set binary"), "sets")
-    links = verify(first.select("src", "dst"), sets)
-    joined = stage(components(links), "joined")
+    key = ["token", "band", "node", "part"]
+    bits = leaves.join(signed.select("row", "bits"), "row").select(*key, "n", "bits", "comp")
+    chunks = t(bits.repartition(*key).sortWithinPartitions(*key).mapInArrow(chunk_nodes, NODE), "chunks")
+    families = t(chunks.repartition(*key[:3]).sortWithinPartitions(*key[:3]).mapInArrow(family_nodes, NODE), "families")
+    top = node_pairs(families, families, key[:2], F.col("a_node") <= F.col("b_node")).select(*key[:2], "a_node", "b_node")
+    # down to the chunks of both families
+    named = lambda s: chunks.select(*key[:2], *[F.col(c).alias(f"{s}_{c}") for c in _NODE[2:]])
+    both = top.join(named("a"), [*key[:2], "a_node"]).join(named("b"), [*key[:2], "b_node"])
+    both = both.filter((F.col("a_node") < F.col("b_node")) | (F.col("a_part") <= F.col("b_part")))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in both.schema if not f.name.endswith("_bits"))
+    pairs = both.mapInArrow(overlap_possible, schema)
+    block = F.xxhash64("token", "band", "a_node", "a_part", "b_node", "b_part").alias("block")
+    pairs = t(pairs.select(*key[:2], block, "a_node", "a_part", "b_node", "b_part"), "chunk_pairs")
+    sides = pairs.select("block", *key[:2], F.col("a_node").alias("node"), F.col("a_part").alias("part")).union(
+        pairs.select("block", *key[:2], F.col("b_node").alias("node"), F.col("b_part").alias("part"))).distinct()
+    return sides.join(leaves, key).select("block", "row", "comp")
+
+
+def jaccard_classes(docs: DataFrame, t: Tables, heads_first: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(profiles, classes): every row of docs with its set's digest, and for every distinct set its component."""
+    texts = docs.select(F.col("doc_id").cast("long"), text_hash(1).alias("t1"), text_hash(2).alias("t2"), "text")
+    profiles = t(texts.mapInArrow(profiled, PROFILE).withColumn("row", F.monotonically_increasing_id()), "profiles")
+    sized = profiles.filter("n > 0")
+    # equal sets are one node: the least row stands for it
+    classes = t(sized.groupBy("n", "h1", "h2").agg(F.min("row").alias("row"), F.min("doc_id").alias("least")), "classes")
+    kept = t(profiles.join(classes.select("row"), "row", "left_semi").select("row", "n", "h1", "h2", "t1", "tokens", "bits"), "kept")
+
+    def sets_of(rows: DataFrame, name: str) -> DataFrame:
+        """(row, set): the texts of these nodes are read again."""
+        asked = t(kept.join(rows, "row", "left_semi").select("row", "n", "h1", "h2", "t1"), f"{name}_asked")
+        found = texts.join(asked.select("t1").distinct(), "t1", "left_semi").select("t1", "t2", "text").dropDuplicates(["t1", "t2"]).select("text")
+        sets = found.mapInArrow(whole_sets, "n int, h1 long, h2 long, set binary").join(asked, ["n", "h1", "h2"])
+        return t(sets.select("row", "set"), name)
+
+    def prefix_tokens(heavy: np.ndarray) -> DataFrame:
+        return kept.select("row", "n", "tokens").mapInArrow(prefixes(heavy), SIGNED)
+
+    def blocks_of(members: DataFrame, name: str) -> DataFrame:
+        counted = members.select(F.explode("tokens").alias("token"), "row").groupBy("token").agg(F.count("*").alias("size"), F.min("row").alias("head"))
+        return t(counted.filter("size > 1"), name)
+
+    signed = t(prefix_tokens(np.zeros(0, np.uint64)), "signed")
+    heads = blocks_of(signed, "heads")
+    total = signed.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    limit = max(HEAVY, total // MAX_HEAVY)  # at most MAX_HEAVY tokens can be in so many prefixes
+    heavy = np.sort(np.array([r[0] for r in heads.filter(F.col("size") > limit).select("token").collect()], np.int64).view(np.uint64))
+    if len(heavy):
+        t.drop(signed, heads)
+        signed = t(prefix_tokens(heavy), "signed")
+        short = signed.filter("short").select("row")
+        if short.limit(1).count():  # their prefixes are taken from the whole sets
+            again = sets_of(short, "short").mapInArrow(whole_prefixes(heavy), SIGNED)
+            first_try, signed = signed, t(signed.filter("NOT short").unionByName(again), "signed")
+            t.drop(first_try)
+        heads = blocks_of(signed, "heads")
+
+    members = signed.select(F.explode("tokens").alias("token"), "row", "n")
+    shared = t(members.join(heads, "token").select("token", "row", "n", "head"), "shared")  # members of blocks of two or more
+    t.drop(signed, heads)
+    links = None
+    if heads_first:
+        prefix = F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1
+        first = shared.filter(F.col("row") != F.col("head")).groupBy("row", "n", "head").agg(F.count("*").alias("blocks"))
+        first = t(first.filter(3 * F.col("blocks") >= prefix).select(F.col("row").alias("src"), F.col("head").alias("dst")), "first")
+        sets = sets_of(first.select(F.col("src").alias("row")).union(first.select("dst")).distinct(), "sets")
+        a = first.join(sets.select(F.col("row").alias("src"), F.col("set").alias("set_a")), "src")
+        b = a.join(sets.select(F.col("row").alias("dst"), F.col("set").alias("set_b")), "dst")
+        links = t(b.select("src", "dst", "set_a", "set_b").mapInArrow(linked, "src long, dst long"), "links")
+        t.drop(sets, first)
+        joined = components(links, t)
+        comp = F.coalesce("component", "row").alias("comp")
+        known = t(shared.join(joined, F.col("row") == F.col("node"), "left").select("token", "row", "n", comp), "known")
+        t.drop(shared)
+    else:
+        known = shared.select("token", "row", "n", F.col("row").alias("comp"))
 
     # second pass: blocks in which more than one component is left, each kept once for equal member lists
-    known = stage(shared.select("token", "doc", "n").join(joined, F.col("doc") == F.col("node"), "left")
-                  .select("token", "doc", "n", F.coalesce("component", "doc").alias("comp")), "known")
     bands = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM))).cast("int")
-    banded = known.select("token", "doc", "comp", F.explode(F.array(bands, bands - 1)).alias("band"))
+    banded = known.select("token", "row", "n", "comp", F.explode(F.array(bands, bands - 1)).alias("band"))
     blocks = banded.groupBy("token", "band").agg(
         F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"),
-        F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y"),
+        F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y"),
     ).filter("size > 1 AND c0 <> c1")
-    blocks = stage(blocks.groupBy("size", "x", "y", "c0", "c1").agg(F.min(F.struct("token", "band")).alias("k")).select("k.*", "size"), "blocks")
-    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    placed = stage(banded.join(blocks, ["token", "band"]).select("token", "band", "doc", "comp", chunks.alias("k")), "placed")
-    own = F.pmod(F.xxhash64("doc"), F.col("k")).cast("int")
-    dealt = placed.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, k - 1)"))).select(
-        F.xxhash64("token", "band", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "doc", "comp"
-    )
-    leaves = dealt.join(signed.select("doc_id", "n", "bits"), dealt.doc == signed.doc_id).select("block", "doc", "n", "bits", "comp")
-    near = leaves.repartition("block").sortWithinPartitions("block", "n", "doc").mapInArrow(block_pairs, "src long, dst long")
-    second = stage(near.distinct().join(first.select("src", "dst").union(first.select("dst", "src")), ["src", "dst"], "left_anti"), "second")
-    found = components(links.unionByName(verify(second, sets)))
-    found = stage(found, "components")
+    blocks = t(blocks.groupBy("size", "x", "y", "c0", "c1").agg(F.min(F.struct("token", "band")).alias("k")).select("k.*", "size"), "blocks")
+    placed = t(banded.join(blocks, ["token", "band"]).select("token", "band", "size", "row", "n", "comp"), "placed")
+    t.drop(known, blocks)
+    dealt = placed.filter(F.col("size") <= CHUNK).select(F.xxhash64("token", "band").alias("block"), "row", "comp")
+    large = placed.filter(F.col("size") > CHUNK)
+    if large.limit(1).count():
+        dealt = dealt.unionByName(deal_large(large, kept, t))
+    leaves = dealt.join(kept.select("row", "n", "bits"), "row")
+    near = t(leaves.repartition("block").sortWithinPartitions("block").mapInArrow(hits, "block long, row long, comp long"), "near")
+    sets = sets_of(near.select("row").distinct(), "near_sets")
+    told = near.join(sets, "row").select("block", "row", "comp", "set")
+    second = t(told.repartition("block").sortWithinPartitions("block", "row").mapInArrow(forests, "src long, dst long"), "second")
+    t.drop(placed, near, sets)
+    found = components(second if links is None else links.unionByName(second), t)
+
+    # every set gets its component, named by the least real doc_id in it
+    labelled = t(classes.join(found, F.col("row") == F.col("node"), "left").select("n", "h1", "h2", "least", F.coalesce("component", "row").alias("component")), "labelled")
+    named = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+    out = t(labelled.join(named, "component").select("n", "h1", "h2", "component", "component_id"), "components")
+    t.drop(labelled, classes, kept)
+    return profiles, out
+
+
+def whole_prefixes(heavy: np.ndarray) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.frombuffer(s, np.uint64) for s in b.column("set").to_pylist()]
+            out = [demoted(s, heavy)[: prefix_size(len(s))] for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([len(s) for s in sets], pa.int32()), lists(out), pa.array([False] * len(sets))],
+                                             names=["row", "n", "tokens", "short"])
+
+    return run
+
 
-    # every document: through its class to the class's component
-    reps = stage(classes.join(found, F.col("rep") == F.col("node"), "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component")), "reps")
-    return profiles.select("doc_id", "n", "h1", "h2").join(reps, ["n", "h1", "h2"], "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
-    ).select(real_id("doc_id"), "n_shingles", real_id("component_id"))
+def jaccard_components(docs: DataFrame, heads_first: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row. heads_first=False leaves all links to the signature trees."""
+    profiles, classes = jaccard_classes(docs, Tables(docs.sparkSession), heads_first)
+    named = profiles.select("doc_id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left")
+    own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component stays: the one with the smallest doc_id; documents without words stay."""
-    kept = stage(jaccard_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct(), "kept")
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept._kept_id), "left_semi")
+    """One row of each component stays: the one with the smallest doc_id (null last), of repeated rows any one; rows
+    without words all stay."""
+    t = Tables(docs.sparkSession)
+    profiles, classes = jaccard_classes(docs, t)
+    rows = profiles.filter("n > 0").join(classes.select("n", "h1", "h2", "component"), ["n", "h1", "h2"]).select("component", "doc_id", "t1", "t2")
+    rows = t(rows, "rows")
+    t.drop(profiles, classes)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2"))
+    best = rows.groupBy("component").agg(least.alias("k"), F.count("*").alias("size")).filter("size > 1").select("component", "k.doc_id", "k.t1", "k.t2")
+    best = t(best, "best")
+    key = ["doc_id", "t1", "t2"]
+    of_groups = rows.join(best.select("component"), "component", "left_semi").groupBy(*key).agg(F.count("*").alias("rows"))
+    of_groups = t(of_groups, "of_groups")
+    same = (of_groups.doc_id.eqNullSafe(best.doc_id)) & (of_groups.t1 == best.t1) & (of_groups.t2 == best.t2)
+    dropped = t(of_groups.join(best, same, "left_anti").select(*key), "dropped")
+    repeated = t(of_groups.join(best, same, "left_semi").filter("rows > 1").select(*key), "repeated")
+    t.drop(rows, best, of_groups)
+    return without(docs, dropped, repeated)
 
 
 #: Whole-table SQL by shared shingles: fit for small tables.
