@@ -30,11 +30,12 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return warc_audit.fixity_audit(pages, warc_audit.damaged_replica(pages))
+    offsets = ["start", "stop", "found_start", "found_stop"]
+    return warc_audit.stored_audit(pages, warc_audit.damaged_replica(pages)).fillna(-1, offsets)  # -1: that side has none
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir)).drop("row")
+    return mixing.mix(documents(spark, sf_dir)).drop("row", "t1", "t2", "rank")
 
 
 def op8_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:

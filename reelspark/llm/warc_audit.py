@@ -1,64 +1,165 @@
-"""Operator 6: WARC records and a Merkle fixity audit of their replicas.
-
-Pages become WARC/1.1 response records, laid out one after another in archives of `ARCHIVE` consecutive page ids, so
-each record has an ordered offset range. A record's leaf is the SHA-256 of its bytes and range; each node of the next
-level is the SHA-256 of up to `FAN` child digests in order, up to one root per archive. Two replicas are compared
-at the roots; only children of nodes that differ are compared one level below, down to the records.
-
-Edge cases: null url or html counts as empty; records missing from one replica are reported as missing; records
-with a null page_id are dealt into archives below 0 by their hash; repeated page ids are separate records, ordered by their digest; an empty table has no
-archives and no differences.
+"""Operator 6: WARC files and a Merkle fixity audit of their replicas.
+
+Pages become WARC/1.1 response records, laid out one after another in archives of `ARCHIVE` consecutive page ids. A leaf
+of an archive's tree is the place of one page id; its digest is that of the record's length and bytes. Each node above is the
+SHA-256 of its `FAN` children's digests, in order, up to one root per archive. Nodes also carry the range of offsets that
+their records take, which is no part of the digest: a record that is lost, added or grown moves all later ones, and must
+not report them. Two replicas are compared at the roots; only children of nodes that differ are compared one level
+below, down to the leaves. `write_warc` and `read_warc` bring records to files and back; the audit of a stored replica reads its
+bytes.
+
+Edge cases: null url or html counts as empty; a record that one replica lacks is reported as missing or added; records with a null
+page_id have archives of their own by their digest, so a damaged one is one missing and one added; records that repeat a page
+id share a leaf, whose digest then stands for all of them in any order; an empty table has no archives and no differences.
+A file that is cut off, or bytes that are no record, give a row with `error`; reading goes on at the next record.
 """
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import stage
+from .common import Tables, scratch
 
 ARCHIVE = 512
 FAN = 8
-DEPTH = 3  # levels above the leaves: FAN ** DEPTH >= ARCHIVE; more records than that share one wide root
+DEPTH = 3  # levels above the leaves: FAN ** DEPTH >= ARCHIVE
+#: Records that make one file, at most.
+FILE_RECORDS = 4096
+_TREE = ["unnamed", "archive"]
 
 
-def record_bytes(url: Column, body: Column) -> Column:
-    """The record as text: header lines, an empty line, the body and two line ends."""
+def record_text(page_id: Column, url: Column, body: Column) -> Column:
+    """The record without its closing two line ends: header lines, an empty line, the body."""
+    name = F.coalesce(page_id.cast("string"), F.lit(""))
     return F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: "), url,
-        F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"),
-        F.lit("\r\n\r\n"), body, F.lit("\r\n\r\n"),
+        F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), name, F.lit(">\r\nWARC-Target-URI: "), url,
+        F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body,
     )
 
 
-def records(pages: DataFrame, archive: int = ARCHIVE) -> DataFrame:
-    """(archive, position, page_id, start, length, digest): one row per record. A window holds one archive at most."""
-    text = record_bytes(F.coalesce("url", F.lit("")), F.coalesce("html", F.lit("")))
-    rows = pages.select("page_id", text.alias("record")).select(
-        "page_id", F.coalesce(F.floor(F.col("page_id") / archive), -1 - F.pmod(F.xxhash64("record"), F.lit(1 << 20))).alias("archive"),
-        F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("body"),
-    )
-    order = W.partitionBy("archive").orderBy("page_id", "body")
-    placed = rows.withColumn("position", (F.row_number().over(order) - 1).cast("long")).withColumn(
-        "start", F.coalesce(F.sum("length").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    )
-    digest = F.sha2(F.concat_ws("|", "start", "length", "body"), 256)
-    return placed.select("archive", "position", "page_id", "start", "length", digest.alias("digest"))
+def written(pages: DataFrame) -> DataFrame:
+    """(page_id, record) of pages."""
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return pages.select(F.col("page_id").cast("long"), record_text(F.col("page_id").cast("long"), blank("url"), blank("html")).alias("record"))
+
+
+def write_warc(pages: DataFrame, path: str, archive: int = ARCHIVE) -> None:
+    """WARC files, compressed, each with whole runs of page ids; a record ends in two line ends."""
+    rows = written(pages).withColumn("archive", F.floor(F.col("page_id") / archive)).repartition("archive").sortWithinPartitions("archive", "page_id")
+    (rows.select("record").write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
+     .option("maxRecordsPerFile", FILE_RECORDS).text(path))
+
+
+RECORDS = "file string, start long, length long, page_id long, url string, body binary, record_sha256 string, error string"
+_MARK = b"WARC/1."
+
+
+def parsed(data: bytes) -> Iterator[tuple]:
+    """(start, length, page_id, url, body, sha256 of the record without closing line ends, error) of every record or broken run of bytes."""
+    at = 0
+    while at < len(data):
+        error = None
+        head_end = data.find(b"\r\n\r\n", at)
+        head = {}
+        if not data.startswith(_MARK, at):
+            error = "no record here"
+        elif head_end < 0:
+            error = "header is cut off"
+        else:
+            head = dict(x.split(b": ", 1) for x in data[at:head_end].split(b"\r\n")[1:] if b": " in x)
+            size = head.get(b"Content-Length", b"")
+            if not size.isdigit():
+                error = "no length"
+            elif head_end + 8 + int(size) > len(data):
+                error = "body is cut off"
+            elif data[head_end + 4 + int(size) : head_end + 8 + int(size)] != b"\r\n\r\n":
+                error = "record does not end where its length says"
+        if error:
+            after = data.find(b"\r\n\r\n" + _MARK, at + 1)
+            end = len(data) if after < 0 else after + 4
+            yield at, end - at, None, None, None, None, error
+        else:
+            end = head_end + 8 + int(size)
+            name = head.get(b"WARC-Record-ID", b"").removeprefix(b"<urn:page:").removesuffix(b">")
+            page = int(name) if name.removeprefix(b"-").isdigit() else None
+            url = head.get(b"WARC-Target-URI", b"").decode("utf-8", "replace")
+            yield at, end - at, page, url, data[head_end + 4 : end - 4], hashlib.sha256(data[at : end - 4]).hexdigest(), None
+        at = end
+
+
+def inflated(data: bytes) -> bytes:
+    """gzip members one after another, as far as they can be read; other bytes as they are."""
+    if not data.startswith(b"\x1f\x8b"):
+        return data
+    out = []
+    while data:
+        z = zlib.decompressobj(31)
+        try:
+            out.append(z.decompress(data))
+        except zlib.error:
+            break
+        data = z.unused_data
+    return b"".join(out)
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """Records of WARC files. A task reads one file at a time."""
+    names = [f.split()[0] for f in RECORDS.split(", ")]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.string()]
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                rows = [(name, *r) for r in parsed(inflated(data))]
+                for i in range(0, len(rows), 500):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 500]), kinds)], names=names)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parse, RECORDS)
+
+
+def leaves(records: DataFrame, archive: int = ARCHIVE) -> DataFrame:
+    """(unnamed, archive, position, page_id, records, start, stop, digest) from (page_id, length, sha): one row per leaf.
+
+    Lengths and digests are added up leaf by leaf, so a page id that fills the table is combined before the shuffle; the window
+    over an archive holds `archive` rows at most.
+    """
+    own = F.pmod(F.xxhash64("sha"), F.lit(1 << 40))
+    number = F.coalesce(F.col("page_id"), own)
+    half = lambda at: F.conv(F.substring("sha", at, 15), 16, 10).cast("decimal(38,0)")
+    keyed = records.select(F.col("page_id").isNull().alias("unnamed"), F.floor(number / archive).alias("archive"), F.pmod(number, F.lit(archive)).alias("position"),
+                           "page_id", "length", "sha", half(1).alias("x"), half(16).alias("y"))
+    found = keyed.groupBy(*_TREE, "position").agg(
+        F.min("page_id").alias("page_id"), F.count("*").alias("records"), F.sum("length").alias("length"), F.min("sha").alias("sha"), F.sum("x").alias("x"), F.sum("y").alias("y"))
+    digest = F.when(F.col("records") == 1, F.sha2(F.concat_ws("|", "length", "sha"), 256)).otherwise(F.sha2(F.concat_ws("|", "records", "length", "x", "y"), 256))
+    stop = F.sum("length").over(W.partitionBy(*_TREE).orderBy("position").rowsBetween(W.unboundedPreceding, 0))
+    return found.withColumn("stop", stop).select(*_TREE, "position", "page_id", "records", (F.col("stop") - F.col("length")).alias("start"), "stop", digest.alias("digest"))
 
 
-def tree(leaves: DataFrame, fan: int = FAN, depth: int = DEPTH) -> DataFrame:
-    """All nodes (archive, level, node, digest, start, stop): level 0 are the records, level `depth` the roots."""
-    level = leaves.select("archive", F.lit(0).alias("level"), F.col("position").alias("node"), "digest", "start",
-                          (F.col("start") + F.col("length")).alias("stop"))
+def page_records(pages: DataFrame) -> DataFrame:
+    """(page_id, length, sha) of pages as they would be written, closing line ends in the length."""
+    return written(pages).select("page_id", (F.octet_length("record") + 4).cast("long").alias("length"), F.sha2("record", 256).alias("sha"))
+
+
+def stored_records(warc: DataFrame) -> DataFrame:
+    return warc.filter("error IS NULL").select("page_id", "length", F.col("record_sha256").alias("sha"))
+
+
+def tree(leaf: DataFrame, fan: int = FAN, depth: int = DEPTH) -> DataFrame:
+    """All nodes (unnamed, archive, level, node, digest, start, stop): level 0 are the leaves, level `depth` the roots.
+    A node has at most `fan` children."""
+    level = leaf.select(*_TREE, F.lit(0).alias("level"), F.col("position").alias("node"), "digest", "start", "stop")
     levels = [level]
     for d in range(1, depth + 1):
-        up = F.floor(F.col("node") / fan) if d < depth else F.lit(0)
-        level = level.groupBy("archive", up.cast("long").alias("up")).agg(
-            F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("node", "digest"))), lambda c: c["digest"])), 256).alias("digest"),
-            F.min("start").alias("start"), F.max("stop").alias("stop"),
-        ).select("archive", F.lit(d).alias("level"), F.col("up").alias("node"), "digest", "start", "stop")
+        child = F.struct("node", "digest")
+        joined = F.concat_ws(",", F.transform(F.array_sort(F.collect_list(child)), lambda c: F.concat_ws(":", c["node"], c["digest"])))
+        level = level.groupBy(*_TREE, F.floor(F.col("node") / fan).alias("up")).agg(
+            F.sha2(joined, 256).alias("digest"), F.min("start").alias("start"), F.max("stop").alias("stop"),
+        ).select(*_TREE, F.lit(d).alias("level"), F.col("up").alias("node"), "digest", "start", "stop")
         levels.append(level)
     out = levels[0]
     for level in levels[1:]:
@@ -66,78 +167,72 @@ def tree(leaves: DataFrame, fan: int = FAN, depth: int = DEPTH) -> DataFrame:
     return out
 
 
-def audit(left: DataFrame, right: DataFrame, fan: int = FAN, depth: int = DEPTH) -> DataFrame:
-    """Records that differ between two trees: (archive, position, start, stop, expected, found); null where missing."""
-    differ = None
+def audit(left: DataFrame, right: DataFrame, t: Tables, fan: int = FAN, depth: int = DEPTH) -> DataFrame:
+    """Leaves that differ between two trees; null on the side that has none."""
+    differ, made = None, []
     for level in range(depth, -1, -1):
-        a = left.filter(F.col("level") == level).select("archive", "node", F.col("digest").alias("expected"), "start", "stop")
-        b = right.filter(F.col("level") == level).select("archive", "node", F.col("digest").alias("found"), F.col("start").alias("b_start"), F.col("stop").alias("b_stop"))
+        side = lambda df, digest, a, b: df.filter(F.col("level") == level).select(
+            *_TREE, "node", F.col("digest").alias(digest), F.col("start").alias(a), F.col("stop").alias(b))
+        ours, theirs = side(left, "expected", "start", "stop"), side(right, "found", "found_start", "found_stop")
         if differ is not None:  # only below nodes that differ
-            up = F.floor(F.col("node") / fan).cast("long") if level + 1 < depth else F.lit(0).cast("long")
-            a = a.withColumn("up", up).join(differ, ["archive", "up"], "left_semi").drop("up")
-            b = b.withColumn("up", up).join(differ, ["archive", "up"], "left_semi").drop("up")
-        both = a.join(b, ["archive", "node"], "full").filter(~F.col("expected").eqNullSafe(F.col("found")))
+            up = F.floor(F.col("node") / fan)
+            ours, theirs = (x.withColumn("up", up).join(differ, [*_TREE, "up"], "left_semi").drop("up") for x in (ours, theirs))
+        both = ours.join(theirs, [*_TREE, "node"], "full").filter(~F.col("expected").eqNullSafe(F.col("found")))
         if level:
-            differ = stage(both.select("archive", F.col("node").alias("up")), f"differ-{level}")
-    return both.select("archive", F.col("node").alias("position"), F.coalesce("start", "b_start").alias("start"),
-                       F.coalesce("stop", "b_stop").alias("stop"), "expected", "found")
-
-
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records (file, start, length, url, body) of uncompressed WARC files."""
+            differ = t(both.select(*_TREE, F.col("node").alias("up")), f"differ-{level}")
+            made.append(differ)
+    out = t(both.withColumnRenamed("node", "position"), "differ-0")
+    t.drop(*made)
+    return out
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                at = 0
-                while at < len(data):
-                    head_end = data.index(b"\r\n\r\n", at)
-                    head = dict(x.split(b": ", 1) for x in data[at:head_end].split(b"\r\n")[1:])
-                    size = int(head[b"Content-Length"])
-                    body = data[head_end + 4 : head_end + 4 + size]
-                    end = head_end + 4 + size + 4
-                    rows.append((name, at, end - at, head[b"WARC-Target-URI"].decode(), body.decode()))
-                    at = end
-            cols = list(zip(*rows)) or [[]] * 5
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["file", "start", "length", "url", "body"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(parse, "file string, start long, length long, url string, body string")
+#: The stored replica of the query, by the first hex digits of md5(page_id): damaged in place, lost, and grown by one byte;
+#: one page in 256 is stored twice over under a page id that nobody knows.
+DAMAGED, LOST, GROWN, ADDED = "substr(md5(cast(page_id AS string)), 1, 2) IN ('70', '71', '72', '73')", "substr(md5(cast(page_id AS string)), 1, 2) = 'a1'", "substr(md5(cast(page_id AS string)), 1, 2) = 'b2'", "substr(md5(cast(page_id AS string)), 1, 2) = 'c3'"
 
 
-#: The second replica of the query: a replica in which these pages were damaged in storage (same length, one letter case).
-DAMAGED = "substr(md5(cast(page_id AS string)), 1, 1) = '7'"
+def damaged_replica(pages: DataFrame) -> DataFrame:
+    html = F.when(F.expr(DAMAGED), F.translate("html", "e", "E")).when(F.expr(GROWN), F.concat("html", F.lit("!"))).otherwise(F.col("html"))
+    kept = pages.select("page_id", "url", html.alias("html")).filter(~F.coalesce(F.expr(LOST), F.lit(False)))
+    return kept.unionByName(pages.filter(F.expr(ADDED)).select((-1 - F.col("page_id")).alias("page_id"), "url", "html"))
 
 
-def damaged_replica(pages: DataFrame) -> DataFrame:
-    return pages.withColumn("html", F.when(F.expr(DAMAGED), F.translate("html", "e", "E")).otherwise(F.col("html")))
+def fixity_audit(ours: DataFrame, theirs: DataFrame, archive: int = ARCHIVE, fan: int = FAN, depth: int = DEPTH) -> DataFrame:
+    """Differences between two tables of records (page_id, length, sha): one row per page id that differs."""
+    t = Tables(ours.sparkSession)
+    a, b = t(leaves(ours, archive), "leaves"), t(leaves(theirs, archive), "replica")
+    left, right = t(tree(a, fan, depth), "left"), t(tree(b, fan, depth), "right")
+    found = audit(left, right, t, fan, depth)
+    t.drop(left, right)
+    key = [*_TREE, "position"]
+    names = found.join(a.select(*key, F.col("page_id").alias("a_id")), key, "left").join(b.select(*key, F.col("page_id").alias("b_id")), key, "left")
+    status = F.when(F.col("found").isNull(), "missing").when(F.col("expected").isNull(), "added").otherwise("changed")
+    return names.select(*key, F.coalesce("a_id", "b_id").alias("page_id"), status.alias("status"), "start", "stop", "found_start", "found_stop", "expected", "found")
 
 
-def fixity_audit(pages: DataFrame, replica: DataFrame) -> DataFrame:
-    ours = stage(records(pages), "records")
-    left, right = stage(tree(ours), "left"), stage(tree(stage(records(replica), "replica")), "right")
-    found = audit(left, right)
-    return found.join(ours.select("archive", "position", "page_id"), ["archive", "position"], "left").select(
-        "archive", "position", "page_id", "start", "stop", "expected", "found"
-    )
+def stored_audit(pages: DataFrame, replica: DataFrame) -> DataFrame:
+    """The replica is written to WARC files in the shared folder; the audit compares pages with what is read from the files."""
+    path = scratch(pages.sparkSession, "warc")
+    write_warc(replica, path)
+    stored = read_warc(pages.sparkSession, path)
+    return fixity_audit(page_records(pages), stored_records(stored))
 
 
 ORACLE = r"""
-WITH r AS (
-  SELECT page_id, coalesce(floor(page_id / 512.0)::BIGINT, -1) AS archive,
-    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
-    || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' AS head, coalesce(html, '') AS body,
-    translate(coalesce(html, ''), 'e', 'E') AS bad
-  FROM pages),
-t AS (
-  SELECT page_id, archive, head || strlen(body) || chr(13) || chr(10) || chr(13) || chr(10) || body || chr(13) || chr(10) || chr(13) || chr(10) AS good,
-    head || strlen(bad) || chr(13) || chr(10) || chr(13) || chr(10) || bad || chr(13) || chr(10) || chr(13) || chr(10) AS bad FROM r),
-p AS (
-  SELECT *, row_number() OVER w - 1 AS position, coalesce(sum(strlen(good)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-  FROM t WINDOW w AS (PARTITION BY archive ORDER BY page_id))
-SELECT archive, position, page_id, start, start + strlen(good) AS stop,
-  sha256(start || '|' || strlen(good) || '|' || sha256(good)) AS expected, sha256(start || '|' || strlen(good) || '|' || sha256(bad)) AS found
-FROM p WHERE substr(md5(page_id::VARCHAR), 1, 1) = '7' AND good <> bad
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, substr(md5(page_id::VARCHAR), 1, 2) AS h FROM pages),
+v AS (
+  SELECT 0 AS side, page_id, url, html FROM p
+  UNION ALL SELECT 1, page_id, url, CASE WHEN h IN ('70', '71', '72', '73') THEN translate(html, 'e', 'E') WHEN h = 'b2' THEN html || '!' ELSE html END FROM p WHERE h <> 'a1'
+  UNION ALL SELECT 1, -1 - page_id, url, html FROM p WHERE h = 'c3'),
+r AS (
+  SELECT side, page_id, floor(page_id / 512.0)::BIGINT AS archive, 'WARC/1.1' || n || 'WARC-Type: response' || n || 'WARC-Record-ID: <urn:page:' || page_id || '>' || n || 'WARC-Target-URI: ' || url || n
+    || 'Content-Type: text/html' || n || 'Content-Length: ' || strlen(html) || n || n || html AS record
+  FROM v, (SELECT chr(13) || chr(10) AS n)),
+l AS (
+  SELECT side, archive, page_id - archive * 512 AS position, page_id, strlen(record) + 4 AS len, sha256((strlen(record) + 4) || '|' || sha256(record)) AS digest FROM r),
+o AS (SELECT *, (sum(len) OVER (PARTITION BY side, archive ORDER BY position ROWS UNBOUNDED PRECEDING))::BIGINT AS stop FROM l)
+SELECT false AS unnamed, coalesce(a.archive, b.archive) AS archive, coalesce(a.position, b.position) AS position, coalesce(a.page_id, b.page_id) AS page_id,
+  CASE WHEN b.digest IS NULL THEN 'missing' WHEN a.digest IS NULL THEN 'added' ELSE 'changed' END AS status,
+  coalesce(a.stop - a.len, -1) AS start, coalesce(a.stop, -1) AS stop, coalesce(b.stop - b.len, -1) AS found_start, coalesce(b.stop, -1) AS found_stop, a.digest AS expected, b.digest AS found
+FROM (SELECT * FROM o WHERE side = 0) a FULL JOIN (SELECT * FROM o WHERE side = 1) b ON a.page_id = b.page_id WHERE a.digest IS DISTINCT FROM b.digest
 """
