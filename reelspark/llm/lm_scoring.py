@@ -1,140 +1,177 @@
 """Operator 4: language-model scoring by cross-entropy difference.
 
-Two word bigram models of the same order, smoothing and vocabulary: the target model is counted on all documents labelled as
-good, the background model on all documents. A document's score is its loss under the background model minus its loss
-under the target model, per token (higher: more like the target); both losses are returned.
-
-Every word, history and pair of words has its own count in both corpora (62-bit hashes), so the models grow with the input. Texts are
-dealt into chunks of about CHUNK_BYTES; a chunk counts its distinct n-grams and sends them, cut by hash range, to buckets. A
-bucket adds up its range over all chunks and answers each chunk with the totals of just its n-grams, in their order; a chunk scores
-its documents with the answers. No task holds more than a chunk or a range, and nothing of the models comes to the
-driver but the number of words. The pair model backs off to the word model by absolute interpolation (Witten-Bell style
-weights from the counts of the history).
+Two word bigram models of one order, one smoothing and one vocabulary: the background model is counted on all documents,
+the target model on all documents labelled as good. The vocabulary holds every word seen at least twice whose share of the
+corpus reaches `SHARE` (so it has at most 1 / SHARE words); all others are one unknown word. The models are matched: the
+background's counts weigh as those of a sample of the target's size would, so that the same smoothing has the same force
+in both. Every document is scored by models that have not seen it: its own counts are taken out of both. The score is the loss per token
+under the background model minus that under the target model (higher: more like the target); both losses are returned.
+
+Texts become word ids, dealt into chunks of about CHUNK_BYTES of text. A chunk counts its distinct pairs and sends them, cut by
+key range, to buckets, as compressed differences of sorted keys. A bucket adds up its range over all chunks and answers each
+chunk with the totals of just its pairs, in their order; a chunk scores its documents with the answers. So the pair counts grow with
+the input; no task holds more than a chunk or a range, and only the word counts, which are bounded, come to the driver.
+The pair model backs off to the word model by absolute interpolation.
 
 Edge cases: null and empty texts have 0 tokens and score 0; without labelled documents the target model is the uniform prior
-of its smoothing; repeated rows count each time; an empty table gives an empty result.
+of its smoothing; repeated rows count each time, and each is scored without itself but with its copies; labels without doc_id
+are left out; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import small_batches, stage, unsqueezed
+from .common import Tables, WordHashes
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 12 << 20
 #: Buckets: so many a shuffle partition, and more once a range would come from more text than this.
-BUCKETS, RANGE_BYTES = 8, 8 << 20
-CACHE = 400_000
+BUCKETS, RANGE_BYTES = 4, 8 << 20
+#: Least share of the corpus of a word of the vocabulary.
+SHARE = 1e-6
 STRENGTH = 8.0  # how many counts of a history weigh as much as its word model
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-_START = np.uint64(1)
-PAIR, WORD, HISTORY = range(3)
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < CACHE:
-            self[word] = h
-        return h
-
-
-def keys(h: np.ndarray, kind: int) -> np.ndarray:
-    """62 bits of the hash, mixed, then two bits for the kind of n-gram."""
-    h = (h ^ (h >> np.uint64(31))) * _MIX
-    return ((h ^ (h >> np.uint64(29))) & ~np.uint64(3)) | np.uint64(kind)
-
-
-class Chunk:
-    """The n-grams of a chunk's texts: sorted distinct keys, and where each token's word, history and pair stand in them."""
-
-    def __init__(self, texts: list[bytes], cache: WordHashes):
-        split = [t.lower().split() for t in texts]
-        self.n = np.array([len(w) for w in split], np.int64)
-        h = np.fromiter((cache[w] for words in split for w in words), np.uint64, self.n.sum())
-        before = np.concatenate([[_START], h[:-1]]) if len(h) else h
-        before[(np.cumsum(self.n) - self.n)[self.n > 0]] = _START
-        parts, places, at = [], [], 0
-        for kind, x in ((WORD, h), (HISTORY, before), (PAIR, (before * _MIX) ^ (h >> np.uint64(32)) ^ (h << np.uint64(32)))):
-            u, place = np.unique(keys(x, kind), return_inverse=True)
-            parts.append(u)
-            places.append(place + at)
-            at += len(u)
-        every = np.concatenate(parts)
-        order = np.argsort(every)
-        self.keys, rank = every[order], np.empty(len(every), np.int64)
-        rank[order] = np.arange(len(every))
-        self.word, self.history, self.pair = (rank[p] for p in places)
-
-    def counts(self, good: np.ndarray) -> np.ndarray:
-        """Two rows: of all documents, and of the good ones."""
-        chosen = np.repeat(good, self.n)
-        return np.stack([sum(np.bincount(p[m], minlength=len(self.keys)) for p in (self.word, self.history, self.pair))
-                         for m in (np.ones(len(chosen), bool), chosen)])
-
-    def losses(self, counts: np.ndarray, tokens: int, words: int) -> np.ndarray:
-        """Mean negative log2 probability of each document's tokens, for a model of these counts."""
-        unigram = (counts[self.word] + 0.5) / (tokens + 0.5 * (words + 1))  # one more for words never seen
-        prob = (counts[self.pair] + STRENGTH * unigram) / (counts[self.history] + STRENGTH)
-        doc = np.repeat(np.arange(len(self.n)), self.n)
-        return np.bincount(doc, -np.log2(prob), len(self.n)) / np.maximum(self.n, 1)
-
-
-CHUNKS = "chunk long, doc_ids array<long>, good array<boolean>, texts binary, ends array<long>, bytes long"
-
-
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, good) put together to chunks of about CHUNK_BYTES."""
-    names = [f.split()[0] for f in CHUNKS.split(", ")]
-    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.list_(pa.int64()), pa.int64()]
-    z, held, size, k = zstandard.ZstdCompressor(level=3), [], 0, TaskContext.get().partitionId() << 32
-
-    def row():
-        docs, goods, texts = zip(*held)
-        ends = np.cumsum([len(t) for t in texts])
-        values = (k, list(docs), list(goods), z.compress(b"".join(texts)), ends.tolist(), size)
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], names=names)
+_ODD = 0x9E3779B97F4A7C15
+
+
+@cache
+def compressor() -> zstandard.ZstdCompressor:
+    """One for each Python worker."""
+    return zstandard.ZstdCompressor(level=3)
+
+
+def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes, held, size = WordHashes(), [], 0
+
+    def counted() -> pa.RecordBatch:
+        words, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "n"])
 
     for b in batches:
-        for doc, text, good in zip(*(c.to_pylist() for c in b.columns)):
-            held.append((doc, good, (text or "").encode("utf-8", "replace")))
-            size += len(held[-1][2])
-            if size >= CHUNK_BYTES:
-                yield row()
-                held, size, k = [], 0, k + 1
+        for text in b.column(0).to_pylist():
+            words = text.encode("utf-8", "replace").lower().split()
+            held.append(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
+            size += len(words)
+            if size > 1 << 20:
+                yield counted()
+                held, size = [], 0
     if held:
-        yield row()
+        yield counted()
+
+
+def vocabulary(docs: DataFrame, t: Tables, share: float = SHARE) -> np.ndarray:
+    """Sorted hashes of the words of the vocabulary: at most 1 / share."""
+    counts = docs.filter("text IS NOT NULL").select("text").mapInArrow(word_counts, "word long, n long")
+    counts = t(counts.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    words = counts.filter(F.col("n") >= max(2, int(np.ceil(share * total)))).select("word").toArrow().column("word").to_numpy()
+    t.drop(counts)
+    return np.sort(words.view(np.uint64))
+
+
+CHUNKS = "chunk long, doc_ids array<long>, sizes array<int>, ids binary, bytes long"
+
+
+def chunker(words) -> Callable:
+    """Rows (doc_id, text) put together to chunks: word ids 1 .. V by the vocabulary's order, 0 for the unknown word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, hashes = words.value, WordHashes()
+        names, kinds = [f.split()[0] for f in CHUNKS.split(", ")], [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.int64()]
+        docs, held, size, k = [], [], 0, TaskContext.get().partitionId() << 32
+
+        def row() -> pa.RecordBatch:
+            h = np.concatenate(held)
+            at = np.searchsorted(vocab, h)
+            known = vocab[np.minimum(at, len(vocab) - 1)] == h if len(vocab) else np.zeros(len(h), bool)
+            ids = np.where(known, at + 1, 0).astype("<u4")
+            values = (k, docs, [len(x) for x in held], compressor().compress(ids.tobytes()), size)
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], names=names)
+
+        for b in batches:
+            for doc, text in zip(*(c.to_pylist() for c in b.columns)):
+                data = (text or "").encode("utf-8", "replace")
+                split = data.lower().split()
+                docs.append(doc)
+                held.append(np.fromiter(map(hashes.__getitem__, split), np.uint64, len(split)))
+                size += len(data)
+                if size >= CHUNK_BYTES:
+                    yield row()
+                    docs, held, size, k = [], [], 0, k + 1
+        if held:
+            yield row()
+
+    return run
+
+
+class Pairs:
+    """The (history, word) pairs of a chunk. base = words + 2: 0 is the unknown word, base - 1 the start of a document."""
 
+    def __init__(self, sizes: list[int], ids: bytes, base: int):
+        self.n, self.base = np.array(sizes, np.int64), base
+        self.word = np.frombuffer(zstandard.ZstdDecompressor().decompress(ids), "<u4").astype(np.uint64)
+        self.history = np.concatenate([[np.uint64(base - 1)], self.word[:-1]]) if len(self.word) else self.word
+        self.history[(np.cumsum(self.n) - self.n)[self.n > 0]] = base - 1
+        self.doc = np.repeat(np.arange(len(self.n)), self.n)
+        # an odd factor deals the pairs evenly over their range of keys
+        self.bits = key_bits(base)
+        mixed = (self.history * np.uint64(base) + self.word) * np.uint64(_ODD) & np.uint64((1 << self.bits) - 1)
+        self.keys, self.place = np.unique(mixed, return_inverse=True)
 
-def read_texts(blob: bytes, ends: list[int]) -> list[bytes]:
-    whole = unsqueezed(blob)
-    return [whole[a:b] for a, b in zip([0, *ends], ends)]
+    def chosen(self, good: list[int] | None) -> np.ndarray:
+        """One flag a document."""
+        out = np.zeros(len(self.n), bool)
+        out[np.array(good or [], np.int64)] = True
+        return out
 
+    def own(self, of: np.ndarray, most: int) -> np.ndarray:
+        """How often each token's item occurs in its own document."""
+        _, place, n = np.unique(self.doc.astype(np.uint64) * np.uint64(most) + of.astype(np.uint64), return_inverse=True, return_counts=True)
+        return n[place]
 
-def cuts(n: int) -> np.ndarray:
-    """First key of each of n ranges but the first."""
-    return np.array([(i << 64) // n for i in range(1, n)], np.uint64)
 
+def key_bits(base: int) -> int:
+    return max(8, int(base * base - 1).bit_length())
 
-def asker(n_buckets: int) -> Callable:
-    """Of every chunk and bucket with n-grams: sorted keys and both counts."""
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    steps = np.diff(keys, prepend=np.uint64(0))
+    wide = len(steps) and int(steps.max()) >> 32
+    return (b"8" if wide else b"4") + compressor().compress(steps.astype("<u8" if wide else "<u4").tobytes())
+
+
+def unpacked_keys(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), f"<u{blob[:1].decode()}").astype(np.uint64))
+
+
+def packed_counts(counts: np.ndarray) -> bytes:
+    """Two rows of counts, as narrow as they fit."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or int(counts.max(initial=0)) < 1 << 8 * w)
+    return str(width).encode() + compressor().compress(counts.astype(f"<u{width}").tobytes())
+
+
+def unpacked_counts(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), f"<u{blob[:1].decode()}").astype(np.int64).reshape(2, -1)
+
+
+def asker(n_buckets: int, base: int) -> Callable:
+    """Of every chunk and bucket with pairs: sorted keys and both counts."""
+    cuts = np.array([(i << key_bits(base)) // n_buckets for i in range(1, n_buckets)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, z = WordHashes(), zstandard.ZstdCompressor(level=1)
         for b in batches:
-            for chunk, good, blob, ends in zip(*(b.column(c).to_pylist() for c in ("chunk", "good", "texts", "ends"))):
-                c = Chunk(read_texts(blob, ends), cache)
-                counts = c.counts(np.array(good, bool)).astype("<i8")
-                at = np.searchsorted(c.keys, cuts(n_buckets))
-                rows = [(i, chunk, k.tobytes(), z.compress(m.tobytes()))
-                        for i, (k, m) in enumerate(zip(np.split(c.keys, at), np.split(counts, at, axis=1))) if len(k)]
+            for chunk, sizes, ids, good in zip(*(b.column(c).to_pylist() for c in ("chunk", "sizes", "ids", "good"))):
+                p = Pairs(sizes, ids, base)
+                marked = p.chosen(good)[p.doc]
+                counts = np.stack([np.bincount(p.place[m], minlength=len(p.keys)) for m in (slice(None), marked)])
+                at = np.searchsorted(p.keys, cuts)
+                rows = [(i, chunk, packed_keys(k), packed_counts(m)) for i, (k, m) in enumerate(zip(np.split(p.keys, at), np.split(counts, at, axis=1))) if len(k)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
                                                      names=["bucket", "chunk", "keys", "counts"])
@@ -142,27 +179,18 @@ def asker(n_buckets: int) -> Callable:
     return run
 
 
-ANSWERS = "bucket int, chunk long, sums binary, words long, tokens long, good_tokens long"
-
-
 def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Totals over all chunks, sent back to each; a bucket's numbers of distinct words and of tokens stand in one of its rows.
-    Rows come sorted by bucket, and a bucket may span batches."""
-    z, held = zstandard.ZstdCompressor(level=1), []
+    """Totals over all chunks, sent back to each. Rows come sorted by bucket, and a bucket may span batches."""
+    held: list[tuple] = []
 
     def answer() -> pa.RecordBatch:
-        parts = [np.frombuffer(r[2], np.uint64) for r in held]
+        parts = [unpacked_keys(r[2]) for r in held]
         known, place = np.unique(np.concatenate(parts), return_inverse=True)
-        counts = np.concatenate([np.frombuffer(unsqueezed(r[3]), "<i8").reshape(2, -1) for r in held], axis=1)
-        sums = np.zeros((2, len(known)), np.int64)
-        for s, c in zip(sums, counts):
-            np.add.at(s, place, c)
-        word = known & np.uint64(3) == np.uint64(WORD)
-        facts = [int(word.sum()), *sums[:, word].sum(1).tolist()]
-        blobs = [z.compress(sums[:, p].tobytes()) for p in np.split(place, np.cumsum([len(p) for p in parts])[:-1])]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in held], pa.int32()), pa.array([r[1] for r in held], pa.int64()), pa.array(blobs, pa.binary()),
-             *(pa.array([f] + [0] * (len(held) - 1), pa.int64()) for f in facts)], names=["bucket", "chunk", "sums", "words", "tokens", "good_tokens"])
+        counts = np.concatenate([unpacked_counts(r[3]) for r in held], axis=1)
+        sums = np.stack([np.bincount(place, c, len(known)) for c in counts]).astype(np.int64)
+        blobs = [packed_counts(sums[:, p]) for p in np.split(place, np.cumsum([len(p) for p in parts])[:-1])]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.int32()), pa.array([r[1] for r in held], pa.int64()), pa.array(blobs, pa.binary())],
+                                          names=["bucket", "chunk", "sums"])
 
     for b in batches:
         for row in zip(*(b.column(c).to_pylist() for c in ("bucket", "chunk", "keys", "counts"))):
@@ -174,36 +202,77 @@ def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield answer()
 
 
+def single_counts(base: int) -> Callable:
+    """(item, all, good, history_all, history_good) of every chunk's words and histories."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for sizes, ids, good in zip(*(b.column(c).to_pylist() for c in ("sizes", "ids", "good"))):
+                p = Pairs(sizes, ids, base)
+                marked = p.chosen(good)[p.doc]
+                rows = [np.bincount(x[m].astype(np.int64), minlength=base) for x in (p.word, p.history) for m in (slice(None), marked)]
+                used = np.flatnonzero(rows[0] + rows[2])
+                yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(r[used]) for r in rows)], names=["item", "n", "good_n", "h", "good_h"])
+
+    return run
+
+
 SCORED = "doc_id long, n_tokens long, background_loss double, target_loss double, score double"
 
 
-def scorer(tokens: list[int], words: int) -> Callable:
-    """Rows are chunks with all their answers in `answers`, by bucket."""
+def losses(pair, word, history, tokens, own, n_doc, base: int, weight: float) -> np.ndarray:
+    """Negative log2 probability of each token, under counts from which its document's own are taken out."""
+    own_pair, own_word, own_history = own
+    unigram = (word - own_word + 0.5) / (tokens - n_doc + 0.5 * (base - 1))
+    return -np.log2((weight * (pair - own_pair) + STRENGTH * unigram) / (weight * (history - own_history) + STRENGTH))
+
+
+def scorer(counts, base: int) -> Callable:
+    """Rows are chunks with all their answers, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        words, histories = counts.value  # (2, base) each: of all documents, of the good ones
+        tokens = words.sum(1)
+        match = min(1.0, tokens[1] / tokens[0]) if tokens[1] else 1.0
         for b in batches:
-            for docs, blob, ends, answers in zip(*(b.column(c).to_pylist() for c in ("doc_ids", "texts", "ends", "answers"))):
-                c = Chunk(read_texts(blob, ends), cache)
-                parts = [np.frombuffer(unsqueezed(a["sums"]), np.int64).reshape(2, -1) for a in sorted(answers or [], key=lambda a: a["bucket"])]
+            for docs, sizes, ids, good, answers in zip(*(b.column(c).to_pylist() for c in ("doc_ids", "sizes", "ids", "good", "answers"))):
+                p = Pairs(sizes, ids, base)
+                parts = [unpacked_counts(a["sums"]) for a in sorted(answers or [], key=lambda a: a["bucket"])]
                 sums = np.concatenate([np.zeros((2, 0), np.int64), *parts], axis=1)
-                bg, tg = (c.losses(s, n, words) for s, n in zip(sums, tokens))
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(c.n), pa.array(bg), pa.array(tg), pa.array(bg - tg)],
-                                                 names=["doc_id", "n_tokens", "background_loss", "target_loss", "score"])
+                own = p.own(p.place, max(1, len(p.keys))), p.own(p.word, base), p.own(p.history, base)
+                n_doc, seen = p.n[p.doc], p.chosen(good)[p.doc]
+                out = []
+                for i, weight, mine in ((0, match, np.ones(len(p.doc), bool)), (1, 1.0, seen)):
+                    loss = losses(sums[i][p.place], words[i][p.word.astype(np.int64)], histories[i][p.history.astype(np.int64)], tokens[i],
+                                  [o * mine for o in own], n_doc * mine, base, weight)
+                    out.append(np.bincount(p.doc, loss, len(p.n)) / np.maximum(p.n, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(p.n), *map(pa.array, out), pa.array(out[0] - out[1])],
+                                                 names=[f.split()[0] for f in SCORED.split(", ")])
 
     return run
 
 
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    spark = docs.sparkSession
-    small_batches(spark)
-    good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("good_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(good, F.col("doc_id") == F.col("good_id"), "left")
-    dealt = stage(texts.select("doc_id", "text", F.col("good_id").isNotNull().alias("good")).mapInArrow(chunks, CHUNKS), "chunks")
-    size = dealt.agg(F.sum("bytes")).first()[0] or 0
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame, share: float = SHARE) -> DataFrame:
+    spark, t = docs.sparkSession, Tables(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    words = vocabulary(texts, t, share)
+    base = len(words) + 2
+    dealt = t(texts.mapInArrow(chunker(spark.sparkContext.broadcast(words)), CHUNKS), "chunks")
+    good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long")).distinct()
+    # which places of a chunk hold good documents: a number for each
+    places = dealt.select("chunk", F.posexplode("doc_ids").alias("place", "doc_id")).join(good, "doc_id").groupBy("chunk").agg(F.collect_list("place").alias("good"))
+    marked = t(dealt.join(places, "chunk", "left"), "marked")
+    t.drop(dealt)
+    counts = np.zeros((4, base), np.int64)
+    singles = marked.select("sizes", "ids", "good").mapInArrow(single_counts(base), "item long, n long, good_n long, h long, good_h long")
+    # at most 1 / share + 2 rows
+    singles = singles.groupBy("item").agg(*[F.sum(c).alias(c) for c in ("n", "good_n", "h", "good_h")]).toArrow()
+    counts[:, singles.column("item").to_numpy()] = [singles.column(c).to_numpy() for c in ("n", "good_n", "h", "good_h")]
+    size = marked.agg(F.sum("bytes")).first()[0] or 0
     n = max(BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)
-    asked = dealt.select("chunk", "good", "texts", "ends").mapInArrow(asker(n), "bucket int, chunk long, keys binary, counts binary")
-    answers = stage(asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(totals, ANSWERS), "answers")
-    words, *tokens = (v or 0 for v in answers.agg(F.sum("words"), F.sum("tokens"), F.sum("good_tokens")).first())
+    asked = marked.select("chunk", "sizes", "ids", "good").mapInArrow(asker(n, base), "bucket int, chunk long, keys binary, counts binary")
+    answers = t(asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(totals, "bucket int, chunk long, sums binary"), "answers")
     gathered = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "sums")).alias("answers"))
-    return dealt.join(gathered, "chunk", "left").select("doc_ids", "texts", "ends", "answers").mapInArrow(scorer(tokens, words), SCORED)
+    known = spark.sparkContext.broadcast((counts[:2], counts[2:]))
+    rows = marked.join(gathered, "chunk", "left").select("doc_ids", "sizes", "ids", "good", "answers")
+    return rows.mapInArrow(scorer(known, base), SCORED)
