@@ -22,8 +22,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import small_batches
-
 DIM_BITS = 12
 DIM = 1 << DIM_BITS
 ORDERS = (1, 2, 3, 4)
@@ -96,8 +94,8 @@ def decode(margins: np.ndarray, code: np.ndarray, weight: np.ndarray) -> np.ndar
 
 def sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [(lang, features(t).tobytes()) for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["lang", "x"])
+        blobs = [features(t).tobytes() for t in b.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(blobs, pa.binary())], names=["place", "lang", "x"])
 
 
 def train(docs: DataFrame, learn: Column, max_train: int = MAX_TRAIN):
@@ -112,7 +110,8 @@ def train(docs: DataFrame, learn: Column, max_train: int = MAX_TRAIN):
     for lang in langs:  # a fixed share of each language's hash range: as many rows as asked for, whatever the size
         part = (F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(10_000_000)) < int(1 + 10_000_000 * each / counts[lang]))
         chosen = part if chosen is None else chosen | part
-    got = rows.filter(chosen).select("lang", "text").mapInArrow(sample_features, "lang string, x binary").limit(2 * each * len(langs)).toArrow()
+    sample = rows.filter(chosen).select(F.xxhash64("doc_id", "text").alias("place"), "lang", "text").mapInArrow(sample_features, "place long, lang string, x binary")
+    got = sample.orderBy("place").limit(2 * each * len(langs)).toArrow()  # the bound holds where doc_ids repeat, too
     y = np.array([langs.index(v) for v in got.column("lang").to_pylist()], np.int64)
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(len(y), DIM)
     present = sorted(set(y.tolist()))
@@ -153,7 +152,6 @@ def held_out(modulus: int, remainder: int) -> Column:
 
 def identify(docs: DataFrame, margin: float = MARGIN, max_train: int = MAX_TRAIN) -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous for every document."""
-    small_batches(docs.sparkSession)
     model = train(docs, ~held_out(4, 2), max_train)
     out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         predictor(model, margin), "row long, lang_pred string, score double, ambiguous boolean"
@@ -163,7 +161,6 @@ def identify(docs: DataFrame, margin: float = MARGIN, max_train: int = MAX_TRAIN
 
 def recognised(docs: DataFrame) -> DataFrame:
     """The rows of docs whose language is recognised: neither `und` nor ambiguous. The text travels with its row."""
-    small_batches(docs.sparkSession)
     model = train(docs, ~held_out(4, 2))
     decide = predictor(model)
 
