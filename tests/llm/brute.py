@@ -9,9 +9,10 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def suffix_dedup(docs, length=100):
-    """docs: (doc_id, text) in any order -> {doc_id: (n_bytes, n_removed, n_spans, kept_sha256)}."""
-    seen, out = set(), {}
-    for doc_id, text in sorted(docs, key=lambda d: d[0]):
+    """docs: (doc_id, text) in any order, no two alike -> sorted rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256). Texts of one
+    doc_id must have no long string in common, for their order is free."""
+    seen, out = set(), []
+    for doc_id, text in sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0)):
         data = (text or "").encode()
         gone = bytearray(len(data))
         for i in range(len(data) - length + 1):
@@ -21,8 +22,8 @@ def suffix_dedup(docs, length=100):
             seen.add(s)
         spans = len(re.findall(b"\1+", bytes(gone)))
         kept = bytes(c for c, g in zip(data, gone) if not g)
-        out[doc_id] = (len(data), sum(gone), spans, hashlib.sha256(kept).hexdigest())
-    return out
+        out.append((doc_id, len(data), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
 
 
 def components(pairs, nodes):
@@ -47,10 +48,14 @@ def shingle_set(text):
 
 
 def jaccard_components(docs):
-    sets = {d: shingle_set(t) for d, t in docs}
-    ids = sorted(sets)
-    pairs = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
-    return {d: (len(sets[d]), c) for d, c in components(pairs, ids).items()}
+    """Rows are nodes -> sorted rows (doc_id, n_shingles, component_id)."""
+    sets = [shingle_set(t) for _, t in docs]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
+    of, least = components(pairs, range(len(sets))), {}
+    for at, c in of.items():
+        if docs[at][0] is not None:
+            least[c] = min(least.get(c, docs[at][0]), docs[at][0])
+    return sorted(((d, len(sets[at]), least.get(of[at])) for at, (d, _) in enumerate(docs)), key=str)
 
 
 def quality(text):
@@ -82,21 +87,54 @@ def targets(sizes, cap=3):
         fixed |= {s: cap * sizes[s] for s in over}
 
 
-def lm_losses(docs, good, strength=8.0):
-    """doc_id -> (tokens, loss under all documents, loss under the good ones), by counts of real words and pairs."""
-    split = {i: (t or "").encode().lower().split() for i, t in docs}
-    models = []
-    for ids in (set(split), good):
+def lm_losses(docs, good, share=1e-6, strength=8.0):
+    """(doc_id, tokens, loss under all other documents, loss under the other good ones) of every row, by counts of real words and pairs."""
+    split = [(t or "").encode().lower().split() for _, t in docs]
+    every = Counter(w for words in split for w in words)
+    known = {w for w, n in every.items() if n >= max(2, math.ceil(share * sum(every.values())))}
+    split = [[w if w in known else "?" for w in words] for words in split]
+    size = len(known) + 1
+
+    def counted(rows):
         words, before, pairs = Counter(), Counter(), Counter()
-        for i in ids:
-            words.update(split[i])
-            before.update([None, *split[i]][:-1] if split[i] else [])
-            pairs.update(zip([None, *split[i]], split[i]))
-        models.append((words, before, pairs, sum(words.values())))
-    size = len(models[0][0]) + 1
-
-    def loss(w, words, before, pairs, n):
-        p = [(pairs[a, b] + strength * (words[b] + 0.5) / (n + 0.5 * size)) / (before[a] + strength) for a, b in zip([None, *w], w)]
-        return -sum(map(math.log2, p)) / max(1, len(p))
-
-    return {i: (len(w), *(loss(w, *m) for m in models)) for i, w in split.items()}
+        for w in rows:
+            words.update(w)
+            before.update([None, *w][:-1] if w else [])
+            pairs.update(zip([None, *w], w))
+        return words, before, pairs
+
+    chosen = [d in good for d, _ in docs]
+    models = [counted(split), counted([w for w, g in zip(split, chosen) if g])]
+    tokens = [sum(m[0].values()) for m in models]
+    match = min(1.0, tokens[1] / tokens[0]) if tokens[1] else 1.0
+    out = []
+    for (doc_id, _), w, g in zip(docs, split, chosen):
+        own, losses = counted([w]), []
+        for model, n, weight, mine in ((models[0], tokens[0], match, 1), (models[1], tokens[1], 1.0, int(g))):
+            total = 0.0
+            for a, b in zip([None, *w], w):
+                words, before, pairs = (m[k] - mine * o[k] for m, o, k in zip(model, own, (b, a, (a, b))))
+                unigram = (words + 0.5) / (n - mine * len(w) + 0.5 * size)
+                total -= math.log2((weight * pairs + strength * unigram) / (weight * before + strength))
+            losses.append(total / max(1, len(w)))
+        out.append((doc_id, len(w), *losses))
+    return out
+
+
+def mixture(docs, goal, quantum=lambda target: max(16, int(target // 256)), epochs=3):
+    """docs: (doc_id, size, source rank) -> {doc_id: words taken}; goal: {rank: (target, source_size)}."""
+    budget, packets, taken = sum(n for _, n, _ in docs), [], Counter()
+    for rank, (target, size) in goal.items():
+        at = 0
+        queue = [(e, hashlib.md5(f"{e}-{d}".encode()).hexdigest(), d, n) for d, n, r in docs if r == rank and n for e in range(1, epochs + 1) if target > (e - 1) * size]
+        for e, h, d, n in sorted(queue):
+            q = quantum(target)
+            for k in range(-(-n // q)):
+                part = min(q, n - k * q)
+                packets.append(((at + k * q + part) / target, rank, e, h, d, k, part))
+            at += n
+    for *_, d, _, part in sorted(packets):
+        part = min(part, budget)
+        budget -= part
+        taken[d] += part
+    return taken
