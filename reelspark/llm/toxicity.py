@@ -1,9 +1,10 @@
 """Operator 10: toxicity by a factorization machine over hashed terms.
 
-Terms are lower-cased words and their prefixes, hashed into 2^18 slots. On a bounded sample of labelled rows the slots that
-differ most between the classes are selected, and a factorization machine is fitted over them: a linear weight for each
-slot plus a small vector whose inner products score pairs of terms, so that two terms together can mean more
-(or less) than both apart. The intercept is set to the class shares of all labelled rows. Scoring reads every whole text
+Terms are lower-cased words and their prefixes, hashed into 2^18 slots. On a bounded sample of labelled rows two kinds of slots
+are selected: those whose share differs most between the classes, and those of pairs whose joint share differs far more than that of
+either term, such as an insult with a group mention that are both harmless alone. A factorization machine is fitted over
+them: a linear weight for each slot plus a small vector whose inner products score pairs of terms, so that two terms together can
+mean more (or less) than both apart. The intercept is set to the class shares of all labelled rows. Scoring reads every whole text
 and nothing else.
 
 Edge cases: null and empty texts have no terms and get the intercept's score; with no labelled rows of either
@@ -30,6 +31,8 @@ FACTORS = 8
 MAX_POSITIVE, MAX_NEGATIVE = 3000, 6000
 MAX_TERMS = 8192
 MIN_Z = 3.5
+#: Terms looked at in pairs (those of most varied presence, in SUPPORT texts at least), the least z of a pair, and how far above its terms' own.
+PAIR_TERMS, SUPPORT, PAIR_Z, PAIR_LIFT = 2000, 10, 9.0, 2.0
 CACHE = 400_000
 _WORD = re.compile(r"[^\W_]+")
 
@@ -85,14 +88,43 @@ class Machine:
         return self
 
 
+def class_difference(hits: list[np.ndarray], n0: int, n1: int) -> np.ndarray:
+    """z of the difference of shares between the classes."""
+    both = (hits[0] + hits[1] + 0.5) / (n0 + n1 + 1)
+    return (hits[1] / n1 - hits[0] / n0) / np.sqrt(both * (1 - np.minimum(both, 0.999)) * (1 / n0 + 1 / n1))
+
+
+def paired(docs: list[np.ndarray], y: np.ndarray, hits: list[np.ndarray], z: np.ndarray, n0: int, n1: int) -> np.ndarray:
+    """Slots of pairs that tell the classes apart much better than their terms do."""
+    share = (hits[0] + hits[1]) / (n0 + n1)
+    terms = np.argsort(-share * (1 - share), kind="stable")[:PAIR_TERMS]
+    terms = np.sort(terms[(hits[0] + hits[1])[terms] >= SUPPORT])
+    where = np.full(SLOTS, -1, np.int32)
+    where[terms] = np.arange(len(terms))
+    joint = []
+    for k in (0, 1):
+        present = np.zeros((int((y == k).sum()), len(terms)), np.float32)
+        for row, d in zip(present, (d for d, v in zip(docs, y) if v == k)):
+            row[where[d][where[d] >= 0]] = 1
+        joint.append(present.T @ present)
+    zz = np.abs(class_difference(joint, n0, n1))
+    alone = np.abs(z[terms])
+    good = (zz >= PAIR_Z) & (zz > PAIR_LIFT * np.maximum(alone[:, None], alone[None]))
+    np.fill_diagonal(good, False)
+    best = np.where(good, zz, 0).max(0, initial=0)
+    order = np.argsort(-best, kind="stable")
+    return terms[order[best[order] > 0]]
+
+
 def select(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Position of each selected slot, -1 for the others: those whose share differs most between the classes."""
+    """Position of each selected slot, -1 for the others."""
     hits = [np.bincount(np.concatenate([d for d, v in zip(docs, y) if v == k] or [np.zeros(0, np.int64)]), minlength=SLOTS) for k in (0, 1)]
     n0, n1 = max(1, int((y == 0).sum())), max(1, int((y == 1).sum()))
-    both = (hits[0] + hits[1] + 0.5) / (n0 + n1 + 1)
-    z = (hits[1] / n1 - hits[0] / n0) / np.sqrt(both * (1 - np.minimum(both, 0.999)) * (1 / n0 + 1 / n1))
+    z = class_difference(hits, n0, n1)
     best = np.argsort(-np.abs(z), kind="stable")[:MAX_TERMS]
     best = best[np.abs(z[best]) >= MIN_Z]
+    pairs = paired(docs, y, hits, z, n0, n1) if len(docs) else best[:0]
+    best = np.concatenate([best, pairs[~np.isin(pairs, best)]])[:MAX_TERMS]
     where = np.full(SLOTS, -1, np.int32)
     where[best] = np.arange(len(best))
     return where
@@ -127,7 +159,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     part = lambda k, most: (F.col("toxic") == k) & (F.pmod(F.xxhash64("doc_id"), F.lit(10_000_000)) < int(1 + 1e7 * most / max(1, n.get(k, 0))))
     # bounded: the hash range of each class is as wide as its limit allows
-    picked = known.filter(part(1, MAX_POSITIVE) | part(0, MAX_NEGATIVE)).select("doc_id", "toxic").limit(2 * (MAX_POSITIVE + MAX_NEGATIVE)).collect()
+    picked = known.filter(part(1, MAX_POSITIVE) | part(0, MAX_NEGATIVE)).select("doc_id", "toxic")
+    picked = picked.orderBy(F.xxhash64("doc_id"), "toxic").limit(2 * (MAX_POSITIVE + MAX_NEGATIVE)).collect()  # bites only where labels repeat
     picked = spark.createDataFrame([(r["doc_id"], int(r["toxic"])) for r in picked], "id long, toxic int")
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("toxic", "text")
     got = rows.mapInArrow(labelled_slots, "toxic int, slots array<int>").toArrow()
