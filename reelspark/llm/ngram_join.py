@@ -6,14 +6,15 @@ shingles of any common order, so those shingles deal the nodes into blocks. The
 and shingles found in very many prefixes last; it affects cost only, never the result. Every text is tokenised
 once; the texts of nodes that must be compared in full are read again.
 
-Blocks are searched in two passes. The first compares a node with the least node of its blocks if they share a third of
-its prefix, which joins large groups of near copies in linear work. The second builds signature trees over the blocks that
-still hold different components: leaves are nodes with a token bitmap, inner nodes hold the OR of the bitmaps, the range of
-sizes and of components. A dual traversal goes down pairs of tree nodes and prunes those whose sizes cannot match, whose
-largest possible overlap is too small, or that are one component already. The upper two levels of a large block are
-tables: chunks of at most about CHUNK leaves, and families of chunks; only pairs of chunks that survive are dealt to
-tasks. A task says which leaves have a possible partner, their whole sets are sent to it, and it returns a forest of
-verified links: no table holds all pairs of a group, and no link between components is lost.
+A node goes with the least node of a block where they share a third of its prefix; these tentative pairs hold large groups of
+near copies together in linear work. Blocks that still hold different groups are searched with signature trees: leaves
+are nodes with a token bitmap, inner nodes hold the OR of the bitmaps, the range of sizes and of groups. A dual
+traversal goes down pairs of tree nodes and prunes those whose sizes cannot match, whose largest possible overlap is too
+small, or that are one group already. The upper two levels of a large block are tables: chunks of at most about CHUNK leaves,
+and families of chunks; only pairs of chunks that survive are dealt to tasks. So every pair that may be a link ends up in
+one cluster of possible partners. Then whole sets decide: a cluster is searched by its own tree in one task, which returns a forest
+of verified links; in a cluster over CHUNK the tentative pairs are verified first, and its chunks are dealt as above. Every set is
+sent once for a cluster, no table holds all pairs of a group, and no link between components is lost.
 
 Edge cases: null, empty and white-space texts have n_shingles 0 and are their own component; with one or two words the
 whole sequence is the one shingle; rows that repeat a doc_id with other texts are separate documents; a row without
@@ -251,14 +252,24 @@ def as_batches(**kinds: pa.DataType) -> Callable:
     return wrap
 
 
-@as_batches(block=pa.int64(), row=pa.int64(), comp=pa.int64())
+@as_batches(src=pa.int64(), dst=pa.int64())
 def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(block, row, comp) of the leaves that have a possible partner in their block. A block holds at most two chunks."""
-    for (block,), rows in groups(batches, ["block"], ["row", "n", "bits", "comp"]):
+    """(least, leaf) for the leaves that have a possible partner in their block: least is the first leaf of all that hang together
+    by such pairs. A block holds at most two chunks."""
+    for _, rows in groups(batches, ["block"], ["row", "n", "bits", "comp"]):
         if len(rows) > 1:
             row, n, bits, comp = zip(*rows)
             tree, order = tree_of(n, bits, comp)
-            yield from ((block, row[i], comp[i]) for i in order[np.unique(np.concatenate(tree.pairs()))])
+            i, j = (order[x] for x in tree.pairs())
+            label = np.arange(len(rows))
+            while True:
+                before = label.copy()
+                np.minimum.at(label, i, label[j])
+                np.minimum.at(label, j, label[i])
+                label = label[label]
+                if (label == before).all():
+                    break
+            yield from ((row[a], row[b]) for b, a in enumerate(label) if a != b)
 
 
 @as_batches(src=pa.int64(), dst=pa.int64())
@@ -382,7 +393,8 @@ def jaccard_classes(docs: DataFrame, t: Tables, heads_first: bool = True) -> tup
     def sets_of(rows: DataFrame, name: str) -> DataFrame:
         """(row, set): the texts of these nodes are read again."""
         asked = t(kept.join(rows, "row", "left_semi").select("row", "n", "h1", "h2", "t1"), f"{name}_asked")
-        found = texts.join(asked.select("t1").distinct(), "t1", "left_semi").select("t1", "t2", "text").dropDuplicates(["t1", "t2"]).select("text")
+        keys = t(asked.select("t1").distinct(), f"{name}_keys")
+        found = texts.join(keys, "t1", "left_semi").select("t1", "t2", "text").dropDuplicates(["t1", "t2"]).select("text")
         sets = found.mapInArrow(whole_sets, "n int, h1 long, h2 long, set binary").join(asked, ["n", "h1", "h2"])
         return t(sets.select("row", "set"), name)
 
@@ -411,24 +423,15 @@ def jaccard_classes(docs: DataFrame, t: Tables, heads_first: bool = True) -> tup
     members = signed.select(F.explode("tokens").alias("token"), "row", "n")
     shared = t(members.join(heads, "token").select("token", "row", "n", "head"), "shared")  # members of blocks of two or more
     t.drop(signed, heads)
-    links = None
-    if heads_first:
-        prefix = F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1
-        first = shared.filter(F.col("row") != F.col("head")).groupBy("row", "n", "head").agg(F.count("*").alias("blocks"))
-        first = t(first.filter(3 * F.col("blocks") >= prefix).select(F.col("row").alias("src"), F.col("head").alias("dst")), "first")
-        sets = sets_of(first.select(F.col("src").alias("row")).union(first.select("dst")).distinct(), "sets")
-        a = first.join(sets.select(F.col("row").alias("src"), F.col("set").alias("set_a")), "src")
-        b = a.join(sets.select(F.col("row").alias("dst"), F.col("set").alias("set_b")), "dst")
-        links = t(b.select("src", "dst", "set_a", "set_b").mapInArrow(linked, "src long, dst long"), "links")
-        t.drop(sets, first)
-        joined = components(links, t)
-        comp = F.coalesce("component", "row").alias("comp")
-        known = t(shared.join(joined, F.col("row") == F.col("node"), "left").select("token", "row", "n", comp), "known")
-        t.drop(shared)
-    else:
-        known = shared.select("token", "row", "n", F.col("row").alias("comp"))
-
-    # second pass: blocks in which more than one component is left, each kept once for equal member lists
+    prefix = F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1
+    first = shared.filter((F.col("row") != F.col("head")) & F.lit(heads_first)).groupBy("row", "n", "head").agg(F.count("*").alias("blocks"))
+    first = t(first.filter(3 * F.col("blocks") >= prefix).select(F.col("row").alias("src"), F.col("head").alias("dst")), "first")
+    joined = components(first, t)
+    comp = F.coalesce("component", "row").alias("comp")
+    known = t(shared.join(joined, F.col("row") == F.col("node"), "left").select("token", "row", "n", comp), "known")
+    t.drop(shared)
+
+    # blocks in which more than one group is left, each kept once for equal member lists
     bands = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM))).cast("int")
     banded = known.select("token", "row", "n", "comp", F.explode(F.array(bands, bands - 1)).alias("band"))
     blocks = banded.groupBy("token", "band").agg(
@@ -438,16 +441,36 @@ def jaccard_classes(docs: DataFrame, t: Tables, heads_first: bool = True) -> tup
     blocks = t(blocks.groupBy("size", "x", "y", "c0", "c1").agg(F.min(F.struct("token", "band")).alias("k")).select("k.*", "size"), "blocks")
     placed = t(banded.join(blocks, ["token", "band"]).select("token", "band", "size", "row", "n", "comp"), "placed")
     t.drop(known, blocks)
-    dealt = placed.filter(F.col("size") <= CHUNK).select(F.xxhash64("token", "band").alias("block"), "row", "comp")
-    large = placed.filter(F.col("size") > CHUNK)
-    if large.limit(1).count():
-        dealt = dealt.unionByName(deal_large(large, kept, t))
-    leaves = dealt.join(kept.select("row", "n", "bits"), "row")
-    near = t(leaves.repartition("block").sortWithinPartitions("block").mapInArrow(hits, "block long, row long, comp long"), "near")
-    sets = sets_of(near.select("row").distinct(), "near_sets")
-    told = near.join(sets, "row").select("block", "row", "comp", "set")
+
+    def dealt(of: DataFrame) -> DataFrame:
+        """(block, row, comp): groups that a task can hold."""
+        small = of.filter(F.col("size") <= CHUNK).select(F.xxhash64("token", "band").alias("block"), "row", "comp")
+        large = of.filter(F.col("size") > CHUNK)
+        return small.unionByName(deal_large(large, kept, t)) if large.limit(1).count() else small
+
+    leaves = dealt(placed).join(kept.select("row", "n", "bits"), "row")
+    near = t(leaves.repartition("block").sortWithinPartitions("block").mapInArrow(hits, "src long, dst long"), "near")
+    clusters = components(first.unionByName(near), t).select(F.col("node").alias("row"), F.col("component").alias("token"))
+    per = clusters.groupBy("token").agg(F.count("*").alias("size"))
+    clusters = t(clusters.join(per, "token"), "clusters")
+    sets = sets_of(clusters.select("row"), "sets")
+    large = clusters.filter(F.col("size") > CHUNK).select("row")
+    if large.limit(1).count():  # the tentative pairs of large clusters are verified first
+        inside = first.join(large.select(F.col("row").alias("src")), "src", "left_semi")
+        a = inside.join(sets.select(F.col("row").alias("src"), F.col("set").alias("set_a")), "src")
+        b = a.join(sets.select(F.col("row").alias("dst"), F.col("set").alias("set_b")), "dst")
+        links = t(b.select("src", "dst", "set_a", "set_b").mapInArrow(linked, "src long, dst long"), "links")
+        sure = components(links, t)
+    else:
+        links = sure = None
+    t.drop(placed, near, first)
+    of = clusters.join(kept.select("row", "n"), "row")
+    of = of.withColumn("comp", F.col("row")) if sure is None else of.join(sure, F.col("row") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "row"))
+    band = of.groupBy("token").agg(F.min(bands).alias("band"))  # all bitmaps of a cluster fold to the width of its least set
+    of = t(of.join(band, "token").select("token", "band", "size", "row", "n", "comp"), "of_clusters")
+    told = dealt(of).join(sets, "row").select("block", "row", "comp", "set")
     second = t(told.repartition("block").sortWithinPartitions("block", "row").mapInArrow(forests, "src long, dst long"), "second")
-    t.drop(placed, near, sets)
+    t.drop(sets, of, clusters)
     found = components(second if links is None else links.unionByName(second), t)
 
     # every set gets its component, named by the least real doc_id in it
@@ -470,7 +493,7 @@ def whole_prefixes(heavy: np.ndarray) -> Callable:
 
 
 def jaccard_components(docs: DataFrame, heads_first: bool = True) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row. heads_first=False leaves all links to the signature trees."""
+    """(doc_id, n_shingles, component_id) of every row. heads_first=False leaves out the tentative pairs."""
     profiles, classes = jaccard_classes(docs, Tables(docs.sparkSession), heads_first)
     named = profiles.select("doc_id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
