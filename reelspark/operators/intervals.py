@@ -77,11 +77,9 @@ def nearest(points: DataFrame, at: str, targets: DataFrame, where: str, rank: st
     row = F.struct(F.col("_t"), F.col("_hit"))
     hits = best.select("vod_id", "_t", F.lit(0).alias("_kind"), row.alias("_row"), *[F.lit(None).cast(points.schema[k].dataType).alias(k) for k in key if k != "vod_id"])
     asks = points.select("vod_id", F.col(at).alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast(hits.schema["_row"].dataType).alias("_row"), *[k for k in key if k != "vod_id"])
-    w = W.partitionBy("vod_id").orderBy("_t", "_kind")
-    both = hits.unionByName(asks).select(
-        "*", F.last("_row", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("_back"),
-        F.first("_row", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)).alias("_ahead"),
-    ).filter("_kind = 1")
+    # both frames grow row by row, one in each direction
+    seen = lambda *order: F.last("_row", ignorenulls=True).over(W.partitionBy("vod_id").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    both = hits.unionByName(asks).withColumn("_back", seen("_t", "_kind")).withColumn("_ahead", seen(F.desc("_t"), F.desc("_kind"))).filter("_kind = 1")
     db, da = F.col("_t") - F.col("_back._t"), F.col("_ahead._t") - F.col("_t")
     back = F.col("_ahead").isNull() | (db < da) | ((db == da) & (F.col(f"_back._hit.{rank}") < F.col(f"_ahead._hit.{rank}")))
     hit = F.when(F.col("_back").isNotNull() & back, F.col("_back._hit")).otherwise(F.col("_ahead._hit"))
