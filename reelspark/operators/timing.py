@@ -37,16 +37,16 @@ def align_segments(segments: DataFrame, bounds: DataFrame, durations: DataFrame)
     key = [*KEY, "chunk_idx"]
     s = segments.join(bounds, key, "left").join(durations, KEY)
     length = F.col("end") - F.col("start")
-    move = lambda a, b: F.round(F.col(a) + (F.col(b) - F.col(a)) * lerp_factor(F.abs(F.col(b) - F.col(a)), length), 3)
+    move = lambda a, b: tidy(F.col(a) + (F.col(b) - F.col(a)) * lerp_factor(F.abs(F.col(b) - F.col(a)), length), 3)
     s = s.withColumn("_a", move("start", "det_start")).withColumn("_b", move("end", "det_end"))
-    short, pad = F.col("_b") - F.col("_a") < 0.6, (0.6 - (F.col("_b") - F.col("_a"))) / 2
-    a = F.when(short, F.round(F.greatest(F.lit(0.0), F.col("_a") - pad), 3)).otherwise(F.col("_a"))
-    b = F.when(short, F.round(F.least("clip_dur", F.col("_b") + pad), 3)).otherwise(F.col("_b"))
+    short, pad = F.round(F.col("_b") - F.col("_a"), 6) < 0.6, (0.6 - (F.col("_b") - F.col("_a"))) / 2
+    a = F.when(short, tidy(F.greatest(F.lit(0.0), F.col("_a") - pad), 3)).otherwise(F.col("_a"))
+    b = F.when(short, tidy(F.least("clip_dur", F.col("_b") + pad), 3)).otherwise(F.col("_b"))
     found = F.col("det_start").isNotNull()
     s = s.withColumn("_x", F.when(found, a).otherwise(F.col("start"))).withColumn("_y", F.when(found, b).otherwise(F.col("end")))
     debug = F.struct(
         F.col("start").alias("original_start"), F.col("_x").alias("adjusted_start"), F.col("end").alias("original_end"), F.col("_y").alias("adjusted_end"),
-        F.round(F.col("_x") - F.col("start"), 3).alias("delta_start"), F.round(F.col("_y") - F.col("end"), 3).alias("delta_end"), (~found).alias("fallback"),
+        tidy(F.col("_x") - F.col("start"), 3).alias("delta_start"), tidy(F.col("_y") - F.col("end"), 3).alias("delta_end"), (~found).alias("fallback"),
     )
     return s.select(*key, F.col("_x").alias("start"), F.col("_y").alias("end"), "text", debug.alias("debug"))
 
@@ -81,7 +81,7 @@ def close_gaps(segments: DataFrame, voice_frames: DataFrame, least: float = 0.15
 
 
 def alignment_report(aligned: DataFrame) -> DataFrame:
-    shift = lambda f: F.round(F.avg(F.abs(F.coalesce(F.col(f"debug.{f}"), F.lit(0.0)))), 3)
+    shift = lambda f: tidy(F.avg(F.abs(F.coalesce(F.col(f"debug.{f}"), F.lit(0.0)))), 3)
     return aligned.groupBy(*KEY).agg(
         F.sum(F.when(F.col("debug.fallback"), 1).otherwise(0)).alias("align_fallbacks"), shift("delta_start").alias("avg_delta_start_s"), shift("delta_end").alias("avg_delta_end_s")
     )
