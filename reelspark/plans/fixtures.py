@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.text import strip
 from ..operators import ranking, simple_windows
-from ..operators.intervals import with_content_end
 from ..sources.stages import stage
 
+MOST = simple_windows.MOST
 LINE_KEY = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"]
 
 
@@ -61,8 +61,7 @@ class Fixtures:
             F.col("user_id").alias("vod_id"), F.round(F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', cast(ts AS timestamp_ntz))") / F.lit(3600e6), 3).alias("timestamp"),
             F.round(F.sqrt(F.col("value") / F.max("value").over(W.partitionBy("user_id"))), 4).alias("intensity"),
         )
-        near = with_content_end(e, self.transcript).filter(F.col("timestamp") <= F.col("content_end") + 20)
-        return stage(near.select("vod_id", "timestamp", "intensity"), "peaks")
+        return stage(e, "peaks")
 
     @cached_property
     def audio_chunks(self) -> DataFrame:
@@ -77,9 +76,9 @@ class Fixtures:
 
     @cached_property
     def voice_frames(self) -> DataFrame:
-        """A tenth of a second a frame, for clips 1 to 15 of each VOD, from lineitem."""
-        f = self.frames.filter("frame_idx < 600").select(F.col("vod_id"), "frame_idx", (F.col("frame_idx") * 0.1 + 0.05).alias("t"), (F.col("rms") / 10).alias("rms"))
-        return f.withColumn("clip_idx", F.explode(F.sequence(F.lit(1), F.lit(15)))).select("vod_id", "clip_idx", "frame_idx", F.round("t", 3).alias("t"), "rms")
+        """A tenth of a second a frame, for all clips of each VOD, from lineitem."""
+        f = self.frames.select(F.col("vod_id"), "frame_idx", (F.col("frame_idx") * 0.1 + 0.05).alias("t"), (F.col("rms") / 10).alias("rms"))
+        return f.withColumn("clip_idx", F.explode(F.sequence(F.lit(1), F.lit(MOST)))).select("vod_id", "clip_idx", "frame_idx", F.round("t", 3).alias("t"), "rms")
 
     @cached_property
     def windows(self) -> DataFrame:
@@ -93,9 +92,9 @@ class Fixtures:
 
     @cached_property
     def clips(self) -> DataFrame:
-        """Simple clips: one window per peak of the five strongest of each VOD, numbered by start."""
+        """Simple clips: one window per peak, of as many peaks as a VOD may have candidates, numbered by start."""
         best = F.row_number().over(W.partitionBy("vod_id").orderBy(F.desc("intensity"), "timestamp"))
-        top = self.peaks.withColumn("_n", best).filter("_n <= 5")
+        top = self.peaks.withColumn("_n", best).filter(F.col("_n") <= MOST)
         pre, post = simple_windows.before_and_after()
         c = top.select("vod_id", F.round(F.greatest(F.lit(0.0), F.col("timestamp") - pre), 3).alias("start"), F.round(F.col("timestamp") + post, 3).alias("end"), F.col("timestamp").alias("peak_timestamp"), "intensity")
         return ranking.numbered(c).withColumn("clip_idx", F.col("clip_idx").cast("int"))

@@ -27,7 +27,7 @@ STEPS = {
         CASE WHEN seq % 11 = 0 THEN 'por cierto ' ELSE '' END || raw || CASE WHEN seq % 5 = 0 THEN '!' ELSE '' END || CASE WHEN seq % 7 = 0 THEN '?' ELSE '' END AS text FROM seg_num""",
     "cend": 'SELECT vod_id, arg_max("end", seq) AS content_end FROM transcript GROUP BY vod_id',
     "peaks": """SELECT e.vod_id, timestamp, intensity FROM (SELECT user_id AS vod_id, round((epoch_us(ts) - 1704067200000000) / 3600e6::DOUBLE, 3) AS timestamp,
-        round(sqrt(value / max(value) OVER (PARTITION BY user_id)), 4) AS intensity FROM events) e LEFT JOIN cend c ON e.vod_id = c.vod_id WHERE content_end IS NULL OR timestamp <= content_end + 20""",
+        round(sqrt(value / max(value) OVER (PARTITION BY user_id)), 4) AS intensity FROM events) e""",
     "frames": """SELECT l_suppkey AS vod_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 AS frame_idx,
         l_quantity / 50.0::DOUBLE AS rms FROM lineitem""",
     "durations": "SELECT vod_id, count(*)::DOUBLE AS total_s FROM frames GROUP BY vod_id",
@@ -37,7 +37,7 @@ STEPS = {
         list({'t': timestamp, 'i': intensity} ORDER BY timestamp, intensity) AS gp FROM windows0 GROUP BY vod_id, run""",
     "clips0": """SELECT vod_id, round(greatest(0, timestamp - CASE WHEN intensity > 0.8 THEN 15 WHEN intensity > 0.6 THEN 12 ELSE 10 END), 3) AS start,
         round(timestamp + CASE WHEN intensity > 0.8 THEN 20 WHEN intensity > 0.6 THEN 18 ELSE 15 END, 3) AS "end", timestamp AS peak_timestamp, intensity
-        FROM (SELECT *, row_number() OVER (PARTITION BY vod_id ORDER BY intensity DESC, timestamp) AS n FROM peaks) WHERE n <= 5""",
+        FROM (SELECT *, row_number() OVER (PARTITION BY vod_id ORDER BY intensity DESC, timestamp) AS n FROM peaks) WHERE n <= 25""",
     "clips": """SELECT *, (row_number() OVER (PARTITION BY vod_id ORDER BY start, "end", peak_timestamp))::INTEGER AS clip_idx FROM clips0""",
     "rich": f"""SELECT *, CASE WHEN len(w) = 0 OR len(c) = 0 THEN 0 ELSE list_sum(list_transform(c, lambda x: length(x)))
         * greatest(len(list_distinct(c)) / len(c), 0.3::DOUBLE) * greatest(0.3::DOUBLE, 1.0::DOUBLE - len(list_filter(w, lambda x: list_contains({_list(STOPWORDS)}, x))) / len(w)) END AS richness,
@@ -140,8 +140,13 @@ STEPS = {
     "ctr0": """SELECT vod_id, clip_idx, seq, greatest(0, s_start - start + o) AS a, least("end" - start, s_end - start + o) AS b, text FROM (SELECT *, CASE WHEN s_end - s_start < 0.8 THEN 0 WHEN s_end - s_start < 1.2 THEN -0.1 ELSE -0.2 END AS o FROM clip_seg)""",
     "ctr": 'SELECT vod_id, clip_idx, seq, round(a, 3) AS start, round(b, 3) AS "end", text, row_number() OVER (PARTITION BY vod_id, clip_idx ORDER BY seq) AS chunk_idx FROM ctr0 WHERE b > a',
     "ctw": "SELECT *, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS w FROM ctr",
+    "srtf": """SELECT vod_id, clip_idx, chunk_idx, text, w, 0 AS i, 0 AS used, []::VARCHAR[] AS one, []::VARCHAR[] AS two FROM ctw UNION ALL
+        SELECT vod_id, clip_idx, chunk_idx, text, w, i + 1, CASE WHEN used + length(w[i + 1]) <= 38 THEN used + length(w[i + 1]) + 1 ELSE used END,
+          CASE WHEN used + length(w[i + 1]) <= 38 THEN list_append(one, w[i + 1]) ELSE one END, CASE WHEN used + length(w[i + 1]) <= 38 THEN two ELSE list_append(two, w[i + 1]) END FROM srtf WHERE i < len(w)""",
+    "srtw": """SELECT vod_id, clip_idx, chunk_idx, CASE WHEN length(text) <= 38 THEN text WHEN len(two) = 0 THEN array_to_string(one, ' ') ELSE array_to_string(one, ' ') || chr(10)
+          || CASE WHEN length(array_to_string(two, ' ')) > 76 THEN array_to_string(two, ' ')[:75] || '…' ELSE array_to_string(two, ' ') END END AS text FROM srtf WHERE i = len(w)""",
     # voice
-    "vframes": "SELECT vod_id, c.clip_idx, frame_idx, round(frame_idx * 0.1 + 0.05, 3) AS t, rms / 10 AS rms FROM frames CROSS JOIN (SELECT unnest(range(1, 16)) AS clip_idx) c WHERE frame_idx < 600",
+    "vframes": "SELECT vod_id, c.clip_idx, frame_idx, round(frame_idx * 0.1 + 0.05, 3) AS t, rms / 10 AS rms FROM frames CROSS JOIN (SELECT unnest(range(1, 26)) AS clip_idx) c",
     "vseg": 'SELECT s.vod_id, s.clip_idx, s.chunk_idx, s.start, s."end", s.text, c."end" - c.start AS clip_dur FROM ctr s JOIN clips c ON c.vod_id = s.vod_id AND c.clip_idx = s.clip_idx',
     "vhit": 'SELECT s.*, f.t, f.rms FROM vseg s JOIN vframes f ON f.vod_id = s.vod_id AND f.clip_idx = s.clip_idx AND f.t >= greatest(0, s.start - 0.5) AND f.t <= least(clip_dur, s."end" + 0.5)',
     "vloud": "SELECT * FROM (SELECT *, greatest(0.005, avg(rms) OVER w + 0.5 * stddev_pop(rms) OVER w) AS lv FROM vhit WINDOW w AS (PARTITION BY vod_id, clip_idx, chunk_idx)) WHERE rms >= lv",

@@ -63,13 +63,9 @@ def write_stage(fx):
     return fx.spark.read.parquet(f"{path}/peaks").select("vod_id", "timestamp", "intensity")
 
 
-@query(r"""SELECT page_id, coalesce(nullif(regexp_extract(u, '/videos/(\d+)', 1), ''), nullif(regexp_extract(u, '(?:v=|youtu\.be/)([A-Za-z0-9_-]{11})', 1), ''), '2024-01-01') AS vod_id
-  FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://tv.example/videos/' || page_id WHEN 1 THEN 'https://v.example/watch?v=' || left(md5(page_id::VARCHAR), 11) ELSE url END AS u FROM pages)""", raw=True)
+@query(r"""SELECT page_id, coalesce(nullif(regexp_extract(url, '/videos/(\d+)', 1), ''), nullif(regexp_extract(url, '(?:v=|youtu\.be/)([A-Za-z0-9_-]{11})', 1), ''), '2024-01-01') AS vod_id FROM pages""", raw=True)
 def vod_id_from_url(fx):
-    pid = F.col("page_id").cast("string")
-    url = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://tv.example/videos/"), pid)).when(
-        F.col("page_id") % 3 == 1, F.concat(F.lit("https://v.example/watch?v="), F.left(F.md5(pid), F.lit(11)))).otherwise(F.col("url"))
-    return files.vod_id_from_url(fx.table("pages").select("page_id", url.alias("url")), "url", "2024-01-01").select("page_id", "vod_id")
+    return files.vod_id_from_url(fx.table("pages").select("page_id", "url"), "url", "2024-01-01").select("page_id", "vod_id")
 
 
 @query("SELECT DISTINCT user_id AS vod_id FROM events WHERE user_id NOT IN (SELECT conv_id FROM conversations GROUP BY conv_id HAVING sum(strlen(text)) > 1000)", raw=True)
@@ -78,9 +74,13 @@ def pending_vods(fx):
     return files.pending_vods(fx.table("events").select(F.col("user_id").alias("vod_id")).distinct(), done, min_bytes=1000)
 
 
-@query()
+_CLOCK = lambda t: f"printf('%02d:%02d:%02d,%03d', floor({t} / 3600)::INTEGER, floor({t} % 3600 / 60)::INTEGER, floor({t})::INTEGER % 60, floor(({t} % 1) * 1000)::INTEGER)"
+
+
+@query(f"""SELECT s.vod_id, s.clip_idx, string_agg(s.chunk_idx || chr(10) || {_CLOCK('c.start')} || ' --> ' || {_CLOCK('c."end"')} || chr(10) || s.text || chr(10), chr(10) ORDER BY s.chunk_idx) AS srt
+  FROM srtw s JOIN ctr c ON c.vod_id = s.vod_id AND c.clip_idx = s.clip_idx AND c.chunk_idx = s.chunk_idx GROUP BY 1, 2""")
 def srt_documents(fx):
-    return subtitles.srt_documents(subtitles.build_subtitles(fx.clips, fx.transcript, fx.features))
+    return subtitles.srt_documents(_chunks(fx))
 
 
 @query("""SELECT vod_id, clip_idx AS clip_index, start, round("end" - start, 3) AS duration, printf('clip_%02d.mp4', clip_idx) AS clip_file, printf('vertical_%03d.mp4', clip_idx) AS vertical_file,
@@ -162,6 +162,11 @@ def transcript_profile(fx):
     return transcripts.transcript_profile(fx.transcript)
 
 
+@query("SELECT DISTINCT user_id AS vod_id FROM events WHERE user_id NOT IN (SELECT vod_id FROM transcript)")
+def vods_without_text(fx):
+    return transcripts.vods_without_text(fx.table("events").select(F.col("user_id").alias("vod_id")).distinct(), fx.transcript)
+
+
 @query("SELECT DISTINCT p.vod_id, coalesce(content_end, 'inf'::DOUBLE) AS content_end FROM peaks p LEFT JOIN cend c ON c.vod_id = p.vod_id")
 def content_end(fx):
     return intervals.with_content_end(fx.peaks.select("vod_id").distinct(), fx.transcript)
@@ -275,7 +280,7 @@ def semantic_continuity(fx):
 
 
 @query("""SELECT vod_id, idx, round(0.35 * least(1, greatest(0, (0.25 - sim) / 0.25)) + 0.30 * least(1, greatest(0, (0.25 - sim / 2) / 0.25)) + 0.20 * least(1, gap / 30.0)
-  + 0.15 * CASE WHEN has_transition THEN least(1, greatest(0, (0.25 - sim) / 0.25)) ELSE 0 END, 3) AS confidence FROM cont0""")
+  + 0.15 * CASE WHEN has_transition THEN least(1, greatest(0, (0.25 - sim) / 0.25)) ELSE 0 END, 3) + 0.0 AS confidence FROM cont0""")
 def break_confidence(fx):
     tokens = transcripts.clip_tokens(fx.windows, fx.transcript, WIN)
     pooled = tokens.select("vod_id", F.explode(F.array(F.col("idx") + 1, F.col("idx") + 2)).alias("idx"), "token", "n").groupBy(*WIN, "token").agg(F.sum("n").alias("n"))
@@ -443,14 +448,21 @@ def highlight_keywords(fx):
     return subtitles.highlight_keywords(subtitles.chunk_segments(_segments(fx)), fx.features)
 
 
-@query()
+_FIT = lambda w: f"greatest(1, len(list_filter(range(1, len({w}) + 1), lambda k: length(array_to_string({w}[:k], ' ')) <= 38)))"
+
+
+@query(f"""SELECT vod_id, clip_idx, chunk_idx::INTEGER AS chunk_idx, CASE WHEN length(text) <= 38 THEN text WHEN two = 0 THEN array_to_string(p, ' ') ELSE array_to_string(p[:cut], ' ') || chr(10) || array_to_string(p[cut + 1:], ' ') END AS text
+  FROM (SELECT *, CASE WHEN abs(a - b) / greatest(a, b) > 0.4 THEN greatest(1, least(1 + len(list_filter(range(1, len(p) + 1), lambda k: length(array_to_string(p[:k], ' ')) < length(array_to_string(p, ' ')) // 2)), len(p) - 1)) ELSE one END AS cut
+  FROM (SELECT *, length(array_to_string(p[:one], ' ')) AS a, length(array_to_string(p[one + 1:], ' ')) AS b
+  FROM (SELECT *, CASE WHEN length(array_to_string(w[one + two + 1:], ' ')) + 1 > 3.8 AND len(w) > one + two AND NOT (length(e) > 1 AND e = upper(e)) THEN list_append(w[:one + two - 1], w[one + two] || '…') ELSE w[:one + two] END AS p
+  FROM (SELECT *, regexp_replace(w[one + two], '[^\\p{{L}}\\p{{N}}_]', '', 'g') AS e FROM (SELECT *, CASE WHEN len(w) > one THEN {_FIT('w[one + 1:]')} ELSE 0 END AS two FROM (SELECT *, {_FIT('w')} AS one FROM ctw))))))""")
 def wrap_lines(fx):
-    return subtitles.wrap_lines(subtitles.chunk_segments(_segments(fx)))
+    return subtitles.wrap_lines(_chunks(fx)).select(*CLIP, "chunk_idx", "text")
 
 
-@query()
+@query("SELECT vod_id, clip_idx, chunk_idx::INTEGER AS chunk_idx, text FROM srtw")
 def srt_wrap(fx):
-    return subtitles.srt_wrap(subtitles.chunk_segments(_segments(fx)))
+    return subtitles.srt_wrap(_chunks(fx)).select(*CLIP, "chunk_idx", "text")
 
 
 @query("""SELECT vod_id, clip_idx, chunk_idx, 0 AS half, start, "end", array_to_string(w, ' ') AS text FROM ctw WHERE "end" - start <= 4 UNION ALL
@@ -469,17 +481,22 @@ def fix_overlaps(fx):
     return subtitles.fix_overlaps(_chunks(fx).withColumn("end", F.col("end") + 0.75)).select(*CLIP, "chunk_idx", "start", "end", "text")
 
 
-@query()
+_IS_UP = lambda x: f"(length(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}_]', '', 'g')) > 1 AND regexp_replace({x}, '[^\\p{{L}}\\p{{N}}_]', '', 'g') = upper(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}_]', '', 'g')))"
+
+
+@query(f"""SELECT vod_id, clip_idx, chunk_idx::INTEGER AS chunk_idx, CASE WHEN 2 * len(list_filter(w, lambda x: {_IS_UP('x')})) > len(w) THEN array_to_string(list_transform(tok, lambda x, i: CASE WHEN {_IS_UP('x')}
+  AND len(list_filter(tok[:i - 1], lambda y: {_IS_UP('y')})) >= 2 THEN CASE WHEN i = 1 THEN upper(lower(x)[1]) || lower(x)[2:] ELSE lower(x) END ELSE x END), ' ') ELSE text END AS text
+  FROM (SELECT *, string_split(text, ' ') AS tok, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS w FROM (SELECT vod_id, clip_idx, chunk_idx, CASE WHEN chunk_idx % 2 = 0 THEN upper(replace(text, 'ß', 'ss')) ELSE text END AS text FROM ctr))""")
 def calm_caps(fx):
-    return subtitles.calm_caps(_chunks(fx).withColumn("text", F.when(F.col("chunk_idx") % 2 == 0, F.upper("text")).otherwise(F.col("text"))))
+    return subtitles.calm_caps(_chunks(fx).withColumn("text", F.when(F.col("chunk_idx") % 2 == 0, F.upper(F.regexp_replace("text", "ß", "ss"))).otherwise(F.col("text")))).select(*CLIP, "chunk_idx", "text")
 
 
 _UPPER = """SELECT vod_id, clip_idx, count(*) AS segment_count, sum(len(w))::BIGINT AS words, sum(len(list_filter(list_transform(w, lambda x: regexp_replace(x, '[^\\p{L}\\p{N}_]', '', 'g')), lambda x: length(x) > 1 AND x = upper(x))))::BIGINT AS highlight_count
-  FROM (SELECT vod_id, clip_idx, list_transform(w, lambda x, i: CASE WHEN i % 4 = 0 THEN upper(x) ELSE x END) AS w FROM ctw) GROUP BY 1, 2"""
+  FROM (SELECT vod_id, clip_idx, list_transform(w, lambda x, i: CASE WHEN i % 4 = 0 THEN upper(replace(x, 'ß', 'ss')) ELSE x END) AS w FROM ctw) GROUP BY 1, 2"""
 
 
 def _shouted(fx):
-    w = F.transform(subtitles.text_words(F.col("text")), lambda x, i: F.when((i + 1) % 4 == 0, F.upper(x)).otherwise(x))
+    w = F.transform(subtitles.text_words(F.col("text")), lambda x, i: F.when((i + 1) % 4 == 0, F.upper(F.regexp_replace(x, "ß", "ss"))).otherwise(x))
     return _chunks(fx).withColumn("text", F.concat_ws(" ", w))
 
 
@@ -502,6 +519,14 @@ def protect_edited(fx):
     return subtitles.protect_edited(chunks, meta, edited).select(*CLIP, "chunk_idx", "text")
 
 
+@query(f"""SELECT c.vod_id, c.clip_idx, c.clip_idx % 2 = 0 AND h.vod_id IS NOT NULL AS subtitles_edited, coalesce(highlight_count, 0) AS highlight_count, coalesce(CASE WHEN words > 0 THEN round(highlight_count / words, 3) ELSE 0 END, 0) AS highlight_density,
+  CASE WHEN c.clip_idx % 2 = 0 THEN coalesce(segment_count, 0) ELSE 0 END AS edited_segments FROM clips c LEFT JOIN ({_UPPER}) h ON h.vod_id = c.vod_id AND h.clip_idx = c.clip_idx""")
+def edited_meta(fx):
+    meta = subtitles.subtitle_meta(fx.clips, _shouted(fx), fx.features)
+    out = subtitles.edited_meta(meta, _shouted(fx).filter("clip_idx % 2 = 0"))
+    return out.select(*CLIP, "subtitles_edited", "highlight_count", "highlight_density", "edited_segments")
+
+
 @query(f"""SELECT vod_id, count(*) AS total, sum(e::INTEGER)::BIGINT AS edited, round(avg(n), 1) AS avg_highlights, round(avg(d), 3) AS avg_density, bool_and(e) AS ready FROM (
   SELECT c.vod_id, c.clip_idx % 2 = 0 AND h.vod_id IS NOT NULL AS e, coalesce(highlight_count, 0) AS n, coalesce(CASE WHEN words > 0 THEN round(highlight_count / words, 3) ELSE 0 END, 0) AS d
   FROM clips c LEFT JOIN ({_UPPER}) h ON h.vod_id = c.vod_id AND h.clip_idx = c.clip_idx) GROUP BY vod_id""")
@@ -527,15 +552,16 @@ def voice_bounds(fx):
     return timing.voice_bounds(*_timed(fx))
 
 
-_ALIGN = """, a0 AS (SELECT s.*, det_start, det_end, s."end" - s.start AS len FROM vseg s LEFT JOIN vbounds b ON b.vod_id = s.vod_id AND b.clip_idx = s.clip_idx AND b.chunk_idx = s.chunk_idx),
-a1 AS (SELECT *, round(start + (det_start - start) * CASE WHEN len < 1 THEN 0.4 WHEN abs(det_start - start) < 0.2 THEN 0.9 WHEN abs(det_start - start) < 0.5 THEN 0.7 ELSE 0.5 END, 3) AS na,
-  round("end" + (det_end - "end") * CASE WHEN len < 1 THEN 0.4 WHEN abs(det_end - "end") < 0.2 THEN 0.9 WHEN abs(det_end - "end") < 0.5 THEN 0.7 ELSE 0.5 END, 3) AS nb FROM a0),
-a2 AS (SELECT *, CASE WHEN det_start IS NULL THEN start WHEN nb - na < 0.6 THEN round(greatest(0, na - (0.6 - (nb - na)) / 2), 3) ELSE na END AS x,
-  CASE WHEN det_start IS NULL THEN "end" WHEN nb - na < 0.6 THEN round(least(clip_dur, nb + (0.6 - (nb - na)) / 2), 3) ELSE nb END AS y FROM a1)
+_R3 = lambda x: f"round(({x})::DECIMAL(24, 10), 3)::DOUBLE"
+_LERP = lambda a, b: _R3(f"{a} + ({b} - {a}) * CASE WHEN len < 1 THEN 0.4 WHEN abs({b} - {a}) < 0.2 THEN 0.9 WHEN abs({b} - {a}) < 0.5 THEN 0.7 ELSE 0.5 END")
+_ALIGN = f""", a0 AS (SELECT s.*, det_start, det_end, s."end" - s.start AS len FROM vseg s LEFT JOIN vbounds b ON b.vod_id = s.vod_id AND b.clip_idx = s.clip_idx AND b.chunk_idx = s.chunk_idx),
+a1 AS (SELECT *, {_LERP('start', 'det_start')} AS na, {_LERP('"end"', 'det_end')} AS nb FROM a0),
+a2 AS (SELECT *, CASE WHEN det_start IS NULL THEN start WHEN round(nb - na, 6) < 0.6 THEN {_R3('greatest(0, na - (0.6 - (nb - na)) / 2)')} ELSE na END AS x,
+  CASE WHEN det_start IS NULL THEN "end" WHEN round(nb - na, 6) < 0.6 THEN {_R3('least(clip_dur, nb + (0.6 - (nb - na)) / 2)')} ELSE nb END AS y FROM a1)
 """
 
 
-@query(sql("").rstrip() + _ALIGN + 'SELECT vod_id, clip_idx, chunk_idx::INTEGER AS chunk_idx, x AS start, y AS "end", round(x - start, 3) AS delta_start, round(y - "end", 3) AS delta_end, det_start IS NULL AS fallback FROM a2', raw=True)
+@query(sql("").rstrip() + _ALIGN + 'SELECT vod_id, clip_idx, chunk_idx::INTEGER AS chunk_idx, x AS start, y AS "end", ' + _R3("x - start") + ' AS delta_start, ' + _R3('y - "end"') + ' AS delta_end, det_start IS NULL AS fallback FROM a2', raw=True)
 def align_segments(fx):
     s, v, d = _timed(fx)
     a = timing.align_segments(s, timing.voice_bounds(s, v, d), d)
@@ -558,15 +584,14 @@ def split_at_dip(fx):
 e AS (SELECT g.vod_id, g.clip_idx, g.chunk_idx, avg(rms) FILTER (t >= e AND t <= nxt) AS ge, avg(rms) FILTER ((t >= e - 0.1 AND t < e) OR (t > nxt AND t <= nxt + 0.1)) AS ce
   FROM g JOIN vframes f ON f.vod_id = g.vod_id AND f.clip_idx = g.clip_idx WHERE nxt - e < 0.15 GROUP BY 1, 2, 3),
 m AS (SELECT g.*, CASE WHEN nxt - g.e < 0.15 AND NOT coalesce(CASE WHEN ce IS NULL THEN ge < 0.0075 ELSE ge < ce * 0.4 END, false) THEN round(((g.e + nxt) / 2)::DECIMAL(24, 10), 3)::DOUBLE END AS mid FROM g LEFT JOIN e ON e.vod_id = g.vod_id AND e.clip_idx = g.clip_idx AND e.chunk_idx = g.chunk_idx)
-SELECT vod_id, clip_idx, chunk_idx::INTEGER AS chunk_idx, round(coalesce(lag(mid) OVER (PARTITION BY vod_id, clip_idx ORDER BY chunk_idx), start), 2) AS start, round(coalesce(mid, e), 2) AS "end" FROM m""", raw=True)
+SELECT vod_id, clip_idx, chunk_idx::INTEGER AS chunk_idx, """ + _R3("coalesce(lag(mid) OVER (PARTITION BY vod_id, clip_idx ORDER BY chunk_idx), start)") + " AS start, " + _R3("coalesce(mid, e)") + ' AS "end" FROM m', raw=True)
 def close_gaps(fx):
     s, v, _ = _timed(fx)
     out = timing.close_gaps(s.withColumn("end", F.col("end") + 0.45), v)
-    return out.select(*CLIP, "chunk_idx", F.round("start", 2).alias("start"), F.round("end", 2).alias("end"))
+    return out.select(*CLIP, "chunk_idx", tidy(F.col("start"), 3).alias("start"), tidy(F.col("end"), 3).alias("end"))
 
 
-@query(sql("").rstrip() + _ALIGN + """SELECT vod_id, clip_idx, count(*) FILTER (det_start IS NULL) AS align_fallbacks, round(avg(abs(round(x - start, 3))), 3) AS avg_delta_start_s, round(avg(abs(round(y - "end", 3))), 3) AS avg_delta_end_s
-  FROM a2 GROUP BY 1, 2""", raw=True)
+@query(sql("").rstrip() + _ALIGN + """SELECT vod_id, clip_idx, count(*) FILTER (det_start IS NULL) AS align_fallbacks, """ + _R3("avg(abs(" + _R3("x - start") + "))") + " AS avg_delta_start_s, " + _R3('avg(abs(' + _R3('y - "end"') + '))') + " AS avg_delta_end_s FROM a2 GROUP BY 1, 2", raw=True)
 def alignment_report(fx):
     s, v, d = _timed(fx)
     return timing.alignment_report(timing.align_segments(s, timing.voice_bounds(s, v, d), d))

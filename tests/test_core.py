@@ -113,13 +113,128 @@ def test_refine_reasons(spark, start, peak, intensity, reason):
     assert ranking.refine_starts(c, t).first().refinement.reason == reason
 
 
-def test_captions():
-    assert caption.normal("  hola   mundo ") == "Hola mundo"
-    assert caption.wrapped("corto") == "corto"
-    assert all(len(x) <= 38 for x in caption.wrapped("una frase bastante larga que no cabe en una sola linea").split("\n"))
-    assert caption.chunks(0.0, 3.0, "una") == [(0.0, 1.5, ""), (1.5, 3.0, "Una")]
-    assert caption.highlighted(["No puede ser!", "otra cosa!", "y otra vez!"], 0.0, True)[0] != "No puede ser!"
-    assert caption.calmed("UNO DOS TRES cuatro") == "UNO DOS tres cuatro"
+CH = "vod_id long, clip_idx int, chunk_idx int, start double, end double, text string"
+
+
+def one(spark, text, expression):
+    return spark.createDataFrame([(text,)], "text string").select(expression(F.col("text"))).first()[0]
+
+
+def test_normal_text(spark):
+    for text, want in (("  hola   mundo ", "Hola mundo"), ("¿qué?", "¿qué?"), ("ñu", "Ñu"), ("", ""), ("Ya", "Ya")):
+        assert one(spark, text, caption.normal) == want
+
+
+@pytest.mark.parametrize("text,want", [
+    ("corto", "corto"),
+    ("una frase bastante larga que no cabe en una sola linea", "una frase bastante larga que\nno cabe en una sola linea"),
+    ("a" * 50, "a" * 50),
+    ("uno dos tres cuatro cinco seis siete och nueve", "uno dos tres cuatro cinco\nseis siete och nueve"),
+    (" ".join(["palabra"] * 14), "palabra palabra palabra palabra\npalabra palabra palabra palabra…"),
+    (" ".join(["palabra"] * 7 + ["GRITO"] + ["palabra"] * 4), "palabra palabra palabra palabra\npalabra palabra palabra GRITO palabra…"),
+])
+def test_wrapped_lines(spark, text, want):
+    got = subtitles.wrap_lines(spark.createDataFrame([(1, 1, 1, 0.0, 1.0, text)], CH)).first().text
+    if "bastante" in text:
+        assert all(len(x) <= 38 for x in got.split("\n")) and got.replace("\n", " ") == text
+    elif "uno" in text:
+        assert got.replace("\n", " ") == text and abs(len(got.split("\n")[0]) - len(got.split("\n")[1])) <= 8
+    else:
+        assert got == want
+
+
+def test_srt_wrap(spark):
+    text = "palabra " * 5 + "si " + "palabra " * 9
+    got = one(spark, text.strip(), caption.srt_wrapped)
+    assert got.split("\n")[0] == "palabra palabra palabra palabra si" and got.split("\n")[1] == " ".join(["palabra"] * 10)[:75] + "…"
+
+
+def test_chunks_of_a_segment(spark):
+    seg = lambda a, b, t: spark.createDataFrame([(1, 1, 0, a, b, t)], "vod_id long, clip_idx int, seq long, start double, end double, text string")
+    cut = lambda *x: [(r.start, r.end, r.text) for r in subtitles.chunk_segments(seg(*x)).orderBy("chunk_idx").collect()]
+    assert cut(0.0, 3.0, "una") == [(0.0, 1.5, ""), (1.5, 3.0, "Una")]
+    assert cut(0.0, 2.0, "hola  tú") == [(0.0, 2.0, "Hola tú")]
+    parts = cut(1.0, 9.0, "una frase que sigue y sigue mas alla, otra que viene detras y acaba; fin.")
+    assert [p[2] for p in parts] == ["Una frase que sigue y sigue mas alla,", "Otra que viene detras y acaba; fin."]
+    assert parts[0][0] == 1.0 and parts[0][1] == parts[1][0] and parts[-1][1] == 9.0
+
+
+def test_highlights(spark):
+    texts = ["No puede ser!", "otra cosa!", "y otra vez puede!", "nada", "Vaya locura enorme!", "x", "Vaya locura enorme!", "y", "Vaya sitio raro!"]
+    chunks = spark.createDataFrame([(1, 1, i, float(i), i + 1.0, t) for i, t in enumerate(texts)], CH)
+    features = lambda on, d: spark.createDataFrame([(1, 1, 0.1, d, on)], "vod_id long, clip_idx int, intensity double, text_density double, highlight_enabled boolean")
+    up = lambda f: [[w for w in r.text.split() if len(w) > 1 and w == w.upper()] for r in subtitles.highlight_keywords(chunks, f).orderBy("chunk_idx").collect()]
+    got = up(features(True, 0.4))
+    assert sum(map(len, got)) <= 7 and got[0] and not got[1] and not got[3] and all(len(g) <= 3 for g in got)
+    assert [bool(g) for g in got] == [True, False, True, False, True, False, True, False, True]
+    assert not any(up(features(False, 0.4))) and not any(up(features(True, 0.2)))
+
+
+def test_calm_caps(spark):
+    for text, want in (("UNO DOS TRES cuatro", "UNO DOS tres cuatro"), ("UNO dos", "UNO dos"), ("UNO DOS\nTRES CUATRO", "UNO DOS\nTres cuatro"), ("", "")):
+        assert one(spark, text, caption.calmed) == want
+
+
+def test_silence_is_trimmed(spark):
+    rate = 1000
+    x = np.zeros(3000, np.float32)
+    x[1100:1900] = 0.5
+    clip = [(1, 1, 0, x[:1500].tolist()), (1, 1, 1, x[1500:].tolist())]
+    audio = spark.createDataFrame(clip, "vod_id long, clip_idx int, chunk_idx long, samples array<float>")
+    segs = spark.createDataFrame([(1, 1, 0, 1.0, 2.0, "a"), (1, 1, 1, 0.0, 0.9, "quiet"), (1, 1, 2, 1.2, 1.22, "short"), (2, 1, 0, 0.0, 1.0, "none")], "vod_id long, clip_idx int, seq long, start double, end double, text string")
+    got = {r.text: (r.start, r.end) for r in subtitles.trim_silence(segs, audio, rate).collect()}
+    assert got == {"a": (1.08, 1.92), "quiet": (0.0, 0.9), "short": (1.2, 1.22), "none": (0.0, 1.0)}
+
+
+def test_bandpass_passes_the_voice_and_equals_a_loop():
+    rate = 16_000
+    sections = energy.bandpass_sections(80, 3000, rate)
+    t = np.arange(rate) / rate
+    gain = lambda f: np.sqrt((energy.filtered(sections, np.sin(2 * np.pi * f * t))[rate // 2 :] ** 2).mean() * 2)
+    assert abs(gain(500) - 1) < 0.01 and gain(10) < 0.01 and gain(7000) < 0.01 and abs(gain(80) - 0.707) < 0.02 and abs(gain(3000) - 0.707) < 0.02
+    x, y = np.random.default_rng(1).normal(size=700), None
+    y = x
+    for b0, b1, b2, _, a1, a2 in sections:
+        out = np.zeros(len(y) + 2)
+        past = np.concatenate([[0, 0], y])
+        for n in range(len(y)):
+            out[n + 2] = b0 * past[n + 2] + b1 * past[n + 1] + b2 * past[n] - a1 * out[n + 1] - a2 * out[n]
+        y = out[2:]
+    assert np.allclose(energy.filtered(sections, x), y)
+
+
+def test_sessions_end_when_momentum_fades(spark):
+    talk = [(1, i, 60.0 + i * 3, 62.0 + i * 3, "palabras distintas importantes") for i in range(4)] + [(1, 9, 2000.0, 2001.0, "fin")]
+    t = spark.createDataFrame(talk, TR)
+    p = spark.createDataFrame([(1, 20.0, 0.5), (1, 30.0, 0.5), (1, 75.0, 0.5), (1, 130.0, 0.5), (1, 400.0, 0.9), (1, 1000.0, 0.9)], PK)
+    got = [(r.idx, round(r.start, 3), [x.timestamp for x in r.group_peaks]) for r in segments.active_windows(p, t).orderBy("idx").collect()]
+    # 45 to 75 s has text and is bridged; 90 to 130 s has none
+    assert got == [(0, 10.0, [20.0, 30.0, 75.0]), (1, 120.0, [130.0]), (2, 385.0, [400.0]), (3, 985.0, [1000.0])]
+
+
+def test_merging_windows(spark):
+    w = [(1, 0, 0.0, 10.0, 1), (1, 1, 15.0, 40.0, 2), (1, 2, 43.0, 60.0, 3), (1, 3, 61.0, 80.0, 4), (1, 4, 200.0, 210.0, 5)]
+    windows = spark.createDataFrame([(*x[:4], [(float(x[4]), 0.5)]) for x in w], "vod_id long, idx long, start double, end double, group_peaks array<struct<timestamp:double,intensity:double>>")
+    breaks = spark.createDataFrame([(1, 3)], "vod_id long, idx long")
+    got = [(r.idx, r.start, r.end, len(r.group_peaks)) for r in segments.merge_windows(windows, breaks).orderBy("idx").collect()]
+    assert got == [(0, 0.0, 60.0, 3), (3, 61.0, 80.0, 1), (4, 200.0, 210.0, 1)]
+
+
+def test_nearest_join_grows_with_its_rows(spark):
+    import time
+
+    n = 40_000
+    t = spark.range(n).select(F.lit(1).cast("long").alias("vod_id"), F.col("id").alias("seq"), (F.col("id") * 2.0).alias("start"), (F.col("id") * 2.0 + 1).alias("end"), F.col("id").cast("string").alias("text"))
+    p = spark.createDataFrame([(1, float(i * 1000) + 0.6, 0.5) for i in range(50)], PK)
+    began = time.time()
+    got = {r.timestamp: r.nearest_text for r in intervals.nearest_segment(p, t, ["vod_id", "timestamp"]).collect()}
+    assert got == {float(i * 1000) + 0.6: str(i * 500) for i in range(50)} and time.time() - began < 30
+
+
+def test_ids_from_urls(spark):
+    urls = [("https://tv.example/videos/123?t=4", "123"), ("https://v.example/watch?v=abcDEF12345&x=1", "abcDEF12345"), ("https://youtu.be/abcDEF_2345", "abcDEF_2345"), ("https://a.example/", "2024-01-01")]
+    df = files.vod_id_from_url(spark.createDataFrame(urls, "url string, want string"), "url", "2024-01-01")
+    assert all(r.vod_id == r.want for r in df.collect())
 
 
 def test_overlapping_chunks_are_trimmed(spark):
@@ -134,7 +249,7 @@ def test_write_and_read_back(spark, tmp_path):
     assert rows(spark.read.parquet(f"{tmp_path}/s").select("vod_id", "x")) == [(1, "a"), (2, "c")]
 
 
-@pytest.mark.parametrize("name", ["overlap_join", "peak_windows", "legacy_candidates", "semantic_continuity", "score_clips", "voice_bounds", "scan_windows"])
+@pytest.mark.parametrize("name", ["overlap_join", "peak_windows", "legacy_candidates", "semantic_continuity", "score_clips", "voice_bounds", "scan_windows", "wrap_lines", "srt_wrap", "calm_caps", "close_gaps"])
 def test_query_equals_sql(spark, name):
     import duckdb
 
