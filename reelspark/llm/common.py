@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
@@ -33,6 +35,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """While a table is written: rows hold whole texts, so a batch for a Python worker holds fewer of them than Spark's default
+    of 10 000. The session's setting is put back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(name))
+    spark.conf.set(name, str(min(rows, before) if before > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, str(before))
+
+
 class Tables:
     """The stage tables of one operator. drop() deletes those that nothing will read any more; what a returned
     DataFrame still reads stays."""
@@ -42,7 +57,8 @@ class Tables:
 
     def __call__(self, df: DataFrame, name: str) -> DataFrame:
         path = scratch(self.spark, name)
-        df.write.option("compression", "zstd").parquet(path)
+        with small_batches(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths.append((out, path))
         return out

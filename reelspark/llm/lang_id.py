@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import Tables
+
 DIM_BITS = 12
 DIM = 1 << DIM_BITS
 ORDERS = (1, 2, 3, 4)
@@ -170,4 +172,4 @@ def recognised(docs: DataFrame) -> DataFrame:
             good = [p != "und" and not a for d in decide(iter([two])) for p, a in zip(d.column(1).to_pylist(), d.column(3).to_pylist())]
             yield b.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return Tables(docs.sparkSession)(docs.mapInArrow(keep, docs.schema), "recognised")

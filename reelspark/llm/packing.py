@@ -206,4 +206,6 @@ def pack(docs: DataFrame, size: int = SIZE) -> DataFrame:
     # a document has a piece for each `size` of its own tokens, and a few cuts
     placed = t(placed.groupBy("row").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces")), "placed")
     t.drop(ranged)
-    return tokens.join(placed, "row").select("doc_id", "doc_tokens", "z", "pieces").mapInArrow(checked, PIECES)
+    out = t(tokens.join(placed, "row").select("doc_id", "doc_tokens", "z", "pieces").mapInArrow(checked, PIECES), "packed")
+    t.drop(tokens, placed)
+    return out

@@ -263,6 +263,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     texts, distinct = in_order(docs, t)
     runs = removals(distinct, t)
     blobs = texts.mapInArrow(squeezed, "place long, doc_id long, z binary")
-    return blobs.join(runs, "place", "left").select("doc_id", "z", "ats").mapInArrow(
+    out = blobs.join(runs, "place", "left").select("doc_id", "z", "ats").mapInArrow(
         cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
+    return t(out, "removed")
