@@ -105,10 +105,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 def without(docs: DataFrame, dropped: DataFrame, repeated: DataFrame) -> DataFrame:
     """Rows of docs, with their own columns, whose (doc_id, t1, t2) is not in `dropped`; of rows that share a key in
-    `repeated`, one stays. Both tables hold distinct keys; where they are small, adaptive execution broadcasts them."""
+    `repeated`, one stays. Both tables hold distinct keys and grow with docs without a bound, so they are merged, not broadcast, at
+    every size."""
     d, a, b = fresh(docs, "_row_id", "_row_t1", "_row_t2")
     keyed = docs.withColumns({a: text_hash(1), b: text_hash(2), d: F.col("doc_id").cast("long")})
     match = lambda keys: keyed[d].eqNullSafe(keys.doc_id) & (keyed[a] == keys.t1) & (keyed[b] == keys.t2)
+    dropped = dropped.hint("merge")
     left = keyed.join(dropped, match(dropped), "left_anti")
     if repeated.limit(1).count():
         again = keyed.join(repeated, match(repeated), "left_semi").join(dropped, match(dropped), "left_anti")

@@ -394,7 +394,8 @@ def jaccard_classes(docs: DataFrame, t: Tables, heads_first: bool = True) -> tup
         """(row, set): the texts of these nodes are read again."""
         asked = t(kept.join(rows, "row", "left_semi").select("row", "n", "h1", "h2", "t1"), f"{name}_asked")
         keys = t(asked.select("t1").distinct(), f"{name}_keys")
-        found = texts.join(keys, "t1", "left_semi").select("t1", "t2", "text").dropDuplicates(["t1", "t2"]).select("text")
+        # the keys grow with the input without a bound: merged, not broadcast, at every size
+        found = texts.join(keys.hint("merge"), "t1", "left_semi").select("t1", "t2", "text").dropDuplicates(["t1", "t2"]).select("text")
         sets = found.mapInArrow(whole_sets, "n int, h1 long, h2 long, set binary").join(asked, ["n", "h1", "h2"])
         return t(sets.select("row", "set"), name)
 
