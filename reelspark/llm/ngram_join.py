@@ -141,10 +141,8 @@ def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(0, b.num_rows, SLICE):
             part = b.slice(i, SLICE)
-            sets = [shingles(t, hashes) for t in part.column(0).to_pylist()]
-            n, h1, h2 = zip(*map(digest, sets))
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
-                                              pa.array([s.tobytes() for s in sets], pa.binary())], names=["n", "h1", "h2", "set"])
+            sets = [shingles(t, hashes).tobytes() for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["row", "set"])
 
 
 def is_link(x: np.ndarray, y: np.ndarray) -> bool:
@@ -388,16 +386,14 @@ def jaccard_classes(docs: DataFrame, t: Tables, heads_first: bool = True) -> tup
     sized = profiles.filter("n > 0")
     # equal sets are one node: the least row stands for it
     classes = t(sized.groupBy("n", "h1", "h2").agg(F.min("row").alias("row"), F.min("doc_id").alias("least")), "classes")
-    kept = t(profiles.join(classes.select("row"), "row", "left_semi").select("row", "n", "h1", "h2", "t1", "tokens", "bits"), "kept")
+    kept = t(profiles.join(classes.select("row"), "row", "left_semi").select("row", "n", "t1", "t2", "tokens", "bits"), "kept")
 
     def sets_of(rows: DataFrame, name: str) -> DataFrame:
-        """(row, set): the texts of these nodes are read again."""
-        asked = t(kept.join(rows, "row", "left_semi").select("row", "n", "h1", "h2", "t1"), f"{name}_asked")
-        keys = t(asked.select("t1").distinct(), f"{name}_keys")
-        # the keys grow with the input without a bound: merged, not broadcast, at every size
-        found = texts.join(keys.hint("merge"), "t1", "left_semi").select("t1", "t2", "text").dropDuplicates(["t1", "t2"]).select("text")
-        sets = found.mapInArrow(whole_sets, "n int, h1 long, h2 long, set binary").join(asked, ["n", "h1", "h2"])
-        return t(sets.select("row", "set"), name)
+        """(row, set): the texts of these nodes are read again. Copies of a text are dropped before the shuffle, each text is sent
+        once with its node's row, and sets are not sent at all; merged at every size, as the nodes grow with the input."""
+        asked = kept.join(rows, "row", "left_semi").select("t1", "t2", "row")
+        found = texts.select("t1", "t2", "text").dropDuplicates(["t1", "t2"]).join(asked.hint("merge"), ["t1", "t2"])
+        return t(found.select("row", "text").mapInArrow(whole_sets, "row long, set binary"), name)
 
     def prefix_tokens(heavy: np.ndarray) -> DataFrame:
         return kept.select("row", "n", "tokens").mapInArrow(prefixes(heavy), SIGNED)
@@ -440,7 +436,7 @@ def jaccard_classes(docs: DataFrame, t: Tables, heads_first: bool = True) -> tup
         F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y"),
     ).filter("size > 1 AND c0 <> c1")
     blocks = t(blocks.groupBy("size", "x", "y", "c0", "c1").agg(F.min(F.struct("token", "band")).alias("k")).select("k.*", "size"), "blocks")
-    placed = t(banded.join(blocks, ["token", "band"]).select("token", "band", "size", "row", "n", "comp"), "placed")
+    placed = t(banded.join(blocks.hint("merge"), ["token", "band"]).select("token", "band", "size", "row", "n", "comp"), "placed")
     t.drop(known, blocks)
 
     def dealt(of: DataFrame) -> DataFrame:
