@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, lang_id, lm_scoring, mixing, ngram_join, packing, quality, suffix_dedup, toxicity, warc_audit
+from . import decontamination, exact_dedup, lang_id, lm_scoring, mixing, ngram_join, packing, quality, ranked_search, suffix_dedup, toxicity, warc_audit, whitening
 from .common import documents
 
 
@@ -50,6 +50,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontamination(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,4 +84,7 @@ QUERIES = {
     "op8_lang_id": (op8_lang_id, None),
     "op9_suffix_dedup": (op9_suffix_dedup, None),
     "op10_toxicity": (op10_toxicity, None),
+    "op11_whitening": (op11_whitening, None),
+    "op12_decontamination": (op12_decontamination, decontamination.ORACLE),
+    "op13_ranked_search": (op13_ranked_search, ranked_search.ORACLE),
 }
