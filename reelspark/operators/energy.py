@@ -1,14 +1,18 @@
-"""Audio energy: frames, score, threshold, peaks. Every step is keyed by VOD."""
+"""Audio energy: frames, score, threshold, peaks. Every step is keyed by VOD and dealt into blocks of frames, so that one
+long VOD is spread over tasks."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..functions.folding import far_apart
 from ..sources.stages import stage
+from .blocks import FRAMES, SECONDS, block_of, moving_sums, neighbours, per_series, running_count
 
 
 def _bucket_sums(audio_chunks: DataFrame, width: int, chunk_samples: int, keys: list[str]) -> DataFrame:
@@ -37,8 +41,8 @@ def frame_rms(audio_chunks: DataFrame, frame: int = 2048, hop: int = 512, chunk_
     spine = total.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("samples") / hop))).alias("frame_idx"))
     dense = spine.join(sums.withColumnRenamed("bucket", "frame_idx"), [*keys, "frame_idx"], "left").withColumn("square", F.coalesce("square", F.lit(0.0)))
     half = frame // hop // 2
-    around = W.partitionBy(*keys).orderBy("frame_idx").rowsBetween(-half, half - 1)
-    return dense.select(*keys, "frame_idx", F.sqrt(F.sum("square").over(around) / frame).alias("rms"))
+    around = moving_sums(dense.select(*keys, "frame_idx", "square"), keys, "frame_idx", {"square": "_around"}, half, half - 1)
+    return around.select(*keys, "frame_idx", F.sqrt(F.col("_around") / frame).alias("rms"))
 
 
 def voice_frame_rms(audio_chunks: DataFrame, win: int = 400, hop: int = 160, rate: int = 16_000, chunk_samples: int = 16_000, keys: tuple = ("vod_id", "clip_idx")) -> DataFrame:
@@ -46,11 +50,10 @@ def voice_frame_rms(audio_chunks: DataFrame, win: int = 400, hop: int = 160, rat
     keys = list(keys)
     unit = int(np.gcd(win, hop))
     sums = _bucket_sums(audio_chunks, unit, chunk_samples, keys)
-    ahead = W.partitionBy(*keys).orderBy("bucket").rowsBetween(0, win // unit - 1)
-    framed = sums.select(*keys, "bucket", F.sum("square").over(ahead).alias("square"), F.sum("n").over(ahead).alias("n"))
-    full = framed.filter((F.col("n") == win) & (F.col("bucket") % (hop // unit) == 0))
+    framed = moving_sums(sums.select(*keys, "bucket", "square", "n"), keys, "bucket", {"square": "_ahead", "n": "_n"}, 0, win // unit - 1)
+    full = framed.filter((F.col("_n") == win) & (F.col("bucket") % (hop // unit) == 0))
     index = F.col("bucket") / (hop // unit)
-    return full.select(*keys, index.cast("long").alias("frame_idx"), ((index * hop + win / 2) / rate).alias("t"), F.sqrt(F.col("square") / win).alias("rms"))
+    return full.select(*keys, index.cast("long").alias("frame_idx"), ((index * hop + win / 2) / rate).alias("t"), F.sqrt(F.col("_ahead") / win).alias("rms"))
 
 
 def bandpass_sections(lo: float, hi: float, rate: float, order: int = 4) -> np.ndarray:
@@ -107,67 +110,74 @@ def voice_bandpass(audio_chunks: DataFrame, lo: float = 80, hi: float = 3000, ra
     return df.groupBy(*keys).applyInPandas(run, df.schema)
 
 
-def energy_score(frames: DataFrame, keys: tuple = ("vod_id",)) -> DataFrame:
+def energy_score(frames: DataFrame, keys: tuple = ("vod_id",), width: int = FRAMES) -> DataFrame:
     """frames + score = rms / max + 0.5 * |change| / max; the first change is 0."""
     keys = list(keys)
-    w = W.partitionBy(*keys).orderBy("frame_idx")
+    change = F.coalesce(F.abs(F.col("rms") - F.col("_before.rms")), F.lit(0.0))
     # read three times from here on, sorted once
-    diff = stage(frames.withColumn("diff", F.coalesce(F.abs(F.col("rms") - F.lag("rms").over(w)), F.lit(0.0))), "diff")
+    diff = stage(neighbours(frames, keys, "frame_idx", ["rms"], width).withColumn("diff", change).drop("_before", "_after"), "diff")
     most = diff.groupBy(*keys).agg(F.max("rms").alias("max_rms"), F.max("diff").alias("max_diff"))
-    return diff.join(most, keys).withColumn(
+    return per_series(diff, keys, most, "frame_idx", width).withColumn(
         "score", F.col("rms") / (F.col("max_rms") + 1e-9) + 0.5 * (F.col("diff") / (F.col("max_diff") + 1e-9))
     ).drop("max_rms", "max_diff", "diff")
 
 
-def adaptive_threshold(scored: DataFrame, keys: tuple = ("vod_id",)) -> DataFrame:
+def adaptive_threshold(scored: DataFrame, keys: tuple = ("vod_id",), width: int = FRAMES) -> DataFrame:
     """scored + threshold (mean + one population standard deviation) and active."""
     keys = list(keys)
     level = scored.groupBy(*keys).agg((F.avg("score") + F.stddev_pop("score")).alias("threshold"))
-    return scored.join(level, keys).withColumn("active", F.col("score") >= F.col("threshold"))
+    return per_series(scored, keys, level, "frame_idx", width).withColumn("active", F.col("score") >= F.col("threshold"))
 
 
-def local_maxima(scored: DataFrame) -> DataFrame:
-    """Strict local maxima at or above the threshold; a flat top counts once, at its middle; edges never count."""
-    w = W.partitionBy("vod_id").orderBy("frame_idx")
-    changed = scored.withColumn("_new", F.when(F.lag("score").over(w).eqNullSafe(F.col("score")), 0).otherwise(1))
-    runs = changed.withColumn("_run", F.sum("_new").over(w)).groupBy("vod_id", "_run").agg(
-        F.min("frame_idx").alias("lo"), F.max("frame_idx").alias("hi"), F.first("score").alias("score"), F.first("threshold").alias("threshold")
-    )
-    r = W.partitionBy("vod_id").orderBy("_run")
-    return runs.select("*", F.lag("score").over(r).alias("before"), F.lead("score").over(r).alias("after")).filter(
-        "before < score AND after < score AND score >= threshold"
-    ).select("vod_id", F.floor((F.col("lo") + F.col("hi")) / 2).cast("long").alias("frame_idx"), "score")
-
+def local_maxima(scored: DataFrame, width: int = FRAMES) -> DataFrame:
+    """Strict local maxima at or above the threshold; a flat top counts once, at its middle; edges never count.
 
-def greedy_far_apart(pos: np.ndarray, rank: np.ndarray, gap: float) -> np.ndarray:
-    """Which rows stay when, best rank first, every row nearer than `gap` to a kept one is dropped."""
-    keep = np.zeros(len(pos), bool)
-    for i in np.argsort(rank, kind="stable"):
-        keep[i] = not (np.abs(pos[keep] - pos[i]) < gap).any()
-    return keep
+    Only frames where the score changes are kept: the first of a flat top is followed by its last, wherever in the series that is.
+    """
+    rise, fall = F.col("_before.score"), F.col("_after.score")
+    seen = neighbours(scored, ["vod_id"], "frame_idx", ["score"], width).select("vod_id", "frame_idx", "score", "threshold", rise.alias("rise"), fall.alias("fall"))
+    changes = seen.filter((F.col("score") >= F.col("threshold")) & ~((F.col("rise").eqNullSafe(F.col("score"))) & (F.col("fall").eqNullSafe(F.col("score")))))
+    tops = neighbours(stage(changes, "changes"), ["vod_id"], "frame_idx", ["frame_idx", "fall"], width).filter("rise < score")
+    flat = F.col("fall") == F.col("score")
+    last, after = F.when(flat, F.col("_after.frame_idx")).otherwise(F.col("frame_idx")), F.when(flat, F.col("_after.fall")).otherwise(F.col("fall"))
+    return tops.filter(after < F.col("score")).select("vod_id", F.floor((F.col("frame_idx") + last) / 2).cast("long").alias("frame_idx"), "score")
 
 
-def islands(df: DataFrame, pos: str, gap: float) -> DataFrame:
+def islands(df: DataFrame, place: str, gap: float, width: float = SECONDS) -> DataFrame:
     """df + _island: rows of a VOD whose neighbours are nearer than gap share one."""
-    w = W.partitionBy("vod_id").orderBy(pos)
-    apart = F.when(F.col(pos) - F.lag(pos).over(w) < gap, 0).otherwise(1)
-    return df.withColumn("_apart", apart).withColumn("_island", F.sum("_apart").over(w.rangeBetween(W.unboundedPreceding, 0))).drop("_apart")
-
-
-def island_block(most: int = 256) -> Column:
-    """Groups of whole islands: they stay independent, and a call handles more than a few rows."""
-    return F.floor(F.col("_island") / most)
+    near = neighbours(df, ["vod_id"], place, [place], width)
+    marked = near.withColumn("_apart", F.coalesce(F.col(place) - F.col("_before")[place] >= gap, F.lit(True))).drop("_before", "_after")
+    return running_count(marked, ["vod_id"], place, F.col("_apart"), "_island", width).drop("_apart")
+
+
+def best_far_apart(df: DataFrame, place: str, gap: float, best: list, width: float = SECONDS, rounds: int = 3) -> DataFrame:
+    """Best first, drop every row nearer than `gap` to one that stays. `best`: columns whose order is total within a VOD, least first.
+
+    In a round every row that is the best within reach stays, and what is near it goes. What a row becomes in a round depends on
+    rows within two gaps, so a block with as much around it plays all rounds by itself. Long ramps may leave rows undecided; those
+    make short islands that never meet, and each is folded as an array.
+    """
+    at, most = F.col(place), math.ceil(gap)
+    reach = 2 * rounds * most
+    rows = df.withColumn("_rank", F.struct(*[b.alias(f"_best{i}") for i, b in enumerate(best)])).withColumn("_own", block_of(place, width))
+    rows = rows.withColumn("_block", F.explode(F.sequence(block_of(at - reach, width), block_of(at + reach, width)))).withColumn("_state", F.lit("open"))
+    w = W.partitionBy("vod_id", "_block").orderBy(place)
+    open_, kept = F.col("_state") == "open", F.when(F.col("_state") == "kept", at)
+    for _ in range(rounds):
+        first = F.min(F.when(open_, F.col("_rank"))).over(w.rangeBetween(-most, most))
+        rows = rows.withColumn("_state", F.when(open_ & (F.col("_rank") == first), "kept").otherwise(F.col("_state")))
+        near = (at - F.max(kept).over(w.rangeBetween(-most, 0)) < gap) | (F.min(kept).over(w.rangeBetween(0, most)) - at < gap)
+        rows = rows.withColumn("_state", F.when(open_ & F.coalesce(near, F.lit(False)), "gone").otherwise(F.col("_state")))
+    done = stage(rows.filter("_block = _own AND _state <> 'gone'").select(*df.columns, "_rank", "_state"), "spaced")
+    left = islands(done.filter("_state = 'open'").drop("_state"), place, gap, width)
+    arrays = left.groupBy("vod_id", "_island").agg(F.array_sort(F.collect_list(F.struct("_rank", *df.columns))).alias("_rows"))
+    folded = arrays.select(F.explode(far_apart(F.col("_rows"), place, gap)).alias("_row")).select(*[F.col("_row")[c].alias(c) for c in df.columns])
+    return done.filter("_state = 'kept'").select(*df.columns).unionByName(folded)
 
 
 def suppress_close_peaks(maxima: DataFrame, min_frames: int = 62) -> DataFrame:
-    """Highest first (later frame first among equals), drop neighbours nearer than min_frames. Rows apart by more are independent."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "frame_idx"], ascending=[False, False])
-        return pdf[greedy_far_apart(pdf["frame_idx"].to_numpy(), np.arange(len(pdf)), min_frames)]
-
-    marked = islands(maxima, "frame_idx", min_frames)
-    return marked.groupBy("vod_id", island_block()).applyInPandas(run, marked.schema).drop("_island")
+    """Highest first (later frame first among equals), drop neighbours nearer than min_frames."""
+    return best_far_apart(maxima, "frame_idx", min_frames, [-F.col("score"), -F.col("frame_idx")], FRAMES)
 
 
 def top_peaks(kept: DataFrame, k: int = 50, seconds_per_frame: float = 512 / 16_000) -> DataFrame:

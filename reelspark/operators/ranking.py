@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import tidy
 from ..sources.stages import stage
-from .energy import greedy_far_apart, island_block, islands
+from .energy import best_far_apart
 from .intervals import clip_text, nearest_peak, phrase_complete, range_join
 
 KEY = ["vod_id", "clip_idx"]
@@ -86,12 +85,7 @@ def eligible_clips(ranked: DataFrame, n: int = 15, min_score: float = 0.65) -> D
 
 def select_clips(ranked: DataFrame, n: int = 15, min_score: float = 0.65, gap: float = 30.0) -> DataFrame:
     """Best first, leaving out any start within `gap` of one chosen; at most n. Starts further apart are independent."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf[greedy_far_apart(pdf["start"].to_numpy(), pdf["rank"].to_numpy(), gap)]
-
-    marked = islands(eligible_clips(ranked, n, min_score), "start", gap)
-    kept = marked.groupBy("vod_id", island_block()).applyInPandas(run, marked.schema).drop("_island")
+    kept = best_far_apart(eligible_clips(ranked, n, min_score), "start", gap, [F.col("rank")])
     return kept.withColumn("_n", F.row_number().over(W.partitionBy("vod_id").orderBy("rank"))).filter(F.col("_n") <= n).drop("_n")
 
 

@@ -79,6 +79,19 @@ STEPS = {
     "merged": 'SELECT vod_id, g, arg_max({\'s\': start, \'e\': "end", \'p\': peak_timestamp, \'i\': intensity, \'t\': nearest_text}, k) AS r FROM mergef GROUP BY vod_id, g',
     "legacy": """SELECT vod_id, start, "end", peak_timestamp, intensity, nearest_text FROM (SELECT vod_id, r.s AS start, r.e AS "end", r.p AS peak_timestamp, r.i AS intensity, r.t AS nearest_text, g AS n FROM merged)
         WHERE n <= 25 AND "end" - start BETWEEN 8 AND 60""",
+    # momentum sessions
+    "aw0": """SELECT p.vod_id, row_number() OVER (PARTITION BY p.vod_id ORDER BY timestamp, intensity) AS k, timestamp AS ts, intensity AS i, round(greatest(0, timestamp - CASE WHEN intensity > 0.8 THEN 15 WHEN intensity > 0.6 THEN 12 ELSE 10 END), 3) AS s,
+        round(least(coalesce(content_end, 'inf'::DOUBLE), timestamp + CASE WHEN intensity > 0.8 THEN 20 WHEN intensity > 0.6 THEN 18 ELSE 15 END), 3) AS e, coalesce(content_end, 'inf'::DOUBLE) AS ce FROM peaks p LEFT JOIN cend c ON c.vod_id = p.vod_id""",
+    "awf": """SELECT vod_id, k, ce, s, e, i AS m, i AS total, 1 AS n, 0 AS sess, ts AS best_t, i AS best_i FROM aw0 WHERE k = 1 UNION ALL
+        SELECT vod_id, ck, ce, CASE WHEN j THEN s ELSE cs END, CASE WHEN j THEN greatest(e, c_e) ELSE c_e END, CASE WHEN j THEN least(1, held + ci) ELSE ci END, CASE WHEN j THEN total + ci ELSE ci END, CASE WHEN j THEN n + 1 ELSE 1 END,
+          CASE WHEN j THEN sess ELSE sess + 1 END, CASE WHEN j AND best_i >= ci THEN best_t ELSE cts END, CASE WHEN j THEN greatest(best_i, ci) ELSE ci END
+        FROM (SELECT *, held > 0.12 AND c_e - s <= 120 AS j FROM (SELECT *, CASE WHEN cts > e AND rich >= 8 THEN least(1, decayed + 0.15) ELSE decayed END AS held FROM (
+          SELECT l.*, c.k AS ck, c.s AS cs, c.e AS c_e, c.i AS ci, c.ts AS cts, l.m * exp(-0.20 / (1 + 1.5 * (l.total / l.n)) * greatest(0, c.ts - l.e)) AS decayed,
+            coalesce((SELECT sum(r.richness::DECIMAL(24, 10)) FROM rich r WHERE r.vod_id = c.vod_id AND r.start < c.ts AND r."end" > l.e), 0)::DOUBLE AS rich
+          FROM awf l JOIN aw0 c ON c.vod_id = l.vod_id AND c.k = l.k + 1)))""",
+    "aw1": "SELECT vod_id, sess, any_value(ce) AS ce, arg_max(s, k) AS s, arg_max(e, k) AS e, arg_max(total, k) AS total, arg_max(n, k) AS n, arg_max(best_t, k) AS best_t FROM awf GROUP BY vod_id, sess",
+    "active": """SELECT vod_id, row_number() OVER (PARTITION BY vod_id ORDER BY sess) - 1 AS idx, s AS start, least(coalesce(round(least(last + 0.3, ce), 3), e), s + 120) AS "end", n::INTEGER AS n_peaks, round((total / n)::DECIMAL(24, 10), 4)::DOUBLE AS mean_intensity
+        FROM (SELECT a.*, (SELECT max(t."end") FROM transcript t WHERE t.vod_id = a.vod_id AND t.start <= a.e AND t."end" > a.best_t) AS last FROM aw1 a)""",
     # tokens and continuity
     "tok": "SELECT vod_id, idx, token, count(*) AS n FROM (SELECT vod_id, idx, unnest(tokens) AS token FROM win_seg) GROUP BY ALL",
     "ctx": "SELECT vod_id, idx + d AS idx, token, sum(n) AS n FROM tok CROSS JOIN (SELECT unnest([1, 2]) AS d) GROUP BY ALL",

@@ -268,10 +268,10 @@ def legacy_candidates(fx):
 # ---- hybrid candidates
 
 
-@query()
+@query('SELECT vod_id, idx, start, "end", n_peaks, mean_intensity FROM active')
 def active_windows(fx):
     w = segments.active_windows(fx.peaks, fx.transcript)
-    return w.select(*WIN, "start", "end", F.size("group_peaks").alias("n_peaks"), F.round(segments.mean_intensity(F.col("group_peaks")), 4).alias("mean_intensity"))
+    return w.select(*WIN, "start", "end", F.size("group_peaks").alias("n_peaks"), tidy(segments.mean_intensity(F.col("group_peaks"))).alias("mean_intensity"))
 
 
 @query('SELECT vod_id, idx, start, "end", semantic_score, has_transition, is_break FROM continuity')

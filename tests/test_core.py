@@ -44,9 +44,32 @@ def test_frame_rms_equals_numpy(spark):
     assert np.allclose(got, want)
 
 
-def test_greedy_spacing_keeps_the_best():
-    keep = energy.greedy_far_apart(np.array([0.0, 29.999, 30.0]), np.array([1, 2, 3]), 30)
-    assert keep.tolist() == [True, False, True]
+def greedy(place, rank, gap):
+    """Plain greedy spacing: which rows stay."""
+    keep = np.zeros(len(place), bool)
+    for i in np.argsort(rank, kind="stable"):
+        keep[i] = not (np.abs(place[keep] - place[i]) < gap).any()
+    return keep
+
+
+def test_greedy_spacing_keeps_the_best(spark):
+    c = spark.createDataFrame([(1, 0.0, 1), (1, 29.999, 2), (1, 30.0, 3)], "vod_id long, start double, rank int")
+    assert rows(energy.best_far_apart(c, "start", 30.0, [F.col("rank")]).select("start")) == [(0.0,), (30.0,)]
+
+
+@pytest.mark.parametrize("width, rounds", [(600.0, 3), (7.0, 1), (50.0, 2)])
+def test_greedy_spacing_equals_a_loop(spark, width, rounds):
+    rng = np.random.default_rng(int(width))
+    data, want = [], []
+    for vod, (n, span) in enumerate([(1, 10), (60, 90), (150, 4000), (200, 800), (0, 1)]):
+        place, rank = np.round(rng.uniform(0, span, n), 1), rng.permutation(n)
+        if vod == 2:
+            place, rank = np.sort(place), np.arange(n)[::-1]  # a ramp: better and better
+        data += [(vod, float(a), int(b)) for a, b in zip(place, rank)]
+        want += [(vod, int(b)) for b in rank[greedy(place, rank, 30.0)]]
+    df = spark.createDataFrame(data, "vod_id long, start double, rank int")
+    got = energy.best_far_apart(df, "start", 30.0, [F.col("rank")], width, rounds)
+    assert rows(got.select("vod_id", "rank")) == sorted(want)
 
 
 def test_junk_and_blank_segments_go(spark):
