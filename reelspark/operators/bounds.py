@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.text import strip
 from ..params import Trim
 from .energy import adaptive_threshold, energy_score
-from .intervals import text_density
+from .intervals import plain, text_density
 
 SIDE = ["vod_id", "side"]
 ROW = ["vod_id"]
@@ -69,7 +69,7 @@ def scan_limits(durations: DataFrame, p: Trim = Trim()) -> DataFrame:
 
 
 def bounds_from_transcript(transcript: DataFrame, durations: DataFrame, p: Trim = Trim()) -> DataFrame:
-    said = transcript.join(scan_limits(durations, p), "vod_id").filter(F.length(strip(F.col("text"))) > 3)
+    said = plain(transcript).join(scan_limits(durations, p), "vod_id").filter(F.length(strip(F.col("text"))) > 3)
     heads = said.filter(F.col("start") <= F.col("head_end")).select("vod_id", F.col("start").alias("at")).distinct()
     heads = _dense(heads, transcript, ["vod_id", "at"], F.col("at"), F.col("at") + p.sustained_text_s, p.min_density)
     start = heads.groupBy("vod_id").agg(F.min("at").alias("start_transcript"))

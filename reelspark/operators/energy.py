@@ -71,43 +71,84 @@ def bandpass_sections(lo: float, hi: float, rate: float, order: int = 4) -> np.n
     return sections
 
 
-def filtered(sections: np.ndarray, x: np.ndarray, block: int = 256) -> np.ndarray:
-    """x through all second-order sections. A block's output is its own input's response, by one matrix for all blocks, plus
-    what rings on from the two samples before it; only those two are carried from block to block."""
+def filtered(sections: np.ndarray, x: np.ndarray, state: np.ndarray | None = None, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """x through all second-order sections, from a state, and the state after it: of each section the last two samples that went in and the
+    last two that came out. A block's output is its own input's response, by one matrix for all blocks, plus what rings on
+    from the two samples before it; only those two are carried from block to block."""
+    state, after = np.zeros((len(sections), 4)) if state is None else np.reshape(state, (-1, 4)), []
     n = len(x)
-    for b0, b1, b2, _, a1, a2 in sections:
+    for (b0, b1, b2, _, a1, a2), (in1, in2, out1, out2) in zip(sections, state):
         ring = np.zeros((block, 3))  # responses to an impulse, to the last sample and to the one before it
-        state = np.array([[0.0, 1.0, 0.0], [0.0, 0.0, 1.0]])
+        two = np.array([[0.0, 1.0, 0.0], [0.0, 0.0, 1.0]])
         for i in range(block):
-            ring[i] = -a1 * state[0] - a2 * state[1] + ([1.0, 0.0, 0.0] if i == 0 else 0.0)
-            state = np.stack([ring[i], state[0]])
-        past = np.concatenate([[0.0, 0.0], x])
+            ring[i] = -a1 * two[0] - a2 * two[1] + ([1.0, 0.0, 0.0] if i == 0 else 0.0)
+            two = np.stack([ring[i], two[0]])
+        past = np.concatenate([[in2, in1], x])
         u = np.pad(b0 * past[2:] + b1 * past[1:-1] + b2 * past[:-2], (0, -n % block)).reshape(-1, block)
         at = np.arange(block)[:, None] - np.arange(block)
         own = u @ np.where(at >= 0, ring[np.maximum(at, 0), 0], 0.0).T
-        carried, last, before = np.empty((len(u), 2)), 0.0, 0.0
+        carried, last, before = np.empty((len(u), 2)), out1, out2
         for k in range(len(u)):
             carried[k] = last, before
             last, before = (own[k, i] + ring[i, 1] * carried[k, 0] + ring[i, 2] * carried[k, 1] for i in (-1, -2))
         x = (own + carried @ ring[:, 1:].T).ravel()[:n]
-    return x
+        ended = np.concatenate([[out2, out1], x])
+        after.append([past[-1], past[-2], ended[-1], ended[-2]])
+    return x, np.array(after)
 
 
-def voice_bandpass(audio_chunks: DataFrame, lo: float = 80, hi: float = 3000, rate: int = 16_000, keys: tuple = ("vod_id", "clip_idx")) -> DataFrame:
-    """Chunks of a clip with only the voice band left. A recursive filter: one clip (at most 120 s) is one group."""
+def coasting(sections: np.ndarray) -> np.ndarray:
+    """The matrix by which a state goes on over one silent sample."""
+    size = 4 * len(sections)
+    return np.stack([filtered(sections, np.zeros(1), unit)[1].ravel() for unit in np.eye(size)], 1)
+
+
+def voice_bandpass(audio_chunks: DataFrame, lo: float = 80, hi: float = 3000, rate: int = 16_000, keys: tuple = ("vod_id", "clip_idx"), run_of: int = 512) -> DataFrame:
+    """Chunks of a clip with only the voice band left, by a recursive filter; an impossible band leaves the audio as it is.
+
+    Every chunk is filtered by itself, from silence; what its state would add is linear, so states pass from chunk to chunk as products
+    with powers of one small matrix. They do so in runs of chunks, and between runs in a table of one row a run; no clip's
+    audio is one group. Then every chunk is filtered from its true state.
+    """
     keys = list(keys)
-    sections = bandpass_sections(lo, hi, rate) if 0 < lo < hi < rate / 2 else None  # impossible band: audio as it is
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk_idx")
-        if sections is None:
-            return pdf
-        parts = [np.asarray(s, np.float64) for s in pdf["samples"]]
-        y = filtered(sections, np.concatenate(parts)).astype(np.float32)
-        return pdf.assign(samples=np.split(y, np.cumsum([len(p) for p in parts])[:-1]))
-
-    df = audio_chunks.select(*keys, "chunk_idx", "samples")
-    return df.groupBy(*keys).applyInPandas(run, df.schema)
+    df = audio_chunks.select(*keys, "chunk_idx", F.coalesce("samples", F.array().cast(audio_chunks.schema["samples"].dataType)).alias("samples"))
+    if not 0 < lo < hi < rate / 2:
+        return df
+    sections = bandpass_sections(lo, hi, rate)
+    coast, most = coasting(sections), 4 * len(sections)
+    samples = lambda column: [np.asarray(s, np.float64) for s in column]
+    head = ", ".join(f"{k} {audio_chunks.schema[k].dataType.simpleString()}" for k in (*keys, "chunk_idx"))
+    run_head = head.rpartition(", ")[0] + ", run long"
+
+    def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(n=b["samples"].map(len), state=[filtered(sections, x)[1].ravel() for x in samples(b["samples"])]).drop(columns="samples")
+
+    def passed(rows: pd.DataFrame, order: str, state: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:
+        """rows in order with the state before each, and the state after all."""
+        rows, before = rows.sort_values(order), []
+        for n, z in zip(rows["n"], rows["state"]):
+            before.append(state)
+            state = np.linalg.matrix_power(coast, int(n)) @ state + z
+        return rows.assign(state=before), state
+
+    def whole_run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf[[*keys, "run"]].head(1).assign(n=int(pdf["n"].sum()), state=[passed(pdf, "chunk_idx", np.zeros(most))[1]])
+
+    def in_run(rows: pd.DataFrame, first: pd.DataFrame) -> pd.DataFrame:
+        return passed(rows, "chunk_idx", np.asarray(first["state"].iloc[0]))[0][[*keys, "chunk_idx", "state"]]
+
+    def ahead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            y = [filtered(sections, x, np.asarray(s))[0].astype(np.float32) for x, s in zip(samples(b["samples"]), b["state"])]
+            yield b.assign(samples=y).drop(columns="state")
+
+    states = stage(df.mapInPandas(alone, f"{head}, n long, state array<double>").withColumn("run", F.floor(F.col("chunk_idx") / run_of)), "states")
+    at = [*keys, "run"]
+    runs = states.groupBy(*at).applyInPandas(whole_run, f"{run_head}, n long, state array<double>")
+    firsts = runs.groupBy(*keys).applyInPandas(lambda pdf: passed(pdf, "run", np.zeros(most))[0][[*at, "state"]], f"{run_head}, state array<double>")
+    befores = states.groupBy(*at).cogroup(firsts.groupBy(*at)).applyInPandas(in_run, f"{head}, state array<double>")
+    return df.join(befores, [*keys, "chunk_idx"]).mapInPandas(ahead, df.schema)
 
 
 def energy_score(frames: DataFrame, keys: tuple = ("vod_id",), width: int = FRAMES) -> DataFrame:

@@ -11,17 +11,50 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import content_richness
+from ..sources.stages import bucketed_stage
 
 BUCKET_S = 30.0
 
 
-def _spread(df: DataFrame, start: Column, end: Column, name: str, bucket: float) -> DataFrame:
-    lo, hi = F.floor(F.least(start, end) / bucket), F.floor(F.greatest(start, end) / bucket)
-    return df.withColumn(f"_slot_{name}", lo).withColumn("_bucket", F.explode(F.sequence(lo, hi)))
+#: A segment over more slots than this (half an hour; or its end is broken) is kept once a VOD, in a slot of its own.
+MOST_SLOTS = 64
+LONG = -(2**62)
 
 
-def segments_of(transcript: DataFrame) -> DataFrame:
-    return transcript.select("vod_id", F.col("seq").alias("s_seq"), F.col("start").alias("s_start"), F.col("end").alias("s_end"), F.col("text").alias("s_text"))
+def _slots(start: Column, end: Column, bucket: float) -> tuple[Column, Column]:
+    return F.floor(F.least(start, end) / bucket), F.floor(F.greatest(start, end) / bucket)
+
+
+def _spread(df: DataFrame, start: Column, end: Column, bucket: float) -> DataFrame:
+    """Rows in every slot they touch, and in the slot where long segments are."""
+    lo, hi = _slots(start, end, bucket)
+    return df.withColumn("_slot_a", lo).withColumn("_bucket", F.explode(F.concat(F.sequence(lo, hi), F.array(F.lit(LONG)))))
+
+
+def _dealt(transcript: DataFrame, bucket: float = BUCKET_S) -> DataFrame:
+    """Segments in every slot they touch (`_bucket`; the first is `_slot_b`); long ones once."""
+    lo, hi = _slots(F.col("start"), F.col("end"), bucket)
+    slots = F.when(hi - lo <= MOST_SLOTS, F.sequence(lo, F.least(hi, lo + MOST_SLOTS))).otherwise(F.array(F.lit(LONG)))
+    return transcript.withColumn("_slot_b", lo).withColumn("_bucket", F.explode(slots))
+
+
+def slotted(transcript: DataFrame) -> DataFrame:
+    """The transcript dealt into slots once, and stored in buckets of (vod_id, slot): the interval joins that follow read it where it
+    lies and do not shuffle it again. Every operator takes it in place of the transcript."""
+    n = int(transcript.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _dealt(transcript.select("vod_id", "seq", "start", "end", "text"))
+    return bucketed_stage(dealt.repartition(n, "vod_id", "_bucket"), "transcript", n, ["vod_id", "_bucket"])
+
+
+def plain(transcript: DataFrame) -> DataFrame:
+    """Each segment once, whether the transcript is slotted or not."""
+    if "_bucket" not in transcript.columns:
+        return transcript
+    return transcript.filter((F.col("_bucket") == F.col("_slot_b")) | (F.col("_bucket") == LONG)).drop("_bucket", "_slot_b")
+
+
+def segments_of(transcript: DataFrame, *more: str) -> DataFrame:
+    return transcript.select("vod_id", *more, F.col("seq").alias("s_seq"), F.col("start").alias("s_start"), F.col("end").alias("s_end"), F.col("text").alias("s_text"))
 
 
 def range_join(
@@ -30,11 +63,11 @@ def range_join(
 ) -> DataFrame:
     """Pairs of left rows and transcript segments (s_seq, s_start, s_end, s_text) that overlap within a VOD, or that
     meet another condition which implies touching [start, end]."""
-    a = _spread(left, F.col(start), F.col(end), "a", bucket)
-    s = segments_of(transcript)
-    b = _spread(s, F.col("s_start"), F.col("s_end"), "b", bucket)
+    a = _spread(left, F.col(start), F.col(end), bucket)
+    b = segments_of(transcript if "_bucket" in transcript.columns and bucket == BUCKET_S else _dealt(plain(transcript), bucket), "_bucket", "_slot_b")
     condition = on() if on else (F.col("s_start") < F.col(end)) & (F.col("s_end") > F.col(start))
-    pairs = a.join(b, ["vod_id", "_bucket"]).filter(condition & (F.col("_bucket") == F.greatest("_slot_a", "_slot_b")))
+    once = (F.col("_bucket") == LONG) | (F.col("_bucket") == F.greatest("_slot_a", "_slot_b"))
+    pairs = a.join(b, ["vod_id", "_bucket"]).filter(condition & once)
     return pairs.select(*left.columns, "s_seq", "s_start", "s_end", "s_text")
 
 
@@ -88,7 +121,7 @@ def nearest(points: DataFrame, at: str, targets: DataFrame, where: str, rank: st
 
 
 def nearest_segment(peaks: DataFrame, transcript: DataFrame, key: list[str], at: str = "timestamp") -> DataFrame:
-    mid = transcript.select("vod_id", ((F.col("start") + F.col("end")) / 2).alias("mid"), "seq", F.col("text").alias("nearest_text"))
+    mid = plain(transcript).select("vod_id", ((F.col("start") + F.col("end")) / 2).alias("mid"), "seq", F.col("text").alias("nearest_text"))
     return nearest(peaks, at, mid, "mid", "seq", ["nearest_text"], key)
 
 
@@ -101,7 +134,7 @@ def nearest_peak(clips: DataFrame, peaks: DataFrame, key: list[str], at: str = "
 
 def content_end(transcript: DataFrame) -> DataFrame:
     """End of the last segment by position."""
-    return transcript.groupBy("vod_id").agg(F.max_by("end", "seq").alias("content_end"))
+    return plain(transcript).groupBy("vod_id").agg(F.max_by("end", "seq").alias("content_end"))
 
 
 def with_content_end(df: DataFrame, transcript: DataFrame) -> DataFrame:
@@ -120,7 +153,7 @@ def extend_to_segment_end(windows: DataFrame, transcript: DataFrame, key: list[s
 
 def phrase_complete(clips: DataFrame, transcript: DataFrame, key: list[str], tolerance: float = 0.5) -> DataFrame:
     """clips + phrase_complete: does any segment end less than `tolerance` from the clip's end?"""
-    ends = transcript.select("vod_id", F.col("end").alias("_seg_end"), F.floor(F.col("end") / tolerance).alias("_slot"))
+    ends = plain(transcript).select("vod_id", F.col("end").alias("_seg_end"), F.floor(F.col("end") / tolerance).alias("_slot"))
     own = F.floor(F.col("end") / tolerance)
     asked = clips.select(*key, "end").withColumn("_slot", F.explode(F.array(own - 1, own, own + 1)))
     hits = asked.join(ends, ["vod_id", "_slot"]).filter(F.abs(F.col("_seg_end") - F.col("end")) < tolerance).select(*key).distinct()

@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.text import tidy
+from ..functions.text import strip, tidy
 from ..sources.stages import stage
 from .energy import best_far_apart
-from .intervals import clip_text, nearest_peak, phrase_complete, range_join
+from .intervals import nearest_peak, range_join
 
 KEY = ["vod_id", "clip_idx"]
 SHORT_S, LONG_S, DENSITY_CAP = 3.0, 5.0, 15.0
@@ -29,21 +29,34 @@ def marks(text: Column) -> Column:
     return F.length(text) - F.length(F.translate(text, "!?", ""))
 
 
+def spoken(clips: DataFrame, transcript: DataFrame, tolerance: float = 0.5) -> DataFrame:
+    """(key, body, hook_short, hook_long, phrase_complete) of clips near any talk: the text of the whole clip and of its first seconds, and
+    whether a segment ends less than `tolerance` from its end. One join and one aggregate for all four."""
+    start, end = F.col("start"), F.col("end")
+    wide = clips.select(*KEY, start, end, (F.least(start, end) - tolerance).alias("_lo"), (F.greatest(end, start + LONG_S) + tolerance).alias("_hi"))
+    over = lambda to: (F.col("s_start") < to) & (F.col("s_end") > start)
+    parts = {"body": over(end), "hook_short": over(start + SHORT_S), "hook_long": over(start + LONG_S)}
+    closed = F.abs(F.col("s_end") - end) < tolerance
+    near = range_join(wide, transcript, "_lo", "_hi", lambda: parts["body"] | parts["hook_long"] | closed)
+    row = F.struct("s_seq", strip(F.col("s_text")).alias("t"), *[c.alias(n) for n, c in parts.items()])
+    got = near.groupBy(*KEY).agg(F.array_sort(F.collect_list(row)).alias("_rows"), F.bool_or(closed).alias("phrase_complete"))
+    text = lambda n: F.concat_ws(" ", F.transform(F.filter("_rows", lambda x: x[n]), lambda x: x["t"])).alias(n)
+    return got.select(*KEY, *map(text, parts), "phrase_complete")
+
+
 def score_clips(candidates: DataFrame, transcript: DataFrame, peaks: DataFrame) -> DataFrame:
     c = stage(numbered(candidates), "numbered")
     if "intensity" not in c.columns:
         c = c.withColumn("intensity", F.lit(None).cast("double"))
     c = nearest_peak(c.withColumn("peak_timestamp", F.coalesce("peak_timestamp", (F.col("start") + F.col("end")) / 2)), peaks, KEY)
-    c = stage(clip_text(c, transcript, KEY, strip_each=True), "bodies")
-    for name, seconds in (("hook_short", SHORT_S), ("hook_long", LONG_S)):
-        head = clip_text(c.select(*KEY, "start", (F.col("start") + seconds).alias("end")), transcript, KEY, True, name)
-        c = c.join(head.select(*KEY, name), KEY)
+    c = c.join(spoken(c, transcript), KEY, "left")
+    c = c.withColumns({n: F.coalesce(n, F.lit("")) for n in ("body", "hook_short", "hook_long")}).withColumn("phrase_complete", F.coalesce("phrase_complete", F.lit(False)))
     near = peaks.select("vod_id", F.col("timestamp").alias("_t"), F.col("intensity").alias("_i"), F.floor(F.col("timestamp") / LONG_S).alias("_slot"))
     own = F.floor(F.col("start") / LONG_S)
     early = c.select(*KEY, "start").withColumn("_slot", F.explode(F.array(own, own + 1))).join(near, ["vod_id", "_slot"]).filter(
         (F.col("_t") >= F.col("start")) & (F.col("_t") < F.col("start") + LONG_S)
     ).groupBy(*KEY).agg(F.avg("_i").alias("early_energy"))
-    c = stage(phrase_complete(c.join(early, KEY, "left"), transcript, KEY), "measured")
+    c = stage(c.join(early, KEY, "left"), "measured")
     d = F.col("end") - F.col("start")
     short, long = F.trim("hook_short") != "", F.trim("hook_long") != ""
     c = c.select(

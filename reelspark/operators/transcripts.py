@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import content_tokens, has_transition, strip
-from .intervals import clip_text, overlap_join
+from .intervals import clip_text, overlap_join, plain
 
 # Texts that a recogniser gives where there is no clear voice.
 JUNK = ("", "...", "…", ".", ",", "- ", "[ Música ]", "[Música]", "[Music]", "[Applause]")
@@ -17,7 +17,7 @@ def clean_transcript(raw: DataFrame) -> DataFrame:
 
 
 def transcript_profile(transcript: DataFrame) -> DataFrame:
-    return transcript.groupBy("vod_id").agg(
+    return plain(transcript).groupBy("vod_id").agg(
         F.count("*").alias("segments"),
         F.sum(F.when(F.col("end") - F.col("start") > LONG_SEGMENT_S, 1).otherwise(0)).alias("long_segments"),
         F.max_by("end", "seq").alias("coverage_end"),

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..operators import bounds, energy, ranking, segments, simple_windows, subtitles, timing
+from ..operators.intervals import slotted
 from ..params import Segmentation, Trim
 
 
 def best_clips(peaks: DataFrame, transcript: DataFrame, legacy: bool = False, cfg: Segmentation = Segmentation()) -> DataFrame:
-    """Catalogue to ranked, well-spaced and refined clips."""
+    """Catalogue to ranked, well-spaced and refined clips. The transcript is shuffled once, into slots that all joins use."""
+    transcript = slotted(transcript)
     found = simple_windows.legacy_candidates(peaks, transcript) if legacy else segments.segment_clips(peaks, transcript, cfg)
     ranked = ranking.score_clips(found, transcript, peaks)
     return ranking.refine_starts(ranking.select_clips(ranked), transcript)

@@ -117,7 +117,27 @@ def voice_frame_rms(fx):
     return energy.voice_frame_rms(fx.clip_chunks, 20, 8, 640, 64).select("vod_id", "clip_idx", "frame_idx", *r4("t", "rms"))
 
 
-@query()
+def _filter_sql(lo: float, hi: float, rate: float) -> str:
+    """The difference equations of the band-pass as a recursive query over samples: x goes in, y4 comes out."""
+    steps, source, now = [], "x", "x"
+    for m, (b0, b1, b2, _, a1, a2) in enumerate(energy.bandpass_sections(lo, hi, rate), 1):
+        said = f"({b0:.17g}::DOUBLE * {now} + {b1:.17g}::DOUBLE * p_{source} + {b2:.17g}::DOUBLE * pp_{source} - {a1:.17g}::DOUBLE * p_y{m} - {a2:.17g}::DOUBLE * pp_y{m})"
+        steps.append(said)
+        source, now = f"y{m}", f"y{m}"
+    names = ["x", "y1", "y2", "y3", "y4"]
+    row = "(SELECT l.vod_id, l.clip_idx, k.j, k.v AS x, " + ", ".join(f"l.{n} AS p_{n}, l.p_{n} AS pp_{n}" for n in names) + " FROM fl l JOIN k ON k.vod_id = l.vod_id AND k.clip_idx = l.clip_idx AND k.j = l.j + 1)"
+    for m, said in enumerate(steps, 1):
+        row = f"(SELECT *, {said} AS y{m} FROM {row})"
+    zeros = ", ".join(f"0.0::DOUBLE AS {n}, 0.0::DOUBLE AS p_{n}" for n in names)
+    return f", fl AS (SELECT DISTINCT vod_id, clip_idx, -1::BIGINT AS j, {zeros} FROM k UNION ALL SELECT vod_id, clip_idx, j, {', '.join(f'{n}, p_{n}' for n in names)} FROM {row})"
+
+
+_CLIPS_AUDIO = ", k AS (SELECT vod_id, (chunk_idx % 2 + 1)::INTEGER AS clip_idx, (chunk_idx // 2) * 64 + i % 64 AS j, v FROM s)"
+
+
+@query(_SAMPLES + _CLIPS_AUDIO + _filter_sql(80, 300, 640) + """, m AS (SELECT vod_id, clip_idx, count(*) AS n FROM k GROUP BY 1, 2), f AS (SELECT vod_id, clip_idx, unnest(range((n - 20) // 8 + 1)) AS frame_idx FROM m)
+SELECT f.vod_id, f.clip_idx, f.frame_idx, round((frame_idx * 8 + 10) / 640.0::DOUBLE, 4) AS t, round(sqrt(sum(y4::FLOAT::DOUBLE * y4::FLOAT::DOUBLE) / 20), 4) AS rms FROM f JOIN fl ON fl.vod_id = f.vod_id AND fl.clip_idx = f.clip_idx
+  AND j >= 8 * frame_idx AND j < 8 * frame_idx + 20 GROUP BY 1, 2, 3""", raw=True)
 def voice_bandpass(fx):
     out = energy.voice_bandpass(fx.clip_chunks, 80, 300, 640)
     return energy.voice_frame_rms(out, 20, 8, 640, 64).select("vod_id", "clip_idx", "frame_idx", *r4("t", "rms"))
@@ -432,7 +452,16 @@ def clip_transcript(fx):
     return _segments(fx)
 
 
-@query()
+@query(sql("").rstrip() + ", " + _SAMPLES.removeprefix("WITH RECURSIVE ") + ", k AS (SELECT vod_id, (chunk_idx % 2 + 1)::INTEGER AS clip_idx, (chunk_idx // 2) * 64 + i % 64 AS j, (v / 8)::FLOAT::DOUBLE AS v FROM s)" + """,
+heard AS (SELECT vod_id, clip_idx, count(*) AS total FROM k GROUP BY 1, 2),
+sp AS (SELECT c.*, total, least(floor(start * 640)::BIGINT, total) AS a, least(floor("end" * 640)::BIGINT, total) - least(floor(start * 640)::BIGINT, total) - 25 AS room FROM ctr c JOIN heard h ON h.vod_id = c.vod_id AND h.clip_idx = c.clip_idx),
+wn AS (SELECT vod_id, clip_idx, seq, 0 AS side, n, a + 12 * n AS lo FROM (SELECT *, unnest(range(ceil(least(room, 224) / 12.0)::BIGINT)) AS n FROM sp WHERE room >= 0)
+  UNION ALL SELECT vod_id, clip_idx, seq, 1, n, a + room - 12 * n FROM (SELECT *, unnest(range(ceil(least(room, 224) / 12.0)::BIGINT)) AS n FROM sp WHERE room >= 0)),
+ld AS (SELECT vod_id, clip_idx, seq, side, n FROM (SELECT w.*, (SELECT sum(k.v * k.v) FROM k WHERE k.vod_id = w.vod_id AND k.clip_idx = w.clip_idx AND k.j >= w.lo AND k.j < w.lo + 25) AS sq FROM wn w) WHERE sqrt(sq / 25) >= 0.015),
+ed AS (SELECT vod_id, clip_idx, seq, min(n) FILTER (side = 0) AS h, min(n) FILTER (side = 1) AS t FROM ld GROUP BY 1, 2, 3),
+mv AS (SELECT s.vod_id, s.clip_idx, s.seq, coalesce(s.start + h * 12 / 640.0::DOUBLE, s.start) AS x, coalesce(s.start + (room - t * 12 + 25) / 640.0::DOUBLE, s."end") AS y FROM sp s JOIN ed e ON e.vod_id = s.vod_id AND e.clip_idx = s.clip_idx AND e.seq = s.seq)
+SELECT * FROM (SELECT c.vod_id, c.clip_idx, c.seq, CASE WHEN y - x >= 0.1 THEN round(x::DECIMAL(24, 10), 3)::DOUBLE ELSE c.start END AS start, CASE WHEN y - x >= 0.1 THEN round(y::DECIMAL(24, 10), 3)::DOUBLE ELSE c."end" END AS "end", c.text
+  FROM ctr c LEFT JOIN mv m ON m.vod_id = c.vod_id AND m.clip_idx = c.clip_idx AND m.seq = c.seq) WHERE "end" > start""", raw=True)
 def trim_silence(fx):
     audio = fx.clip_chunks.withColumn("samples", F.transform("samples", lambda x: (x / 8).cast("float")))
     return subtitles.trim_silence(_segments(fx), audio, rate=640)

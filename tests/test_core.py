@@ -209,11 +209,41 @@ def test_silence_is_trimmed(spark):
     assert got == {"a": (1.08, 1.92), "quiet": (0.0, 0.9), "short": (1.2, 1.22), "none": (0.0, 1.0)}
 
 
+def loud_span(audio, rate, start, end, level=0.015, window_s=0.04, step_s=0.02, most_s=0.35):
+    """Plain silence trim of one segment over a clip's whole audio."""
+    width, step, most = (max(1, int(s * rate)) for s in (window_s, step_s, most_s))
+    part = audio[int(start * rate) : int(end * rate)]
+    room = len(part) - width
+    if room < 0:
+        return start, end
+    loud = lambda at: np.sqrt(np.square(part[at : at + width]).mean()) >= level
+    heads = [k for k in range(0, min(room, most), step) if loud(k)]
+    tails = [k for k in range(room, max(0, room - most), -step) if loud(k)]
+    first = start + heads[0] / rate if heads else start
+    last = start + (tails[0] + width) / rate if tails else end
+    return (round(first, 3), round(last, 3)) if last - first >= 0.1 else (start, end)
+
+
+@pytest.mark.parametrize("chunk", [7, 100, 5000])
+def test_silence_trim_over_chunk_edges_equals_the_whole(spark, chunk):
+    rng, rate = np.random.default_rng(chunk), 200
+    clips = {c: (rng.normal(size=1200) * 0.02 * (rng.random(1200) < 0.4) * np.repeat(rng.random(60) < 0.5, 20)).astype(np.float32) for c in (1, 2)}
+    audio = [(1, c, i, x[a : a + chunk].tolist()) for c, x in clips.items() for i, a in enumerate(range(0, len(x), chunk))]
+    segs = [(1, c, i, float(a), float(a + d), f"{c}-{i}") for c in (1, 2, 3) for i, (a, d) in enumerate(zip(np.round(rng.uniform(0, 6, 40), 3), np.round(rng.uniform(0.02, 2, 40), 3)))]
+    got = subtitles.trim_silence(
+        spark.createDataFrame(segs, "vod_id long, clip_idx int, seq long, start double, end double, text string"),
+        spark.createDataFrame(audio, "vod_id long, clip_idx int, chunk_idx long, samples array<float>"), rate)
+    want = {s[5]: loud_span(clips[s[1]].astype(np.float64), rate, s[3], s[4]) if s[1] in clips else (s[3], s[4]) for s in segs}
+    found = {r.text: (r.start, r.end) for r in got.collect()}
+    assert found.keys() == want.keys() and all(np.allclose(found[k], want[k], atol=1.1e-3) for k in want)
+    assert sum(found[s[5]] != (s[3], s[4]) for s in segs) > 10
+
+
 def test_bandpass_passes_the_voice_and_equals_a_loop():
     rate = 16_000
     sections = energy.bandpass_sections(80, 3000, rate)
     t = np.arange(rate) / rate
-    gain = lambda f: np.sqrt((energy.filtered(sections, np.sin(2 * np.pi * f * t))[rate // 2 :] ** 2).mean() * 2)
+    gain = lambda f: np.sqrt((energy.filtered(sections, np.sin(2 * np.pi * f * t))[0][rate // 2 :] ** 2).mean() * 2)
     assert abs(gain(500) - 1) < 0.01 and gain(10) < 0.01 and gain(7000) < 0.01 and abs(gain(80) - 0.707) < 0.02 and abs(gain(3000) - 0.707) < 0.02
     x, y = np.random.default_rng(1).normal(size=700), None
     y = x
@@ -223,7 +253,24 @@ def test_bandpass_passes_the_voice_and_equals_a_loop():
         for n in range(len(y)):
             out[n + 2] = b0 * past[n + 2] + b1 * past[n + 1] + b2 * past[n] - a1 * out[n + 1] - a2 * out[n]
         y = out[2:]
-    assert np.allclose(energy.filtered(sections, x), y)
+    assert np.allclose(energy.filtered(sections, x)[0], y)
+    one, state = energy.filtered(sections, x[:311])
+    assert np.allclose(np.concatenate([one, energy.filtered(sections, x[311:], state)[0]]), y)
+
+
+@pytest.mark.parametrize("run_of", [1, 3, 512])
+def test_bandpass_of_chunks_equals_the_whole(spark, run_of):
+    rng = np.random.default_rng(2)
+    sizes = {1: [100, 1, 0, 7, 300, 64, 64], 2: [50] * 11, 3: [2]}
+    clips = {c: rng.normal(size=sum(n)) for c, n in sizes.items()}
+    data = [(1, c, i, p.tolist()) for c, n in sizes.items() for i, p in enumerate(np.split(clips[c], np.cumsum(n)[:-1]))]
+    audio = spark.createDataFrame([*data, (1, 2, 11, None)], "vod_id long, clip_idx int, chunk_idx long, samples array<float>")
+    got = {(r.clip_idx, r.chunk_idx): r.samples for r in energy.voice_bandpass(audio, 80, 300, 640, run_of=run_of).collect()}
+    sections = energy.bandpass_sections(80, 300, 640)
+    assert len(got) == len(data) + 1
+    for c, n in sizes.items():
+        whole = np.concatenate([got[c, i] for i in range(len(n))])
+        assert np.allclose(whole, energy.filtered(sections, clips[c].astype(np.float32).astype(np.float64))[0], atol=1e-6)
 
 
 def test_sessions_end_when_momentum_fades(spark):
