@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import strip
 from ..params import Trim
+from ..sources.stages import stage
 from .energy import adaptive_threshold, energy_score
 from .intervals import plain, text_density
 
@@ -109,7 +110,7 @@ def trim_bounds(
     frames: DataFrame, durations: DataFrame, transcript: DataFrame | None = None, peaks: DataFrame | None = None, p: Trim = Trim()
 ) -> DataFrame:
     """One row per VOD: peaks before transcript before energy before the whole stream, on each side."""
-    scan = scan_windows(frames, durations, p)
+    scan = stage(scan_windows(frames, durations, p), "scan")  # read by each way of finding a bound
     b = durations.join(start_from_energy(scan, transcript, p), "vod_id", "left").join(end_from_energy(scan, transcript, p), "vod_id", "left")
     none = F.lit(None).cast("double")
     if peaks is not None:
@@ -126,12 +127,15 @@ def trim_bounds(
             f"{side}_method", F.when(cols[0].isNotNull(), "peaks").when(cols[1].isNotNull(), "transcript").when(cols[2].isNotNull(), "energy").otherwise("fallback")
         )
     start = F.when(F.col("_start").isNull() | (F.col("_start") < p.safe_start_s), 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.col("_start") - p.buffer_s), 3))
-    b = _density_of(b.withColumn("real_start", start), transcript, F.col("_end"), F.col("_end") + 15.0, "_after")
+    b = b.withColumn("real_start", start)
+    b = b if transcript is None else stage(b, "candidates")  # a density joins a table with its own rows: no chains of those
+    b = _density_of(b, transcript, F.col("_end"), F.col("_end") + 15.0, "_after")
     buffer = F.when(F.coalesce(F.col("_after"), F.lit(0.0)) >= p.min_density * 0.5, p.long_buffer_s).otherwise(p.buffer_s)
     end = F.round(F.least("total_s", F.col("_end") + buffer), 3)
     b = b.withColumn("_buffer", buffer).withColumn("real_end", end)
     if transcript is not None:
-        said = transcript.filter(F.length(strip(F.col("text"))) > 3).select("vod_id", F.col("end").alias("_e"))
+        said = plain(transcript).filter(F.length(strip(F.col("text"))) > 3).select("vod_id", F.col("end").alias("_e"))
+        b = stage(b, "ends")
         last = b.select("vod_id", "real_end").join(said, "vod_id").filter(F.col("_e") <= F.col("real_end") + p.consistency_s).groupBy("vod_id").agg(F.max("_e").alias("_last"))
         b = b.join(last, "vod_id", "left")
         back = F.round(F.least("total_s", F.col("_last") + F.col("_buffer")), 3)
@@ -143,7 +147,7 @@ def trim_bounds(
         "vod_id", "total_s", F.when(F.col("_reset"), 0.0).otherwise(F.col("real_start")).alias("real_start"), F.when(F.col("_reset"), F.col("total_s")).otherwise(F.col("real_end")).alias("real_end"),
         *[F.when(F.col("_reset"), "fallback").otherwise(F.col(f"{s}_method")).alias(f"{s}_method") for s in ("start", "end")],
     )
-    return trim_confidence(b, transcript, p).select(
+    return trim_confidence(b if transcript is None else stage(b, "bounds"), transcript, p).select(
         "vod_id", F.round("total_s", 3).alias("total_duration_s"), "real_start", "real_end", F.round(F.col("real_end") - F.col("real_start"), 3).alias("duration_trimmed"),
         F.lit(p.buffer_s).alias("buffer_s"), "start_method", "end_method", (F.col("start_method") == "fallback").alias("fallback_start"),
         (F.col("end_method") == "fallback").alias("fallback_end"), "trim_confidence",

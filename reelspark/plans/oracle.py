@@ -6,7 +6,7 @@ Written independently of the operators' code; the folds are recursive queries.
 from __future__ import annotations
 
 from ..operators.transcripts import JUNK
-from ..params import FILLERS, STOPWORDS, TRANSITIONS
+from ..params import FILLERS, HIGHLIGHT_GROUPS, HIGHLIGHT_STOPWORDS, STOPWORDS, TRANSITIONS
 
 
 def _list(values) -> str:
@@ -17,6 +17,20 @@ def words(text: str) -> str:
     return f"list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-záéíóúñü]+'))"
 
 
+def _normal(text: str) -> str:
+    tidy = f"regexp_replace(regexp_replace({text}, '^\\s+|\\s+$', '', 'g'), ' {{2,}}', ' ', 'g')"
+    return f"CASE WHEN regexp_matches({tidy}, '^\\p{{Ll}}') THEN upper(({tidy})[1]) || ({tidy})[2:] ELSE {tidy} END"
+
+
+def _r3(x: str) -> str:
+    return f"round(({x})::DECIMAL(24, 10), 3)::DOUBLE"
+
+
+_WORDS = lambda t: f"list_filter(regexp_split_to_array({t}, '\\s+'), lambda w: w <> '')"
+_BARE = lambda w: f"regexp_replace(lower({w}), '[^\\p{{L}}\\p{{N}}_]', '', 'g')"
+_FAMILY = lambda w: "CASE " + " ".join(f"WHEN list_contains({_list(g)}, {w}) THEN {n}" for n, g in enumerate(HIGHLIGHT_GROUPS)) + " END"
+
+
 STEPS = {
     "seg_raw": r"""SELECT conv_id AS vod_id, turn, unnest(p) AS raw0, generate_subscripts(p, 1) AS pos FROM (SELECT conv_id, turn, regexp_split_to_array(text, '\. |\n') AS p FROM conversations)""",
     "seg_txt": r"""SELECT vod_id, turn, pos, regexp_replace(raw0, '^\s+|\s+$', '', 'g') AS raw FROM seg_raw WHERE regexp_replace(raw0, '^\s+|\s+$', '', 'g') <> ''""",
@@ -158,6 +172,36 @@ STEPS = {
           CASE WHEN used + length(w[i + 1]) <= 38 THEN list_append(one, w[i + 1]) ELSE one END, CASE WHEN used + length(w[i + 1]) <= 38 THEN two ELSE list_append(two, w[i + 1]) END FROM srtf WHERE i < len(w)""",
     "srtw": """SELECT vod_id, clip_idx, chunk_idx, CASE WHEN length(text) <= 38 THEN text WHEN len(two) = 0 THEN array_to_string(one, ' ') ELSE array_to_string(one, ' ') || chr(10)
           || CASE WHEN length(array_to_string(two, ' ')) > 76 THEN array_to_string(two, ' ')[:75] || '…' ELSE array_to_string(two, ' ') END END AS text FROM srtf WHERE i = len(w)""",
+    # chunks: parts packed to lines, time shared by characters
+    "ckn": f"SELECT vod_id, clip_idx, seq, start, \"end\", {_normal('text')} AS text FROM ctr",
+    "ckp": r"SELECT *, string_split(regexp_replace(text, '([,\.!?;])\s+', '\1' || chr(1), 'g'), chr(1)) AS cut FROM ckn",
+    "ckf": """SELECT vod_id, clip_idx, seq, cut, 1 AS i, [cut[1]] AS parts FROM ckp UNION ALL
+        SELECT vod_id, clip_idx, seq, cut, i + 1, CASE WHEN length(parts[-1]) + 1 + length(cut[i + 1]) <= 38 THEN list_append(parts[:-2], parts[-1] || ' ' || cut[i + 1]) ELSE list_append(parts, cut[i + 1]) END FROM ckf WHERE i < len(cut)""",
+    "cks": f"""SELECT c.*, parts, {_WORDS('c.text')} AS w, greatest(list_sum(list_transform(parts, lambda x: length(x))), 1) AS total, c."end" - start <= 2.5 AND length(c.text) <= 76 AS whole
+        FROM ckn c JOIN ckf f ON f.vod_id = c.vod_id AND f.clip_idx = c.clip_idx AND f.seq = c.seq AND f.i = len(f.cut)""",
+    "ckt": f"""SELECT vod_id, clip_idx, seq, start, "end", parts, total, 0 AS i, start AS a, start AS b FROM cks WHERE NOT whole AND len(parts) > 1 UNION ALL
+        SELECT vod_id, clip_idx, seq, start, "end", parts, total, i + 1, b, {_r3('b + ("end" - start) * length(parts[i + 1]) / total')} FROM ckt WHERE i < len(parts)""",
+    "ck0": f"""SELECT vod_id, clip_idx, seq, 0 AS pos, start, "end", text FROM cks WHERE whole
+        UNION ALL SELECT vod_id, clip_idx, seq, 0, start, {_r3('(start + "end") / 2')}, array_to_string(w[:len(w) // 2], ' ') FROM cks WHERE NOT whole AND len(parts) = 1
+        UNION ALL SELECT vod_id, clip_idx, seq, 1, {_r3('(start + "end") / 2')}, "end", array_to_string(w[len(w) // 2 + 1:], ' ') FROM cks WHERE NOT whole AND len(parts) = 1
+        UNION ALL SELECT vod_id, clip_idx, seq, i - 1, {_r3('a')}, CASE WHEN i = len(parts) THEN "end" ELSE b END, {_normal('parts[i]')} FROM ckt WHERE i > 0""",
+    "chs": 'SELECT vod_id, clip_idx, (row_number() OVER (PARTITION BY vod_id, clip_idx ORDER BY seq, pos))::INTEGER AS chunk_idx, start, "end", text FROM ck0',
+    # highlights: what may be shown by chunk, then the choice with its state over a clip's chunks
+    "hl0": f"""SELECT *, least(CASE WHEN regexp_matches(text, '[!?]') THEN 3 WHEN factor >= 0.6 THEN greatest(1, round_even((factor - 0.6::DOUBLE) / (1.0::DOUBLE - 0.6::DOUBLE) * 3, 0)) ELSE 0 END, greatest(1, len(w) // 2))::BIGINT AS quota,
+        list_filter(list_transform(w, lambda x, i: {{'pos': i - 1, 'word': {_BARE('x')}}}), lambda c: length(c.word) > 1 AND NOT list_contains({_list(sorted(HIGHLIGHT_STOPWORDS))}, c.word)) AS known
+        FROM (SELECT c.*, {_WORDS('c.text')} AS w, (k.intensity + 0.6::DOUBLE) / 2 AS factor FROM chs c JOIN clips k ON k.vod_id = c.vod_id AND k.clip_idx = c.clip_idx)""",
+    "hl1": f"""SELECT *, list_transform(known, lambda c: {{'cost': length(c.word) + sqrt(c.pos / greatest(len(w), 1)) + greatest(0, length(c.word) - 4) * 0.3::DOUBLE, 'pos': c.pos, 'word': c.word, 'family': {_FAMILY('c.word')}}}) AS may FROM hl0""",
+    "hlf": """SELECT DISTINCT vod_id, clip_idx, 0 AS k, 7::BIGINT AS budget, 0::BIGINT AS ready, []::VARCHAR[] AS words, []::INTEGER[] AS families, []::BIGINT[] AS chosen FROM chs UNION ALL
+        SELECT vod_id, clip_idx, k, CASE mode WHEN 'pick' THEN budget - len(best) ELSE budget END, CASE mode WHEN 'pick' THEN k + 1 ELSE ready END,
+          CASE mode WHEN 'pick' THEN list_transform(best, lambda x: x.word) WHEN 'clear' THEN []::VARCHAR[] ELSE words END,
+          CASE mode WHEN 'pick' THEN list_filter(list_transform(best, lambda x: x.family), lambda x: x IS NOT NULL) WHEN 'clear' THEN []::INTEGER[] ELSE families END,
+          CASE mode WHEN 'pick' THEN list_transform(best, lambda x: x.pos) ELSE []::BIGINT[] END
+        FROM (SELECT *, (list_sort(list_transform(may, lambda c: {'price': c.cost * CASE WHEN list_contains(words, c.word) THEN 1.5::DOUBLE ELSE 1 END * CASE WHEN c.family IS NOT NULL AND list_contains(families, c.family) THEN 1.3::DOUBLE ELSE 1 END,
+            'pos': c.pos, 'word': c.word, 'family': c.family})))[:least(quota, budget)] AS best,
+          CASE WHEN budget = 0 OR (k - 1 >= ready AND quota = 0) THEN 'clear' WHEN k - 1 >= ready AND len(may) > 0 THEN 'pick' ELSE 'same' END AS mode
+        FROM (SELECT l.vod_id, l.clip_idx, l.k + 1 AS k, budget, ready, words, families, quota, may FROM hlf l JOIN hl1 c ON c.vod_id = l.vod_id AND c.clip_idx = l.clip_idx AND c.chunk_idx = l.k + 1))""",
+    "hls": """SELECT c.vod_id, c.clip_idx, c.chunk_idx, c.start, c."end", CASE WHEN len(chosen) > 0 THEN array_to_string(list_transform(w, lambda x, i: CASE WHEN list_contains(chosen, i - 1) THEN upper(replace(x, 'ß', 'ss')) ELSE x END), ' ') ELSE text END AS text
+        FROM hl1 c JOIN hlf l ON l.vod_id = c.vod_id AND l.clip_idx = c.clip_idx AND l.k = c.chunk_idx""",
     # voice
     "vframes": "SELECT vod_id, c.clip_idx, frame_idx, round(frame_idx * 0.1 + 0.05, 3) AS t, rms / 10 AS rms FROM frames CROSS JOIN (SELECT unnest(range(1, 26)) AS clip_idx) c",
     "vseg": 'SELECT s.vod_id, s.clip_idx, s.chunk_idx, s.start, s."end", s.text, c."end" - c.start AS clip_dur FROM ctr s JOIN clips c ON c.vod_id = s.vod_id AND c.clip_idx = s.clip_idx',

@@ -467,12 +467,12 @@ def trim_silence(fx):
     return subtitles.trim_silence(_segments(fx), audio, rate=640)
 
 
-@query()
+@query('SELECT vod_id, clip_idx, chunk_idx, start, "end", text FROM chs')
 def chunk_segments(fx):
     return subtitles.chunk_segments(_segments(fx))
 
 
-@query()
+@query('SELECT vod_id, clip_idx, chunk_idx, start, "end", text FROM hls')
 def highlight_keywords(fx):
     return subtitles.highlight_keywords(subtitles.chunk_segments(_segments(fx)), fx.features)
 
@@ -696,7 +696,30 @@ def trim_bounds(fx):
     return pipelines.real_bounds(fx.frames, fx.durations, p=EASY)
 
 
-@query()
+_CHARS = lambda v, a, b: f"coalesce((SELECT sum(length(text)) FROM transcript s WHERE s.vod_id = {v}.vod_id AND s.start < {b} AND s.\"end\" > {a}), 0)"
+
+
+@query(sql("").rstrip() + _VALID + f""", bp AS (SELECT vod_id, min(timestamp) FILTER (side = 'head') AS sp, max(timestamp) FILTER (side = 'tail') AS ep FROM vd WHERE den >= 0.5 GROUP BY vod_id),
+said AS (SELECT t.*, least(600, total_s * 0.5) AS head_end, greatest(0, total_s - least(600, total_s * 0.5)) AS tail_start FROM transcript t JOIN durations d ON d.vod_id = t.vod_id WHERE length(trim(text)) > 3),
+th AS (SELECT vod_id, min(start) AS st FROM said a WHERE start <= head_end AND {_CHARS('a', 'a.start', 'a.start + 30')} / 30.0 >= 0.5 GROUP BY vod_id),
+te AS (SELECT vod_id, max("end") AS et FROM said WHERE "end" >= tail_start GROUP BY vod_id),
+sh AS (SELECT *, avg(active::INTEGER) OVER (PARTITION BY vod_id, side ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS ahead, avg(active::INTEGER) OVER (PARTITION BY vod_id, side ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING) AS quiet,
+  max(pos) OVER (PARTITION BY vod_id, side) + 1 AS n FROM scan),
+se AS (SELECT vod_id, min(t) AS sn FROM sh x WHERE side = 'head' AND pos < n - 8 AND ahead >= 0.3 AND {_CHARS('x', 'x.t', 'x.t + 8')} / 8.0 >= 0.5 GROUP BY vod_id),
+ee AS (SELECT vod_id, max(t) AS en FROM sh x WHERE side = 'tail' AND active AND pos > 20 AND pos <= n - 21 AND quiet < 0.3 AND {_CHARS('x', 'x.t', 'x.t + 20')} / 20.0 < 0.5 GROUP BY vod_id),
+t0 AS (SELECT d.vod_id, d.total_s, coalesce(sp, st, sn) AS s, coalesce(ep, et, en) AS e, CASE WHEN sp IS NOT NULL THEN 'peaks' WHEN st IS NOT NULL THEN 'transcript' WHEN sn IS NOT NULL THEN 'energy' ELSE 'fallback' END AS sm,
+  CASE WHEN ep IS NOT NULL THEN 'peaks' WHEN et IS NOT NULL THEN 'transcript' WHEN en IS NOT NULL THEN 'energy' ELSE 'fallback' END AS em
+  FROM durations d LEFT JOIN bp ON bp.vod_id = d.vod_id LEFT JOIN th ON th.vod_id = d.vod_id LEFT JOIN te ON te.vod_id = d.vod_id LEFT JOIN se ON se.vod_id = d.vod_id LEFT JOIN ee ON ee.vod_id = d.vod_id),
+t1 AS (SELECT *, CASE WHEN s IS NULL OR s < 30 THEN 0 ELSE round(greatest(0, s - 5), 3) END AS a, CASE WHEN e IS NOT NULL AND {_CHARS('t', 't.e', 't.e + 15')} / 15.0 >= 0.25 THEN 10 ELSE 5 END AS buffer FROM t0 t),
+t2 AS (SELECT *, CASE WHEN e IS NULL THEN round(total_s, 3) ELSE round(least(total_s, e + buffer), 3) END AS b FROM t1),
+t3 AS (SELECT *, (SELECT max(x."end") FROM said x WHERE x.vod_id = t.vod_id AND x."end" <= t.b + 30) AS last FROM t2 t),
+t4 AS (SELECT *, CASE WHEN last IS NOT NULL AND abs(b - last) > 30 THEN round(least(total_s, last + buffer), 3) ELSE b END AS z FROM t3),
+t5 AS (SELECT vod_id, total_s, CASE WHEN z <= a + 60 THEN 0 ELSE a END AS real_start, CASE WHEN z <= a + 60 THEN total_s ELSE z END AS real_end, CASE WHEN z <= a + 60 THEN 'fallback' ELSE sm END AS sm, CASE WHEN z <= a + 60 THEN 'fallback' ELSE em END AS em FROM t4),
+t6 AS (SELECT *, {_CHARS('t', 't.real_start', 't.real_start + 30')} / 30.0 AS ds, {_CHARS('t', 'greatest(0, t.real_end - 30)', 't.real_end')} / greatest(real_end - greatest(0, real_end - 30), 0.001) AS de FROM t5 t)
+SELECT vod_id, round(total_s, 3) AS total_duration_s, real_start, real_end, round(real_end - real_start, 3) AS duration_trimmed, 5.0::DOUBLE AS buffer_s, sm AS start_method, em AS end_method, sm = 'fallback' AS fallback_start, em = 'fallback' AS fallback_end,
+  round(least(1, CASE sm WHEN 'peaks' THEN 0.2 WHEN 'energy' THEN 0.1 WHEN 'transcript' THEN 0.08 ELSE 0 END + CASE em WHEN 'peaks' THEN 0.2 WHEN 'energy' THEN 0.1 WHEN 'transcript' THEN 0.08 ELSE 0 END
+  + CASE WHEN ds >= 0.5 THEN 0.2 WHEN ds >= 0.25 THEN 0.1 ELSE 0 END + CASE WHEN de >= 0.25 THEN 0.2 WHEN de > 0 THEN 0.1 ELSE 0 END + CASE WHEN sm <> 'fallback' THEN 0.1 ELSE 0 END + CASE WHEN em <> 'fallback' THEN 0.1 ELSE 0 END), 3)::DOUBLE AS trim_confidence
+FROM t6""", raw=True)
 def trim_bounds_all(fx):
     return pipelines.real_bounds(fx.frames, fx.durations, fx.transcript, fx.peaks, EASY)
 
