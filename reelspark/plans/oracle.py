@@ -5,6 +5,8 @@ Written independently of the operators' code; the folds are recursive queries.
 
 from __future__ import annotations
 
+import re
+
 from ..operators.transcripts import JUNK
 from ..params import FILLERS, HIGHLIGHT_GROUPS, HIGHLIGHT_STOPWORDS, STOPWORDS, TRANSITIONS
 
@@ -19,7 +21,7 @@ def words(text: str) -> str:
 
 def _normal(text: str) -> str:
     tidy = f"regexp_replace(regexp_replace({text}, '^\\s+|\\s+$', '', 'g'), ' {{2,}}', ' ', 'g')"
-    return f"CASE WHEN regexp_matches({tidy}, '^\\p{{Ll}}') THEN upper(({tidy})[1]) || ({tidy})[2:] ELSE {tidy} END"
+    return f"CASE WHEN regexp_matches({tidy}, '^\\p{{Ll}}') THEN replace(upper(({tidy})[1]), 'ẞ', 'SS') || ({tidy})[2:] ELSE {tidy} END"
 
 
 def _r3(x: str) -> str:
@@ -96,15 +98,16 @@ STEPS = {
     # momentum sessions
     "aw0": """SELECT p.vod_id, row_number() OVER (PARTITION BY p.vod_id ORDER BY timestamp, intensity) AS k, timestamp AS ts, intensity AS i, round(greatest(0, timestamp - CASE WHEN intensity > 0.8 THEN 15 WHEN intensity > 0.6 THEN 12 ELSE 10 END), 3) AS s,
         round(least(coalesce(content_end, 'inf'::DOUBLE), timestamp + CASE WHEN intensity > 0.8 THEN 20 WHEN intensity > 0.6 THEN 18 ELSE 15 END), 3) AS e, coalesce(content_end, 'inf'::DOUBLE) AS ce FROM peaks p LEFT JOIN cend c ON c.vod_id = p.vod_id""",
-    "awf": """SELECT vod_id, k, ce, s, e, i AS m, i AS total, 1 AS n, 0 AS sess, ts AS best_t, i AS best_i FROM aw0 WHERE k = 1 UNION ALL
+    "awf": """SELECT vod_id, k, ce, s, e, i AS m, i AS total, 1 AS n, 0 AS sess, ts AS best_t, i AS best_i, [{'t': ts, 'i': i}] AS gp FROM aw0 WHERE k = 1 UNION ALL
         SELECT vod_id, ck, ce, CASE WHEN j THEN s ELSE cs END, CASE WHEN j THEN greatest(e, c_e) ELSE c_e END, CASE WHEN j THEN least(1, held + ci) ELSE ci END, CASE WHEN j THEN total + ci ELSE ci END, CASE WHEN j THEN n + 1 ELSE 1 END,
-          CASE WHEN j THEN sess ELSE sess + 1 END, CASE WHEN j AND best_i >= ci THEN best_t ELSE cts END, CASE WHEN j THEN greatest(best_i, ci) ELSE ci END
+          CASE WHEN j THEN sess ELSE sess + 1 END, CASE WHEN j AND best_i >= ci THEN best_t ELSE cts END, CASE WHEN j THEN greatest(best_i, ci) ELSE ci END,
+          CASE WHEN j THEN list_append(gp, {'t': cts, 'i': ci}) ELSE [{'t': cts, 'i': ci}] END
         FROM (SELECT *, held > 0.12 AND c_e - s <= 120 AS j FROM (SELECT *, CASE WHEN cts > e AND rich >= 8 THEN least(1, decayed + 0.15) ELSE decayed END AS held FROM (
           SELECT l.*, c.k AS ck, c.s AS cs, c.e AS c_e, c.i AS ci, c.ts AS cts, l.m * exp(-0.20 / (1 + 1.5 * (l.total / l.n)) * greatest(0, c.ts - l.e)) AS decayed,
             coalesce((SELECT sum(r.richness::DECIMAL(24, 10)) FROM rich r WHERE r.vod_id = c.vod_id AND r.start < c.ts AND r."end" > l.e), 0)::DOUBLE AS rich
           FROM awf l JOIN aw0 c ON c.vod_id = l.vod_id AND c.k = l.k + 1)))""",
-    "aw1": "SELECT vod_id, sess, any_value(ce) AS ce, arg_max(s, k) AS s, arg_max(e, k) AS e, arg_max(total, k) AS total, arg_max(n, k) AS n, arg_max(best_t, k) AS best_t FROM awf GROUP BY vod_id, sess",
-    "active": """SELECT vod_id, row_number() OVER (PARTITION BY vod_id ORDER BY sess) - 1 AS idx, s AS start, least(coalesce(round(least(last + 0.3, ce), 3), e), s + 120) AS "end", n::INTEGER AS n_peaks, round((total / n)::DECIMAL(24, 10), 4)::DOUBLE AS mean_intensity
+    "aw1": "SELECT vod_id, sess, any_value(ce) AS ce, arg_max(s, k) AS s, arg_max(e, k) AS e, arg_max(total, k) AS total, arg_max(n, k) AS n, arg_max(best_t, k) AS best_t, arg_max(gp, k) AS gp FROM awf GROUP BY vod_id, sess",
+    "active": """SELECT vod_id, row_number() OVER (PARTITION BY vod_id ORDER BY sess) - 1 AS idx, s AS start, least(coalesce(round(least(last + 0.3, ce), 3), e), s + 120) AS "end", n::INTEGER AS n_peaks, round((total / n)::DECIMAL(24, 10), 4)::DOUBLE AS mean_intensity, gp
         FROM (SELECT a.*, (SELECT max(t."end") FROM transcript t WHERE t.vod_id = a.vod_id AND t.start <= a.e AND t."end" > a.best_t) AS last FROM aw1 a)""",
     # tokens and continuity
     "tok": "SELECT vod_id, idx, token, count(*) AS n FROM (SELECT vod_id, idx, unnest(tokens) AS token FROM win_seg) GROUP BY ALL",
@@ -218,9 +221,100 @@ STEPS = {
 }
 
 
-def sql(select: str) -> str:
-    steps = ",\n".join(f"{name} AS ({body})" for name, body in STEPS.items())
+#: Cuts of long, dense windows, over the step `windows`; `parts` are the windows after them.
+SPLITS = {
+    "mids": """SELECT *, list_filter(gp, lambda x: x.t <= mid_at) AS pre, list_filter(gp, lambda x: x.t > mid_at) AS post, least(25, ("end" - start) * 0.3) AS reach FROM (
+        SELECT vod_id, idx, start, "end", gp, pos, (gp[pos + 1].t + gp[pos + 2].t) / 2 AS mid_at FROM (SELECT *, unnest(range(len(gp) - 1)) AS pos FROM windows)) WHERE mid_at - start >= 8 AND "end" - mid_at >= 8""",
+    "sptok": """SELECT vod_id, idx, pos, side, token, count(*) AS n FROM (SELECT c.vod_id, c.idx, c.pos, 0 AS side, unnest(s.tokens) AS token FROM mids c JOIN rich s ON s.vod_id = c.vod_id AND s.start < c.mid_at AND s."end" > c.mid_at - reach
+        UNION ALL SELECT c.vod_id, c.idx, c.pos, 1, unnest(s.tokens) FROM mids c JOIN rich s ON s.vod_id = c.vod_id AND s.start < c.mid_at + reach AND s."end" > c.mid_at) GROUP BY ALL""",
+    "spdot": "SELECT a.vod_id, a.idx, a.pos, sum(a.n * b.n) AS d FROM sptok a JOIN sptok b ON a.vod_id = b.vod_id AND a.idx = b.idx AND a.pos = b.pos AND a.token = b.token AND a.side = 0 AND b.side = 1 GROUP BY 1, 2, 3",
+    "spnrm": "SELECT vod_id, idx, pos, side, sqrt(sum(n * n)) AS q FROM sptok GROUP BY ALL",
+    "pts": """SELECT *, round((0.40 * f_gap + 0.35 * f_sem + 0.25 * (1 - least(e1, e2) / greatest(e1, e2, 1e-6)))::DECIMAL(24, 10), 4)::DOUBLE AS split_score FROM (
+        SELECT c.*, CASE WHEN c.vod_id IN (SELECT vod_id FROM transcript) AND c.vod_id IN (SELECT vod_id FROM windows GROUP BY vod_id HAVING count(*) > 1) THEN 1 - coalesce(d / (a.q * b.q), 0) ELSE 0.5 END AS f_sem,
+          least(1, (list_min(list_transform(post, lambda x: x.t)) - list_max(list_transform(pre, lambda x: x.t))) / 30.0) AS f_gap, list_avg(list_transform(pre, lambda x: x.i)) AS e1, list_avg(list_transform(post, lambda x: x.i)) AS e2
+        FROM mids c LEFT JOIN spdot d ON d.vod_id = c.vod_id AND d.idx = c.idx AND d.pos = c.pos LEFT JOIN spnrm a ON a.vod_id = c.vod_id AND a.idx = c.idx AND a.pos = c.pos AND a.side = 0
+        LEFT JOIN spnrm b ON b.vod_id = c.vod_id AND b.idx = c.idx AND b.pos = c.pos AND b.side = 1 WHERE len(pre) > 0 AND len(post) > 0)""",
+    "cutat": """SELECT vod_id, idx, arg_min(mid_at, (-split_score, mid_at)) AS mid_at FROM pts WHERE "end" - start >= 60 AND len(gp) >= 3 AND len(gp) / ("end" - start) * 60 >= 3 GROUP BY 1, 2 HAVING max(split_score) >= 0.3""",
+    "parts": """SELECT *, row_number() OVER (PARTITION BY vod_id ORDER BY old_idx, half) - 1 AS idx FROM (
+        SELECT w.vod_id, w.idx AS old_idx, h.half, CASE WHEN h.half = 1 THEN cut_at ELSE w.start END AS start, CASE WHEN h.half = 0 AND cut_at IS NOT NULL THEN cut_at ELSE w."end" END AS "end",
+          CASE WHEN cut_at IS NULL THEN gp WHEN h.half = 0 THEN list_filter(gp, lambda x: x.t <= cut_at) ELSE list_filter(gp, lambda x: x.t > cut_at) END AS gp
+        FROM (SELECT w.*, round(mid_at::DECIMAL(24, 10), 3)::DOUBLE AS cut_at FROM windows w LEFT JOIN cutat c ON c.vod_id = w.vod_id AND c.idx = w.idx) w JOIN (SELECT unnest([0, 1])::INTEGER AS half) h ON h.half = 0 OR cut_at IS NOT NULL)""",
+}
+
+
+def renamed(steps: dict[str, str], names: dict[str, str]) -> dict[str, str]:
+    """The steps under other names, reading other steps."""
+    swap = lambda text: re.sub(r"\b(" + "|".join(names) + r")\b(?!\()", lambda m: names[m[1]], text)
+    return {names.get(k, k): swap(body) for k, body in steps.items()}
+
+
+def _hybrid() -> dict[str, str]:
+    """Candidates from momentum sessions to the final filter, then scored, selected and refined: the steps above, chained."""
+    of = lambda *names: {n: STEPS[n] for n in names}
+    topics = ["win_seg", "win_text", "tok", "ctx", "cosine", "trans", "cont0", "contf", "contb", "continuity"]
+    out = renamed({**of(*topics), **SPLITS}, {n: f"h_{n}" for n in (*topics, *SPLITS)} | {"windows": "active"})
+    flagged = """SELECT p.vod_id, p.idx, p.start, p."end", p.gp, c.semantic_score, c.has_transition, NOT c.is_break AS topic_continuity, row_number() OVER (PARTITION BY p.vod_id ORDER BY p.idx) AS k
+        FROM h_parts p JOIN h_continuity c ON c.vod_id = p.vod_id AND c.idx = p.old_idx"""
+    folded = """SELECT vod_id, k, idx, start, "end", gp, semantic_score, has_transition, topic_continuity FROM h_flagged WHERE k = 1 UNION ALL
+        SELECT c.vod_id, c.k, CASE WHEN j THEN l.idx ELSE c.idx END, CASE WHEN j THEN l.start ELSE c.start END, CASE WHEN j THEN greatest(l."end", c."end") ELSE c."end" END, CASE WHEN j THEN list_concat(l.gp, c.gp) ELSE c.gp END,
+          CASE WHEN j THEN l.semantic_score ELSE c.semantic_score END, CASE WHEN j THEN l.has_transition ELSE c.has_transition END, CASE WHEN j THEN l.topic_continuity ELSE c.topic_continuity END
+        FROM (SELECT l.*, c.k AS ck, c.idx NOT IN (SELECT b.idx FROM h_continuity b WHERE b.vod_id = c.vod_id AND b.is_break) AND c.start - l."end" <= 4 * CASE WHEN l."end" - l.start >= 60 THEN 0.5 WHEN l."end" - l.start <= 15 THEN 1.5 ELSE 1 END
+            AND c."end" - l.start <= 120 AS j FROM h_folded l JOIN h_flagged c ON c.vod_id = l.vod_id AND c.k = l.k + 1) l JOIN h_flagged c ON c.vod_id = l.vod_id AND c.k = l.ck"""
+    merged = """SELECT vod_id, idx, arg_max(start, k) AS start, arg_max("end", k) AS "end", arg_max(gp, k) AS gp, any_value(semantic_score) AS semantic_score, any_value(has_transition) AS has_transition,
+        any_value(topic_continuity) AS topic_continuity FROM h_folded GROUP BY vod_id, idx"""
+    out |= {"h_flagged": flagged, "h_folded": folded, "h_merged": merged}
+    measured = of("win_seg", "win_text", "best_peak", "near_win", "metrics", "tiers")
+    measured["metrics"] = measured["metrics"].replace("0.15 * 0.5", "0.15 * semantic_score").replace('w."end" - w.start AS d,', 'w."end" - w.start AS d, w.semantic_score, w.has_transition, w.topic_continuity,')
+    out |= renamed(measured, {n: f"m_{n}" for n in measured} | {"windows": "h_merged"})
+    out["h_found"] = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vod_id ORDER BY start, idx) AS place FROM (
+        SELECT *, bool_or(k) OVER (PARTITION BY vod_id, start, "end") AS keep FROM (SELECT *, confidence_score >= 0.15 OR row_number() OVER (PARTITION BY vod_id ORDER BY energy_score DESC, idx) <= 5 AS k FROM m_tiers))
+        WHERE keep AND "end" - start BETWEEN 8 AND 120) WHERE place <= 25"""
+    out["h_clips"] = 'SELECT vod_id, start, "end", peak_timestamp, intensity, row_number() OVER (PARTITION BY vod_id ORDER BY start, "end", peak_timestamp) AS clip_idx FROM h_found'
+    scored = of("clip_seg", "hook3", "hook5", "body", "phrase", "early", "raw_score", "hooked", "strength", "ranked", "elig", "pick", "selected", "cover", "upcome", "refined")
+    return out | renamed(scored, {n: f"b_{n}" for n in scored} | {"clips": "h_clips"})
+
+
+def _subtitles() -> dict[str, str]:
+    """The subtitles of a clip, from highlighted chunks to calm ones."""
+    up = lambda x: f"(length(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}_]', '', 'g')) > 1 AND regexp_replace({x}, '[^\\p{{L}}\\p{{N}}_]', '', 'g') = upper(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}_]', '', 'g')))"
+    low = "CASE WHEN x[1] = chr(10) THEN chr(10) || upper(lower(x)[2]) || lower(x)[3:] WHEN i = 1 THEN upper(lower(x)[1]) || lower(x)[2:] ELSE lower(x) END"
+    return {
+        "st_words": f"SELECT *, {_WORDS('text')} AS w FROM hls",
+        "st_laid": wrapped_sql("st_words"),
+        "st_w": f"SELECT *, {_WORDS('text')} AS w FROM st_laid",
+        "st_cap": f"""SELECT vod_id, clip_idx, chunk_idx AS old, 0 AS half, start, CASE WHEN "end" - start <= 4 THEN "end" ELSE {_r3('(start + "end") / 2')} END AS "end", CASE WHEN "end" - start <= 4 THEN text ELSE array_to_string(w[:greatest(1, len(w) // 2)], ' ') END AS text FROM st_w
+            UNION ALL SELECT vod_id, clip_idx, chunk_idx, 1, {_r3('(start + "end") / 2')}, "end", array_to_string(w[greatest(1, len(w) // 2) + 1:], ' ') FROM st_w WHERE "end" - start > 4""",
+        "st_num": "SELECT *, (row_number() OVER (PARTITION BY vod_id, clip_idx ORDER BY old, half))::INTEGER AS chunk_idx FROM st_cap",
+        "st_fix": """SELECT vod_id, clip_idx, chunk_idx, start, CASE WHEN nxt < "end" THEN greatest(round(start + 0.1, 3), round(nxt - 0.05, 3)) ELSE "end" END AS "end", text FROM (SELECT *, lead(start) OVER (PARTITION BY vod_id, clip_idx ORDER BY chunk_idx) AS nxt FROM st_num)""",
+        "st_calm": f"""SELECT vod_id, clip_idx, chunk_idx, start, "end", CASE WHEN 2 * len(list_filter(w, lambda x: {up('x')})) > len(w) THEN replace(array_to_string(list_transform(tok, lambda x, i: CASE WHEN {up('x')}
+            AND len(list_filter(tok[:i - 1], lambda y: {up('y')})) >= 2 THEN {low} ELSE x END), ' '), ' ' || chr(10), chr(10)) ELSE text END AS text
+            FROM (SELECT *, string_split(replace(text, chr(10), ' ' || chr(10)), ' ') AS tok, {_WORDS('text')} AS w FROM st_fix)""",
+    }
+
+
+_FIT = lambda w: f"greatest(1, len(list_filter(range(1, len({w}) + 1), lambda k: length(array_to_string({w}[:k], ' ')) <= 38)))"
+
+
+def wrapped_sql(words_step: str) -> str:
+    """Chunks laid out in at most two lines, from a step with their words as w."""
+    return f"""SELECT vod_id, clip_idx, chunk_idx::INTEGER AS chunk_idx, start, "end", CASE WHEN length(text) <= 38 THEN text WHEN two = 0 THEN array_to_string(p, ' ') ELSE array_to_string(p[:cut], ' ') || chr(10) || array_to_string(p[cut + 1:], ' ') END AS text
+  FROM (SELECT *, CASE WHEN abs(a - b) / greatest(a, b) > 0.4 THEN greatest(1, least(1 + len(list_filter(range(1, len(p) + 1), lambda k: length(array_to_string(p[:k], ' ')) < length(array_to_string(p, ' ')) // 2)), len(p) - 1)) ELSE one END AS cut
+  FROM (SELECT *, length(array_to_string(p[:one], ' ')) AS a, length(array_to_string(p[one + 1:], ' ')) AS b
+  FROM (SELECT *, CASE WHEN length(array_to_string(w[one + two + 1:], ' ')) + 1 > 3.8 AND len(w) > one + two AND NOT (length(e) > 1 AND e = upper(e)) THEN list_append(w[:one + two - 1], w[one + two] || '…') ELSE w[:one + two] END AS p
+  FROM (SELECT *, regexp_replace(w[one + two], '[^\\p{{L}}\\p{{N}}_]', '', 'g') AS e FROM (SELECT *, CASE WHEN len(w) > one THEN {_FIT('w[one + 1:]')} ELSE 0 END AS two FROM (SELECT *, {_FIT('w')} AS one FROM {words_step}))))))"""
+
+
+#: Steps from frames to peaks.
+AUDIO = ["frames", "energy0", "energy", "thresh", "runs0", "runs", "maxima", "ranked_max", "greedy", "kept_max", "top50"]
+
+
+def sql(select: str, more: dict[str, str] | None = None, first: list[str] = ()) -> str:
+    """A query over the steps and some more; those named first stand before the others."""
+    steps = ",\n".join(f"{name} AS ({body})" for name, body in {**{n: STEPS[n] for n in first}, **STEPS, **(more or {})}.items())
     return f"WITH RECURSIVE {steps}\n{select}"
 
 
+HYBRID, SUBTITLES = _hybrid(), _subtitles()
+
+
 JUNK_LIST = _list(JUNK)

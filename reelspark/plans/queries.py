@@ -11,7 +11,7 @@ from ..sources import files
 from ..sources.stages import scratch
 from . import pipelines
 from .fixtures import Fixtures
-from .oracle import JUNK_LIST, sql
+from .oracle import AUDIO, HYBRID, JUNK_LIST, SPLITS, SUBTITLES, sql, wrapped_sql
 
 TRIM = Trim(frames_per_second=1.0)
 GAP = 5  # frames between peaks in the adapters, where a frame lasts one second
@@ -326,30 +326,13 @@ def internal_breaks(fx):
     return segments.internal_breaks(fx.windows, fx.transcript, WIN)
 
 
-_SPLITS = """, mids AS (SELECT *, list_filter(gp, lambda x: x.t <= mid_at) AS pre, list_filter(gp, lambda x: x.t > mid_at) AS post, least(25, ("end" - start) * 0.3) AS reach FROM (
-  SELECT vod_id, idx, start, "end", gp, pos, (gp[pos + 1].t + gp[pos + 2].t) / 2 AS mid_at FROM (SELECT *, unnest(range(len(gp) - 1)) AS pos FROM windows)) WHERE mid_at - start >= 8 AND "end" - mid_at >= 8),
-tb AS (SELECT vod_id, idx, pos, side, token, count(*) AS n FROM (SELECT c.vod_id, c.idx, c.pos, 0 AS side, unnest(s.tokens) AS token FROM mids c JOIN rich s ON s.vod_id = c.vod_id AND s.start < c.mid_at AND s."end" > c.mid_at - reach
-  UNION ALL SELECT c.vod_id, c.idx, c.pos, 1, unnest(s.tokens) FROM mids c JOIN rich s ON s.vod_id = c.vod_id AND s.start < c.mid_at + reach AND s."end" > c.mid_at) GROUP BY ALL),
-dots AS (SELECT a.vod_id, a.idx, a.pos, sum(a.n * b.n) AS d FROM tb a JOIN tb b ON a.vod_id = b.vod_id AND a.idx = b.idx AND a.pos = b.pos AND a.token = b.token AND a.side = 0 AND b.side = 1 GROUP BY 1, 2, 3),
-nrm AS (SELECT vod_id, idx, pos, side, sqrt(sum(n * n)) AS q FROM tb GROUP BY ALL), many AS (SELECT vod_id FROM windows GROUP BY vod_id HAVING count(*) > 1),
-parts AS (SELECT c.*, CASE WHEN c.vod_id IN (SELECT vod_id FROM transcript) AND c.vod_id IN (SELECT vod_id FROM many) THEN 1 - coalesce(d / (a.q * b.q), 0) ELSE 0.5 END AS f_sem,
-  least(1, (list_min(list_transform(post, lambda x: x.t)) - list_max(list_transform(pre, lambda x: x.t))) / 30.0) AS f_gap, list_avg(list_transform(pre, lambda x: x.i)) AS e1, list_avg(list_transform(post, lambda x: x.i)) AS e2
-  FROM mids c LEFT JOIN dots d ON d.vod_id = c.vod_id AND d.idx = c.idx AND d.pos = c.pos LEFT JOIN nrm a ON a.vod_id = c.vod_id AND a.idx = c.idx AND a.pos = c.pos AND a.side = 0
-  LEFT JOIN nrm b ON b.vod_id = c.vod_id AND b.idx = c.idx AND b.pos = c.pos AND b.side = 1 WHERE len(pre) > 0 AND len(post) > 0),
-pts AS (SELECT *, round((0.40 * f_gap + 0.35 * f_sem + 0.25 * (1 - least(e1, e2) / greatest(e1, e2, 1e-6)))::DECIMAL(24, 10), 4)::DOUBLE AS split_score FROM parts)
-"""
-
-
-@query(sql("").rstrip() + _SPLITS + 'SELECT vod_id, idx, pos::INTEGER AS pos, round(mid_at::DECIMAL(24, 10), 4)::DOUBLE AS "at", split_score FROM pts', raw=True)
+@query(sql('SELECT vod_id, idx, pos::INTEGER AS pos, round(mid_at::DECIMAL(24, 10), 4)::DOUBLE AS "at", split_score FROM pts', SPLITS), raw=True)
 def split_points(fx):
     p = segments.split_points(fx.windows, fx.transcript)
     return p.select(*WIN, "pos", tidy(F.col("at")).alias("at"), "split_score")
 
 
-@query(sql("").rstrip() + _SPLITS + """, cut AS (SELECT vod_id, idx, arg_min(mid_at, (-split_score, mid_at)) AS mid_at FROM pts WHERE "end" - start >= 60 AND len(gp) >= 3 AND len(gp) / ("end" - start) * 60 >= 3 GROUP BY 1, 2 HAVING max(split_score) >= 0.3)
-SELECT w.vod_id, w.idx AS old_idx, h.half, CASE WHEN h.half = 1 THEN round(mid_at::DECIMAL(24, 10), 3)::DOUBLE ELSE w.start END AS start, CASE WHEN h.half = 0 AND mid_at IS NOT NULL THEN round(mid_at::DECIMAL(24, 10), 3)::DOUBLE ELSE w."end" END AS "end",
-  CASE WHEN mid_at IS NULL THEN len(gp) WHEN h.half = 0 THEN len(list_filter(gp, lambda x: x.t <= round(mid_at::DECIMAL(24, 10), 3)::DOUBLE)) ELSE len(list_filter(gp, lambda x: x.t > round(mid_at::DECIMAL(24, 10), 3)::DOUBLE)) END::INTEGER AS n_peaks
-FROM windows w LEFT JOIN cut c ON c.vod_id = w.vod_id AND c.idx = w.idx JOIN (SELECT unnest([0, 1])::INTEGER AS half) h ON h.half = 0 OR mid_at IS NOT NULL""", raw=True)
+@query(sql('SELECT vod_id, old_idx, half, start, "end", len(gp)::INTEGER AS n_peaks FROM parts', SPLITS), raw=True)
 def soft_split(fx):
     s = segments.soft_split(fx.windows, fx.transcript)
     return s.select("vod_id", "old_idx", "half", "start", "end", F.size("group_peaks").alias("n_peaks"))
@@ -380,7 +363,7 @@ def quality_or_viral(fx):
     return segments.quality_or_viral(segments.clip_metrics(fx.windows, fx.transcript)).select(*WIN, "start", "end")
 
 
-@query()
+@query(sql('SELECT vod_id, start, "end", peak_timestamp, intensity, nearest_text, energy_score, semantic_score, confidence_score, moment_tier, topic_continuity, has_transition FROM h_found', HYBRID), raw=True)
 def segment_clips(fx):
     return segments.segment_clips(fx.peaks, fx.transcript)
 
@@ -423,13 +406,13 @@ def refinement_stats(fx):
     return ranking.refinement_stats(ranking.refine_starts(ranking.select_clips(_ranked(fx)), fx.transcript))
 
 
-@query()
+@query(sql('SELECT vod_id, new_start AS start, "end", peak_timestamp, score, reason FROM b_refined', HYBRID), raw=True)
 def best_clips(fx):
     b = pipelines.best_clips(fx.peaks, fx.transcript)
     return b.select("vod_id", "start", "end", "peak_timestamp", "score", F.col("refinement.reason").alias("reason"))
 
 
-@query()
+@query(sql('SELECT vod_id, new_start AS start, "end", peak_timestamp, score, reason FROM b_refined', {**HYBRID, "peaks": "SELECT * FROM top50"}, AUDIO), raw=True)
 def best_clips_from_audio(fx):
     b = pipelines.best_clips_from_audio(fx.frames, fx.transcript, GAP, 1.0)
     return b.select("vod_id", "start", "end", "peak_timestamp", "score", F.col("refinement.reason").alias("reason"))
@@ -477,14 +460,7 @@ def highlight_keywords(fx):
     return subtitles.highlight_keywords(subtitles.chunk_segments(_segments(fx)), fx.features)
 
 
-_FIT = lambda w: f"greatest(1, len(list_filter(range(1, len({w}) + 1), lambda k: length(array_to_string({w}[:k], ' ')) <= 38)))"
-
-
-@query(f"""SELECT vod_id, clip_idx, chunk_idx::INTEGER AS chunk_idx, CASE WHEN length(text) <= 38 THEN text WHEN two = 0 THEN array_to_string(p, ' ') ELSE array_to_string(p[:cut], ' ') || chr(10) || array_to_string(p[cut + 1:], ' ') END AS text
-  FROM (SELECT *, CASE WHEN abs(a - b) / greatest(a, b) > 0.4 THEN greatest(1, least(1 + len(list_filter(range(1, len(p) + 1), lambda k: length(array_to_string(p[:k], ' ')) < length(array_to_string(p, ' ')) // 2)), len(p) - 1)) ELSE one END AS cut
-  FROM (SELECT *, length(array_to_string(p[:one], ' ')) AS a, length(array_to_string(p[one + 1:], ' ')) AS b
-  FROM (SELECT *, CASE WHEN length(array_to_string(w[one + two + 1:], ' ')) + 1 > 3.8 AND len(w) > one + two AND NOT (length(e) > 1 AND e = upper(e)) THEN list_append(w[:one + two - 1], w[one + two] || '…') ELSE w[:one + two] END AS p
-  FROM (SELECT *, regexp_replace(w[one + two], '[^\\p{{L}}\\p{{N}}_]', '', 'g') AS e FROM (SELECT *, CASE WHEN len(w) > one THEN {_FIT('w[one + 1:]')} ELSE 0 END AS two FROM (SELECT *, {_FIT('w')} AS one FROM ctw))))))""")
+@query(sql("SELECT vod_id, clip_idx, chunk_idx, text FROM laid", {"laid": wrapped_sql("ctw")}), raw=True)
 def wrap_lines(fx):
     return subtitles.wrap_lines(_chunks(fx)).select(*CLIP, "chunk_idx", "text")
 
@@ -564,7 +540,7 @@ def review_summary(fx):
     return subtitles.review_summary(subtitles.edited_meta(meta, _shouted(fx).filter("clip_idx % 2 = 0")))
 
 
-@query()
+@query(sql('SELECT vod_id, clip_idx, chunk_idx, start, "end", text FROM st_calm', SUBTITLES), raw=True)
 def build_subtitles(fx):
     return subtitles.build_subtitles(fx.clips, fx.transcript, fx.features)
 
