@@ -28,7 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import Tables, WordHashes, components, text_hash, without
 
@@ -36,7 +36,10 @@ NUM, DEN = 9, 10
 #: Shingles in more prefixes than this go last in the order; the list is bounded by MAX_HEAVY rows.
 HEAVY = 64
 MAX_HEAVY = 200_000
-CHUNK = 512
+#: Nodes in a chunk: CHUNK at least; up to MOST_CHUNK as long as their sets stay within CHUNK_BYTES. A member of a large group is sent
+#: once for each surviving pair of chunks, so larger chunks mean fewer copies.
+CHUNK, MOST_CHUNK, CHUNK_BYTES = 512, 2048, 64 << 20
+TEST_BYTES = 32 << 20  # bitmaps compared at a time
 FAN = 8
 SLICE = 500  # rows handled at a time in a Python task
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -174,8 +177,11 @@ class SignatureTree:
         ok = (DEN * hi[i] >= NUM * lo[j]) & (DEN * hi[j] >= NUM * lo[i])
         ok &= ~((c0[i] == c1[i]) & (c0[j] == c1[j]) & (c0[i] == c0[j]))
         at = np.flatnonzero(ok)
-        most = np.bitwise_count(bits[i[at]] & bits[j[at]]).sum(1, dtype=np.int64) + np.minimum(shared[i[at]], shared[j[at]])
-        ok[at] = (DEN + NUM) * most >= NUM * (lo[i[at]].astype(np.int64) + lo[j[at]])
+        step = max(1, TEST_BYTES // bits[:1].nbytes)
+        for part in (at[k : k + step] for k in range(0, len(at), step)):
+            a, b = i[part], j[part]
+            most = np.bitwise_count(bits[a] & bits[b]).sum(1, dtype=np.int64) + np.minimum(shared[a], shared[b])
+            ok[part] = (DEN + NUM) * most >= NUM * (lo[a].astype(np.int64) + lo[b])
         return ok
 
     def pairs(self):
@@ -347,16 +353,21 @@ def node_pairs(a: DataFrame, b: DataFrame, on: list[str], order) -> DataFrame:
     return pairs.mapInArrow(overlap_possible, schema)
 
 
+def chunk_of(n: Column) -> Column:
+    """Nodes to a chunk where sets have up to n shingles."""
+    return F.least(F.lit(MOST_CHUNK), F.greatest(F.lit(CHUNK), F.floor(CHUNK_BYTES / 8 / n))).cast("int")
+
+
 def deal_large(large: DataFrame, signed: DataFrame, t: Tables) -> DataFrame:
-    """(block, row, comp) of blocks with more than CHUNK members, given as (token, band, size, row, n, comp).
+    """(block, row, comp) of blocks with more members than a chunk, given as (token, band, size, chunk, row, n, comp).
 
-    A component with more than CHUNK members in a block is a family of chunks of its own; the others are dealt into chunks
+    A component with more members than a chunk in a block is a family of chunks of its own; the others are dealt into chunks
     by component.
     """
     per = large.groupBy("token", "band", "comp").agg(F.count("*").alias("own"))
-    mixed = F.pmod(F.xxhash64("comp"), F.ceil(F.col("size") / CHUNK)).cast("long")
-    part = F.pmod(F.xxhash64("row"), F.ceil(F.col("own") / CHUNK)).cast("int")
-    own = F.col("own") > CHUNK
+    mixed = F.pmod(F.xxhash64("comp"), F.ceil(F.col("size") / F.col("chunk"))).cast("long")
+    part = F.pmod(F.xxhash64("row"), F.ceil(F.col("own") / F.col("chunk"))).cast("int")
+    own = F.col("own") > F.col("chunk")
     leaves = t(
         large.join(per, ["token", "band", "comp"])
         .select("token", "band", F.when(own, -1 - F.col("comp")).otherwise(mixed).alias("node"), F.when(own, part).otherwise(0).alias("part"), "row", "n", "comp"), "leaves"
@@ -436,13 +447,13 @@ def jaccard_classes(docs: DataFrame, t: Tables, heads_first: bool = True) -> tup
         F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y"),
     ).filter("size > 1 AND c0 <> c1")
     blocks = t(blocks.groupBy("size", "x", "y", "c0", "c1").agg(F.min(F.struct("token", "band")).alias("k")).select("k.*", "size"), "blocks")
-    placed = t(banded.join(blocks.hint("merge"), ["token", "band"]).select("token", "band", "size", "row", "n", "comp"), "placed")
+    placed = t(banded.join(blocks.hint("merge"), ["token", "band"]).select("token", "band", "size", chunk_of(F.pow(F.lit(DEN / NUM), F.col("band") + 2)).alias("chunk"), "row", "n", "comp"), "placed")
     t.drop(known, blocks)
 
     def dealt(of: DataFrame) -> DataFrame:
         """(block, row, comp): groups that a task can hold."""
-        small = of.filter(F.col("size") <= CHUNK).select(F.xxhash64("token", "band").alias("block"), "row", "comp")
-        large = of.filter(F.col("size") > CHUNK)
+        small = of.filter(F.col("size") <= F.col("chunk")).select(F.xxhash64("token", "band").alias("block"), "row", "comp")
+        large = of.filter(F.col("size") > F.col("chunk"))
         return small.unionByName(deal_large(large, kept, t)) if large.limit(1).count() else small
 
     leaves = dealt(placed).join(kept.select("row", "n", "bits"), "row")
@@ -463,8 +474,9 @@ def jaccard_classes(docs: DataFrame, t: Tables, heads_first: bool = True) -> tup
     t.drop(placed, near, first)
     of = clusters.join(kept.select("row", "n"), "row")
     of = of.withColumn("comp", F.col("row")) if sure is None else of.join(sure, F.col("row") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "row"))
-    band = of.groupBy("token").agg(F.min(bands).alias("band"))  # all bitmaps of a cluster fold to the width of its least set
-    of = t(of.join(band, "token").select("token", "band", "size", "row", "n", "comp"), "of_clusters")
+    # all bitmaps of a cluster fold to the width of its least set; its largest tells how many a task can hold
+    band = of.groupBy("token").agg(F.min(bands).alias("band"), chunk_of(F.max("n")).alias("chunk"))
+    of = t(of.join(band, "token").select("token", "band", "size", "chunk", "row", "n", "comp"), "of_clusters")
     told = dealt(of).join(sets, "row").select("block", "row", "comp", "set")
     second = t(told.repartition("block").sortWithinPartitions("block", "row").mapInArrow(forests, "src long, dst long"), "second")
     t.drop(sets, of, clusters)

@@ -151,6 +151,7 @@ def test_ngram_join_by_rows(spark):
 def test_ngram_join_of_large_blocks(spark, monkeypatch, heads_first):
     """A passage that most texts share and large near groups: blocks far over a chunk, in linear output."""
     monkeypatch.setattr(ngram_join, "CHUNK", 16)
+    monkeypatch.setattr(ngram_join, "MOST_CHUNK", 16)
     monkeypatch.setattr(ngram_join, "HEAVY", 1000)
     rng = random.Random(3)
     passage = [f"longpassageword{i}" for i in range(40)]
