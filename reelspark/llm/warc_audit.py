@@ -11,7 +11,10 @@ bytes.
 Edge cases: null url or html counts as empty; a record that one replica lacks is reported as missing or added; records with a null
 page_id have archives of their own by their digest, so a damaged one is one missing and one added; records that repeat a page
 id share a leaf, whose digest then stands for all of them in any order; an empty table has no archives and no differences.
-A file that is cut off, or bytes that are no record, give a row with `error`; reading goes on at the next record.
+Line ends in a url are written as %0D and %0A, so no url ends a header. A file that is cut off, or bytes that are no record, give
+a row with `error`; reading goes on at the next record, and the audit of a stored replica reports the range as unreadable beside the
+records that are missing for it. Files are not compressed, so that one bad byte costs one record and offsets are those of the file;
+compressed ones are read member by member, and a broken member costs what it holds from there on.
 """
 
 from __future__ import annotations
@@ -30,14 +33,17 @@ FAN = 8
 DEPTH = 3  # levels above the leaves: FAN ** DEPTH >= ARCHIVE
 #: Records that make one file, at most.
 FILE_RECORDS = 4096
+#: Records carry one date: when they were written is no part of what they hold.
+DATE = "2024-01-01T00:00:00Z"
 _TREE = ["unnamed", "archive"]
 
 
 def record_text(page_id: Column, url: Column, body: Column) -> Column:
     """The record without its closing two line ends: header lines, an empty line, the body."""
     name = F.coalesce(page_id.cast("string"), F.lit(""))
+    uri = F.replace(F.replace(url, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     return F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), name, F.lit(">\r\nWARC-Target-URI: "), url,
+        F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), name, F.lit(f">\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "), uri,
         F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body,
     )
 
@@ -49,10 +55,11 @@ def written(pages: DataFrame) -> DataFrame:
 
 
 def write_warc(pages: DataFrame, path: str, archive: int = ARCHIVE) -> None:
-    """WARC files, compressed, each with whole runs of page ids; a record ends in two line ends."""
-    rows = written(pages).withColumn("archive", F.floor(F.col("page_id") / archive)).repartition("archive").sortWithinPartitions("archive", "page_id")
-    (rows.select("record").write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
-     .option("maxRecordsPerFile", FILE_RECORDS).text(path))
+    """WARC files, each with whole runs of page ids; a record ends in two line ends. Records without a page id are dealt out by
+    their digest."""
+    rows = written(pages).withColumn("archive", F.coalesce(F.floor(F.col("page_id") / archive), -1 - F.pmod(F.xxhash64("record"), F.lit(1 << 20))))
+    rows = rows.repartition("archive").sortWithinPartitions("archive", "page_id")
+    rows.select("record").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 RECORDS = "file string, start long, length long, page_id long, url string, body binary, record_sha256 string, error string"
@@ -92,18 +99,21 @@ def parsed(data: bytes) -> Iterator[tuple]:
         at = end
 
 
-def inflated(data: bytes) -> bytes:
-    """gzip members one after another, as far as they can be read; other bytes as they are."""
+def inflated(data: bytes, step: int = 1 << 16) -> bytes:
+    """gzip members one after another; other bytes as they are. Of a broken member the part before the break is kept, and reading goes
+    on at the next member's header."""
     if not data.startswith(b"\x1f\x8b"):
         return data
-    out = []
-    while data:
-        z = zlib.decompressobj(31)
+    out, at = [], 0
+    while 0 <= at < len(data):
+        z, pos = zlib.decompressobj(31), at
         try:
-            out.append(z.decompress(data))
+            while pos < len(data) and not z.eof:
+                out.append(z.decompress(data[pos : pos + step]))
+                pos += step
+            at = min(pos, len(data)) - len(z.unused_data)
         except zlib.error:
-            break
-        data = z.unused_data
+            at = data.find(b"\x1f\x8b\x08", at + 1)
     return b"".join(out)
 
 
@@ -210,12 +220,28 @@ def fixity_audit(ours: DataFrame, theirs: DataFrame, archive: int = ARCHIVE, fan
     return names.select(*key, F.coalesce("a_id", "b_id").alias("page_id"), status.alias("status"), "start", "stop", "found_start", "found_stop", "expected", "found")
 
 
+def unreadable(warc: DataFrame) -> DataFrame:
+    """Ranges of stored bytes that are no record, as rows of an audit."""
+    at = F.col("start")
+    none = {"archive": "long", "position": "long", "page_id": "long", "start": "long", "stop": "long", "expected": "string"}
+    rows = warc.filter("error IS NOT NULL").select(F.lit(True).alias("unnamed"), F.lit("unreadable").alias("status"), at.alias("found_start"), (at + F.col("length")).alias("found_stop"), F.concat_ws(": ", "file", "error").alias("found"))
+    return rows.withColumns({c: F.lit(None).cast(k) for c, k in none.items()})
+
+
+def audit_stored(pages: DataFrame, path: str) -> DataFrame:
+    """Differences between pages and the WARC files of a replica: what is missing, added or changed by page id, and ranges of bytes that
+    cannot be read (with their file in `found`)."""
+    t = Tables(pages.sparkSession)
+    stored = t(read_warc(pages.sparkSession, path).drop("body"), "stored")
+    out = fixity_audit(page_records(pages), stored_records(stored))
+    return out.unionByName(unreadable(stored).select(*[F.col(c).cast(out.schema[c].dataType).alias(c) for c in out.columns]))
+
+
 def stored_audit(pages: DataFrame, replica: DataFrame) -> DataFrame:
     """The replica is written to WARC files in the shared folder; the audit compares pages with what is read from the files."""
     path = scratch(pages.sparkSession, "warc")
     write_warc(replica, path)
-    stored = read_warc(pages.sparkSession, path)
-    return fixity_audit(page_records(pages), stored_records(stored))
+    return audit_stored(pages, path)
 
 
 ORACLE = r"""
@@ -225,7 +251,7 @@ v AS (
   UNION ALL SELECT 1, page_id, url, CASE WHEN h IN ('70', '71', '72', '73') THEN translate(html, 'e', 'E') WHEN h = 'b2' THEN html || '!' ELSE html END FROM p WHERE h <> 'a1'
   UNION ALL SELECT 1, -1 - page_id, url, html FROM p WHERE h = 'c3'),
 r AS (
-  SELECT side, page_id, floor(page_id / 512.0)::BIGINT AS archive, 'WARC/1.1' || n || 'WARC-Type: response' || n || 'WARC-Record-ID: <urn:page:' || page_id || '>' || n || 'WARC-Target-URI: ' || url || n
+  SELECT side, page_id, floor(page_id / 512.0)::BIGINT AS archive, 'WARC/1.1' || n || 'WARC-Type: response' || n || 'WARC-Record-ID: <urn:page:' || page_id || '>' || n || 'WARC-Date: 2024-01-01T00:00:00Z' || n || 'WARC-Target-URI: ' || replace(replace(url, chr(13), '%0D'), chr(10), '%0A') || n
     || 'Content-Type: text/html' || n || 'Content-Length: ' || strlen(html) || n || n || html AS record
   FROM v, (SELECT chr(13) || chr(10) AS n)),
 l AS (

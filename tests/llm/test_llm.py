@@ -1,6 +1,7 @@
 """The training-data operators against plain versions, and their edge cases."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -331,6 +332,44 @@ def test_warc_files_are_read_as_far_as_they_go(spark, tmp_path):
     assert [(r.page_id, r.error) for r in rows] == [(0, None), (None, "header is cut off")]
 
 
+def test_one_bad_byte_costs_one_record(spark, tmp_path):
+    import glob
+
+    rows = [(i, f"http://a/{i}\r\n\r\nWARC/1.1" if i % 9 == 0 else f"http://a/{i}", f"<p>{i}</p>\r\n" * (i % 5)) for i in range(120)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = str(tmp_path / "warc")
+    warc_audit.write_warc(pages, path)
+    assert warc_audit.audit_stored(pages, path).collect() == []  # urls with line ends, too
+    (file,) = glob.glob(f"{path}/part-*")
+    for sums in glob.glob(f"{path}/.*.crc"):  # the local file system's own checksums
+        os.remove(sums)
+    whole = open(file, "rb").read()
+    found = list(warc_audit.parsed(whole))
+    for n, place in ((17, b"response"), (63, b"<p>"), (88, b"Content-Length: "), (119, b"WARC/1.1")):
+        start = found[n][0]
+        at = whole.index(place, start) + len(place) - (place != b"Content-Length: ")
+        with open(file, "wb") as f:
+            f.write(whole[:at] + bytes([whole[at] ^ 1]) + whole[at + 1 :])
+        got = warc_audit.audit_stored(pages, path).collect()
+        assert {r.page_id for r in got if r.status != "unreadable"} == {n}
+        assert all(start <= r.found_start < r.found_stop <= start + found[n][1] for r in got if r.found_start is not None)
+        assert {r.status for r in got} in ({"changed"}, {"missing", "unreadable"})
+
+
+def test_compressed_files_are_read_on_behind_a_break():
+    import gzip
+
+    parts = [b"x" * 400 + bytes([i]) * 50_000 + bytes(range(256)) * 40 for i in range(6)]
+    members = [gzip.compress(p) for p in parts]
+    assert warc_audit.inflated(b"".join(members)) == b"".join(parts)
+    broken = bytearray(members[2])
+    broken[-6] ^= 1  # its checksum
+    for bad in (bytes(broken), members[2][: len(members[2]) // 2], members[2][:3]):
+        got = warc_audit.inflated(b"".join([*members[:2], bad, *members[3:]]))
+        assert got.startswith(b"".join(parts[:2])) and got.endswith(b"".join(parts[3:]))
+    assert warc_audit.inflated(b"plain") == b"plain" and warc_audit.inflated(b"") == b""
+
+
 def test_toxicity_finds_pairs_without_single_signal():
     rng = np.random.default_rng(1)
     bits = rng.integers(0, 2, (3000, 2))
