@@ -86,6 +86,41 @@ def test_overlap_join_equals_brute_force(spark):
     assert rows(got.select("idx", "s_seq")) == want
 
 
+def test_slotted_transcript_gives_the_same_rows(spark):
+    """Stored once in slots; a segment over very many slots, as with a broken end, is kept once."""
+    rng = np.random.default_rng(7)
+    seg = [(1, i, float(a), float(a + d), "x") for i, (a, d) in enumerate(zip(rng.uniform(0, 900, 80), rng.uniform(0, 90, 80)))]
+    seg += [(1, 90, 5.0, 1e12, "broken"), (1, 91, 300.0, 9000.0, "long"), (1, 92, 40.0, -1e12, "backwards"), (2, 0, 1.0, 2.0, "y"), (1, 93, None, 4.0, "null")]
+    t = spark.createDataFrame(seg, TR)
+    slotted = intervals.slotted(t)
+    assert slotted.count() < 500 and rows(intervals.plain(slotted).select("vod_id", "seq")) == sorted((s[0], s[1]) for s in seg)
+    clips = spark.createDataFrame([(v, i, float(a), float(a + d)) for v in (1, 2) for i, (a, d) in enumerate(zip(rng.uniform(-50, 900, 40), rng.uniform(-5, 120, 40)))], "vod_id long, idx long, start double, end double")
+    want = sorted((c.vod_id, c.idx, s[1]) for c in clips.collect() for s in seg if s[0] == c.vod_id and s[2] is not None and s[2] < c.end and s[3] > c.start)
+    for transcript in (t, slotted):
+        assert rows(intervals.overlap_join(clips, transcript).select("vod_id", "idx", "s_seq")) == want
+
+
+def test_joins_do_not_shuffle_a_slotted_transcript(spark):
+    t = intervals.slotted(spark.createDataFrame([(1, i, i * 3.0, i * 3.0 + 2, "x") for i in range(50)], TR))
+    clips = spark.createDataFrame([(1, 0, 10.0, 40.0)], "vod_id long, idx long, start double, end double")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        plan = intervals.overlap_join(clips, t)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" in plan  # the clips' only
+
+
+def test_spoken_near_a_clip(spark):
+    t = spark.createDataFrame([(1, 0, 8.0, 10.2, " uno! "), (1, 1, 12.5, 13.0, "dos"), (1, 2, 14.8, 16.0, "tres"), (1, 3, 20.2, 20.4, "fuera"), (1, 4, 30.0, 31.0, "lejos")], TR)
+    c = spark.createDataFrame([(1, 1, 10.0, 20.0), (1, 2, 10.0, 12.0), (1, 3, 50.0, 60.0)], "vod_id long, clip_idx int, start double, end double")
+    got = {r.clip_idx: (r.body, r.hook_short, r.hook_long, r.phrase_complete) for r in ranking.spoken(c, t).collect()}
+    assert got == {1: ("uno! dos tres", "uno! dos", "uno! dos tres", True), 2: ("uno!", "uno! dos", "uno! dos tres", False)}
+
+
 def test_nearest_segment_ties_go_to_the_first(spark):
     t = spark.createDataFrame([(1, 0, 0.0, 2.0, "a"), (1, 1, 4.0, 6.0, "b"), (1, 2, 4.5, 5.5, "c")], TR)
     p = spark.createDataFrame([(1, 3.0, 0.5), (1, 5.0, 0.5), (2, 1.0, 0.5)], PK)
@@ -312,6 +347,24 @@ def test_overlapping_chunks_are_trimmed(spark):
     assert [r.end for r in subtitles.fix_overlaps(c).orderBy("chunk_idx").collect()] == [0.95, 2.93, 4.0]
 
 
+def test_stage_tables_go_with_their_owner(spark, tmp_path):
+    from reelspark.plans.queries import QUERIES
+    from reelspark.sources import stages
+
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://")
+    there = lambda: set(os.listdir(shared)) if os.path.isdir(shared) else set()
+    before, tables = there(), {t.name for t in spark.catalog.listTables()}
+    with stages.stages(spark):
+        QUERIES["best_clips"][0](spark, SF).write.parquet(f"{tmp_path}/best")
+        assert len(there()) > len(before)
+    assert there() == before and {t.name for t in spark.catalog.listTables()} == tables
+    assert spark.read.parquet(f"{tmp_path}/best").count() > 0
+    with pytest.raises(ZeroDivisionError), stages.stages(spark):
+        stages.stage(spark.range(3), "three")
+        raise ZeroDivisionError
+    assert there() == before
+
+
 def test_write_and_read_back(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "vod_id long, x string")
     files.write_stage(df, "s", str(tmp_path))
@@ -319,7 +372,8 @@ def test_write_and_read_back(spark, tmp_path):
     assert rows(spark.read.parquet(f"{tmp_path}/s").select("vod_id", "x")) == [(1, "a"), (2, "c")]
 
 
-@pytest.mark.parametrize("name", ["overlap_join", "peak_windows", "legacy_candidates", "semantic_continuity", "score_clips", "voice_bounds", "scan_windows", "wrap_lines", "srt_wrap", "calm_caps", "close_gaps"])
+@pytest.mark.parametrize("name", ["overlap_join", "peak_windows", "legacy_candidates", "semantic_continuity", "score_clips", "voice_bounds", "scan_windows", "wrap_lines", "srt_wrap", "calm_caps", "close_gaps",
+    "active_windows", "voice_bandpass", "trim_silence", "chunk_segments", "highlight_keywords", "build_subtitles", "best_clips", "trim_bounds_all"])
 def test_query_equals_sql(spark, name):
     import duckdb
 
