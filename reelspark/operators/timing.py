@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import tidy
+from ..sources.stages import stage
 from .subtitles import KEY, halves, renumbered
 
 FLOOR = 0.005
@@ -88,5 +89,7 @@ def alignment_report(aligned: DataFrame) -> DataFrame:
 
 
 def align_subtitles(segments: DataFrame, voice_frames: DataFrame, durations: DataFrame) -> DataFrame:
-    aligned = align_segments(segments, voice_bounds(segments, voice_frames, durations), durations)
-    return close_gaps(split_at_dip(aligned, voice_frames), voice_frames)
+    # every step reads the one before more than once
+    segments = stage(segments, "subtitles")
+    aligned = stage(align_segments(segments, voice_bounds(segments, voice_frames, durations), durations), "aligned")
+    return close_gaps(stage(split_at_dip(aligned, voice_frames), "split"), voice_frames)

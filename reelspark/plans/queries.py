@@ -11,7 +11,7 @@ from ..sources import files
 from ..sources.stages import scratch
 from . import pipelines
 from .fixtures import Fixtures
-from .oracle import AUDIO, HYBRID, JUNK_LIST, SPLITS, SUBTITLES, sql, wrapped_sql
+from .oracle import AUDIO, HYBRID, JUNK_LIST, SPLITS, STEPS, SUBTITLES, renamed, sql, wrapped_sql
 
 TRIM = Trim(frames_per_second=1.0)
 GAP = 5  # frames between peaks in the adapters, where a frame lasts one second
@@ -602,7 +602,22 @@ def alignment_report(fx):
     return timing.alignment_report(timing.align_segments(s, timing.voice_bounds(s, v, d), d))
 
 
-@query()
+_VOICED = renamed({n: STEPS[n] for n in ("vseg", "vhit", "vloud", "vbounds")}, {"ctr": "st_calm", **{n: f"al_{n}" for n in ("vseg", "vhit", "vloud", "vbounds")}})
+_HALF = "list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')"
+
+
+@query(sql("", {**SUBTITLES, **_VOICED}).rstrip() + _ALIGN.replace("vseg", "al_vseg").replace("vbounds", "al_vbounds") + f""", d0 AS (SELECT vod_id, clip_idx, chunk_idx, x AS start, y AS "end", text FROM a2),
+dips AS (SELECT s.vod_id, s.clip_idx, s.chunk_idx, round(arg_min(f.t, (f.rms, f.t)), 3) AS dip FROM d0 s JOIN vframes f ON f.vod_id = s.vod_id AND f.clip_idx = s.clip_idx
+  AND f.t >= s.start + (s."end" - s.start) * 0.25 AND f.t <= s."end" - (s."end" - s.start) * 0.25 WHERE s."end" - s.start > 4 GROUP BY 1, 2, 3),
+d1 AS (SELECT s.*, coalesce(dip, {_R3('(start + "end") / 2')}) AS c, {_HALF} AS w FROM d0 s LEFT JOIN dips d ON d.vod_id = s.vod_id AND d.clip_idx = s.clip_idx AND d.chunk_idx = s.chunk_idx),
+d2 AS (SELECT vod_id, clip_idx, chunk_idx AS old, 0 AS half, start, CASE WHEN "end" - start <= 4 THEN "end" ELSE c END AS "end", CASE WHEN "end" - start <= 4 THEN text ELSE array_to_string(w[:greatest(1, len(w) // 2)], ' ') END AS text FROM d1
+  UNION ALL SELECT vod_id, clip_idx, chunk_idx, 1, c, "end", array_to_string(w[greatest(1, len(w) // 2) + 1:], ' ') FROM d1 WHERE "end" - start > 4),
+d3 AS (SELECT *, lead(start) OVER (PARTITION BY vod_id, clip_idx ORDER BY chunk_idx) AS nxt FROM (SELECT *, (row_number() OVER (PARTITION BY vod_id, clip_idx ORDER BY old, half))::INTEGER AS chunk_idx FROM d2)),
+d4 AS (SELECT g.vod_id, g.clip_idx, g.chunk_idx, avg(rms) FILTER (t >= g."end" AND t <= nxt) AS ge, avg(rms) FILTER ((t >= g."end" - 0.1 AND t < g."end") OR (t > nxt AND t <= nxt + 0.1)) AS ce
+  FROM d3 g JOIN vframes f ON f.vod_id = g.vod_id AND f.clip_idx = g.clip_idx WHERE nxt - g."end" < 0.15 GROUP BY 1, 2, 3),
+d5 AS (SELECT g.*, CASE WHEN nxt - g."end" < 0.15 AND NOT coalesce(CASE WHEN ce IS NULL THEN ge < 0.0075 ELSE ge < ce * 0.4 END, false) THEN {_R3('(g."end" + nxt) / 2')} END AS mid
+  FROM d3 g LEFT JOIN d4 e ON e.vod_id = g.vod_id AND e.clip_idx = g.clip_idx AND e.chunk_idx = g.chunk_idx)
+SELECT vod_id, clip_idx, chunk_idx, coalesce(lag(mid) OVER (PARTITION BY vod_id, clip_idx ORDER BY chunk_idx), start) AS start, coalesce(mid, "end") AS "end", text FROM d5""", raw=True)
 def aligned_subtitles(fx):
     _, v, d = _timed(fx)
     return pipelines.aligned_subtitles(fx.clips, fx.transcript, fx.features, v, d).drop("debug")
