@@ -1,4 +1,8 @@
-"""A corpus pipeline of five stages over `documents`: each is written as Parquet and read again by the next."""
+"""A corpus pipeline of five stages over `documents`: each is written as Parquet and read again by the next.
+
+Every stage takes any table with the columns of `documents` and more, and an empty one, and all but the last keep its columns. Rows
+that repeat a doc_id, and rows without one, are documents of their own.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +13,27 @@ from reelspark.llm.common import documents, stage
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is not recognised go."""
+    """Documents whose language is not recognised go: null texts, texts without a letter, and texts whose two best languages are close."""
     return lang_id.recognised(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest doc_id stays."""
+    """Of equal texts the smallest doc_id stays, a null one only where all are null; of rows that are the same in id and text, one. Null texts equal empty ones."""
     return exact_dedup.keep_first(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the smallest doc_id stays."""
+    """Of each group of linked documents the smallest doc_id stays (null last); texts without words are linked with nothing, so all of them stay."""
     return ngram_join.keep_one(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are left out or repeated so that each source has its share of the words."""
+    """Documents are left out or repeated so that each source has its share of the words; null is a source, and texts without words weigh nothing."""
     return mixing.mixed(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 1024 tokens."""
+    """Pieces of documents in sequences of 1024 tokens; a null or empty text is its end token alone."""
     return packing.pack(docs)
 
 
