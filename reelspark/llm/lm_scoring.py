@@ -1,16 +1,20 @@
 """Operator 4: language-model scoring by cross-entropy difference.
 
-Two word bigram models of one order, one smoothing and one vocabulary: the background model is counted on all documents,
-the target model on all documents labelled as good. The vocabulary holds every word seen at least twice whose share of the
-corpus reaches `SHARE` (so it has at most 1 / SHARE words); all others are one unknown word. The models are matched: the
-background's counts weigh as those of a sample of the target's size would, so that the same smoothing has the same force
-in both. Every document is scored by models that have not seen it: its own counts are taken out of both. The score is the loss per token
-under the background model minus that under the target model (higher: more like the target); both losses are returned.
-
-Texts become word ids, dealt into chunks of about CHUNK_BYTES of text. A chunk counts its distinct pairs and sends them, cut by
-key range, to buckets, as compressed differences of sorted keys. A bucket adds up its range over all chunks and answers each
-chunk with the totals of just its pairs, in their order; a chunk scores its documents with the answers. So the pair counts grow with
-the input; no task holds more than a chunk or a range, and only the word counts, which are bounded, come to the driver.
+Two word bigram models of one order, one smoothing and one vocabulary, which is every word of the corpus: the background model is
+counted on all documents, the target model on all documents labelled as good. The models are matched: the background's counts weigh
+as those of a sample of the target's size would, so that the same smoothing has the same force in both. Every document is scored
+by models that have not seen it: its own counts are taken out of both. The score is the loss per token under the background model
+minus that under the target model (higher: more like the target); both losses are returned.
+
+No count is held in one place, so all of them may grow with the input. Texts become words of 64-bit hashes, dealt into chunks of
+about CHUNK_BYTES of text. A chunk counts its distinct items (pairs, words and histories, each with a key of 62 bits) and is
+answered with the totals of just these, in two steps, each over the square root of what it would meet in one:
+
+* chunks of one group send their items to cells, one for each (group, coarse range of keys); a cell adds them up;
+* cells send their sums to buckets, one for each fine range; a bucket adds up over all groups, and answers go back the same way.
+
+So a chunk sends one row a coarse range and a cell one row a fine range inside its own, however large the input is; no task holds
+more than a chunk, a cell or a range. Only the numbers of tokens and of distinct words come to the driver.
 The pair model backs off to the word model by absolute interpolation.
 
 Edge cases: null and empty texts have 0 tokens and score 0; without labelled documents the target model is the uniform prior
@@ -22,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import cache
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -32,67 +37,70 @@ from pyspark.sql import DataFrame, functions as F
 from .common import Tables, WordHashes
 
 CHUNK_BYTES = 12 << 20
-#: Buckets: so many a shuffle partition, and more once a range would come from more text than this.
+#: Fine ranges: so many a shuffle partition, and more once one would come from more text than this.
 BUCKETS, RANGE_BYTES = 4, 8 << 20
-#: Least share of the corpus of a word of the vocabulary.
-SHARE = 1e-6
 STRENGTH = 8.0  # how many counts of a history weigh as much as its word model
-_ODD = 0x9E3779B97F4A7C15
+PAIR, WORD, HISTORY = 0, 1, 2
+_START = np.uint64(0xD6E8FEB86659FD93)  # the history of a document's first word
+_ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
 @cache
 def compressor() -> zstandard.ZstdCompressor:
     """One for each Python worker."""
-    return zstandard.ZstdCompressor(level=3)
+    return zstandard.ZstdCompressor(level=1)
 
 
-def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, held, size = WordHashes(), [], 0
+def unzipped(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
 
-    def counted() -> pa.RecordBatch:
-        words, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "n"])
 
-    for b in batches:
-        for text in b.column(0).to_pylist():
-            words = text.encode("utf-8", "replace").lower().split()
-            held.append(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
-            size += len(words)
-            if size > 1 << 20:
-                yield counted()
-                held, size = [], 0
-    if held:
-        yield counted()
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, all first bytes before all second ones, so that high bytes, mostly zero, take no room."""
+    steps = np.diff(keys.astype("<u8"), prepend=np.uint64(0))
+    return compressor().compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpacked_keys(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(unzipped(blob), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def packed_counts(counts: np.ndarray) -> bytes:
+    """Two rows of counts, as narrow as they fit."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or int(counts.max(initial=0)) < 1 << 8 * w)
+    return str(width).encode() + compressor().compress(counts.astype(f"<u{width}").tobytes())
+
+
+def unpacked_counts(blob: bytes) -> np.ndarray:
+    return np.frombuffer(unzipped(blob[1:]), f"<u{blob[:1].decode()}").astype(np.int64).reshape(2, -1)
 
 
-def vocabulary(docs: DataFrame, t: Tables, share: float = SHARE) -> np.ndarray:
-    """Sorted hashes of the words of the vocabulary: at most 1 / share."""
-    counts = docs.filter("text IS NOT NULL").select("text").mapInArrow(word_counts, "word long, n long")
-    counts = t(counts.groupBy("word").agg(F.sum("n").alias("n")), "words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    words = counts.filter(F.col("n") >= max(2, int(np.ceil(share * total)))).select("word").toArrow().column("word").to_numpy()
-    t.drop(counts)
-    return np.sort(words.view(np.uint64))
+def batch(columns: str, rows: list[tuple]) -> pa.RecordBatch:
+    """Rows as a batch of the columns of a schema string."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()),
+             "array<binary>": pa.list_(pa.binary())}
+    fields = [f.split() for f in columns.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[kind]) for i, (_, kind) in enumerate(fields)], names=[name for name, _ in fields])
 
 
-CHUNKS = "chunk long, doc_ids array<long>, sizes array<int>, ids binary, bytes long"
+def read(b: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    return zip(*(b.column(n).to_pylist() for n in names))
 
 
-def chunker(words) -> Callable:
-    """Rows (doc_id, text) put together to chunks: word ids 1 .. V by the vocabulary's order, 0 for the unknown word."""
+CHUNKS = "chunk long, doc_ids array<long>, sizes array<int>, words binary, ids binary, bytes long"
+
+
+def chunker(chunk_bytes: int) -> Callable:
+    """Rows (doc_id, text) put together to chunks: their distinct words' hashes, and each token as a place among these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, hashes = words.value, WordHashes()
-        names, kinds = [f.split()[0] for f in CHUNKS.split(", ")], [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.int64()]
+        hashes = WordHashes()
         docs, held, size, k = [], [], 0, TaskContext.get().partitionId() << 32
 
         def row() -> pa.RecordBatch:
-            h = np.concatenate(held)
-            at = np.searchsorted(vocab, h)
-            known = vocab[np.minimum(at, len(vocab) - 1)] == h if len(vocab) else np.zeros(len(h), bool)
-            ids = np.where(known, at + 1, 0).astype("<u4")
-            values = (k, docs, [len(x) for x in held], compressor().compress(ids.tobytes()), size)
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], names=names)
+            words, ids = np.unique(np.concatenate(held), return_inverse=True)
+            return batch(CHUNKS, [(k, docs, [len(x) for x in held], packed_keys(words), compressor().compress(ids.astype("<u4").tobytes()), size)])
 
         for b in batches:
             for doc, text in zip(*(c.to_pylist() for c in b.columns)):
@@ -100,8 +108,8 @@ def chunker(words) -> Callable:
                 split = data.lower().split()
                 docs.append(doc)
                 held.append(np.fromiter(map(hashes.__getitem__, split), np.uint64, len(split)))
-                size += len(data)
-                if size >= CHUNK_BYTES:
+                size += len(data) + 16  # a row of its own, too
+                if size >= chunk_bytes:
                     yield row()
                     docs, held, size, k = [], [], 0, k + 1
         if held:
@@ -110,141 +118,175 @@ def chunker(words) -> Callable:
     return run
 
 
-class Pairs:
-    """The (history, word) pairs of a chunk. base = words + 2: 0 is the unknown word, base - 1 the start of a document."""
+def item_keys(mixed: np.ndarray, kind: int) -> np.ndarray:
+    return mixed & np.uint64(~3 & (1 << 64) - 1) | np.uint64(kind)
 
-    def __init__(self, sizes: list[int], ids: bytes, base: int):
-        self.n, self.base = np.array(sizes, np.int64), base
-        self.word = np.frombuffer(zstandard.ZstdDecompressor().decompress(ids), "<u4").astype(np.uint64)
-        self.history = np.concatenate([[np.uint64(base - 1)], self.word[:-1]]) if len(self.word) else self.word
-        self.history[(np.cumsum(self.n) - self.n)[self.n > 0]] = base - 1
-        self.doc = np.repeat(np.arange(len(self.n)), self.n)
-        # an odd factor deals the pairs evenly over their range of keys
-        self.bits = key_bits(base)
-        mixed = (self.history * np.uint64(base) + self.word) * np.uint64(_ODD) & np.uint64((1 << self.bits) - 1)
-        self.keys, self.place = np.unique(mixed, return_inverse=True)
 
-    def chosen(self, good: list[int] | None) -> np.ndarray:
-        """One flag a document."""
+class Items:
+    """The pairs, words and histories of a chunk: `keys` are sorted, and `pair`, `word`, `history` are places in them for each token."""
+
+    def __init__(self, sizes: list[int], words: bytes, ids: bytes):
+        self.n = np.array(sizes, np.int64)
+        token = np.frombuffer(unzipped(ids), "<u4").astype(np.int64)
+        known = np.concatenate([unpacked_keys(words), [_START]]).astype(np.uint64)
+        before = np.concatenate([[len(known) - 1], token[:-1]]) if len(token) else token
+        before[(np.cumsum(self.n) - self.n)[self.n > 0]] = len(known) - 1
+        self.doc = np.repeat(np.arange(len(self.n)), self.n)
+        codes, pair = np.unique(before * len(known) + token, return_inverse=True)
+        mixed = known[codes // len(known)] * _ODD + known[codes % len(known)]
+        for shift, factor in zip((30, 27), _MIX):
+            mixed = (mixed ^ mixed >> np.uint64(shift)) * factor
+        own_words = known[:-1]
+        histories = known if len(token) else known[:0]
+        self.keys, place = np.unique(
+            np.concatenate([item_keys(mixed ^ mixed >> np.uint64(31), PAIR), item_keys(own_words, WORD), item_keys(histories, HISTORY)]), return_inverse=True
+        )
+        self.pair = place[pair]
+        self.word = place[len(codes) + token]
+        self.history = place[len(codes) + len(own_words) + before]
+
+    def marked(self, good: list[int] | None) -> np.ndarray:
+        """One flag a token: of a good document."""
         out = np.zeros(len(self.n), bool)
         out[np.array(good or [], np.int64)] = True
-        return out
+        return out[self.doc]
 
-    def own(self, of: np.ndarray, most: int) -> np.ndarray:
+    def counts(self, marked: np.ndarray) -> np.ndarray:
+        """Counts of all items, of all documents and of the good ones."""
+        return np.stack([sum(np.bincount(x[m], minlength=len(self.keys)) for x in (self.pair, self.word, self.history)) for m in (slice(None), marked)])
+
+    def own(self, places: np.ndarray) -> np.ndarray:
         """How often each token's item occurs in its own document."""
-        _, place, n = np.unique(self.doc.astype(np.uint64) * np.uint64(most) + of.astype(np.uint64), return_inverse=True, return_counts=True)
-        return n[place]
+        _, at, n = np.unique(self.doc * max(1, len(self.keys)) + places, return_inverse=True, return_counts=True)
+        return n[at]
 
 
-def key_bits(base: int) -> int:
-    return max(8, int(base * base - 1).bit_length())
+def cuts(n: int, low: int = 0, width: int = 1 << 64) -> np.ndarray:
+    """Inner borders of n ranges of the keys from low on."""
+    return np.array([low + i * width // n for i in range(1, n)], np.uint64)
 
 
-def packed_keys(keys: np.ndarray) -> bytes:
-    steps = np.diff(keys, prepend=np.uint64(0))
-    wide = len(steps) and int(steps.max()) >> 32
-    return (b"8" if wide else b"4") + compressor().compress(steps.astype("<u8" if wide else "<u4").tobytes())
+def pieces(keys: np.ndarray, counts: np.ndarray, borders: np.ndarray) -> Iterator[tuple]:
+    """(range, keys, counts) of each range that has keys."""
+    at = [0, *np.searchsorted(keys, borders).tolist(), len(keys)]
+    return ((i, packed_keys(keys[a:z]), packed_counts(counts[:, a:z])) for i, (a, z) in enumerate(zip(at, at[1:])) if z > a)
 
 
-def unpacked_keys(blob: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), f"<u{blob[:1].decode()}").astype(np.uint64))
+SENT = "grp int, coarse int, chunk long, keys binary, counts binary"
 
 
-def packed_counts(counts: np.ndarray) -> bytes:
-    """Two rows of counts, as narrow as they fit."""
-    width = next(w for w in (1, 2, 4, 8) if w == 8 or int(counts.max(initial=0)) < 1 << 8 * w)
-    return str(width).encode() + compressor().compress(counts.astype(f"<u{width}").tobytes())
+def asker(n: int) -> Callable:
+    """Of every chunk and coarse range with items: sorted keys and both counts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, grp, sizes, words, ids, good in read(b, "chunk", "grp", "sizes", "words", "ids", "good"):
+                p = Items(sizes, words, ids)
+                if len(p.keys):
+                    yield batch(SENT, [(grp, i, chunk, k, c) for i, k, c in pieces(p.keys, p.counts(p.marked(good)), cuts(n))])
 
-def unpacked_counts(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), f"<u{blob[:1].decode()}").astype(np.int64).reshape(2, -1)
+    return run
+
+
+def groups(batches: Iterator[pa.RecordBatch], key: tuple[str, ...], *names: str) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(key, rows) of rows that come sorted by key; a group may span batches."""
+    held, now = [], None
+    for b in batches:
+        for row in read(b, *key, *names):
+            if row[: len(key)] != now:
+                if held:
+                    yield now, held
+                held, now = [], row[: len(key)]
+            held.append(row[len(key) :])
+    if held:
+        yield now, held
+
+
+def added(rows: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Keys of all rows, the sums of their counts, and each row's places in them."""
+    parts = [unpacked_keys(k) for k, _ in rows]
+    keys, place = np.unique(np.concatenate(parts), return_inverse=True)
+    counts = np.concatenate([unpacked_counts(c) for _, c in rows], axis=1)
+    sums = np.stack([np.bincount(place, c, len(keys)) for c in counts]).astype(np.int64)
+    return keys, sums, np.split(place, np.cumsum([len(p) for p in parts])[:-1])
+
+
+CELLS = "grp int, coarse int, keys binary, counts binary, chunks array<long>, places array<binary>"
 
 
-def asker(n_buckets: int, base: int) -> Callable:
-    """Of every chunk and bucket with pairs: sorted keys and both counts."""
-    cuts = np.array([(i << key_bits(base)) // n_buckets for i in range(1, n_buckets)], np.uint64)
+def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums over the chunks of a group in one coarse range, and which of them each chunk has."""
+    for (grp, coarse), rows in groups(batches, ("grp", "coarse"), "chunk", "keys", "counts"):
+        keys, sums, places = added([r[1:] for r in rows])
+        yield batch(CELLS, [(grp, coarse, packed_keys(keys), packed_counts(sums), [r[0] for r in rows], [packed_keys(p) for p in places])])
+
+
+FINE = "fine int, coarse int, grp int, keys binary, counts binary"
+
+
+def refiner(n: int) -> Callable:
+    """Of every cell and fine range with items: keys and sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for chunk, sizes, ids, good in zip(*(b.column(c).to_pylist() for c in ("chunk", "sizes", "ids", "good"))):
-                p = Pairs(sizes, ids, base)
-                marked = p.chosen(good)[p.doc]
-                counts = np.stack([np.bincount(p.place[m], minlength=len(p.keys)) for m in (slice(None), marked)])
-                at = np.searchsorted(p.keys, cuts)
-                rows = [(i, chunk, packed_keys(k), packed_counts(m)) for i, (k, m) in enumerate(zip(np.split(p.keys, at), np.split(counts, at, axis=1))) if len(k)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
-                                                     names=["bucket", "chunk", "keys", "counts"])
+            for grp, coarse, keys, counts in read(b, "grp", "coarse", "keys", "counts"):
+                low, high = ((coarse + i << 64) // n for i in (0, 1))
+                yield batch(FINE, [(coarse * n + i, coarse, grp, k, c) for i, k, c in pieces(unpacked_keys(keys), unpacked_counts(counts), cuts(n, low, high - low))])
 
     return run
 
 
+ANSWERS = "fine int, coarse int, grp int, sums binary, words long"
+
+
 def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Totals over all chunks, sent back to each. Rows come sorted by bucket, and a bucket may span batches."""
-    held: list[tuple] = []
-
-    def answer() -> pa.RecordBatch:
-        parts = [unpacked_keys(r[2]) for r in held]
-        known, place = np.unique(np.concatenate(parts), return_inverse=True)
-        counts = np.concatenate([unpacked_counts(r[3]) for r in held], axis=1)
-        sums = np.stack([np.bincount(place, c, len(known)) for c in counts]).astype(np.int64)
-        blobs = [packed_counts(sums[:, p]) for p in np.split(place, np.cumsum([len(p) for p in parts])[:-1])]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.int32()), pa.array([r[1] for r in held], pa.int64()), pa.array(blobs, pa.binary())],
-                                          names=["bucket", "chunk", "sums"])
+    """Totals over all groups, sent back to each; the first row of a range tells its number of distinct words."""
+    for (fine, coarse), rows in groups(batches, ("fine", "coarse"), "grp", "keys", "counts"):
+        keys, sums, places = added([r[1:] for r in rows])
+        words = int((keys & np.uint64(3) == WORD).sum())
+        yield batch(ANSWERS, [(fine, coarse, r[0], packed_counts(sums[:, p]), 0 if i else words) for i, (r, p) in enumerate(zip(rows, places))])
 
-    for b in batches:
-        for row in zip(*(b.column(c).to_pylist() for c in ("bucket", "chunk", "keys", "counts"))):
-            if held and row[0] != held[0][0]:
-                yield answer()
-                held = []
-            held.append(row)
-    if held:
-        yield answer()
 
+def joined(answers: list[dict] | None, by: str) -> np.ndarray:
+    """The counts of all answers, in the order of their ranges."""
+    return np.concatenate([np.zeros((2, 0), np.int64), *(unpacked_counts(a["sums"]) for a in sorted(answers or [], key=lambda a: a[by]))], axis=1)
 
-def single_counts(base: int) -> Callable:
-    """(item, all, good, history_all, history_good) of every chunk's words and histories."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for sizes, ids, good in zip(*(b.column(c).to_pylist() for c in ("sizes", "ids", "good"))):
-                p = Pairs(sizes, ids, base)
-                marked = p.chosen(good)[p.doc]
-                rows = [np.bincount(x[m].astype(np.int64), minlength=base) for x in (p.word, p.history) for m in (slice(None), marked)]
-                used = np.flatnonzero(rows[0] + rows[2])
-                yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(r[used]) for r in rows)], names=["item", "n", "good_n", "h", "good_h"])
+BACK = "chunk long, coarse int, sums binary"
 
-    return run
+
+def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A cell's answers, dealt to its chunks."""
+    for b in batches:
+        for coarse, chunks, places, answers in read(b, "coarse", "chunks", "places", "answers"):
+            sums = joined(answers, "fine")
+            yield batch(BACK, [(chunk, coarse, packed_counts(sums[:, unpacked_keys(p).astype(np.int64)])) for chunk, p in zip(chunks, places)])
 
 
 SCORED = "doc_id long, n_tokens long, background_loss double, target_loss double, score double"
 
 
-def losses(pair, word, history, tokens, own, n_doc, base: int, weight: float) -> np.ndarray:
+def losses(pair, word, history, tokens, own, n_doc, size: int, weight: float) -> np.ndarray:
     """Negative log2 probability of each token, under counts from which its document's own are taken out."""
     own_pair, own_word, own_history = own
-    unigram = (word - own_word + 0.5) / (tokens - n_doc + 0.5 * (base - 1))
+    unigram = (weight * (word - own_word) + 0.5) / (weight * (tokens - n_doc) + 0.5 * size)
     return -np.log2((weight * (pair - own_pair) + STRENGTH * unigram) / (weight * (history - own_history) + STRENGTH))
 
 
-def scorer(counts, base: int) -> Callable:
-    """Rows are chunks with all their answers, by bucket."""
+def scorer(tokens: tuple[int, int], size: int) -> Callable:
+    """Rows are chunks with all their answers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, histories = counts.value  # (2, base) each: of all documents, of the good ones
-        tokens = words.sum(1)
         match = min(1.0, tokens[1] / tokens[0]) if tokens[1] else 1.0
         for b in batches:
-            for docs, sizes, ids, good, answers in zip(*(b.column(c).to_pylist() for c in ("doc_ids", "sizes", "ids", "good", "answers"))):
-                p = Pairs(sizes, ids, base)
-                parts = [unpacked_counts(a["sums"]) for a in sorted(answers or [], key=lambda a: a["bucket"])]
-                sums = np.concatenate([np.zeros((2, 0), np.int64), *parts], axis=1)
-                own = p.own(p.place, max(1, len(p.keys))), p.own(p.word, base), p.own(p.history, base)
-                n_doc, seen = p.n[p.doc], p.chosen(good)[p.doc]
+            for docs, sizes, words, ids, good, answers in read(b, "doc_ids", "sizes", "words", "ids", "good", "answers"):
+                p = Items(sizes, words, ids)
+                sums = joined(answers, "coarse")
+                items = p.pair, p.word, p.history
+                own, n_doc = [p.own(x) for x in items], p.n[p.doc]
                 out = []
-                for i, weight, mine in ((0, match, np.ones(len(p.doc), bool)), (1, 1.0, seen)):
-                    loss = losses(sums[i][p.place], words[i][p.word.astype(np.int64)], histories[i][p.history.astype(np.int64)], tokens[i],
-                                  [o * mine for o in own], n_doc * mine, base, weight)
+                for i, weight, mine in ((0, match, np.ones(len(p.doc), bool)), (1, 1.0, p.marked(good))):
+                    loss = losses(*(sums[i][x] for x in items), tokens[i], [o * mine for o in own], n_doc * mine, size, weight)
                     out.append(np.bincount(p.doc, loss, len(p.n)) / np.maximum(p.n, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(p.n), *map(pa.array, out), pa.array(out[0] - out[1])],
                                                  names=[f.split()[0] for f in SCORED.split(", ")])
@@ -252,27 +294,30 @@ def scorer(counts, base: int) -> Callable:
     return run
 
 
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame, share: float = SHARE) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     spark, t = docs.sparkSession, Tables(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    words = vocabulary(texts, t, share)
-    base = len(words) + 2
-    dealt = t(texts.mapInArrow(chunker(spark.sparkContext.broadcast(words)), CHUNKS), "chunks")
+    dealt = t(texts.mapInArrow(chunker(CHUNK_BYTES), CHUNKS), "chunks")
     good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long")).distinct()
     # which places of a chunk hold good documents: a number for each
     places = dealt.select("chunk", F.posexplode("doc_ids").alias("place", "doc_id")).join(good, "doc_id").groupBy("chunk").agg(F.collect_list("place").alias("good"))
-    marked = t(dealt.join(places, "chunk", "left"), "marked")
+    size = dealt.agg(F.sum("bytes").alias("bytes"), F.count("*").alias("chunks")).first()
+    n_groups = isqrt(size.chunks) + 1
+    n = isqrt(max(BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")), (size.bytes or 0) // RANGE_BYTES) - 1) + 1
+    marked = t(dealt.join(places, "chunk", "left").withColumn("grp", F.pmod(F.hash("chunk"), F.lit(n_groups))), "marked")
     t.drop(dealt)
-    counts = np.zeros((4, base), np.int64)
-    singles = marked.select("sizes", "ids", "good").mapInArrow(single_counts(base), "item long, n long, good_n long, h long, good_h long")
-    # at most 1 / share + 2 rows
-    singles = singles.groupBy("item").agg(*[F.sum(c).alias(c) for c in ("n", "good_n", "h", "good_h")]).toArrow()
-    counts[:, singles.column("item").to_numpy()] = [singles.column(c).to_numpy() for c in ("n", "good_n", "h", "good_h")]
-    size = marked.agg(F.sum("bytes")).first()[0] or 0
-    n = max(BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)
-    asked = marked.select("chunk", "sizes", "ids", "good").mapInArrow(asker(n, base), "bucket int, chunk long, keys binary, counts binary")
-    answers = t(asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(totals, "bucket int, chunk long, sums binary"), "answers")
-    gathered = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "sums")).alias("answers"))
-    known = spark.sparkContext.broadcast((counts[:2], counts[2:]))
-    rows = marked.join(gathered, "chunk", "left").select("doc_ids", "sizes", "ids", "good", "answers")
-    return rows.mapInArrow(scorer(known, base), SCORED)
+    added_up = F.expr("aggregate(sizes, 0L, (s, x) -> s + x)"), F.expr("aggregate(coalesce(good, array()), 0L, (s, i) -> s + sizes[i])")
+    tokens = tuple(x or 0 for x in marked.agg(*map(F.sum, added_up)).first())
+
+    asked = marked.select("chunk", "grp", "sizes", "words", "ids", "good").mapInArrow(asker(n), SENT)
+    cell = t(asked.repartition("grp", "coarse").sortWithinPartitions("grp", "coarse").mapInArrow(cells, CELLS), "cells")
+    finer = cell.select("grp", "coarse", "keys", "counts").mapInArrow(refiner(n), FINE)
+    answers = t(finer.repartition("fine").sortWithinPartitions("fine").mapInArrow(totals, ANSWERS), "answers")
+    distinct_words = answers.agg(F.sum("words")).first()[0] or 0
+    # at most n answers a cell and n a chunk: the square root of the number of fine ranges
+    to_cells = answers.groupBy("grp", "coarse").agg(F.collect_list(F.struct("fine", "sums")).alias("answers"))
+    back = t(cell.select("grp", "coarse", "chunks", "places").join(to_cells, ["grp", "coarse"]).mapInArrow(told, BACK), "back")
+    t.drop(cell, answers)
+    gathered = back.groupBy("chunk").agg(F.collect_list(F.struct("coarse", "sums")).alias("answers"))
+    rows = marked.join(gathered, "chunk", "left").select("doc_ids", "sizes", "words", "ids", "good", "answers")
+    return rows.mapInArrow(scorer(tokens, distinct_words), SCORED)

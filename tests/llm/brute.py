@@ -87,13 +87,10 @@ def targets(sizes, cap=3):
         fixed |= {s: cap * sizes[s] for s in over}
 
 
-def lm_losses(docs, good, share=1e-6, strength=8.0):
+def lm_losses(docs, good, strength=8.0):
     """(doc_id, tokens, loss under all other documents, loss under the other good ones) of every row, by counts of real words and pairs."""
     split = [(t or "").encode().lower().split() for _, t in docs]
-    every = Counter(w for words in split for w in words)
-    known = {w for w, n in every.items() if n >= max(2, math.ceil(share * sum(every.values())))}
-    split = [[w if w in known else "?" for w in words] for words in split]
-    size = len(known) + 1
+    size = len({w for words in split for w in words})
 
     def counted(rows):
         words, before, pairs = Counter(), Counter(), Counter()
@@ -114,7 +111,7 @@ def lm_losses(docs, good, share=1e-6, strength=8.0):
             total = 0.0
             for a, b in zip([None, *w], w):
                 words, before, pairs = (m[k] - mine * o[k] for m, o, k in zip(model, own, (b, a, (a, b))))
-                unigram = (words + 0.5) / (n - mine * len(w) + 0.5 * size)
+                unigram = (weight * words + 0.5) / (weight * (n - mine * len(w)) + 0.5 * size)
                 total -= math.log2((weight * pairs + strength * unigram) / (weight * before + strength))
             losses.append(total / max(1, len(w)))
         out.append((doc_id, len(w), *losses))
