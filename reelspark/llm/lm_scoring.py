@@ -7,14 +7,12 @@ by models that have not seen it: its own counts are taken out of both. The score
 minus that under the target model (higher: more like the target); both losses are returned.
 
 No count is held in one place, so all of them may grow with the input. Texts become words of 64-bit hashes, dealt into chunks of
-about CHUNK_BYTES of text. A chunk counts its distinct items (pairs, words and histories, each with a key of 62 bits) and is
-answered with the totals of just these, in two steps, each over the square root of what it would meet in one:
-
-* chunks of one group send their items to cells, one for each (group, coarse range of keys); a cell adds them up;
-* cells send their sums to buckets, one for each fine range; a bucket adds up over all groups, and answers go back the same way.
-
-So a chunk sends one row a coarse range and a cell one row a fine range inside its own, however large the input is; no task holds
-more than a chunk, a cell or a range. Only the numbers of tokens and of distinct words come to the driver.
+about CHUNK_BYTES of text. A chunk counts its distinct items (pairs, words and histories, each with a key of 62 bits) and sends them,
+cut by key range, to buckets. A bucket adds up its range over all chunks and answers each with the totals of just its items.
+A chunk sends at most FAN rows, so beyond FAN ranges this takes two steps, each over the square root of the ranges: chunks of a
+group send to cells, one for each (group, coarse range), which add up; cells send their sums to the fine ranges inside their own;
+answers go back the same way. The results are the same. No task holds more than a chunk, a cell or a range; only the numbers of
+tokens and of distinct words come to the driver.
 The pair model backs off to the word model by absolute interpolation.
 
 Edge cases: null and empty texts have 0 tokens and score 0; without labelled documents the target model is the uniform prior
@@ -39,6 +37,8 @@ from .common import Tables, WordHashes
 CHUNK_BYTES = 12 << 20
 #: Fine ranges: so many a shuffle partition, and more once one would come from more text than this.
 BUCKETS, RANGE_BYTES = 4, 8 << 20
+#: Most rows that a chunk sends in one step: its pieces then hold about a kilobyte.
+FAN = 1 << 13
 STRENGTH = 8.0  # how many counts of a history weigh as much as its word model
 PAIR, WORD, HISTORY = 0, 1, 2
 _START = np.uint64(0xD6E8FEB86659FD93)  # the history of a document's first word
@@ -56,7 +56,7 @@ def unzipped(blob: bytes) -> bytes:
 
 
 def packed_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, all first bytes before all second ones, so that high bytes, mostly zero, take no room."""
+    """Keys as differences (modulo 2^64), all first bytes before all second ones: the high bytes of sorted keys take no room."""
     steps = np.diff(keys.astype("<u8"), prepend=np.uint64(0))
     return compressor().compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes())
 
@@ -66,6 +66,15 @@ def unpacked_keys(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
+def packed_ids(ids: np.ndarray) -> bytes:
+    return compressor().compress(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpacked_ids(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(unzipped(blob), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
 def packed_counts(counts: np.ndarray) -> bytes:
     """Two rows of counts, as narrow as they fit."""
     width = next(w for w in (1, 2, 4, 8) if w == 8 or int(counts.max(initial=0)) < 1 << 8 * w)
@@ -99,8 +108,11 @@ def chunker(chunk_bytes: int) -> Callable:
         docs, held, size, k = [], [], 0, TaskContext.get().partitionId() << 32
 
         def row() -> pa.RecordBatch:
-            words, ids = np.unique(np.concatenate(held), return_inverse=True)
-            return batch(CHUNKS, [(k, docs, [len(x) for x in held], packed_keys(words), compressor().compress(ids.astype("<u4").tobytes()), size)])
+            words, ids, n = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+            order = np.argsort(-n, kind="stable")  # frequent words get small numbers, which pack well
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            return batch(CHUNKS, [(k, docs, [len(x) for x in held], packed_keys(words[order]), packed_ids(rank[ids]), size)])
 
         for b in batches:
             for doc, text in zip(*(c.to_pylist() for c in b.columns)):
@@ -127,7 +139,7 @@ class Items:
 
     def __init__(self, sizes: list[int], words: bytes, ids: bytes):
         self.n = np.array(sizes, np.int64)
-        token = np.frombuffer(unzipped(ids), "<u4").astype(np.int64)
+        token = unpacked_ids(ids)
         known = np.concatenate([unpacked_keys(words), [_START]]).astype(np.uint64)
         before = np.concatenate([[len(known) - 1], token[:-1]]) if len(token) else token
         before[(np.cumsum(self.n) - self.n)[self.n > 0]] = len(known) - 1
@@ -172,7 +184,7 @@ def pieces(keys: np.ndarray, counts: np.ndarray, borders: np.ndarray) -> Iterato
     return ((i, packed_keys(keys[a:z]), packed_counts(counts[:, a:z])) for i, (a, z) in enumerate(zip(at, at[1:])) if z > a)
 
 
-SENT = "grp int, coarse int, chunk long, keys binary, counts binary"
+SENT = "grp long, coarse int, chunk long, keys binary, counts binary"
 
 
 def asker(n: int) -> Callable:
@@ -211,7 +223,7 @@ def added(rows: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, list
     return keys, sums, np.split(place, np.cumsum([len(p) for p in parts])[:-1])
 
 
-CELLS = "grp int, coarse int, keys binary, counts binary, chunks array<long>, places array<binary>"
+CELLS = "grp long, coarse int, keys binary, counts binary, chunks array<long>, places array<binary>"
 
 
 def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +233,7 @@ def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(CELLS, [(grp, coarse, packed_keys(keys), packed_counts(sums), [r[0] for r in rows], [packed_keys(p) for p in places])])
 
 
-FINE = "fine int, coarse int, grp int, keys binary, counts binary"
+FINE = "fine int, coarse int, grp long, keys binary, counts binary"
 
 
 def refiner(n: int) -> Callable:
@@ -236,7 +248,7 @@ def refiner(n: int) -> Callable:
     return run
 
 
-ANSWERS = "fine int, coarse int, grp int, sums binary, words long"
+ANSWERS = "fine int, coarse int, grp long, sums binary, words long"
 
 
 def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,23 +313,31 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long")).distinct()
     # which places of a chunk hold good documents: a number for each
     places = dealt.select("chunk", F.posexplode("doc_ids").alias("place", "doc_id")).join(good, "doc_id").groupBy("chunk").agg(F.collect_list("place").alias("good"))
+    places = t(places, "places")  # of a known size, so chunks are not shuffled while it is small
     size = dealt.agg(F.sum("bytes").alias("bytes"), F.count("*").alias("chunks")).first()
-    n_groups = isqrt(size.chunks) + 1
-    n = isqrt(max(BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")), (size.bytes or 0) // RANGE_BYTES) - 1) + 1
-    marked = t(dealt.join(places, "chunk", "left").withColumn("grp", F.pmod(F.hash("chunk"), F.lit(n_groups))), "marked")
-    t.drop(dealt)
+    ranges = max(BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")), (size.bytes or 0) // RANGE_BYTES)
+    one_step = ranges <= FAN
+    n = ranges if one_step else isqrt(ranges - 1) + 1
+    marked = t(dealt.join(places, "chunk", "left").withColumn("grp", F.pmod(F.xxhash64("chunk"), F.lit(isqrt(size.chunks) + 1))), "marked")
+    t.drop(dealt, places)
     added_up = F.expr("aggregate(sizes, 0L, (s, x) -> s + x)"), F.expr("aggregate(coalesce(good, array()), 0L, (s, i) -> s + sizes[i])")
     tokens = tuple(x or 0 for x in marked.agg(*map(F.sum, added_up)).first())
 
     asked = marked.select("chunk", "grp", "sizes", "words", "ids", "good").mapInArrow(asker(n), SENT)
-    cell = t(asked.repartition("grp", "coarse").sortWithinPartitions("grp", "coarse").mapInArrow(cells, CELLS), "cells")
-    finer = cell.select("grp", "coarse", "keys", "counts").mapInArrow(refiner(n), FINE)
+    if one_step:
+        finer = asked.select(F.col("coarse").alias("fine"), "coarse", F.col("chunk").alias("grp"), "keys", "counts")
+    else:
+        cell = t(asked.repartition("grp", "coarse").sortWithinPartitions("grp", "coarse").mapInArrow(cells, CELLS), "cells")
+        finer = cell.select("grp", "coarse", "keys", "counts").mapInArrow(refiner(n), FINE)
     answers = t(finer.repartition("fine").sortWithinPartitions("fine").mapInArrow(totals, ANSWERS), "answers")
     distinct_words = answers.agg(F.sum("words")).first()[0] or 0
-    # at most n answers a cell and n a chunk: the square root of the number of fine ranges
-    to_cells = answers.groupBy("grp", "coarse").agg(F.collect_list(F.struct("fine", "sums")).alias("answers"))
-    back = t(cell.select("grp", "coarse", "chunks", "places").join(to_cells, ["grp", "coarse"]).mapInArrow(told, BACK), "back")
-    t.drop(cell, answers)
+    if one_step:
+        back = answers.select(F.col("grp").alias("chunk"), "coarse", "sums")
+    else:
+        to_cells = answers.groupBy("grp", "coarse").agg(F.collect_list(F.struct("fine", "sums")).alias("answers"))
+        back = t(cell.select("grp", "coarse", "chunks", "places").join(to_cells, ["grp", "coarse"]).mapInArrow(told, BACK), "back")
+        t.drop(cell, answers)
+    # at most FAN answers a chunk, or the square root of the number of ranges
     gathered = back.groupBy("chunk").agg(F.collect_list(F.struct("coarse", "sums")).alias("answers"))
     rows = marked.join(gathered, "chunk", "left").select("doc_ids", "sizes", "words", "ids", "good", "answers")
     return rows.mapInArrow(scorer(tokens, distinct_words), SCORED)

@@ -288,10 +288,12 @@ def test_lm_losses_are_of_whole_corpora(spark, corpus, monkeypatch):
     rows = [(i, t) for i, t, *_ in corpus] + [(1000 + i, f"v{i} y{i % 7} v{i} v{i // 2}") for i in range(20_000)] + [(7, corpus[7][1]), (None, "y1 y2"), (None, None)]
     good = {i for i, _ in rows if i is not None and (i % 3 or i >= 2000)}
     labels = spark.createDataFrame([(i, 1) for i in good] + [(i, 1) for i in list(good)[:50]] + [(0, 0), (None, 1)], "doc_id long, quality int")
-    got = lm_scoring.cross_entropy_difference(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, chunk string").repartition(3), labels).collect()
     line = lambda d, n, *x: (str(d), n, *(round(v, 9) + 0.0 for v in x))
     want = sorted(line(d, n, bg, tg, bg - tg) for d, n, bg, tg in brute.lm_losses(rows, good))
-    assert all(a[:2] == b[:2] and np.allclose(a[2:], b[2:], atol=1e-8) for a, b in zip(sorted(line(*r) for r in got), want, strict=True))
+    for fan in (1 << 13, 1):  # one step, and two
+        monkeypatch.setattr(lm_scoring, "FAN", fan)
+        got = lm_scoring.cross_entropy_difference(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, chunk string").repartition(3), labels).collect()
+        assert all(a[:2] == b[:2] and np.allclose(a[2:], b[2:], atol=1e-8) for a, b in zip(sorted(line(*r) for r in got), want, strict=True))
 
 
 def test_warc_audit(spark, tmp_path):
