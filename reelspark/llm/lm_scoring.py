@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import Tables, WordHashes
 
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 #: Fine ranges: so many a shuffle partition, and more once one would come from more text than this.
 BUCKETS, RANGE_BYTES = 4, 8 << 20
 #: Most rows that a chunk sends in one step: its pieces then hold about a kilobyte.
@@ -94,7 +94,9 @@ def batch(columns: str, rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read(b: pa.RecordBatch, *names: str) -> Iterator[tuple]:
-    return zip(*(b.column(n).to_pylist() for n in names))
+    """Rows one by one: each holds a chunk, so only one is turned into Python values at a time."""
+    columns = [b.column(n) for n in names]
+    return (tuple(c[i].as_py() for c in columns) for i in range(b.num_rows))
 
 
 CHUNKS = "chunk long, doc_ids array<long>, sizes array<int>, words binary, ids binary, bytes long"
@@ -153,6 +155,7 @@ class Items:
         self.keys, place = np.unique(
             np.concatenate([item_keys(mixed ^ mixed >> np.uint64(31), PAIR), item_keys(own_words, WORD), item_keys(histories, HISTORY)]), return_inverse=True
         )
+        place = place.astype(np.int32)  # less than 2^31 items in a chunk
         self.pair = place[pair]
         self.word = place[len(codes) + token]
         self.history = place[len(codes) + len(own_words) + before]
@@ -295,9 +298,9 @@ def scorer(tokens: tuple[int, int], size: int) -> Callable:
                 p = Items(sizes, words, ids)
                 sums = joined(answers, "coarse")
                 items = p.pair, p.word, p.history
-                own, n_doc = [p.own(x) for x in items], p.n[p.doc]
+                own, n_doc = [p.own(x).astype(np.int32) for x in items], p.n[p.doc]
                 out = []
-                for i, weight, mine in ((0, match, np.ones(len(p.doc), bool)), (1, 1.0, p.marked(good))):
+                for i, weight, mine in ((0, match, True), (1, 1.0, p.marked(good))):
                     loss = losses(*(sums[i][x] for x in items), tokens[i], [o * mine for o in own], n_doc * mine, size, weight)
                     out.append(np.bincount(p.doc, loss, len(p.n)) / np.maximum(p.n, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(p.n), *map(pa.array, out), pa.array(out[0] - out[1])],
