@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import Tables, WordHashes
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 5 << 20
 #: Fine ranges: so many a shuffle partition, and more once one would come from more text than this.
 BUCKETS, RANGE_BYTES = 4, 8 << 20
 #: Most rows that a chunk sends in one step: its pieces then hold about a kilobyte.
