@@ -2,6 +2,7 @@
 
 
 import pytest
+from pyspark.sql import functions as F
 
 from reelspark.operators import segments
 
@@ -24,3 +25,8 @@ def dense_window(spark):
 
 def test_no_split_point_without_peaks_after_it(dense_window):
     assert rows(segments.split_points(*dense_window).select("pos", "at")) == [(0, 101.5), (1, 116.5)]
+
+
+def test_a_window_is_cut_between_its_peaks(dense_window):
+    parts = segments.soft_split(*dense_window).select("half", "start", "end", F.size("group_peaks"))
+    assert rows(parts) == [(0, 90.0, 116.5, 2), (1, 116.5, 155.0, 2)]
