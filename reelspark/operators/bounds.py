@@ -34,11 +34,11 @@ def scan_windows(frames: DataFrame, durations: DataFrame, p: Trim = Trim()) -> D
     )
 
 
-def _dense(df: DataFrame, transcript: DataFrame | None, key: list[str], start: Column, end: Column, least: float) -> DataFrame:
-    """Rows of df whose text density over [start, end] is at least `least`; all rows if there is no transcript."""
+def _dense(df: DataFrame, transcript: DataFrame | None, key: list[str], start: Column, end: Column, seconds: float, least: float) -> DataFrame:
+    """Rows of df whose text density over [start, end], that is `seconds`, is at least `least`; all rows if there is no transcript."""
     if transcript is None:
         return df
-    t = text_density(df.withColumn("_a", start).withColumn("_b", end), transcript, key, "_a", "_b", "_d")
+    t = text_density(df.withColumn("_a", start).withColumn("_b", end), transcript, key, "_a", "_b", "_d", seconds)
     return t.filter(F.col("_d") >= least).drop("_a", "_b", "_d")
 
 
@@ -55,7 +55,7 @@ def validate_peaks(peaks: DataFrame, scan: DataFrame, transcript: DataFrame | No
     spread = own.select(*SIDE, "timestamp", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("pos"))
     active = spread.join(frames, [*SIDE, "pos"]).groupBy(*SIDE, "timestamp").agg(F.avg(F.col("active").cast("int")).alias("share"))
     good = active.filter(F.col("share") >= p.active_share)
-    return _dense(good, transcript, [*SIDE, "timestamp"], F.col("timestamp") - half, F.col("timestamp") + half, p.min_density).select(*SIDE, "timestamp")
+    return _dense(good, transcript, [*SIDE, "timestamp"], F.col("timestamp") - half, F.col("timestamp") + half, p.sustained_s, p.min_density).select(*SIDE, "timestamp")
 
 
 def bounds_from_peaks(valid: DataFrame) -> DataFrame:
@@ -72,7 +72,7 @@ def scan_limits(durations: DataFrame, p: Trim = Trim()) -> DataFrame:
 def bounds_from_transcript(transcript: DataFrame, durations: DataFrame, p: Trim = Trim()) -> DataFrame:
     said = plain(transcript).join(scan_limits(durations, p), "vod_id").filter(F.length(strip(F.col("text"))) > 3)
     heads = said.filter(F.col("start") <= F.col("head_end")).select("vod_id", F.col("start").alias("at")).distinct()
-    heads = _dense(heads, transcript, ["vod_id", "at"], F.col("at"), F.col("at") + p.sustained_text_s, p.min_density)
+    heads = _dense(heads, transcript, ["vod_id", "at"], F.col("at"), F.col("at") + p.sustained_text_s, p.sustained_text_s, p.min_density)
     start = heads.groupBy("vod_id").agg(F.min("at").alias("start_transcript"))
     end = said.filter(F.col("end") >= F.col("tail_start")).groupBy("vod_id").agg(F.max("end").alias("end_transcript"))
     return start.join(end, "vod_id", "full")
@@ -84,7 +84,7 @@ def start_from_energy(scan: DataFrame, transcript: DataFrame | None, p: Trim = T
     w = W.partitionBy(*SIDE).orderBy("pos")
     h = scan.filter("side = 'head'").withColumn("_share", F.avg(F.col("active").cast("int")).over(w.rowsBetween(0, n - 1))).withColumn("_len", F.max("pos").over(W.partitionBy(*SIDE)) + 1)
     good = h.filter((F.col("pos") < F.col("_len") - n) & (F.col("_share") >= p.active_share)).select("vod_id", "t")
-    good = _dense(good, transcript, ["vod_id", "t"], F.col("t"), F.col("t") + p.activity_s, p.min_density)
+    good = _dense(good, transcript, ["vod_id", "t"], F.col("t"), F.col("t") + p.activity_s, p.activity_s, p.min_density)
     return good.groupBy("vod_id").agg(F.min("t").alias("start_energy"))
 
 
@@ -95,15 +95,15 @@ def end_from_energy(scan: DataFrame, transcript: DataFrame | None, p: Trim = Tri
     t = scan.filter("side = 'tail'").withColumn("_share", F.avg(F.col("active").cast("int")).over(w.rowsBetween(1, n))).withColumn("_len", F.max("pos").over(W.partitionBy(*SIDE)) + 1)
     good = t.filter(F.col("active") & (F.col("pos") > n) & (F.col("pos") <= F.col("_len") - n - 1) & (F.col("_share") < p.silence_share)).select("vod_id", "t")
     if transcript is not None:
-        d = text_density(good.withColumn("_b", F.col("t") + p.silence_s), transcript, ["vod_id", "t"], "t", "_b", "_d")
+        d = text_density(good.withColumn("_b", F.col("t") + p.silence_s), transcript, ["vod_id", "t"], "t", "_b", "_d", p.silence_s)
         good = d.filter(F.col("_d") < p.min_density).select("vod_id", "t")
     return good.groupBy("vod_id").agg(F.max("t").alias("end_energy"))
 
 
-def _density_of(df: DataFrame, transcript: DataFrame | None, start: Column, end: Column, out: str) -> DataFrame:
+def _density_of(df: DataFrame, transcript: DataFrame | None, start: Column, end: Column, out: str, seconds: float | None = None) -> DataFrame:
     if transcript is None:
         return df.withColumn(out, F.lit(None).cast("double"))
-    return text_density(df.withColumn("_a", start).withColumn("_b", end), transcript, ROW, "_a", "_b", out).drop("_a", "_b")
+    return text_density(df.withColumn("_a", start).withColumn("_b", end), transcript, ROW, "_a", "_b", out, seconds).drop("_a", "_b")
 
 
 def trim_bounds(
@@ -129,7 +129,7 @@ def trim_bounds(
     start = F.when(F.col("_start").isNull() | (F.col("_start") < p.safe_start_s), 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.col("_start") - p.buffer_s), 3))
     b = b.withColumn("real_start", start)
     b = b if transcript is None else stage(b, "candidates")  # a density joins a table with its own rows: no chains of those
-    b = _density_of(b, transcript, F.col("_end"), F.col("_end") + 15.0, "_after")
+    b = _density_of(b, transcript, F.col("_end"), F.col("_end") + 15.0, "_after", 15.0)
     buffer = F.when(F.coalesce(F.col("_after"), F.lit(0.0)) >= p.min_density * 0.5, p.long_buffer_s).otherwise(p.buffer_s)
     end = F.round(F.least("total_s", F.col("_end") + buffer), 3)
     b = b.withColumn("_buffer", buffer).withColumn("real_end", end)
@@ -159,7 +159,7 @@ def trim_confidence(bounds: DataFrame, transcript: DataFrame | None = None, p: T
     total = credit("start_method") + credit("end_method")
     b = bounds
     if transcript is not None:
-        b = _density_of(b, transcript, F.col("real_start"), F.col("real_start") + 30.0, "_near_start")
+        b = _density_of(b, transcript, F.col("real_start"), F.col("real_start") + 30.0, "_near_start", 30.0)
         b = _density_of(b, transcript, F.greatest(F.lit(0.0), F.col("real_end") - 30.0), F.col("real_end"), "_near_end")
         total = total + F.when(F.col("_near_start") >= p.min_density, 0.20).when(F.col("_near_start") >= p.min_density * 0.5, 0.10).otherwise(0.0)
         total = total + F.when(F.col("_near_end") >= p.min_density * 0.5, 0.20).when(F.col("_near_end") > 0, 0.10).otherwise(0.0)

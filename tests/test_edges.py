@@ -4,7 +4,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from reelspark.operators import segments
+from reelspark.operators import bounds, segments
+from reelspark.params import Trim
 
 TR = "vod_id long, seq long, start double, end double, text string"
 PK = "vod_id long, timestamp double, intensity double"
@@ -30,3 +31,12 @@ def test_no_split_point_without_peaks_after_it(dense_window):
 def test_a_window_is_cut_between_its_peaks(dense_window):
     parts = segments.soft_split(*dense_window).select("half", "start", "end", F.size("group_peaks"))
     assert rows(parts) == [(0, 90.0, 116.5, 2), (1, 116.5, 155.0, 2)]
+
+
+def test_density_right_on_the_limit(spark):
+    """63.3 + 30 is less than 30 s after 63.3 in the last bit (or more): 15 characters in 30 s are dense all the same."""
+    start = 633.0 * 0.1
+    t = spark.createDataFrame([(1, 0, 72.367, 72.7, "a" * 5), (1, 1, 85.7, 86.367, "b" * 10)], TR)
+    b = spark.createDataFrame([(1, start, 569.7, "fallback", "transcript")], "vod_id long, real_start double, real_end double, start_method string, end_method string")
+    assert start + 30.0 - start != 30.0
+    assert bounds.trim_confidence(b, t, Trim()).first().trim_confidence == 0.38
