@@ -40,3 +40,13 @@ def test_density_right_on_the_limit(spark):
     b = spark.createDataFrame([(1, start, 569.7, "fallback", "transcript")], "vod_id long, real_start double, real_end double, start_method string, end_method string")
     assert start + 30.0 - start != 30.0
     assert bounds.trim_confidence(b, t, Trim()).first().trim_confidence == 0.38
+
+
+@pytest.mark.parametrize("off", [0.0, 0.1])
+def test_a_peak_with_two_characters_in_four_seconds(spark, off):
+    at = next(x / 1000 for x in range(126_000, 130_000) if (x / 1000 + 2.0) - (x / 1000 - 2.0) > 4.0) if off else 100.0
+    scan = spark.createDataFrame([(1, "head", i, float(i), 0.0, True) for i in range(300)], "vod_id long, side string, pos long, t double, offset double, active boolean")
+    t = spark.createDataFrame([(1, 0, at - 1, at, "ab")], TR)
+    p = Trim(frames_per_second=1.0)
+    valid = bounds.validate_peaks(spark.createDataFrame([(1, at, 0.5)], PK), scan, t, p)
+    assert rows(valid) == [(1, "head", at)] and rows(bounds.bounds_from_peaks(valid)) == [(1, at, None)]
