@@ -4,7 +4,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from reelspark.operators import bounds, segments
+from reelspark.operators import bounds, segments, subtitles
 from reelspark.params import Trim
 
 TR = "vod_id long, seq long, start double, end double, text string"
@@ -50,3 +50,9 @@ def test_a_peak_with_two_characters_in_four_seconds(spark, off):
     p = Trim(frames_per_second=1.0)
     valid = bounds.validate_peaks(spark.createDataFrame([(1, at, 0.5)], PK), scan, t, p)
     assert rows(valid) == [(1, "head", at)] and rows(bounds.bounds_from_peaks(valid)) == [(1, at, None)]
+
+
+def test_segments_without_length_go_in_silent_clips_too(spark):
+    audio = spark.createDataFrame([(1, 1, 0, [0.5] * 100)], "vod_id long, clip_idx int, chunk_idx long, samples array<float>")
+    segs = spark.createDataFrame([(1, 1, 0, 0.0, 0.0, "heard"), (2, 1, 0, 0.0, 0.0, "empty"), (2, 1, 1, 0.0, 1.0, "stays")], SEG)
+    assert [r.text for r in subtitles.trim_silence(segs, audio, 1000).collect()] == ["stays"]
