@@ -1,9 +1,12 @@
 """Cases on an edge, each found as a difference from a query's SQL, and work that must not grow out of proportion."""
 
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from reelspark.functions import caption
 from reelspark.operators import bounds, segments, subtitles
 from reelspark.params import Trim
 
@@ -56,3 +59,26 @@ def test_segments_without_length_go_in_silent_clips_too(spark):
     audio = spark.createDataFrame([(1, 1, 0, [0.5] * 100)], "vod_id long, clip_idx int, chunk_idx long, samples array<float>")
     segs = spark.createDataFrame([(1, 1, 0, 0.0, 0.0, "heard"), (2, 1, 0, 0.0, 0.0, "empty"), (2, 1, 1, 0.0, 1.0, "stays")], SEG)
     assert [r.text for r in subtitles.trim_silence(segs, audio, 1000).collect()] == ["stays"]
+
+
+def plain_wrap(text, most=38):
+    used, one, two = 0, [], []
+    for w in text.split():
+        if used + len(w) <= most:
+            one, used = [*one, w], used + len(w) + 1
+        else:
+            two.append(w)
+    two = " ".join(two)
+    return text if len(text) <= most else " ".join(one) + ("\n" + (two[: 2 * most - 1] + "…" if len(two) > 2 * most else two) if two else "")
+
+
+def test_srt_wrap_equals_a_loop_and_takes_one_walk(spark):
+    r = random.Random(5)
+    texts = [" ".join("x" * r.choice([1, 3, 7, 40]) for _ in range(r.randint(0, 40))) for _ in range(200)] + ["y" * 50, " " * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {x.i: x.w for x in df.select("i", caption.srt_wrapped(F.col("t")).alias("w")).collect()}
+    assert got == {i: plain_wrap(t) for i, t in enumerate(texts)}
+    long = spark.createDataFrame([(" ".join(["palabra"] * 1500),)], "t string")
+    began = time.time()
+    assert long.select(caption.srt_wrapped(F.col("t")).alias("w")).first().w.startswith("palabra")
+    assert time.time() - began < 20
