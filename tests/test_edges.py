@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelspark.functions import caption
-from reelspark.operators import bounds, segments, subtitles
+from reelspark.operators import bounds, ranking, segments, subtitles
 from reelspark.params import Trim
 
 TR = "vod_id long, seq long, start double, end double, text string"
@@ -61,6 +61,14 @@ def test_segments_without_length_go_in_silent_clips_too(spark):
     assert [r.text for r in subtitles.trim_silence(segs, audio, 1000).collect()] == ["stays"]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_clips_of_one_time_are_numbered_by_strength(spark, seed):
+    clips = [(v, 10.0, 30.0, 20.0, i / 10) for v in range(50) for i in range(5)]
+    random.Random(seed).shuffle(clips)
+    got = ranking.numbered(spark.createDataFrame(clips, "vod_id long, start double, end double, peak_timestamp double, intensity double"))
+    assert {(r.clip_idx, r.intensity) for r in got.collect()} == {(5 - i, i / 10) for i in range(5)}
+
+
 def plain_wrap(text, most=38):
     used, one, two = 0, [], []
     for w in text.split():
