@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from ..operators import bounds, energy, ranking, segments, simple_windows, subtitles, timing
 from ..operators.intervals import slotted
 from ..params import Segmentation, Trim
+from ..sources.stages import stage
 
 
 def best_clips(peaks: DataFrame, transcript: DataFrame, legacy: bool = False, cfg: Segmentation = Segmentation()) -> DataFrame:
@@ -18,7 +19,8 @@ def best_clips(peaks: DataFrame, transcript: DataFrame, legacy: bool = False, cf
 
 
 def best_clips_from_audio(frames: DataFrame, transcript: DataFrame, min_frames: int = 62, seconds_per_frame: float = 512 / 16_000) -> DataFrame:
-    return best_clips(energy.detect_peaks(frames, min_frames, 50, seconds_per_frame), transcript)
+    # candidates and scores read the peaks several times: the way from frames to peaks is in no plan but its own
+    return best_clips(stage(energy.detect_peaks(frames, min_frames, 50, seconds_per_frame), "peaks"), transcript)
 
 
 def aligned_subtitles(clips: DataFrame, transcript: DataFrame, features: DataFrame, voice_frames: DataFrame, durations: DataFrame, audio: DataFrame | None = None) -> DataFrame:

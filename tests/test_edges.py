@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from reelspark.functions import caption
 from reelspark.operators import bounds, ranking, segments, subtitles
 from reelspark.params import Trim
+from reelspark.plans import pipelines
 
 TR = "vod_id long, seq long, start double, end double, text string"
 PK = "vod_id long, timestamp double, intensity double"
@@ -90,3 +91,16 @@ def test_srt_wrap_equals_a_loop_and_takes_one_walk(spark):
     began = time.time()
     assert long.select(caption.srt_wrapped(F.col("t")).alias("w")).first().w.startswith("palabra")
     assert time.time() - began < 20
+
+
+def test_peaks_from_audio_are_worked_out_once(spark):
+    frames = spark.createDataFrame([(1, i, float(i % 17 == 0) + 0.1) for i in range(200)], "vod_id long, frame_idx long, rms double")
+    t = spark.createDataFrame([(1, i, i * 10.0, i * 10.0 + 8, "palabra nueva") for i in range(20)], TR)
+    seen = []
+    before, pipelines.best_clips = pipelines.best_clips, lambda peaks, transcript: seen.append(peaks)
+    try:
+        pipelines.best_clips_from_audio(frames, t, 5, 1.0)
+    finally:
+        pipelines.best_clips = before
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert seen[0].count() > 0 and "Window" not in plan and "Join" not in plan
