@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelspark.functions import caption
-from reelspark.operators import bounds, ranking, segments, subtitles
+from reelspark.operators import bounds, ranking, segments, subtitles, timing
 from reelspark.params import Trim
-from reelspark.plans import pipelines
+from reelspark.plans import fixtures, pipelines
 
 TR = "vod_id long, seq long, start double, end double, text string"
 PK = "vod_id long, timestamp double, intensity double"
@@ -93,6 +93,23 @@ def test_srt_wrap_equals_a_loop_and_takes_one_walk(spark):
     assert time.time() - began < 20
 
 
+def test_frames_for_a_whole_vod_equal_frames_for_each_clip(spark):
+    r = random.Random(2)
+    shared = [(v, round(0.05 + i / 10, 3), r.randint(1, 50) / 500) for v in (1, 2) for i in range(200)]
+    each = [(v, c, t, x) for v, t, x in shared for c in (1, 2)]
+    s = spark.createDataFrame([(v, c, k, k * 2.0, k * 2.0 + 5.5, "a b") for v in (1, 2) for c in (1, 2) for k in range(6)], "vod_id long, clip_idx int, chunk_idx int, start double, end double, text string")
+    d = spark.createDataFrame([(v, c, 18.0) for v in (1, 2) for c in (1, 2)], "vod_id long, clip_idx int, clip_dur double")
+    one, all_ = spark.createDataFrame(shared, "vod_id long, t double, rms double"), spark.createDataFrame(each, "vod_id long, clip_idx int, t double, rms double")
+    assert rows(timing.voice_bounds(s, one, d)) == rows(timing.voice_bounds(s, all_, d)) != []
+    s = s.withColumn("debug", F.lit(None).cast("string"))
+    assert rows(timing.split_at_dip(s, one)) == rows(timing.split_at_dip(s, all_)) and rows(timing.close_gaps(s, one)) == rows(timing.close_gaps(s, all_))
+
+
+def test_voice_frames_of_the_queries_are_not_repeated_for_each_clip(spark):
+    fx = fixtures.Fixtures(spark, "/root/testdata/sf0.001")
+    assert fx.voice_frames.count() == fx.table("lineitem").count()
+
+
 def test_peaks_from_audio_are_worked_out_once(spark):
     frames = spark.createDataFrame([(1, i, float(i % 17 == 0) + 0.1) for i in range(200)], "vod_id long, frame_idx long, rms double")
     t = spark.createDataFrame([(1, i, i * 10.0, i * 10.0 + 8, "palabra nueva") for i in range(20)], TR)
