@@ -10,6 +10,7 @@ from reelspark.functions import caption
 from reelspark.operators import bounds, ranking, segments, subtitles, timing
 from reelspark.params import Trim
 from reelspark.plans import fixtures, pipelines
+from reelspark.sources import stages
 
 TR = "vod_id long, seq long, start double, end double, text string"
 PK = "vod_id long, timestamp double, intensity double"
@@ -121,3 +122,11 @@ def test_peaks_from_audio_are_worked_out_once(spark):
         pipelines.best_clips = before
     plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
     assert seen[0].count() > 0 and "Window" not in plan and "Join" not in plan
+
+
+def test_stage_tables_are_not_broadcast(spark):
+    """A table of 2 KB on disk can be of many MB in memory; its size on disk says nothing."""
+    big = stages.stage(spark.range(200_000).select((F.col("id") * 0).alias("k"), F.lit("x" * 100).alias("t")), "packed")
+    few = stages.stage(spark.range(3).select(F.col("id").alias("k")), "few")
+    plan = few.join(big.filter("k = 0").groupBy("k").agg(F.max("t").alias("t")), "k", "left")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
