@@ -130,3 +130,10 @@ def test_stage_tables_are_not_broadcast(spark):
     few = stages.stage(spark.range(3).select(F.col("id").alias("k")), "few")
     plan = few.join(big.filter("k = 0").groupBy("k").agg(F.max("t").alias("t")), "k", "left")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_srt_document_of_a_long_segment_takes_one_walk(spark):
+    chunks = spark.createDataFrame([(1, 1, 1, 0.0, 2.5, " ".join(["palabra"] * 1500))], "vod_id long, clip_idx int, chunk_idx int, start double, end double, text string")
+    began = time.time()
+    srt = subtitles.srt_documents(chunks).first().srt
+    assert srt.startswith("1\n00:00:00,000 --> 00:00:02,500\npalabra palabra") and time.time() - began < 20
